@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import lines, simhash
+from orrery.llm import bpe, chat, lines, simhash, spans
 from orrery.llm.common import documents
 
 LINE_SQL = r"""
@@ -19,14 +19,44 @@ SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT)
 FROM m GROUP BY doc_id
 """
 
+CHAT_SQL = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(replace(role, chr(10), ' '), '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+e AS (SELECT *, replace(replace(role, chr(92), chr(92) || chr(92)), '<|', '<' || chr(92) || '|') AS erole, replace(replace(text, chr(92), chr(92) || chr(92)), '<|', '<' || chr(92) || '|') AS etext FROM t)
+SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(12 + length(erole) + 1 + length(etext) + 10 + 1) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digest(documents(spark, sf_dir))
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digest(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(documents(spark, sf_dir))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_line_dedup": op3_line_dedup, "op9_simhash": op9_simhash}
-ORACLES: dict[str, str] = {"op3_line_dedup": LINE_SQL}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.digest(documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_line_dedup": op3_line_dedup,
+    "op6_chat_format": op6_chat_format,
+    "op8_byte_bpe": op8_byte_bpe,
+    "op9_simhash": op9_simhash,
+    "op10_substring_dedup": op10_substring_dedup,
+}
+ORACLES: dict[str, str] = {"op3_line_dedup": LINE_SQL, "op6_chat_format": CHAT_SQL}
