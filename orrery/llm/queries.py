@@ -6,9 +6,52 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import bpe, chat, lines, simhash, spans
+from orrery.llm import bpe, chat, lines, quality, simhash, spans
 from orrery.llm.common import documents
 
+def _quality_sql() -> str:
+    policy = quality.Policy()
+    grid = ", ".join(f"('{r}', {i}, {c})" for r, g in policy.grids.items() for i, c in enumerate(g))
+    share = policy.alpha / len(policy.grids)
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+      list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+v AS (SELECT doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS g FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM w WHERE len(words) >= 3)),
+r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM v QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1) GROUP BY doc_id),
+m AS (SELECT w.doc_id, stratum, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+      CAST(length(regexp_replace(array_to_string(words, ''), '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+      CAST(length(regexp_replace(array_to_string(words, ''), '[^A-Z]+', '', 'g')) AS BIGINT) AS n_capitals,
+      CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words
+      FROM w LEFT JOIN r ON r.doc_id = w.doc_id),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
+x AS (SELECT doc_id, stratum, base_failed, unnest([
+      {{'rule': 'symbols', 'value': CASE WHEN word_chars > 0 THEN n_symbols * 1000 // word_chars ELSE 0 END}},
+      {{'rule': 'duplicate_lines', 'value': CASE WHEN n_lines > 0 THEN n_dup_lines * 1000 // n_lines ELSE 0 END}},
+      {{'rule': 'repeated_words', 'value': CASE WHEN n_words > 0 THEN n_repeat_words * 1000 // n_words ELSE 0 END}},
+      {{'rule': 'word_length', 'value': CASE WHEN n_words > 0 THEN word_chars * 1000 // n_words ELSE 0 END}},
+      {{'rule': 'capitals', 'value': CASE WHEN word_chars > 0 THEN n_capitals * 1000 // word_chars ELSE 0 END}}], recursive := true) FROM f),
+lab AS (SELECT doc_id, min(quality) > 0 AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+known AS (SELECT x.*, good, CASE WHEN substr(md5(CAST(x.doc_id AS VARCHAR)), 1, 1) < '8' THEN 'tune' ELSE 'hold' END AS half FROM x JOIN lab ON x.doc_id = lab.doc_id WHERE NOT base_failed),
+listed AS (SELECT stratum FROM known GROUP BY stratum HAVING count(*) >= (SELECT count(*) FROM known) * {policy.min_share}),
+grid(rule, step, cut) AS (VALUES {grid}),
+held AS (SELECT stratum, rule, count(*) FILTER (WHERE good AND half = 'hold') AS held FROM known WHERE stratum IN (SELECT stratum FROM listed) GROUP BY ALL),
+hits AS (SELECT k.stratum, k.rule, g.step, count(*) FILTER (WHERE good AND half = 'hold') AS k, count(*) FILTER (WHERE NOT good AND half = 'tune') AS bad, count(*) FILTER (WHERE good AND half = 'tune') AS good
+      FROM known k JOIN grid g ON k.rule = g.rule AND k.value > g.cut GROUP BY ALL),
+tried AS (SELECT h.stratum, h.rule, g.step, g.cut, h.held AS n, coalesce(hits.k, 0) AS k, coalesce(bad, 0) - {policy.weight} * coalesce(hits.good, 0) AS gain
+      FROM held h JOIN grid g ON h.rule = g.rule LEFT JOIN hits ON hits.stratum = h.stratum AND hits.rule = h.rule AND hits.step = g.step),
+safe AS (SELECT *, n > 0 AND k < n * {share} AND
+      list_sum(list_transform(range(0, CASE WHEN k < n * {share} THEN k ELSE 0 END + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({share}) + (n - i) * ln(1 - {share}))))
+      <= {policy.delta} / (SELECT count(*) FROM held) AS ok FROM tried),
+certified AS (SELECT * FROM safe QUALIFY bool_and(ok) OVER (PARTITION BY stratum, rule ORDER BY step)),
+chosen AS (SELECT stratum, rule, cut FROM certified QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY gain DESC, step) = 1 AND gain > 0),
+hit AS (SELECT DISTINCT x.doc_id FROM x JOIN chosen c ON x.stratum = c.stratum AND x.rule = c.rule AND x.value > c.cut)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM hit) AS kept FROM f
+"""
+
+
+QUALITY_SQL = _quality_sql()
+
 LINE_SQL = r"""
 WITH d AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
 k AS (SELECT doc_id, pos, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM d),
@@ -32,6 +75,10 @@ FROM e GROUP BY conv_id
 """
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digest(documents(spark, sf_dir))
 
@@ -53,10 +100,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": op1_quality_rules,
     "op3_line_dedup": op3_line_dedup,
     "op6_chat_format": op6_chat_format,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_simhash": op9_simhash,
     "op10_substring_dedup": op10_substring_dedup,
 }
-ORACLES: dict[str, str] = {"op3_line_dedup": LINE_SQL, "op6_chat_format": CHAT_SQL}
+ORACLES: dict[str, str] = {"op1_quality_rules": QUALITY_SQL, "op3_line_dedup": LINE_SQL, "op6_chat_format": CHAT_SQL}
