@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import bpe, chat, lines, quality, simhash, spans
+from orrery.llm import bpe, chat, lines, pii, quality, simhash, spans
 from orrery.llm.common import documents
 
 def _quality_sql() -> str:
@@ -83,6 +83,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digest(documents(spark, sf_dir))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(documents(spark, sf_dir))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
@@ -102,6 +106,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_line_dedup": op3_line_dedup,
+    "op4_pii": op4_pii,
     "op6_chat_format": op6_chat_format,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_simhash": op9_simhash,
