@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import bpe, chat, lines, pii, quality, simhash, spans
+from orrery.llm import bpe, chat, langid, lines, pii, quality, simhash, spans, toxicity
 from orrery.llm.common import documents
 
 def _quality_sql() -> str:
@@ -87,10 +87,18 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(documents(spark, sf_dir))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.digest(documents(spark, sf_dir))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.digest(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir))
 
@@ -107,7 +115,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_line_dedup": op3_line_dedup,
     "op4_pii": op4_pii,
+    "op5_language_id": op5_language_id,
     "op6_chat_format": op6_chat_format,
+    "op7_toxicity": op7_toxicity,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_simhash": op9_simhash,
     "op10_substring_dedup": op10_substring_dedup,
