@@ -153,6 +153,22 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     return map_rows(docs.select("doc_id", "text"), make, "doc_id bigint, ids array<int>, starts array<int>, ends array<int>")
 
 
+def encode_ids(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """docs (doc_id, text, others ignored) -> (doc_id, n_tokens, ids), a row per row, without offsets; null text is empty."""
+    path = path or default_ranks()
+
+    def make():
+        bpe = load(path)
+
+        def fn(cols):
+            ids = [[x for piece in pieces for x in piece] for pieces in bpe.encode_many(cols[1])]
+            yield [cols[0], [len(x) for x in ids], ids]
+
+        return fn
+
+    return map_rows(docs.select("doc_id", "text"), make, "doc_id bigint, n_tokens bigint, ids array<int>")
+
+
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, ids) -> (doc_id, text). Null ids are an empty text; an unknown id is an error."""
     path = path or default_ranks()

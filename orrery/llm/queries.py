@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import bpe, chat, langid, lines, pii, quality, simhash, spans, toxicity
+from orrery.llm import bpe, chat, decontam, langid, lines, pii, quality, simhash, spans, toxicity
 from orrery.llm.common import documents
 
 def _quality_sql() -> str:
@@ -79,6 +79,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digest(documents(spark, sf_dir))
 
@@ -113,6 +117,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_decontamination": op2_decontamination,
     "op3_line_dedup": op3_line_dedup,
     "op4_pii": op4_pii,
     "op5_language_id": op5_language_id,
