@@ -1,10 +1,6 @@
 """All registered queries of the engine and their SQL."""
 
-from __future__ import annotations
+from orrery.plans import q_boxes, q_evaluation, q_geometry, q_sequences, q_tracks  # noqa: F401
+from orrery.plans.registry import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
