@@ -364,12 +364,3 @@ def matrix_builders(spark, sf):
     m = f.select("event_id", P.rotation_matrix(F.col("roll"), axis, at).alias("a"), P.reflection_matrix(at, axis).alias("b"), P.projection_matrix(at, axis).alias("c"), P.shear_matrix(F.col("pitch"), vec.vec3(1, 0, 0), at, vec.vec3(0, 1, 0)).alias("d"))
     trace = lambda c: F.col(c)[0][0] + F.col(c)[1][1] + F.col(c)[2][2]
     return m.select("event_id", r(trace("a"), 5).alias("turn"), r(trace("b"), 5).alias("mirror"), r(trace("c"), 5).alias("plane"), r(F.col("d")[0][1], 4).alias("shear"))
-
-
-@query("matrix_recoveries", f"WITH {FRAMES} SELECT event_id, {rs('abs(roll)', 4)} AS angle, {rs('1.0 / 3', 4)} AS nx FROM frames WHERE abs(roll) > 0.05 AND event_id < 300")
-def matrix_recoveries(spark, sf):
-    """Angle and normal come back from matrices (up to sign)."""
-    f = frames(spark, sf).where((F.abs("roll") > 0.05) & (F.col("event_id") < 300))
-    axis, at = vec.vec3(1, 2, 2), _v("tx", "ty", "tz")
-    m = f.select("event_id", P.rotation_matrix(F.col("roll"), axis, at).alias("a"), P.reflection_matrix(at, axis).alias("b")).withColumn("ra", L.rotation_parts(F.col("a"))).withColumn("rb", L.reflection_parts(F.col("b")))
-    return m.select("event_id", r(F.abs("ra.angle"), 4).alias("angle"), r(F.abs(F.col("rb.normal")[0]), 4).alias("nx"))
