@@ -147,14 +147,14 @@ def seq_justseen(spark, sf):
 
 @query(
     "seq_accumulate",
-    f"SELECT user_id, event_id, {rs('sum(value) OVER w', 4)} AS acc, max(value) OVER w AS top, {rs('exp(sum(ln(1 + value / 1000)) OVER w)', 4)} AS grown FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)",
+    f"SELECT user_id, event_id, {rs('sum(value) OVER w', 4)} AS acc, max(value) OVER w AS top, {rs('exp(sum(ln(1 + value / 1000)) OVER w)', 6)} AS grown FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)",
 )
 def seq_accumulate(spark, sf):
     e = events(spark, sf).select("user_id", "event_id", "value", (1 + F.col("value") / 1000).alias("g"))
     e = S.accumulate(e, ["user_id"], ["event_id"], "value")
     e = S.accumulate(e, ["user_id"], ["event_id"], "value", "max", "top")
     e = S.accumulate(e, ["user_id"], ["event_id"], "g", "product", "grown")
-    return e.select("user_id", "event_id", r(F.col("acc"), 4).alias("acc"), "top", r(F.col("grown"), 4).alias("grown"))
+    return e.select("user_id", "event_id", r(F.col("acc"), 4).alias("acc"), "top", r(F.col("grown"), 6).alias("grown"))
 
 
 @query(
