@@ -21,6 +21,8 @@ from orrery.llm.common import Workspace, map_rows
 STRIP = b" \t\n\x0b\x0c\r"
 #: A row without doc_id counts as the last document.
 LAST = (1 << 63) - 1
+#: Names beside the input's own columns.
+_DOC, _LOST = "__orrery_doc", "__orrery_lost"
 
 
 def line_keys(text: str | None, min_chars: int) -> list[bytes | None]:
@@ -128,9 +130,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int = 3, fan: int
     """
     ws = Workspace(docs.sparkSession)
     lost = repeated_lines(ws, docs, min_chars, batches, fan)
-    lost = lost.groupBy("doc").agg(F.collect_set(F.struct("h1", "h2")).alias("_lost"))
-    with_lost = docs.drop("_n_lines", "_n_dropped", "_kept").join(lost, F.coalesce(docs["doc_id"], F.lit(LAST)) == lost["doc"], "left").drop("doc")
-    names = [c for c in with_lost.columns if c != "_lost"]
+    lost = lost.groupBy(F.col("doc").alias(_DOC)).agg(F.collect_set(F.struct("h1", "h2")).alias(_LOST))
+    with_lost = docs.drop("_n_lines", "_n_dropped", "_kept").join(lost, F.coalesce(docs["doc_id"], F.lit(LAST)) == lost[_DOC], "left").drop(_DOC)
+    names = [c for c in with_lost.columns if c != _LOST]
     at, text = len(names), names.index("text")
 
     def make():
@@ -150,8 +152,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int = 3, fan: int
 
         return fn
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in with_lost.schema if f.name != "_lost")
-    return map_rows(with_lost.select(*names, "_lost"), make, f"{schema}, _n_lines bigint, _n_dropped bigint, _kept string")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in with_lost.schema if f.name != _LOST)
+    return map_rows(with_lost.select(*names, _LOST), make, f"{schema}, _n_lines bigint, _n_dropped bigint, _kept string")
 
 
 def digest(docs: DataFrame) -> DataFrame:

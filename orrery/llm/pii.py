@@ -280,5 +280,9 @@ def digest(docs: DataFrame) -> DataFrame:
     """The query's columns."""
     found, _ = find(docs)
     base = F.filter("spans", lambda s: s["base"])
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("bigint").alias(f"n_{KINDS[k]}") for k in range(4)]
+
+    def count(kind: int) -> Column:
+        return F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("bigint").alias(f"n_{KINDS[kind]}")
+
+    counts = [count(k) for k in range(len(BASE))]
     return found.select("doc_id", *counts, F.sha2(_text(base), 256).alias("base_sha256"), _text(F.col("spans")).alias("spans"))
