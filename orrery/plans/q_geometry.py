@@ -53,11 +53,11 @@ _MOVED = rotate_sql("q", ("px", "py", "pz"))
 @query(
     "pose_apply_points",
     f"""{_ONE}, pts AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS px, p_retailprice / 100 AS py, CAST(p_partkey % 11 AS DOUBLE) AS pz, CAST(p_partkey % 50 AS BIGINT) AS idx FROM part)
-SELECT p_partkey, traj_id, {", ".join(f"{rs(f'{e} + t{k}', 5)} AS {k}" for e, k in zip(_MOVED, "xyz", strict=True))} FROM pts JOIN poses USING (idx) WHERE traj_id < 10""",
+SELECT p_partkey, traj_id, {", ".join(f"{rs(f'{e} + t{k}', 5)} AS {k}" for e, k in zip(_MOVED, "xyz", strict=True))} FROM pts JOIN poses USING (idx)""",
 )
 def pose_apply_points(spark, sf):
     pts = table(spark, sf, "part").select("p_partkey", vec.vec3(F.col("p_size"), F.col("p_retailprice") / 100, F.col("p_partkey") % 11).alias("p"), (F.col("p_partkey") % 50).cast("bigint").alias("idx"))
-    got = PO.apply_to_points(poses(spark, sf).where("traj_id < 10").select("traj_id", "idx", "pose"), pts, ["idx"], keep=["traj_id"])
+    got = PO.apply_to_points(poses(spark, sf).select("traj_id", "idx", "pose"), pts, ["idx"], keep=["traj_id"])
     return got.select("p_partkey", "traj_id", *[r(F.col(f"moved.{k}"), 5).alias(k) for k in "xyz"])
 
 
@@ -309,7 +309,7 @@ def frustum_containment(spark, sf):
 
 @query(
     "keyframe_sample",
-    f"""WITH RECURSIVE {POSES}, few AS (SELECT * FROM poses WHERE idx < 40),
+    f"""WITH RECURSIVE {POSES}, few AS (SELECT * FROM poses),
 walk AS (SELECT traj_id, idx, idx AS last FROM few WHERE idx = 0
  UNION ALL SELECT n.traj_id, n.idx, CASE WHEN sqrt(power(n.tx - l.tx, 2) + power(n.ty - l.ty, 2) + power(n.tz - l.tz, 2)) < 120 AND 2 * acos(least(1.0, abs(n.qx*l.qx + n.qy*l.qy + n.qz*l.qz + n.qw*l.qw))) < 100 THEN w.last ELSE n.idx END
  FROM walk w JOIN few n ON n.traj_id = w.traj_id AND n.idx = w.idx + 1 JOIN few l ON l.traj_id = w.traj_id AND l.idx = w.last)
@@ -317,7 +317,7 @@ SELECT traj_id, idx FROM walk WHERE idx = last""",
 )
 def keyframe_sample(spark, sf):
     """Gate by distance from the last accepted pose; the turn is left open."""
-    few = PO.flat(poses(spark, sf).where("idx < 40")).drop("event_id")
+    few = PO.flat(poses(spark, sf)).drop("event_id")
     return PO.sample_poses(few, ["traj_id"], "idx", displacement=120.0, theta=100.0, history=1).select("traj_id", "idx")
 
 

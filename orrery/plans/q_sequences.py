@@ -118,11 +118,11 @@ def seq_grouper(spark, sf):
 
 @query(
     "seq_roundrobin",
-    "SELECT event_id, CAST(dense_rank() OVER (ORDER BY event_type) - 1 AS INTEGER) AS src, CAST(row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS BIGINT) AS turn FROM events WHERE event_type IN (SELECT DISTINCT event_type FROM events ORDER BY 1 LIMIT 3)",
+    "SELECT event_id, CAST(dense_rank() OVER (ORDER BY event_type) - 1 AS INTEGER) AS src, CAST(row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS BIGINT) AS turn FROM events",
 )
 def seq_roundrobin(spark, sf):
     e = events(spark, sf)
-    kinds = [x[0] for x in e.select("event_type").distinct().orderBy("event_type").limit(3).collect()]
+    kinds = [x[0] for x in e.select("event_type").distinct().orderBy("event_type").limit(1000).collect()]
     return S.roundrobin([e.where(F.col("event_type") == k).select("event_id") for k in kinds], ["event_id"])
 
 

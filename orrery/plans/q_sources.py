@@ -54,11 +54,11 @@ def key_value_records(spark, sf):
     return got.select("n_nationkey", F.col("m")["name"].alias("name"), r(text.bracket_numbers(F.col("m")["vec"])[1]).alias("second"))
 
 
-@query("frame_template_index", "SELECT event_id AS idx, user_id FROM events WHERE event_id % 100 = 7")
+@query("frame_template_index", "SELECT event_id AS idx, user_id FROM events")
 def frame_template_index(spark, sf):
     """Indices out of names like frames/000107.png."""
     names = table(spark, sf, "events").select("user_id", F.format_string("frames/%06d.png", "event_id").alias("path"))
-    return readers.frame_index(names).where("idx % 100 = 7").select("idx", "user_id")
+    return readers.frame_index(names).select("idx", "user_id")
 
 
 @query("pose_lines_sink", f"WITH {POSES} SELECT traj_id, count(*) AS n FROM poses GROUP BY traj_id")

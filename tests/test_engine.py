@@ -65,6 +65,26 @@ def test_nms_boundary():
     assert list(boxes.greedy_nms(b, np.array([3, 2, 1.0]), np.arange(3), 0.5, boundary="ge")) == [0, 2]
 
 
+def test_nms_equals_a_plain_loop(spark):
+    rng = np.random.default_rng(7)
+    rows = [(int(i % 2), int(i), *map(float, (x, y, x + w, y + h)), float(s)) for i, (x, y, w, h, s) in enumerate(zip(*rng.integers(0, 60, (2, 80)), *rng.integers(5, 50, (2, 80)), rng.integers(0, 9, 80), strict=True))]
+    df = spark.createDataFrame(rows, "g int, id int, x1 double, y1 double, x2 double, y2 double, score double")
+
+    def overlap(a, b):
+        w, h = min(a[4], b[4]) - max(a[2], b[2]) + 1, min(a[5], b[5]) - max(a[3], b[3]) + 1
+        area = lambda r: (r[4] - r[2] + 1) * (r[5] - r[3] + 1)
+        return w * h / (area(a) + area(b) - w * h) if w > 0 and h > 0 else 0
+
+    want = []
+    for g in (0, 1):
+        kept = []
+        for row in sorted((x for x in rows if x[0] == g), key=lambda x: (-x[6], x[1])):
+            if all(overlap(row, k) <= 0.3 for k in kept):
+                kept.append(row)
+        want += [x[1] for x in kept]
+    assert sorted(r["id"] for r in boxes.nms(df, ["g"], "id", 0.3).collect()) == sorted(want)
+
+
 def test_report_golden(spark):
     df = spark.createDataFrame(list(zip([0, 1, 2, 2, 2], [0, 0, 2, 2, 1], strict=True)), "y int, p int")
     got = {r["label"]: (round(r["precision"], 2), round(r["recall"], 2), round(r["f1"], 2), r["support"]) for r in metrics.report(df, "y", "p").collect()}
