@@ -48,12 +48,15 @@ def matches(truth: DataFrame, test: DataFrame, by: Sequence[str], threshold: flo
     return pairs(truth, test, keys, cell).where(F.col("iou") > threshold)
 
 
-def best_iou(truth: DataFrame, test: DataFrame, by: Sequence[str], box_id: str, cell: float | None = None) -> DataFrame:
-    """(by, id, iou, match): the best overlap of each truth box, 0 and null where nothing overlaps; ties go to the
-    smallest test id."""
-    best = pairs(truth, test, by, cell).groupBy(*by, F.col(f"a.{box_id}").alias(box_id)).agg(F.max(F.struct("iou", (-F.col(f"b.{box_id}")).alias("neg"))).alias("m"))
-    found = best.select(*by, box_id, F.col("m.iou").alias("iou"), (-F.col("m.neg")).alias("match"))
-    return truth.select(*by, box_id).join(found, [*by, box_id], "left").withColumn("iou", F.coalesce("iou", F.lit(0.0)))
+def best_iou(truth: DataFrame, test: DataFrame, by: Sequence[str], box_id: str, cell: float | None = None, match: bool = False) -> DataFrame:
+    """(by, id, iou): the best overlap of each truth box, 0 where nothing overlaps. match=True adds the test box that has
+    it (ties go to the smallest id; null where nothing overlaps), at the price of a sorting aggregate."""
+    found = pairs(truth, test, by, cell).select(*by, F.col(f"a.{box_id}").alias(box_id), F.col(f"b.{box_id}").alias("_m"), "iou").groupBy(*by, box_id)
+    if match:
+        best = found.agg(F.max(F.struct("iou", (-F.col("_m")).alias("neg"))).alias("m")).select(*by, box_id, F.col("m.iou").alias("iou"), (-F.col("m.neg")).alias("match"))
+    else:
+        best = found.agg(F.max("iou").alias("iou"))
+    return truth.select(*by, box_id).join(best, [*by, box_id], "left").withColumn("iou", F.coalesce("iou", F.lit(0.0)))
 
 
 def recall_curve(best: DataFrame, samples: int = 500) -> DataFrame:

@@ -24,13 +24,13 @@ pairs AS (SELECT *, i / (area_a + area_b - i) AS iou FROM inter)"""
 
 @query("bbox_iou_match", f"WITH {PAIRS} SELECT image_id, truth_id, test_id, {rs('iou')} AS iou FROM pairs WHERE iou > 0.5 AND truth_label = test_label")
 def bbox_iou_match(spark, sf):
-    got = B.matches(truth(spark, sf), test(spark, sf), ["image_id"], 0.5, "label", _CELL)
+    got = B.matches(truth(spark, sf), test(spark, sf), ["image_id"], 0.5, "label")
     return got.select("image_id", F.col("a.box_id").alias("truth_id"), F.col("b.box_id").alias("test_id"), r(F.col("iou")).alias("iou"))
 
 
 @query("bbox_match_any_label", f"WITH {PAIRS} SELECT image_id, count(*) AS n, {rs('sum(iou)', 4)} AS total FROM pairs WHERE iou > 0.5 GROUP BY image_id")
 def bbox_match_any_label(spark, sf):
-    return B.matches(truth(spark, sf), test(spark, sf), ["image_id"], 0.5, cell=_CELL).groupBy("image_id").agg(F.count("*").alias("n"), r(F.sum("iou"), 4).alias("total"))
+    return B.matches(truth(spark, sf), test(spark, sf), ["image_id"], 0.5).groupBy("image_id").agg(F.count("*").alias("n"), r(F.sum("iou"), 4).alias("total"))
 
 
 @query("bbox_label_pairs", f"WITH {BOXES} SELECT a.image_id, a.label, count(*) AS n FROM truth a JOIN test b ON a.image_id = b.image_id AND a.label = b.label GROUP BY ALL")
@@ -44,7 +44,7 @@ BEST = PAIRS + ", best AS (SELECT t.image_id, t.box_id, coalesce(max(p.iou), 0.0
 
 @query("bbox_best_match", f"WITH {BEST} SELECT image_id, box_id, {rs('iou')} AS iou FROM best")
 def bbox_best_match(spark, sf):
-    return B.best_iou(truth(spark, sf), test(spark, sf), ["image_id"], "box_id", _CELL).select("image_id", "box_id", r(F.col("iou")).alias("iou"))
+    return B.best_iou(truth(spark, sf), test(spark, sf), ["image_id"], "box_id").select("image_id", "box_id", r(F.col("iou")).alias("iou"))
 
 
 @query(
@@ -52,7 +52,7 @@ def bbox_best_match(spark, sf):
     f"WITH {BEST} SELECT {rs('k / 499.0::DOUBLE', 9)} AS threshold, {rs('avg(CASE WHEN iou >= k / 499.0::DOUBLE THEN 1.0 ELSE 0.0 END)', 9)} AS recall FROM best, range(500) g(k) GROUP BY k",
 )
 def bbox_recall_curve(spark, sf):
-    curve = B.recall_curve(B.best_iou(truth(spark, sf), test(spark, sf), ["image_id"], "box_id", _CELL))
+    curve = B.recall_curve(B.best_iou(truth(spark, sf), test(spark, sf), ["image_id"], "box_id"))
     return curve.select(r(F.col("threshold"), 9).alias("threshold"), r(F.col("recall"), 9).alias("recall"))
 
 

@@ -52,12 +52,12 @@ _MOVED = rotate_sql("q", ("px", "py", "pz"))
 
 @query(
     "pose_apply_points",
-    f"""{_ONE}, pts AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS px, p_retailprice / 100 AS py, CAST(p_partkey % 11 AS DOUBLE) AS pz, CAST(p_partkey % 50 AS BIGINT) AS idx FROM part)
-SELECT p_partkey, traj_id, {", ".join(f"{rs(f'{e} + t{k}', 5)} AS {k}" for e, k in zip(_MOVED, "xyz", strict=True))} FROM pts JOIN poses USING (idx)""",
+    f"""{_ONE}, pts AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS px, p_retailprice / 100 AS py, CAST(p_partkey % 11 AS DOUBLE) AS pz, CAST(p_partkey % 50 AS BIGINT) AS idx, CAST(p_partkey % 100 AS BIGINT) AS traj_id FROM part)
+SELECT p_partkey, traj_id, {", ".join(f"{rs(f'{e} + t{k}', 5)} AS {k}" for e, k in zip(_MOVED, "xyz", strict=True))} FROM pts JOIN poses USING (traj_id, idx)""",
 )
 def pose_apply_points(spark, sf):
-    pts = table(spark, sf, "part").select("p_partkey", vec.vec3(F.col("p_size"), F.col("p_retailprice") / 100, F.col("p_partkey") % 11).alias("p"), (F.col("p_partkey") % 50).cast("bigint").alias("idx"))
-    got = PO.apply_to_points(poses(spark, sf).select("traj_id", "idx", "pose"), pts, ["idx"], keep=["traj_id"])
+    pts = table(spark, sf, "part").select("p_partkey", vec.vec3(F.col("p_size"), F.col("p_retailprice") / 100, F.col("p_partkey") % 11).alias("p"), (F.col("p_partkey") % 50).cast("bigint").alias("idx"), (F.col("p_partkey") % 100).cast("bigint").alias("traj_id"))
+    got = PO.apply_to_points(poses(spark, sf), pts, ["traj_id", "idx"])
     return got.select("p_partkey", "traj_id", *[r(F.col(f"moved.{k}"), 5).alias(k) for k in "xyz"])
 
 

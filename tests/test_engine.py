@@ -57,6 +57,7 @@ def test_grid_pairs_equal_plain_pairs(spark):
     df = spark.createDataFrame(rows, "g int, id int, x1 double, y1 double, x2 double, y2 double")
     key = lambda d: sorted((r["g"], r["a"]["id"], r["b"]["id"], r["iou"]) for r in d.collect())
     assert key(boxes.pairs(df, df, ["g"])) == key(boxes.pairs(df, df, ["g"], cell=16.0))
+    assert all(r["iou"] == 1.0 and r["match"] is not None for r in boxes.best_iou(df, df, ["g"], "id", match=True).collect())
 
 
 def test_nms_boundary():
