@@ -112,9 +112,15 @@ def json_dict(spark: SparkSession, path: str) -> DataFrame:
 
 
 def yaml_dict(spark: SparkSession, path: str) -> DataFrame:
-    """One row a file; YAML is read as plain data and handed on as JSON."""
+    """One row a YAML document; read as plain data (no objects are built) and handed on as JSON. For settings: at most
+    1000 files."""
     import yaml
 
     whole = [r[0] for r in spark.read.text(path, wholetext=True).limit(1000).collect()]
-    docs = [json.dumps(yaml.safe_load(t)) for t in whole]
-    return spark.read.json(spark.createDataFrame([(d,) for d in docs], "value string").rdd.map(lambda r: r[0])) if docs else spark.createDataFrame([], "value string")
+    docs = [(json.dumps(d),) for t in whole for d in yaml.safe_load_all(t)]
+    raw = spark.createDataFrame(docs, "value string")
+    if not docs:
+        return raw
+    kind = spark.range(1).select(F.schema_of_json(F.lit("[" + ",".join(d for d, in docs) + "]"))).first()[0]
+    row = kind.removeprefix("ARRAY<").removesuffix(">")
+    return raw.select(F.from_json("value", row).alias("d")).select("d.*")

@@ -28,6 +28,11 @@ def write_json(df: DataFrame, path: str, mode: str = "errorifexists", sort_keys:
     (df.select(*sorted(df.columns)) if sort_keys else df).write.mode(mode).json(path)
 
 
+def write_yaml(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Each row as a YAML document in flow style on one line."""
+    df.select(F.concat(F.lit("--- "), F.to_json(F.struct(*sorted(df.columns)))).alias("value")).write.mode(mode).text(path)
+
+
 def write_messages(df: DataFrame, path: str, kind: str, mode: str = "append") -> None:
     """Rows of a viewer message type, checked against its schema."""
     from orrery.types import MESSAGES

@@ -154,6 +154,17 @@ def test_files(spark, tmp_path):
     assert (im["h"], im["w"], im["c"], im["data"][0]) == (3, 4, 3, 9)
 
 
+def test_dictionaries(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a: b", [1.5, 2.0])], "n int, s string, v array<double>")
+    writers.write_yaml(df, f"{tmp_path}/y")
+    writers.write_json(df, f"{tmp_path}/j", sort_keys=True)
+    for got in (readers.yaml_dict(spark, f"{tmp_path}/y").first(), readers.json_dict(spark, f"{tmp_path}/j").first()):
+        assert (got["n"], got["s"], got["v"]) == (1, "a: b", [1.5, 2.0])
+    writers.write_messages(spark.createDataFrame([(5,)], "utime long"), f"{tmp_path}/m", "reset")
+    assert spark.read.parquet(f"{tmp_path}/m/reset").first()["utime"] == 5
+    assert readers.count_files(readers.files(spark, f"{tmp_path}/y", "*.txt"), "part").first()["n"] >= 1
+
+
 def test_column_store(spark, tmp_path):
     s = ColumnStore(spark, f"{tmp_path}/db", "w")
     s.extend("a", spark.range(25).select("id", (F.col("id") * 1.5).alias("v")), ["id"], "v")
