@@ -35,8 +35,8 @@ GRIDS: dict[str, list[int]] = {
 @dataclass(frozen=True)
 class Policy:
     """alpha: share of good documents that a stratum may lose. delta: chance of missing that. weight: bad documents
-    that outweigh one good one. min_share: strata with a smaller share of the labels get no rules, so at
-    most 1 / min_share of them have some."""
+    that outweigh one good one. min_share: strata with this share of the labels are tried however few these are;
+    smaller ones if their own holdout can certify a cutoff (least_held)."""
 
     alpha: float = 0.05
     delta: float = 0.1
@@ -44,6 +44,12 @@ class Policy:
     min_share: float = 0.001
     grids: dict[str, list[int]] = field(default_factory=lambda: GRIDS)
 
+    @property
+    def least_held(self) -> int:
+        """Good holdout rows that certify a cutoff which rejects none of them, with one stratum in all."""
+        rules = len(self.grids)
+        return math.ceil(math.log(self.delta / rules) / math.log1p(-self.alpha / rules))
+
 
 def bind(value: Column, body) -> Column:
     """body(value) with value computed once."""
@@ -133,8 +139,7 @@ def log_binomial_tail(n: Column, k: Column, p: float) -> Column:
 
 
 def cutoffs(table: DataFrame, labels: DataFrame, policy: Policy = Policy()) -> DataFrame:
-    """measured rows and labels (doc_id, quality) -> (stratum, cutoffs: map of rule to per mille): at most
-    1 / min_share rows. A label of 1 is good, of 0 bad, null none; a doc_id with several labels has the least."""
+    """measured rows and labels (doc_id, quality) -> (stratum, cutoffs: map of rule to per mille). A label of 1 is good, of 0 bad, null none; a doc_id with several labels has the least."""
     share = policy.alpha / len(policy.grids)
     lab = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").alias("_lab")).agg(F.min("quality").alias("quality"))
     known = table.where("NOT _base_failed").join(lab, F.col("_id") == F.col("_lab"))
@@ -142,10 +147,12 @@ def cutoffs(table: DataFrame, labels: DataFrame, policy: Policy = Policy()) -> D
     half = F.when(F.substring(F.md5(F.col("_id").cast("string")), 1, 1) < "8", "tune").otherwise("hold")
     long = known.select("_stratum", half.alias("half"), (F.col("quality") > 0).alias("good"), F.explode(F.array(*steps)).alias("s"))
     n = long.groupBy("_stratum", "s.rule", "s.grid", "half", "good", "s.over").agg(F.count("*").alias("n"))
-    sizes = n.groupBy("_stratum").agg(F.sum("n").alias("m"))
+    # every row is counted once a rule
+    own = F.sum(F.when((F.col("half") == "hold") & F.col("good"), F.col("n")).otherwise(0)) / len(policy.grids)
+    sizes = n.groupBy("_stratum").agg(F.sum("n").alias("m"), own.alias("own"))
     total = sizes.agg(F.sum("m").alias("all"))
-    listed = sizes.crossJoin(F.broadcast(total)).where(F.col("m") >= F.col("all") * policy.min_share).select(F.col("_stratum").alias("stratum"))
-    n = n.join(F.broadcast(listed), n["_stratum"] == listed["stratum"]).select("stratum", "rule", "grid", "half", "good", "over", "n")
+    listed = sizes.crossJoin(F.broadcast(total)).where((F.col("m") >= F.col("all") * policy.min_share) | (F.col("own") >= policy.least_held)).select(F.col("_stratum").alias("stratum"))
+    n = n.join(listed, n["_stratum"] == listed["stratum"]).select("stratum", "rule", "grid", "half", "good", "over", "n")
     is_hold, is_good = F.col("half") == "hold", F.col("good")
     every = n.groupBy("stratum", "rule").agg(F.sum(F.when(is_hold & is_good, F.col("n")).otherwise(0)).alias("held"))
     tests = every.agg(F.count("*").alias("tests"))
@@ -175,9 +182,9 @@ def _grid_places(policy: Policy) -> Column:
 
 
 def verdicts(table: DataFrame, cuts: DataFrame) -> DataFrame:
-    """measured rows with _kept: not failed, and no rule of the stratum above its cutoff. cuts has a bounded number
-    of rows (see Policy.min_share), so it is broadcast."""
-    own = F.broadcast(cuts.select(F.col("stratum").alias("_s"), F.col("cutoffs").alias("_cuts")))
+    """measured rows with _kept: not failed, and no rule of the stratum above its cutoff. cuts has a row
+    for each stratum with rules; whether it is broadcast is left to its written size."""
+    own = cuts.select(F.col("stratum").alias("_s"), F.col("cutoffs").alias("_cuts"))
     hit = F.lit(False)
     for rule, value in rates().items():
         hit = hit | F.coalesce(value > F.element_at(F.col("_cuts"), rule), F.lit(False))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from orrery.llm import decontam
+from orrery.llm import decontam, quality
 
 
 def test_short_items_under_the_cosine():
@@ -33,3 +34,15 @@ def test_short_items_under_the_cosine():
                 assert changed or got[item.item_id][0] == 1
                 below += sum(v[1] < 0.35 for v in got.values())
     assert below > 20
+
+
+def test_quality_rules_of_a_rare_language(spark):
+    """A language with labels enough gets its rules, however many labels the others have."""
+    rare = 1300
+    for others in (20_000, 1_400_000):
+        rows = spark.range(rare + others).select(F.col("id").alias("_id"), F.when(F.col("id") < rare, "xx").otherwise("en").alias("_stratum"), (F.col("id") % 20 == 0).alias("bad"))
+        symbols = F.when(F.col("bad"), 600).otherwise(0).cast("bigint")
+        table = rows.select("_id", "_stratum", symbols.alias("_n_symbols"), *[F.lit(x).cast("bigint").alias(f"_{c}") for c, x in (("word_chars", 1000), ("n_words", 200), ("n_repeat_words", 0), ("n_capitals", 0), ("n_lines", 9), ("n_dup_lines", 0))], F.lit(False).alias("_base_failed"))
+        labels = rows.select(F.col("_id").alias("doc_id"), (~F.col("bad")).cast("int").alias("quality"))
+        got = {r["stratum"]: r["cutoffs"] for r in quality.cutoffs(table, labels).collect()}
+        assert got == {"xx": {"symbols": 500}, "en": {"symbols": 500}}
