@@ -20,10 +20,10 @@ from orrery.llm.hashing import CACHE, HELD_OUT, Buckets, fold, sample_by_class,
 
 BUCKETS, FACTORS = 1 << 18, 4
 PREFIXES = (4, 5, 6)
-#: Most training rows of each class, and the training texts that must hold a bucket for it to count.
-SAMPLE, LEAST_TEXTS = 4000, 8
-#: Most terms in the model.
-TERMS = 1000
+#: Most training rows of each class.
+SAMPLE = 4000
+#: Likelihood ratio at which a term's evidence counts half; texts at which a term's place in pairs has half its reach.
+EVIDENCE, PAIR_TEXTS, PAIR_REACH = 10.0, 300.0, 0.3
 THRESHOLD = 0.3
 
 _WORD = re.compile(r"\w+")
@@ -64,8 +64,8 @@ class FactorizationMachine:
         return float(sigmoid(np.array([self.margin(buckets)]))[0])
 
 
-def _telling(texts: list[np.ndarray], y: np.ndarray, texts_with: np.ndarray) -> np.ndarray:
-    """The TERMS buckets that tell most of the classes (log-likelihood ratio of presence) and are in enough texts."""
+def _evidence(texts: list[np.ndarray], y: np.ndarray, texts_with: np.ndarray) -> np.ndarray:
+    """How much each bucket tells of the classes: log-likelihood ratio of presence."""
     toxic_with = np.zeros(BUCKETS, np.int32)
     for t, label in zip(texts, y, strict=True):
         if label > 0:
@@ -77,19 +77,22 @@ def _telling(texts: list[np.ndarray], y: np.ndarray, texts_with: np.ndarray) ->
         return np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / np.maximum(expected, 1e-9)), 0.0)
 
     gain = part(a, texts_with * n1 / n) + part(b, texts_with * (n - n1) / n) + part(n1 - a, (n - texts_with) * n1 / n) + part(n - n1 - b, (n - texts_with) * (n - n1) / n)
-    gain[texts_with < LEAST_TEXTS] = -1
-    top = np.argsort(-gain, kind="stable")[:TERMS]
-    return np.sort(top[gain[top] >= 0])
+    return np.maximum(gain, 0)
 
 
 def fit(texts: list[np.ndarray], toxic: Iterable[int], weights: tuple[float, float] = (1.0, 1.0), rounds: int = 25, rate: float = 0.1, decay: float = 2e-3, seed: int = 7) -> FactorizationMachine:
     """Adagrad on the logistic loss in small batches, in a fixed order. weights: of the classes 0 and 1. Without rows of
-    both classes the share of class 1 is all that the model says."""
+    both classes the share of class 1 is all that the model says. Every term of the texts is in the model. It is scaled
+    by its evidence, so that decay and steps hold the many terms of few texts back; in pairs also by its texts, as a
+    term may tell nothing alone."""
     y = np.array(list(toxic), np.float64)
     texts_with = np.zeros(BUCKETS, np.int32)
     for t in texts:
         texts_with[t] += 1
-    used = _telling(texts, y, texts_with)
+    used = np.flatnonzero(texts_with)
+    gain = _evidence(texts, y, texts_with)[used]
+    alone = (gain / (gain + EVIDENCE)) ** 2
+    paired = np.maximum(alone, PAIR_REACH * texts_with[used] / (texts_with[used] + PAIR_TEXTS))
     keep = np.full(BUCKETS, -1, np.int32)
     keep[used] = np.arange(len(used))
     rng = np.random.default_rng(seed)
@@ -106,22 +109,23 @@ def fit(texts: list[np.ndarray], toxic: Iterable[int], weights: tuple[float, flo
             batch = order[start : start + 32]
             size = np.array([len(rows[i]) for i in batch])
             idx, owner = np.concatenate([rows[i] for i in batch]), np.repeat(np.arange(len(batch)), size)
-            vi = v[idx]
+            own, pair = alone[idx], paired[idx]
+            vi = v[idx] * pair[:, None]
             sums = np.stack([np.bincount(owner, vi[:, f], len(batch)) for f in range(FACTORS)], 1)
             squares = np.bincount(owner, (vi**2).sum(1), len(batch))
-            z = b + np.bincount(owner, w[idx], len(batch)) + 0.5 * ((sums**2).sum(1) - squares)
+            z = b + np.bincount(owner, w[idx] * own, len(batch)) + 0.5 * ((sums**2).sum(1) - squares)
             slope = (sigmoid(z) - y[batch]) * np.where(y[batch] > 0, weights[1], weights[0])
             gb += float(slope.sum()) ** 2
             b -= rate * float(slope.sum()) / gb**0.5
             uniq, inv = np.unique(idx, return_inverse=True)
-            dw = np.bincount(inv, slope[owner]) + decay * w[uniq] * len(batch)
-            dv = np.stack([np.bincount(inv, slope[owner] * (sums[owner, f] - vi[:, f])) for f in range(FACTORS)], 1) + decay * v[uniq] * len(batch)
+            dw = np.bincount(inv, slope[owner] * own) + decay * w[uniq] * len(batch)
+            dv = np.stack([np.bincount(inv, slope[owner] * pair * (sums[owner, f] - vi[:, f])) for f in range(FACTORS)], 1) + decay * v[uniq] * len(batch)
             gw[uniq] += dw**2
             w[uniq] -= rate * dw / np.sqrt(gw[uniq])
             dv = np.clip(dv, -1, 1)
             gv[uniq] += dv**2
             v[uniq] -= 0.1 * rate * dv / np.sqrt(gv[uniq])
-    return FactorizationMachine(keep, b, w, v)
+    return FactorizationMachine(keep, b, w * alone, v * paired[:, None])
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> FactorizationMachine:

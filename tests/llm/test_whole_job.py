@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from orrery.llm import decontam, quality
+from orrery.llm import decontam, quality, toxicity
 
 
 def test_short_items_under_the_cosine():
@@ -46,3 +46,18 @@ def test_quality_rules_of_a_rare_language(spark):
         labels = rows.select(F.col("_id").alias("doc_id"), (~F.col("bad")).cast("int").alias("quality"))
         got = {r["stratum"]: r["cutoffs"] for r in quality.cutoffs(table, labels).collect()}
         assert got == {"xx": {"symbols": 500}, "en": {"symbols": 500}}
+
+
+def test_toxic_terms_of_few_texts_and_pairs():
+    """Words of four texts each are learned, and a pair beside more than a thousand other terms."""
+    rng = np.random.default_rng(2)
+    fill = lambda: rng.integers(1000, 2500, 12).tolist()
+    texts = [[j, *fill()] for j in range(100, 175) for _ in range(4)] + [fill() for _ in range(1200)]
+    fm = toxicity.fit([np.unique(t).astype(np.int32) for t in texts], [1] * 300 + [0] * 1200)
+    clean = [fm.margin(np.unique(fill())) for _ in range(75)]
+    found = [fm.margin(np.unique([j, *fill()])) for j in range(100, 175)]
+    assert np.mean([x > y for x in found for y in clean]) > 0.8
+    pairs = [(int(rng.random() < 0.5), int(rng.random() < 0.5)) for _ in range(1600)]
+    fm = toxicity.fit([np.unique([1] * a + [2] * b + fill()).astype(np.int32) for a, b in pairs], [a & b for a, b in pairs])
+    one, two, both, none = (fm.margin(np.array(t, np.int32)) for t in ([1], [2], [1, 2], []))
+    assert both - one - two + none > 0.5 and both > max(one, two)
