@@ -62,16 +62,26 @@ SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT)
 FROM m GROUP BY doc_id
 """
 
-CHAT_SQL = r"""
-WITH t AS (SELECT conv_id, turn, coalesce(replace(role, chr(10), ' '), '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
-e AS (SELECT *, replace(replace(role, chr(92), chr(92) || chr(92)), '<|', '<' || chr(92) || '|') AS erole, replace(replace(text, chr(92), chr(92) || chr(92)), '<|', '<' || chr(92) || '|') AS etext FROM t)
-SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
+_LINK_SQL = chat._LINK.replace("(?![A-Za-z0-9_])", r"\b")
+CHAT_SQL = rf"""
+WITH t AS (SELECT conv_id, turn, false AS probe, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, true, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, true, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+e AS (SELECT *, replace(replace(replace(role, chr(92), chr(92) || chr(92)), '<', chr(92) || '<'), chr(10), chr(92) || 'n') AS erole, replace(replace(text, chr(92), chr(92) || chr(92)), '<', chr(92) || '<') AS etext,
+  regexp_extract_all(text, '{_LINK_SQL}') AS links FROM t),
+l AS (SELECT *, list_transform(links, lambda x: CASE WHEN regexp_matches(x, '\.(?:{chat.ENDINGS["image"]})$') THEN 'image' WHEN regexp_matches(x, '\.(?:{chat.ENDINGS["audio"]})$') THEN 'audio' ELSE 'document' END) AS kinds FROM e),
+c AS (SELECT conv_id, probe, count(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-       CAST(sum(12 + length(erole) + 1 + length(etext) + 10 + 1) AS BIGINT) AS formatted_chars
-FROM e GROUP BY conv_id
+       CAST(sum(12 + length(erole) + 1 + length(etext) + 10 + 1) AS BIGINT) AS plain_chars,
+       flatten(list(kinds ORDER BY turn NULLS FIRST, role, text)) AS kinds, flatten(list(links ORDER BY turn NULLS FIRST, role, text)) AS links
+     FROM l GROUP BY conv_id, probe)
+SELECT CAST(conv_id AS BIGINT) AS conv_id, n_turns, turns_sha256, loss_chars, loss_sha256,
+       plain_chars + CAST(coalesce(list_sum(list_transform(range(1, len(links) + 1), lambda i: length('<|' || kinds[i] || ':' || CAST(i - 1 AS VARCHAR) || '|>') - length(links[i]))), 0) AS BIGINT) AS formatted_chars,
+       CAST(len(links) AS BIGINT) AS n_attachments,
+       CAST(coalesce(list_sum(list_transform(kinds, lambda k: CASE k WHEN 'image' THEN {chat.EXPANDED["image"]} WHEN 'audio' THEN {chat.EXPANDED["audio"]} ELSE {chat.EXPANDED["document"]} END)), 0) AS BIGINT) AS attachment_tokens,
+       sha256(array_to_string(list_transform(range(1, len(links) + 1), lambda i: kinds[i] || ' ' || links[i] || chr(10)), '')) AS refs_sha256
+FROM c
 """
 
 
