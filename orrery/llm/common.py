@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -19,23 +17,40 @@ _local: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests, local mode), a temporary one."""
+    """The folder in spark.checkpoint.dir. Where that is unset, a temporary one in local mode, as in tests; an error on a
+    cluster, whose machines would not see each other's folders."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _local:
-        _local[app] = tempfile.mkdtemp(prefix="orrery-")
-        atexit.register(shutil.rmtree, _local[app], ignore_errors=True)
-    return "file://" + _local[app]
+        _local[app] = "file://" + tempfile.mkdtemp(prefix="orrery-")
+        _delete_at_exit(spark, _local[app])
+    return _local[app]
+
+
+def _hadoop_path(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _delete_at_exit(spark: SparkSession, path: str) -> None:
+    """The file system deletes the folder when the driver's JVM ends: lazy results may read its tables until then."""
+    at, fs = _hadoop_path(spark, path)
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
 
 
 class Workspace:
-    """Tables of one run in the shared folder. A written table cuts lineage and survives lost executors."""
+    """Tables of one run in the shared folder. A written table cuts lineage and survives lost executors. What a run doesn't
+    drop itself goes when the driver ends."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_dir(spark)}/orrery-{uuid.uuid4().hex}"
         self._n = 0
+        _delete_at_exit(spark, self.root)
 
     def save(self, df: DataFrame, name: str = "t", partition_by: str | None = None) -> DataFrame:
         self._n += 1
@@ -46,15 +61,29 @@ class Workspace:
         out._orrery_path = path
         return out
 
+    def save_bucketed(self, df: DataFrame, keys: list[str], name: str = "t", aligned: bool = False) -> DataFrame:
+        """A table bucketed and sorted by keys, one file a bucket and as many buckets as shuffle partitions: two of them
+        are merge-joined on the keys without an exchange or a sort. aligned: df comes from such joins, bucket by bucket."""
+        self._n += 1
+        spark = self.spark
+        # a bucketed scan tells its order only under this setting
+        spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        path, table = f"{self.root}/{self._n:03d}-{name}", f"orrery_{name}_{uuid.uuid4().hex}"
+        rows = df if aligned else df.repartition(buckets, *keys)
+        rows.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).format("parquet").saveAsTable(table)
+        out = spark.table(table)
+        out._orrery_path, out._orrery_table = path, table
+        return out
+
     def drop(self, *tables: DataFrame | None) -> None:
         """Deletes tables that nothing reads any more."""
-        jvm = self.spark._jvm
-        conf = self.spark._jsc.hadoopConfiguration()
         for t in tables:
-            path = getattr(t, "_orrery_path", None)
-            if path:
-                at = jvm.org.apache.hadoop.fs.Path(path)
-                at.getFileSystem(conf).delete(at, True)
+            if getattr(t, "_orrery_table", None):
+                self.spark.sql(f"DROP TABLE IF EXISTS {t._orrery_table}")
+            if getattr(t, "_orrery_path", None):
+                at, fs = _hadoop_path(self.spark, t._orrery_path)
+                fs.delete(at, True)
 
 
 def small_batches(spark: SparkSession) -> None:

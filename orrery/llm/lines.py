@@ -1,11 +1,11 @@
 """Line deduplication against levelled sorted runs of line hashes.
 
-Lines are hashed once. Batches of documents, in order of doc_id, are then taken one after another: the
-batch's distinct keys are anti-joined with the runs that exist, and the keys that are new become a run of
-level 0. When a level holds `fan` runs they are compacted into one run of the next level. A run is a table
-sorted by hash and bucketed by hash prefix, so that its join with a batch needs no sort of the whole history.
-A key's owner is the smallest doc_id that has it: as batches come in that order, the first run that gets a key
-holds its owner.
+Documents are taken in batches in order of doc_id. A batch's distinct line hashes, sorted, are merge-anti-joined with
+every run that exists; the hashes that no run holds become a run of level 0. When a level holds `fan` runs, they are
+merged into one run of the next level. Runs and batches are tables bucketed and sorted by hash, a file a bucket: bucket k
+of a batch meets bucket k of each run in one task, as two sorted streams, without an exchange or a sort of the
+history. A hash's owner is the smallest doc_id that has it: as batches come in that order, the first run that gets a
+hash holds its owner. Runs can be kept for batches that come later (see Runs).
 """
 
 from __future__ import annotations
@@ -22,7 +22,10 @@ STRIP = b" \t\n\x0b\x0c\r"
 #: A row without doc_id counts as the last document.
 LAST = (1 << 63) - 1
 #: Names beside the input's own columns.
-_DOC, _LOST = "__orrery_doc", "__orrery_lost"
+_DOC, _LOST, _N, _DROPPED, _KEPT = (f"__orrery_{x}" for x in ("doc", "lost", "n", "dropped", "kept"))
+#: Documents of a batch at most, and batches at least.
+BATCH_DOCS, BATCHES = 1 << 28, 6
+_HASH = ["h1", "h2"]
 
 
 def line_keys(text: str | None, min_chars: int) -> list[bytes | None]:
@@ -64,7 +67,11 @@ def hashed_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
 
 
 class Runs:
-    """The levels: lists of runs (h1, h2, owner), no key in two of them."""
+    """The levels: lists of runs (h1, h2, owner), no hash in two of them.
+
+    They belong to a workspace and live as long as it. A caller that keeps the object and passes it on with documents
+    that come later has these lose what earlier documents have.
+    """
 
     def __init__(self, ws: Workspace, fan: int = 2):
         self.ws, self.fan, self.levels = ws, fan, [[]]
@@ -72,67 +79,80 @@ class Runs:
     def all(self) -> list[DataFrame]:
         return [r for level in self.levels for r in level]
 
-    def _write(self, rows: DataFrame) -> DataFrame:
-        return self.ws.save(rows.repartition("h1").sortWithinPartitions("h1", "h2"), "run")
+    def unknown(self, keys: DataFrame) -> DataFrame:
+        """The rows of a bucketed table whose hash no run holds: one merge-anti-join a run."""
+        for r in self.all():
+            keys = keys.join(r.hint("merge"), _HASH, "left_anti")
+        return keys
+
+    def held(self, keys: DataFrame) -> list[DataFrame]:
+        """For each run its rows (h1, h2, owner) of the hashes in keys."""
+        return [r.join(keys.select(*_HASH).hint("merge"), _HASH, "left_semi").select(*_HASH, "owner") for r in self.all()]
 
     def add(self, keys: DataFrame) -> None:
-        """keys (h1, h2, owner) that no run holds."""
-        self.levels[0].append(self._write(keys))
+        """keys (h1, h2, owner; more columns may follow) that no run holds. A table that is bucketed already is the run."""
+        self.levels[0].append(keys if hasattr(keys, "_orrery_table") else self.ws.save_bucketed(keys, _HASH, "run"))
         at = 0
         while len(self.levels[at]) >= self.fan:
             if at + 1 == len(self.levels):
                 self.levels.append([])
             old, self.levels[at] = self.levels[at], []
-            self.levels[at + 1].append(self._write(reduce(DataFrame.union, old)))
+            self.levels[at + 1].append(self.ws.save_bucketed(reduce(merged, old), _HASH, "run", aligned=len(old) == 2))
             self.ws.drop(*old)
             at += 1
 
-
-def _batches(lines: DataFrame, batches: int) -> list[int]:
-    """Upper bounds of doc for batches of about as many lines each; the last has none."""
-    cuts = lines.agg(F.expr(f"percentile_approx(doc, array({','.join(str((i + 1) / batches) for i in range(batches - 1))}), 1000)")).first()[0] if batches > 1 else []
-    return sorted(set(cuts or []))
-
-
-def repeated_lines(ws: Workspace, docs: DataFrame, min_chars: int = 10, batches: int = 3, fan: int = 2) -> DataFrame:
-    """(doc, h1, h2): the keys that document `doc` loses, as a document with a smaller doc_id has them."""
-    lines = ws.save(hashed_lines(docs, min_chars), "lines")
-    cuts = _batches(lines, batches)
-    runs, lost = Runs(ws, fan), []
-    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
-        batch = lines
-        batch = batch.where(F.col("doc") > low) if low is not None else batch
-        batch = batch.where(F.col("doc") <= high) if high is not None else batch
-        keys = batch.groupBy("h1", "h2").agg(F.min("doc").alias("owner"), F.max("doc").alias("last"))
-        keys = ws.save(keys, "keys")
-        known = [keys.join(r.select("h1", "h2", F.col("owner").alias("held")), ["h1", "h2"]).select("h1", "h2", F.col("held").alias("owner")) for r in runs.all()]
-        again = keys.where("owner < last").select("h1", "h2", "owner")
-        new = keys
-        for r in runs.all():
-            new = new.join(r, ["h1", "h2"], "left_anti")
-            again = again.join(r, ["h1", "h2"], "left_anti")
-        repeated = ws.save(reduce(DataFrame.union, [again, *known]), "repeated")
-        # both sides are plain exchanges: a key that a third of all documents have is split at run time
-        lost.append(ws.save(batch.join(repeated, ["h1", "h2"]).where("doc <> owner").select("doc", "h1", "h2"), "lost"))
-        if high is not None:
-            runs.add(new.select("h1", "h2", "owner"))
+    def drop(self) -> None:
+        self.ws.drop(*self.all())
+        self.levels = [[]]
+
+
+def merged(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Two sorted runs as one: an outer merge, as no hash is in both."""
+    return a.select(*_HASH, "owner").hint("merge").join(b.select(*_HASH, F.col("owner").alias("_other")), _HASH, "full").select(*_HASH, F.coalesce("owner", "_other").alias("owner"))
+
+
+def _cuts(docs: DataFrame, batches: int | None) -> list[int]:
+    """Upper bounds of doc_id for batches of about as many documents each; the last batch has none."""
+    ids = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("i"))
+    if batches is None:
+        batches = max(BATCHES, -(-ids.count() // BATCH_DOCS))
+    if batches < 2:
+        return []
+    shares = ",".join(str((i + 1) / batches) for i in range(batches - 1))
+    return sorted(set(ids.agg(F.expr(f"percentile_approx(i, array({shares}), 10000)")).first()[0] or []))
+
+
+def repeated_lines(runs: Runs, docs: DataFrame, min_chars: int = 10, batches: int | None = None) -> DataFrame:
+    """(doc, h1, h2): the hashes that document `doc` loses, as an earlier one has them. All batches' hashes, the last
+    one's too, are in the runs afterwards."""
+    ws, cuts = runs.ws, _cuts(docs, batches)
+    batch_of = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("doc"))) if cuts else F.lit(0)
+    # written by batch: a batch reads its own lines only
+    lines = ws.save(hashed_lines(docs, min_chars).withColumn("batch", batch_of), "lines", partition_by="batch")
+    lost = []
+    for k in range(len(cuts) + 1):
+        batch = lines.where(F.col("batch") == k).select("doc", *_HASH)
+        keys = ws.save_bucketed(batch.groupBy(*_HASH).agg(F.min("doc").alias("owner"), F.max("doc").alias("last")), _HASH, "keys")
+        new = ws.save_bucketed(runs.unknown(keys), _HASH, "new", aligned=True)
+        repeated = ws.save(reduce(DataFrame.union, [new.where("owner < last").select(*_HASH, "owner"), *runs.held(keys)]), "repeated")
+        # both sides are plain exchanges: a line that a third of all documents have is split at run time
+        lost.append(ws.save(batch.join(repeated, _HASH).where("doc <> owner").select("doc", *_HASH), "lost"))
+        runs.add(new)
         ws.drop(keys, repeated)
-    ws.drop(lines, *runs.all())
+    ws.drop(lines)
     return reduce(DataFrame.union, lost)
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int = 3, fan: int = 2) -> DataFrame:
-    """docs (doc_id, text, others) -> all its columns with the text left, and _n_lines, _n_dropped, _kept.
-
-    _kept is the text without lines whose key (>= min_chars code points) a document with a smaller doc_id
-    has. Null text is one empty line and stays null in `text`; rows with one doc_id are one document, rows
-    without doc_id together the last one; input columns named like the added ones are replaced.
-    """
+def _without_repeats(docs: DataFrame, min_chars: int, batches: int | None, fan: int, runs: Runs | None) -> DataFrame:
+    """docs with all its columns, and the counts and text left under names of ours."""
     ws = Workspace(docs.sparkSession)
-    lost = repeated_lines(ws, docs, min_chars, batches, fan)
-    lost = lost.groupBy(F.col("doc").alias(_DOC)).agg(F.collect_set(F.struct("h1", "h2")).alias(_LOST))
-    with_lost = docs.drop("_n_lines", "_n_dropped", "_kept").join(lost, F.coalesce(docs["doc_id"], F.lit(LAST)) == lost[_DOC], "left").drop(_DOC)
-    names = [c for c in with_lost.columns if c != _LOST]
+    own = runs or Runs(ws, fan)
+    lost = repeated_lines(own, docs, min_chars, batches)
+    if runs is None:
+        own.drop()
+    lost = lost.groupBy(F.col("doc").alias(_DOC)).agg(F.collect_set(F.struct(*_HASH)).alias(_LOST))
+    with_lost = docs.join(lost, F.coalesce(docs["doc_id"], F.lit(LAST)) == lost[_DOC], "left").drop(_DOC)
+    names = docs.columns
     at, text = len(names), names.index("text")
 
     def make():
@@ -152,18 +172,34 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int = 3, fan: int
 
         return fn
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in with_lost.schema if f.name != _LOST)
-    return map_rows(with_lost.select(*names, _LOST), make, f"{schema}, _n_lines bigint, _n_dropped bigint, _kept string")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return map_rows(with_lost.select(*names, _LOST), make, f"{schema}, {_N} bigint, {_DROPPED} bigint, {_KEPT} string")
+
+
+def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int | None = None, fan: int = 2, runs: Runs | None = None) -> DataFrame:
+    """docs (doc_id, text, others) -> all its columns, and _n_lines, _n_dropped, _kept.
+
+    _kept is the text without lines whose key (>= min_chars code points) a document with a smaller doc_id, or one of
+    an earlier call with the same runs, has. Null text is one empty line and stays null in `text`; rows with one
+    doc_id are one document, rows without doc_id together the last one; input columns named like the added ones
+    are replaced. An empty table gives an empty one. batches: None takes six, or more so that none has over
+    BATCH_DOCS documents.
+    """
+    out = _without_repeats(docs, min_chars, batches, fan, runs)
+    added = {"_n_lines": _N, "_n_dropped": _DROPPED, "_kept": _KEPT}
+    return out.select(*[c for c in docs.columns if c not in added], *[F.col(x).alias(c) for c, x in added.items()])
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """The query's columns. The hash is taken with the text still in Python's hands only for kept lines."""
+    """The query's columns, a row per row of docs; nulls, ties and empty tables as in dedup_lines."""
     out = dedup_lines(docs.select("doc_id", "text"))
     return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2(F.encode("_kept", "UTF-8"), 256).alias("kept_sha256"))
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """docs with repeated lines taken out of text, n_chars counted anew; null text stays null."""
-    out = dedup_lines(docs)
-    text = F.when(F.col("text").isNotNull(), F.col("_kept"))
-    return out.withColumn("text", text).withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+    """docs with repeated lines taken out of text, and n_chars (where there is one) counted anew. Null text stays null;
+    ties and repeated rows as in dedup_lines; every other column stays as it is, whatever its name."""
+    out = _without_repeats(docs, 10, None, 2, None)
+    text = F.when(F.col("text").isNotNull(), F.col(_KEPT))
+    new = {"text": text, "n_chars": F.length(text)}
+    return out.select(*[new[f.name].cast(f.dataType).alias(f.name) if f.name in new else F.col(f"`{f.name}`") for f in docs.schema])
