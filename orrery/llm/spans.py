@@ -1,12 +1,14 @@
 """Substring deduplication by relative Lempel-Ziv parsing.
 
 The reference is the whole corpus, cut into blocks where its content says so: every window of 35 words has an
-anchor, the 8-word phrase in it with the least hash, and a block holds the windows of one anchor. Blocks
-are indexed by anchor and content hash. A document is parsed against the index from anchor to anchor: a block that
-the reference has elsewhere extends the current factor at once, with one look-up for all its windows. Where a
-block only starts or ends like others (the anchor is known elsewhere, the block isn't), the factor ends inside it;
-there each window is checked by its own hash. Equal windows have equal anchors, so no factor of a window's length is
-missed, and only windows with equal 128-bit hashes become duplicate spans.
+anchor, the 8-word phrase in it with the least hash, and a block holds the windows of one anchor. Blocks are
+indexed by anchor and content hash, with two places where each stands (its first and its last). Where an anchor also
+stands in other blocks, matches begin or end inside the block; there each window is indexed by its own hash in the
+same way. A document is parsed from left to right against the index: at each place the candidate is taken that goes
+on longest, that is, whose next blocks and windows stand at the same distance in the same reference document; the run
+is a factor (place, length, reference document, reference place), and the next one starts behind its last window.
+What no candidate covers is literal. Equal windows have equal anchors, so each window of a factor's length that stands
+elsewhere is in a factor, and each factor is at least a window long; factors are the duplicate spans.
 
 Hot passages: blocks and windows are counted with partial aggregation, and documents learn of their repeats by
 joins whose sides are plain exchanges, which adaptive execution splits. Distinct blocks, not their occurrences,
@@ -67,7 +69,7 @@ def blocks(words: list[bytes], hashes: dict, window: int = WINDOW, phrase: int =
         g = g * np.uint64(0x9E3779B97F4A7C15) + h[i : n - phrase + 1 + i]
     g = (g ^ (g >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     g ^= g >> np.uint64(32)
-    low = np.uint64((1 << 28) - 1)
+    low = np.uint64((1 << 32) - 1)
     place = _least((g & ~low) | np.arange(len(g), dtype=np.uint64), window - phrase + 1) & low
     first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
     last = np.concatenate((first[1:] - 1, [len(place) - 1]))
@@ -157,38 +159,88 @@ def _with_lists(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
     return keyed.join(other, keyed["doc_id"].eqNullSafe(other["_i"]) & (keyed["th"] == other["_t"]), how).drop("_i", "_t")
 
 
-def repeated_spans(ws: Workspace, docs: DataFrame) -> DataFrame:
-    """(doc_id, th, spans: array of (a, b)): windows a..b of the document also start somewhere else."""
+def _ends() -> list:
+    """The first and the last place of equal blocks or windows."""
+    place = F.struct("doc_id", "th", "a")
+    return [F.min(place).alias("first"), F.max(place).alias("last")]
+
+
+def factors(ws: Workspace, docs: DataFrame) -> DataFrame:
+    """(doc_id, th, factors: array of (start, length, ref_id, ref_th, ref_start)), a row per text that has any: `length` words
+    from word `start` on are those from ref_start on in the text of hash ref_th with doc_id ref_id. A text that only its
+    own repeated row equals refers to that row, which has the same doc_id and text."""
     found = ws.save(_anchored(docs), "blocks")
     known = ws.save(found.groupBy("kg").count().where("count > 1").select("kg"), "anchors")
     seen = ws.save(found.join(known, "kg"), "seen")
     ws.drop(found, known)
-    distinct = seen.groupBy("kg", "h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "a", "b")).alias("at"))
+    distinct = seen.groupBy("kg", "h1", "h2").agg(F.count("*").alias("n"), *_ends(), F.min(F.struct("doc_id", "th", "a", "b")).alias("at"))
     distinct = ws.save(distinct, "distinct")
-    whole = seen.join(distinct.where("n > 1").select("kg", "h1", "h2"), ["kg", "h1", "h2"]).select("doc_id", "th", "a", "b")
+    whole = seen.join(distinct.where("n > 1").select("kg", "h1", "h2", "first", "last"), ["kg", "h1", "h2"]).select("doc_id", "th", "a", "b", "first", "last")
     whole = ws.save(whole, "whole")
     ws.drop(seen)
     # factors end inside blocks whose anchor also stands in another block
     mixed = distinct.groupBy("kg").agg(F.count("*").alias("c"), F.min("n").alias("least")).where("c > 1 AND least = 1").select("kg")
     mixed = ws.save(mixed, "mixed")
     todo = distinct.join(mixed, "kg").select("at.*", "n").groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "b", "n")).alias("todo"))
-    windows = ws.save(_windows(_with_lists(docs, ws.save(todo, "todo"), "inner")), "windows")
-    twice = ws.save(windows.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2"), "twice")
-    parts = windows.where("single").join(twice, ["h1", "h2"]).select("doc_id", "th", "a", F.col("a").alias("b"))
-    spans = whole.union(parts).groupBy("doc_id", "th").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
-    spans = ws.save(spans, "spans")
-    ws.drop(whole, distinct, mixed, windows, twice)
-    return spans
+    todo = ws.save(todo, "todo")
+    windows = ws.save(_windows(_with_lists(docs, todo, "inner")), "windows")
+    twice = windows.groupBy("h1", "h2").agg(F.count("*").alias("n"), *_ends()).where("n > 1")
+    twice = ws.save(twice.select("h1", "h2", "first", "last"), "twice")
+    parts = windows.where("single").join(twice, ["h1", "h2"]).select("doc_id", "th", "a", F.col("a").alias("b"), "first", "last")
+    items = ws.save(whole.union(parts).groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(F.struct("a", "b", "first", "last"))).alias("items")), "items")
+    ws.drop(whole, distinct, mixed, todo, windows, twice)
+    parsed = ws.save(_parsed(items), "factors")
+    ws.drop(items)
+    return parsed
+
+
+def parse(doc: tuple, items: list[tuple[int, int, list[tuple]]]) -> list[tuple[int, int, tuple, int]]:
+    """Greedy factors of a document (a pair: doc_id and th). items: (first window, last window, places), from left to
+    right, without overlap; a place is (doc, window) of an equal stretch. A factor is (first word, words, doc, first word
+    there). Of candidates that go on equally far the first listed is taken."""
+    own = [[(d, w - a) for d, w in places if (d, w) != (doc, a)] or [(d, w - a) for d, w in places] for a, _, places in items]
+    out, i = [], 0
+    while i < len(items):
+        best, end = own[i][0], i + 1
+        for place in dict.fromkeys(own[i]):
+            j = i + 1
+            while j < len(items) and items[j][0] == items[j - 1][1] + 1 and place in own[j]:
+                j += 1
+            if j > end:
+                best, end = place, j
+        first, last = items[i][0], items[end - 1][1]
+        out.append((first, last - first + WINDOW, best[0], first + best[1]))
+        i = end
+    return out
+
+
+_FACTORS = "array<struct<start:int,length:int,ref_id:bigint,ref_th:bigint,ref_start:int>>"
+
+
+def _parsed(items: DataFrame) -> DataFrame:
+    """(doc_id, th, items) -> (doc_id, th, factors)."""
+
+    def make():
+        def fn(cols):
+            out = []
+            for i, key, listed in zip(*cols, strict=True):
+                got = parse((i, key), [(x["a"], x["b"], [((p["doc_id"], p["th"]), p["a"]) for p in (x["first"], x["last"])]) for x in listed])
+                out.append([{"start": s, "length": n, "ref_id": d[0], "ref_th": d[1], "ref_start": r} for s, n, d, r in got])
+            yield [cols[0], cols[1], out]
+
+        return fn
+
+    return map_rows(items.select("doc_id", "th", "items"), make, f"{_KEY}, factors {_FACTORS}")
 
 
-def covered(n: int, spans: list | None) -> np.ndarray:
-    """Which of n words windows a..b cover."""
+def covered(n: int, found: list | None) -> np.ndarray:
+    """Which of n words the factors cover."""
     edge = np.zeros(n + 1, np.int64)
-    if spans:
-        a = np.fromiter((s["a"] for s in spans), np.int64, len(spans))
-        b = np.fromiter((s["b"] for s in spans), np.int64, len(spans))
+    if found:
+        a = np.fromiter((s["start"] for s in found), np.int64, len(found))
+        size = np.fromiter((s["length"] for s in found), np.int64, len(found))
         np.add.at(edge, a, 1)
-        np.add.at(edge, b + WINDOW, -1)
+        np.add.at(edge, a + size, -1)
     return np.cumsum(edge[:n]) > 0
 
 
@@ -196,18 +248,19 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, others ignored) -> (doc_id, kept, n_words, n_removed, kept_sha256), a row per row.
 
     kept is the words left, joined by one space. Null text has no words. Rows are told apart by doc_id and text:
-    a row that is there twice repeats itself wholly, and both lose all windows.
+    a row that is there twice repeats itself wholly, and both lose all windows. Rows without doc_id are told apart
+    by their text. An empty table gives an empty one.
     """
     ws = Workspace(docs.sparkSession)
-    listed = _with_lists(docs, repeated_spans(ws, docs), "left")
+    listed = _with_lists(docs, factors(ws, docs), "left")
 
     def make():
         def fn(cols):
             kept, n, gone, sha = [], [], [], []
-            for t, spans in zip(cols[1], cols[2], strict=True):
+            for t, found in zip(cols[1], cols[2], strict=True):
                 words = (t or "").encode().split()
-                cut = covered(len(words), spans)
-                text = b" ".join([w for w, c in zip(words, cut.tolist(), strict=True) if not c] if spans else words)
+                cut = covered(len(words), found)
+                text = b" ".join([w for w, c in zip(words, cut.tolist(), strict=True) if not c] if found else words)
                 kept.append(text.decode())
                 n.append(len(words))
                 gone.append(int(cut.sum()))
@@ -216,8 +269,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
         return fn
 
-    return map_rows(listed.select("doc_id", "text", "spans"), make, "doc_id bigint, kept string, n_words bigint, n_removed bigint, kept_sha256 string")
+    return map_rows(listed.select("doc_id", "text", "factors"), make, "doc_id bigint, kept string, n_words bigint, n_removed bigint, kept_sha256 string")
 
 
 def digest(docs: DataFrame) -> DataFrame:
+    """The query's columns; nulls, ties, repeated rows and empty tables as in remove_repeats."""
     return remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
