@@ -5,7 +5,7 @@ lenient one on. Labelled documents are halved by a hash of doc_id. On the holdou
 exact binomial test rejects "it rejects more than the allowed share of good documents": P(Bin(n, share) <= k) is
 at most the level. Levels are corrected for all strata and rules (Bonferroni), and the grid of one rule is tested in
 fixed sequence, up to its first failure, which costs no level. So with probability 1 - delta, no stratum loses more
-than `alpha` of its good documents to the rules together. Among certified cutoffs, the tuning half picks the one
+than `alpha` of its good documents, of those that pass the base rules, to the rules together. Among certified cutoffs, the tuning half picks the one
 that gains most: rejected bad documents less `weight` times rejected good ones, the more lenient in a tie; a rule
 without gain isn't applied.
 """
@@ -34,14 +34,13 @@ GRIDS: dict[str, list[int]] = {
 
 @dataclass(frozen=True)
 class Policy:
-    """alpha: share of good documents that a stratum may lose. delta: chance of missing that. weight: bad documents
-    that outweigh one good one. min_share: strata with this share of the labels are tried however few these are;
-    smaller ones if their own holdout can certify a cutoff (least_held)."""
+    """alpha: share of good documents (of those that the base rules pass) that a stratum may lose. delta: chance of missing
+    that. weight: bad documents that outweigh one good one. Strata whose own holdout can certify no cutoff at all
+    (least_held) aren't tried."""
 
     alpha: float = 0.05
     delta: float = 0.1
     weight: int = 20
-    min_share: float = 0.001
     grids: dict[str, list[int]] = field(default_factory=lambda: GRIDS)
 
     @property
@@ -149,9 +148,7 @@ def cutoffs(table: DataFrame, labels: DataFrame, policy: Policy = Policy()) -> D
     n = long.groupBy("_stratum", "s.rule", "s.grid", "half", "good", "s.over").agg(F.count("*").alias("n"))
     # every row is counted once a rule
     own = F.sum(F.when((F.col("half") == "hold") & F.col("good"), F.col("n")).otherwise(0)) / len(policy.grids)
-    sizes = n.groupBy("_stratum").agg(F.sum("n").alias("m"), own.alias("own"))
-    total = sizes.agg(F.sum("m").alias("all"))
-    listed = sizes.crossJoin(F.broadcast(total)).where((F.col("m") >= F.col("all") * policy.min_share) | (F.col("own") >= policy.least_held)).select(F.col("_stratum").alias("stratum"))
+    listed = n.groupBy("_stratum").agg(own.alias("own")).where(F.col("own") >= policy.least_held).select(F.col("_stratum").alias("stratum"))
     n = n.join(listed, n["_stratum"] == listed["stratum"]).select("stratum", "rule", "grid", "half", "good", "over", "n")
     is_hold, is_good = F.col("half") == "hold", F.col("good")
     every = n.groupBy("stratum", "rule").agg(F.sum(F.when(is_hold & is_good, F.col("n")).otherwise(0)).alias("held"))
@@ -206,12 +203,12 @@ def judge(docs: DataFrame, labels: DataFrame, policy: Policy = Policy()) -> Data
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, policy: Policy = Policy()) -> DataFrame:
-    """The rows of docs that the rules keep, with all their columns. The cutoffs come from the labelled documents;
-    the measures are taken again while filtering, so texts are never shuffled."""
+    """The rows of docs that the rules keep, with all their columns, whatever their names. Each row is written once with
+    its measures: the cutoffs read the measures alone, and the filter reads the rows again without measuring or
+    shuffling texts. Repeated rows are judged each; an empty table gives an empty one. Nulls as in judge.
+    """
     ws = Workspace(docs.sparkSession)
-    table = ws.save(measured(docs), "measures")
+    row = F.struct(*[docs[f"`{c}`"] for c in docs.columns])
+    table = ws.save(measured(docs.withColumn("_row", row), "_row"), "measured")
     cuts = ws.save(cutoffs(table, labels, policy), "cutoffs")
-    names = docs.columns
-    row = F.struct(*[docs[c] for c in names])
-    again = verdicts(measured(docs.withColumn("_row", row), "_row"), cuts)
-    return again.where("_kept").select("_row.*")
+    return verdicts(table, cuts).where("_kept").select("_row.*")

@@ -33,7 +33,7 @@ x AS (SELECT doc_id, stratum, base_failed, unnest([
       {{'rule': 'capitals', 'value': CASE WHEN word_chars > 0 THEN n_capitals * 1000 // word_chars ELSE 0 END}}], recursive := true) FROM f),
 lab AS (SELECT doc_id, min(quality) > 0 AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
 known AS (SELECT x.*, good, CASE WHEN substr(md5(CAST(x.doc_id AS VARCHAR)), 1, 1) < '8' THEN 'tune' ELSE 'hold' END AS half FROM x JOIN lab ON x.doc_id = lab.doc_id WHERE NOT base_failed),
-listed AS (SELECT stratum FROM known GROUP BY stratum HAVING count(*) >= (SELECT count(*) FROM known) * {policy.min_share}),
+listed AS (SELECT stratum FROM known WHERE good AND half = 'hold' GROUP BY stratum HAVING count(*) >= {policy.least_held * len(policy.grids)}),
 grid(rule, step, cut) AS (VALUES {grid}),
 held AS (SELECT stratum, rule, count(*) FILTER (WHERE good AND half = 'hold') AS held FROM known WHERE stratum IN (SELECT stratum FROM listed) GROUP BY ALL),
 hits AS (SELECT k.stratum, k.rule, g.step, count(*) FILTER (WHERE good AND half = 'hold') AS k, count(*) FILTER (WHERE NOT good AND half = 'tune') AS bad, count(*) FILTER (WHERE good AND half = 'tune') AS good
