@@ -42,7 +42,7 @@ def sample_by_class(rows: DataFrame, label: str, key: str, most: int) -> DataFra
     """About `most` rows of each class at most, picked by a hash of the key: the class counts cover all rows, and a
     class with more than `most` is thinned to that share."""
     sizes = rows.groupBy(label).agg(F.count("*").alias("_size")).withColumnRenamed(label, "_class")
-    return rows.join(F.broadcast(sizes.orderBy(F.desc("_size"), "_class").limit(1000)), rows[label] == F.col("_class")).where(sample_place(key) * F.col("_size") < most).drop("_class", "_size")
+    return rows.join(sizes, rows[label] == F.col("_class")).where(sample_place(key) * F.col("_size") < most).drop("_class", "_size")
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:

@@ -15,13 +15,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import map_rows
+from orrery.llm.common import Workspace, map_rows
 from orrery.llm.hashing import CACHE, HELD_OUT, Buckets, fold, sample_by_class, sigmoid
 
 BUCKETS, FACTORS = 1 << 18, 4
 PREFIXES = (4, 5, 6)
-#: Most training rows of each class.
-SAMPLE = 4000
+#: Most training rows of each class, and most terms of all of them together (4 bytes each on the driver).
+SAMPLE, SAMPLE_TERMS = 4000, 16_000_000
 #: Likelihood ratio at which a term's evidence counts half; texts at which a term's place in pairs has half its reach.
 EVIDENCE, PAIR_TEXTS, PAIR_REACH = 10.0, 300.0, 0.3
 THRESHOLD = 0.3
@@ -131,25 +131,31 @@ def fit(texts: list[np.ndarray], toxic: Iterable[int], weights: tuple[float, flo
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> FactorizationMachine:
     """Learns from labels.toxic (null: no label; several of one doc_id: the greatest) of rows that aren't held out.
 
-    At most about `sample` rows of each class are used (see hashing.sample_by_class); classes are weighted back to
-    their share. The picked ids, at most twice the sample, are broadcast, so texts are read in place.
+    About `sample` rows of each class at most are used (see hashing.sample_by_class), fewer if their texts are so long
+    that they would have more than SAMPLE_TERMS terms; classes are weighted back to their share. The picked
+    ids, about twice the sample, are broadcast, so texts are read in place. Empty labels or documents give a
+    model that says one share for all.
     """
-    train_rows = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(fold(F.col("doc_id")) != HELD_OUT).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    counts = {r["toxic"]: r["n"] for r in train_rows.groupBy("toxic").agg(F.count("*").alias("n")).limit(1000).collect()}
-    picked = sample_by_class(train_rows, "toxic", "doc_id", sample).select(F.col("doc_id").alias("_id"), (F.col("toxic") > 0).cast("int").alias("_toxic")).limit(4 * sample)
+    train_rows = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(fold(F.col("doc_id")) != HELD_OUT).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    whole = {0: 0, 1: 0} | {r["toxic"]: r["n"] for r in train_rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    picked = sample_by_class(train_rows, "toxic", "doc_id", sample).select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_toxic"))
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))
 
     def make():
         buckets = Terms(BUCKETS)
 
         def fn(cols):
-            yield [cols[0], cols[1], [terms(t, buckets).tobytes() for t in cols[2]]]
+            got = [terms(t, buckets) for t in cols[2]]
+            yield [cols[0], cols[1], [len(t) for t in got], [t.tobytes() for t in got]]
 
         return fn
 
-    got = sorted((r["doc_id"], r["toxic"], bytes(r["terms"])) for r in map_rows(rows.select("doc_id", "_toxic", "text"), make, "doc_id bigint, toxic int, terms binary").collect())
+    ws = Workspace(docs.sparkSession)
+    table = ws.save(map_rows(rows.select("doc_id", "_toxic", "text"), make, "doc_id bigint, toxic int, n int, terms binary"), "terms")
+    share = SAMPLE_TERMS / max(1, table.agg(F.sum("n")).first()[0] or 0)
+    got = sorted((r["doc_id"], r["toxic"], bytes(r["terms"])) for r in table.where(F.pmod(F.xxhash64("doc_id", F.lit("terms")), F.lit(1 << 20)) < share * (1 << 20)).toLocalIterator())
+    ws.drop(table)
     n = {k: sum(1 for r in got if r[1] == k) for k in (0, 1)}
-    whole = {k: sum(c for t, c in counts.items() if (t > 0) == bool(k)) for k in (0, 1)}
     # rarer class up to even odds by half, in the logarithm: scores stay near the shares, and toxic texts are not missed
     weight = [whole[k] / max(1, n[k]) for k in (0, 1)]
     boost = (whole[0] / max(1, whole[1])) ** 0.5 if whole[1] else 1.0
@@ -176,4 +182,6 @@ def score(docs: DataFrame, model: FactorizationMachine, threshold: float = THRES
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The query's columns: trained on the labels and scored for all documents. Nulls, ties, repeated rows and empty tables
+    as in train and score."""
     return score(docs, train(docs, labels))
