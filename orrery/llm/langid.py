@@ -7,19 +7,22 @@ language by votes of the machines for each pair of languages of that family; tie
 
 from __future__ import annotations
 
-import re
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import map_rows
+from orrery.llm.common import Workspace, map_rows
 from orrery.llm.hashing import HELD_OUT, fold, sample_place
 
 BUCKETS = 1 << 12
-#: Most training rows of each language.
-SAMPLE = 600
+#: Most training rows of each language, and of all languages together.
+SAMPLE, SAMPLE_ALL = 600, 12_000
+#: More languages than this are an error: a machine for each is trained and sent to every worker.
+MOST_LANGUAGES = 1000
 #: Characters that are counted at once.
 SLICE = 1 << 18
 #: Families of languages by code (fixed values); a code that isn't here is a family of its own.
@@ -32,7 +35,8 @@ FAMILIES = {
     "indic": ["hi", "bn", "ur", "mr", "gu", "pa", "ne"],
 }
 _FAMILY = {lang: f for f, langs in FAMILIES.items() for lang in langs}
-_OTHER = re.compile(r"[\W\d_]+")
+#: What is no letter. Superscripts, fractions and number letters are none.
+_OTHER = regex.compile(r"\P{L}+")
 
 
 def family(lang: str) -> str:
@@ -113,15 +117,14 @@ class Model:
 
 
 def fit(x: np.ndarray, langs: list[str]) -> Model | None:
-    """None without rows."""
+    """Trains all machines here. None without rows."""
     known = sorted(set(langs))
     if not known:
         return None
     lang = np.array(langs)
-    names = sorted({family(v) for v in known})
-    families = [(f, [v for v in known if family(v) == f]) for f in names]
+    families = _families(known)
     of = np.array([family(v) for v in langs])
-    first = np.stack([linear_svm(x, np.where(of == f, 1.0, -1.0)) for f in names]) if len(names) > 1 else np.zeros((1, x.shape[1] + 1))
+    first = np.stack([linear_svm(x, np.where(of == f, 1.0, -1.0)) for f, _ in families])
     pairs = {}
     for _, members in families:
         for a, b in combinations(members, 2):
@@ -130,15 +133,29 @@ def fit(x: np.ndarray, langs: list[str]) -> Model | None:
     return Model(families, first.astype(np.float32), {k: w.astype(np.float32) for k, w in pairs.items()})
 
 
+def _families(known: list[str]) -> list[tuple[str, list[str]]]:
+    return [(f, [v for v in known if family(v) == f]) for f in sorted({family(v) for v in known})]
+
+
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """Learns from text and non-null lang of rows that aren't held out: about `sample` rows of each language at most
-    (the share of a language is taken by a hash of doc_id), gathered on the driver as features of a fixed size."""
+    """Learns from text and non-null lang of rows that aren't held out; None if there are none with a letter.
+
+    About `sample` rows of each language at most, and about SAMPLE_ALL of all together (the share of a language is taken
+    by a hash of doc_id; the counts cover all rows), are written as features of a fixed size. A family's machine
+    is trained in one task from all of them (about 200 MB), a pair's from its two languages' rows; the driver
+    holds weights only. More than MOST_LANGUAGES languages are an error.
+    """
+    spark = docs.sparkSession
     rows = docs.select("doc_id", "lang", "text").where("lang IS NOT NULL AND text IS NOT NULL").where(fold(F.col("doc_id")) != HELD_OUT)
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(1000).collect()}
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    sizes = {r["lang"]: r["n"] for r in counts.limit(MOST_LANGUAGES + 1).collect()}
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} values of lang: codes of languages are expected")
     if not sizes:
         return None
-    share = F.create_map(*[F.lit(v) for lang, n in sizes.items() for v in (lang, min(1.0, sample / n))])
-    picked = rows.where(sample_place("doc_id") < F.coalesce(F.element_at(share, F.col("lang")), F.lit(0.0)))
+    most = min(sample, SAMPLE_ALL // len(sizes))
+    share = F.create_map(*[F.lit(v) for lang, n in sizes.items() for v in (lang, min(1.0, most / n))])
+    picked = rows.where(sample_place("doc_id") < F.element_at(share, F.col("lang")))
 
     def make():
         def fn(cols):
@@ -147,9 +164,32 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
 
         return fn
 
-    got = sorted((r["doc_id"] is not None, r["doc_id"], r["lang"], bytes(r["f"])) for r in map_rows(picked, make, "doc_id bigint, lang string, f binary").toLocalIterator())
-    x = np.stack([np.frombuffer(r[3], np.float32) for r in got]) if got else np.zeros((0, BUCKETS), np.float32)
-    return fit(x, [r[2] for r in got])
+    ws = Workspace(spark)
+    table = ws.save(map_rows(picked, make, "doc_id bigint, lang string, f binary"), "features")
+    known = sorted(r["lang"] for r in table.select("lang").distinct().collect())
+    families = _families(known)
+    # a machine: its name, the languages that it tells from others, and these others
+    tasks = [(f"family {k}", members, [v for v in known if v not in members]) for k, (_, members) in enumerate(families) if len(families) > 1]
+    pairs = [pair for _, members in families for pair in combinations(members, 2)]
+    tasks += [(f"pair {k}", [a], [b]) for k, (a, b) in enumerate(pairs)]
+    weights = {}
+    if tasks:
+        roles = spark.createDataFrame([(m, lang, y) for m, yes, no in tasks for y, langs in ((1, yes), (-1, no)) for lang in langs], "machine string, lang string, y int")
+
+        def solve(group: pa.Table) -> pa.Table:
+            got = sorted(zip(group.column("lang").to_pylist(), group.column("doc_id").to_pylist(), group.column("f").to_pylist(), group.column("y").to_pylist(), strict=True), key=lambda r: (r[0], r[1] is not None, r[1] or 0, r[2]))
+            x = np.stack([np.frombuffer(r[2], np.float32) for r in got])
+            w = linear_svm(x, np.array([r[3] for r in got], float)).astype(np.float32)
+            return pa.table({"machine": [group.column("machine")[0].as_py()], "w": pa.array([w.tobytes()], pa.binary())})
+
+        solved = table.join(roles, "lang").select("machine", "lang", "doc_id", "f", "y").groupBy("machine").applyInArrow(solve, "machine string, w binary")
+        weights = {r["machine"]: np.frombuffer(r["w"], np.float32) for r in solved.collect()}
+    ws.drop(table)
+    if not known:
+        return None
+    none = np.zeros(BUCKETS + 1, np.float32)
+    first = np.stack([weights.get(f"family {k}", none) for k in range(len(families))])
+    return Model(families, first, {pair: weights[f"pair {k}"] for k, pair in enumerate(pairs)})
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -176,4 +216,6 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def digest(docs: DataFrame) -> DataFrame:
+    """The query's columns: trained on docs and predicted for all of them. Nulls, ties, repeated rows and empty tables as
+    in train and predict."""
     return predict(docs, train(docs))
