@@ -1,11 +1,11 @@
-"""Personal data by weak supervision, in DataFrame functions only.
+"""Personal data and secrets by weak supervision, in DataFrame functions only.
 
 Patterns give candidate spans. Four labelers vote on each (for, against, abstain): its structure, a gazetteer
-(top-level domains, calling codes, issuer and country prefixes), the words around it, and its boundaries. Candidates
-are counted by kind and votes; expectation-maximisation over these counts estimates each labeler's reliability and
-the chance that a candidate is personal data. With these chances as soft labels a logistic span classifier is
-trained on votes and shapes. Base spans (valid emails, addresses, cards and phones) always stay; of the looser
-patterns' candidates, those that the classifier accepts and that touch no base span are added.
+(top-level domains, calling and area codes, issuer and country prefixes, prefixes and lengths of secrets), the words
+around it, and its boundaries. Candidates are counted by kind and votes; expectation-maximisation over these counts
+estimates each labeler's reliability and the chance that a candidate is personal data. With these chances as soft labels
+a logistic span classifier is trained on votes and shapes. Base spans (valid emails, addresses, cards and phones) always
+stay; of the looser patterns' candidates, those that the classifier accepts and that touch no base span are added.
 
 Fitting works on the table of counts, which has at most kinds x 3^4 x shapes rows, whatever the corpus.
 """
@@ -32,12 +32,13 @@ BASE = {
 }
 #: Looser patterns, whose candidates only the classifier can accept.
 LOOSE = {
-    "email": r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{1,64}+ ?[(\[]at[)\]] ?[A-Za-z0-9-]{1,63}+(?: ?[(\[]dot[)\]] ?[A-Za-z0-9-]{1,63}+)++",
-    "phone": r"(?<![0-9+(])(?:\([0-9]{3}\) |[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9])",
+    "email": r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{1,64}+ ?[(\[](?:at|AT)[)\]] ?[A-Za-z0-9-]{1,63}+(?: ?(?:[(\[](?:dot|DOT)[)\]]|\.) ?[A-Za-z0-9-]{1,63}+)++",
+    "phone": r"(?<![0-9+(])(?<![0-9][ .-])(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![ .-]?[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "secret": r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{20,}+",
 }
-KINDS = ["email", "ip", "card", "phone", "ssn", "iban"]
+KINDS = ["email", "ip", "card", "phone", "ssn", "iban", "secret"]
 #: A cheap test that a text may hold a match at all.
 MAY = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": "+"}
 
@@ -45,9 +46,13 @@ MAY = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}
 DOMAINS = ["com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "it", "uk", "eu", "us", "ca", "nl", "ch", "at", "be", "pl", "se", "jp", "cn", "in", "br", "mx", "au"]
 CALLING = ["1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "54", "55", "56", "57", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "351", "352", "353", "358", "380", "420", "421", "971", "972"]
 COUNTRIES = ["AT", "BE", "CH", "CZ", "DE", "DK", "ES", "FI", "FR", "GB", "GR", "HU", "IE", "IT", "LU", "NL", "NO", "PL", "PT", "SE"]
-#: Words before a span that speak for a kind, and words that speak against any.
-CUES = {"email": "mail|contact|write|correo|courriel|an:", "ip": "ip|host|server|address|addr", "card": "card|visa|pay|credit|karte|tarjeta|carte", "phone": "phone|tel|call|fax|mobile|anruf|llama", "ssn": "ssn|social|security", "iban": "iban|account|konto|cuenta|compte"}
+#: Beginnings of access keys, and lengths of keys and digests in hexadecimal digits.
+SECRETS = ["ghp_", "gho_", "glpat-", "sk_live_", "sk_test_", "sk-", "AKIA", "AIza", "xoxa-", "xoxb-", "xoxp-", "eyJ", "npm_", "hf_"]
+HEX = [32, 40, 64]
+#: Words before a span that speak for a kind, and words that speak against any; secrets have their own.
+CUES = {"email": "mail|contact|write|correo|courriel|an:", "ip": "ip|host|server|address|addr", "card": "card|visa|pay|credit|karte|tarjeta|carte", "phone": "phone|tel|call|fax|mobile|anruf|llama", "ssn": "ssn|social|security", "iban": "iban|account|konto|cuenta|compte", "secret": "token|key|secret|passw|pwd|bearer|auth|credential"}
 AGAINST = "version|release|isbn|issn|section|chapter|page|license|figure|table|rfc"
+AGAINST_SECRET = "commit|revision|checksum|digest|sha[0-9-]*|md5|etag|uuid|href|url|file"
 
 
 def _running(steps: Column, total, start) -> Column:
@@ -121,31 +126,51 @@ def _gazetteer(kind: str, hit: Column) -> Column:
     if kind == "phone":
         d = _digits(hit)
         known = F.substring(d, 1, 1).isin(CALLING) | F.substring(d, 1, 2).isin(CALLING) | F.substring(d, 1, 3).isin(CALLING)
-        return F.when(hit.startswith("+"), _vote(known, F.lit(True))).otherwise(0)
+        # without a calling code: a trunk prefix, or an area code as in North America
+        return F.when(hit.startswith("+"), _vote(known, F.lit(True))).otherwise(_vote(d.rlike("^(0[1-9]|[2-9][0-8][0-9])"), F.lit(True)))
     if kind == "ssn":
         return _vote(~hit.rlike("^(000|666|9)|-00-|-0000$"), F.lit(True))
+    if kind == "secret":
+        return _vote(hit.rlike("^(" + "|".join(SECRETS) + ")") | (hit.rlike("^([0-9a-f]+|[0-9A-F]+)$") & F.length(hit).isin(HEX)))
     return _vote(F.substring(hit, 1, 2).isin(COUNTRIES), F.lit(True))
 
 
 def _structure(kind: str, hit: Column, base: bool, ok: Column) -> Column:
     if base:
         return _vote(ok, F.lit(True))
+    if kind == "email":
+        return _vote(hit.rlike("[A-Za-z]{2,24}$"), F.lit(True))
     if kind == "phone":
-        return _vote(~_digits(hit).rlike("^[01]"), F.lit(True))
-    if kind == "iban":
-        letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-        turned = F.concat(F.substring(hit, 5, 40), F.substring(hit, 1, 4))
-        value = F.transform(F.split(turned, ""), lambda c: F.when(c.rlike("[0-9]"), c.try_cast("int")).otherwise(F.instr(F.lit(letters), c) + 9))
-        mod = F.aggregate(value, F.lit(0), lambda acc, x: F.when(x > 9, acc * 100 + x).otherwise(acc * 10 + x) % 97)
-        return _vote(mod == 1, F.lit(True))
-    return F.lit(1)
+        return _vote(F.length(_digits(hit)).between(9, 11), F.lit(True))
+    if kind == "ssn":
+        return _vote(~(_digits(hit).rlike("^(.)\\1+$") | (hit == "123-45-6789")), F.lit(True))
+    if kind == "secret":
+        # letters and digits in turn, and not one word with a number in it
+        turns = F.size(F.split(hit, "(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])"))
+        return _vote((turns >= 6) & hit.rlike("[A-Za-z]"), F.lit(True))
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    plain = F.replace(hit, F.lit(" "), F.lit(""))
+    turned = F.concat(F.substring(plain, 5, 40), F.substring(plain, 1, 4))
+    value = F.transform(F.filter(F.split(turned, ""), lambda c: c != ""), lambda c: F.when(c.rlike("[0-9]"), c.try_cast("int")).otherwise(F.instr(F.lit(letters), c) + 9))
+    mod = F.aggregate(value, F.lit(0), lambda acc, x: F.when(x > 9, acc * 100 + x).otherwise(acc * 10 + x) % 97)
+    return _vote(mod == 1, F.lit(True))
+
+
+def _boundary(kind: str, m: Column) -> Column:
+    """Blanks, quotes and brackets around speak for a span; letters, digits and paths against it."""
+    before, after = m["before"], m["after"]
+    if kind == "secret":
+        return _vote(before.rlike("[\"'=:] ?$") | after.rlike("^[\"']"), before.rlike("[/#.&?]$") | after.rlike("^[/.]"))
+    inside = before.rlike("[A-Za-z0-9_/=-]$") | after.rlike("^[A-Za-z0-9_/=-]")
+    free = before.rlike("(^|[ \t\n\"'(<\\[:])$") & after.rlike("^($|[ \t\n\"')>\\].,;:!?])")
+    return _vote(free & ~inside, inside)
 
 
 def _candidate(kind: str, base: bool):
     def of(m: Column) -> Column:
         hit = m["hit"]
         ok = valid(kind, hit) if base else F.lit(False)
-        context = F.lower(m["before"])
+        context, against = F.lower(m["before"]), AGAINST_SECRET if kind == "secret" else AGAINST
         size = F.length(hit)
         return F.struct(
             F.lit(KINDS.index(kind)).alias("kind"),
@@ -155,8 +180,8 @@ def _candidate(kind: str, base: bool):
             F.lit(not base).alias("loose"),
             _structure(kind, hit, base, ok).cast("int").alias("v0"),
             _gazetteer(kind, hit).cast("int").alias("v1"),
-            _vote(context.rlike(CUES[kind]), context.rlike(AGAINST)).cast("int").alias("v2"),
-            _vote(~(m["before"].rlike("[A-Za-z0-9]$") | m["after"].rlike("^[A-Za-z0-9]")), F.lit(True)).cast("int").alias("v3"),
+            _vote(context.rlike(rf"\b({CUES[kind]})"), context.rlike(rf"\b({against})")).cast("int").alias("v2"),
+            _boundary(kind, m).cast("int").alias("v3"),
             F.when(size < 12, 0).when(size < 20, 1).otherwise(2).alias("shape"),
         )
 
@@ -170,7 +195,7 @@ def candidates(text: Column) -> Column:
     for kind, pattern in BASE.items():
         may = text.contains(MAY[kind]) if kind in ("email", "phone") else text.rlike(MAY[kind])
         parts.append(F.transform(matches(text, pattern, may), _candidate(kind, True)))
-    quick = {"email": text.rlike(r"[(\[]at[)\]]"), "phone": text.rlike("[0-9]{3}[.-][0-9]{4}"), "ssn": text.rlike("[0-9]{3}-[0-9]{2}-[0-9]{4}"), "iban": text.rlike("[A-Z]{2}[0-9]{2}[A-Z0-9]{11}")}
+    quick = {"email": text.rlike(r"[(\[](at|AT)[)\]]"), "phone": text.rlike("[0-9][ .-][0-9]{3}"), "ssn": text.rlike("[0-9]{3}-[0-9]{2}-[0-9]{4}"), "iban": text.rlike("[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}"), "secret": text.rlike("[0-9]") & text.rlike("[A-Za-z0-9_-]{20}")}
     for kind, pattern in LOOSE.items():
         parts.append(F.transform(matches(text, pattern, quick[kind]), _candidate(kind, False)))
     return F.concat(*parts)
@@ -254,12 +279,13 @@ def find(docs: DataFrame, threshold: float = 0.5) -> tuple[DataFrame, Model]:
     """docs (doc_id, text) -> (doc_id, spans), a row per row, and the model. A span has kind, start, end (code points,
     end exclusive), base and score; spans are in order of kind and start.
 
-    Null and empty texts have none; repeated rows count each in the estimates; other columns are ignored.
+    Null and empty texts have none; repeated rows count each in the estimates; an empty table gives an empty one; other
+    columns are ignored.
     """
     ws = Workspace(docs.sparkSession)
     found = ws.save(docs.select("doc_id", candidates(F.col("text")).alias("c")), "candidates")
-    limit = len(KINDS) * 3 ** len(VOTES) * 3
-    rows = [(r["kind"], tuple(r[v] for v in VOTES), r["shape"], r["n"]) for r in vote_counts(found).limit(limit).collect()]
+    # one row for each kind, votes and shape there are: bounded by these, not by the corpus
+    rows = [(r["kind"], tuple(r[v] for v in VOTES), r["shape"], r["n"]) for r in vote_counts(found).collect()]
     model = fit(sorted(rows))
     base = F.filter("c", lambda c: c["base"])
     loose = F.filter("c", lambda c: c["loose"])
@@ -277,7 +303,8 @@ def _text(spans: Column) -> Column:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """The query's columns."""
+    """The query's columns, a row per row of docs; nulls, repeated rows and empty tables as in find. n_added counts spans that
+    the method adds."""
     found, _ = find(docs)
     base = F.filter("spans", lambda s: s["base"])
 
@@ -285,4 +312,5 @@ def digest(docs: DataFrame) -> DataFrame:
         return F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("bigint").alias(f"n_{KINDS[kind]}")
 
     counts = [count(k) for k in range(len(BASE))]
-    return found.select("doc_id", *counts, F.sha2(_text(base), 256).alias("base_sha256"), _text(F.col("spans")).alias("spans"))
+    added = F.size(F.filter("spans", lambda s: ~s["base"])).cast("bigint").alias("n_added")
+    return found.select("doc_id", *counts, F.sha2(_text(base), 256).alias("base_sha256"), _text(F.col("spans")).alias("spans"), added)
