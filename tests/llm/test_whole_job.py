@@ -26,10 +26,10 @@ def test_short_items_under_the_cosine():
                 want = {}
                 for x in items:
                     windows = [t[max(0, p - len(x.tokens)) : p + decontam.PASSAGE + len(x.tokens)].tolist() for p in decontam.passages(len(t)).tolist()]
-                    shares = [decontam.common_subsequence(x, w) / len(x.tokens) for w in windows if len(x.answer & set(w)) >= 0.7 * len(x.answer)]
-                    if shares and max(shares) >= 0.75:
+                    shares = [decontam.overlap(x, w) for w in windows if len(x.answer & set(w)) >= decontam.ANSWER * len(x.answer)]
+                    if shares and max(shares) >= decontam.LCS:
                         want[x.item_id] = max(shares)
-                got = decontam.match_document(t, bench, 0.35, 0.75, 0.7)
+                got = decontam.match_document(t, bench, decontam.COSINE, decontam.LCS, decontam.ANSWER)
                 assert {k: v[0] for k, v in got.items()} == want
                 assert changed or got[item.item_id][0] == 1
                 below += sum(v[1] < 0.35 for v in got.values())
