@@ -13,6 +13,7 @@ import hashlib
 import os
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 from orrery.llm.common import map_rows
@@ -53,6 +54,10 @@ def _merge_of(token: bytes, ranks: dict[bytes, int]) -> tuple[bytes, bytes] | No
     return (parts[0], parts[1]) if len(parts) == 2 else None
 
 
+#: The splitting pattern of the library's byte level, which the vocabulary's pattern must be (fixed value).
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 class ByteBpe:
     """One vocabulary: encode whole texts, decode ids."""
 
@@ -68,6 +73,9 @@ class ByteBpe:
         self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
         back = {c: b for b, c in enumerate(alphabet)}
         self.bytes_of = {i: bytes(back[c] for c in s) for s, i in self.tokenizer.get_vocab().items()}
+        self.size_of = np.zeros(max(self.bytes_of) + 1, np.int64)
+        self.size_of[list(self.bytes_of)] = [len(b) for b in self.bytes_of.values()]
+        self.decimal = {i: str(i) for i in self.bytes_of}
 
     @staticmethod
     def pieces(text: str) -> Iterator[str]:
@@ -109,15 +117,19 @@ class ByteBpe:
                     yield [next(got) for _ in ps]
                 waiting, size = [], 0
 
-    def encode_with_offsets(self, text: str | None) -> tuple[list[int], list[tuple[int, int]]]:
-        """ids and (start, end) in code points of text; parts of a split character all have its place."""
-        ids, offsets, base = [], [], 0
-        for piece in self.pieces(text or ""):
-            got = self.tokenizer.encode(piece, add_special_tokens=False)
-            ids += got.ids
-            offsets += [(a + base, b + base) for a, b in got.offsets]
-            base += len(piece)
-        return ids, offsets
+    def offsets(self, text: str, ids: list[int]) -> np.ndarray:
+        """(start, end) of each token in code points of text, a row a token: tokens' bytes lie end to end, and bytes map
+        to characters. Parts of a split character all have its place."""
+        raw = np.frombuffer(text.encode(), np.uint8)
+        char_of = np.cumsum((raw & 0xC0) != 0x80, dtype=np.int32) - 1
+        ends = np.cumsum(self.size_of[np.fromiter(ids, np.int64, len(ids))])
+        starts = np.concatenate(([0], ends[:-1])) if len(ends) else ends
+        return np.stack([char_of[starts], char_of[ends - 1] + 1], 1).astype("<i4") if len(ends) else np.empty((0, 2), "<i4")
+
+    def encode_with_offsets(self, text: str | None) -> tuple[list[int], np.ndarray]:
+        """ids and their offsets."""
+        ids = self.encode(text)
+        return ids, self.offsets(text or "", ids)
 
     def decode_bytes(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -146,7 +158,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
         def fn(cols):
             got = [bpe.encode_with_offsets(t) for t in cols[1]]
-            yield [cols[0], [g[0] for g in got], [[a for a, _ in g[1]] for g in got], [[b for _, b in g[1]] for g in got]]
+            yield [cols[0], [g[0] for g in got], [g[1][:, 0].tolist() for g in got], [g[1][:, 1].tolist() for g in got]]
 
         return fn
 
@@ -154,19 +166,22 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def encode_ids(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """docs (doc_id, text, others ignored) -> (doc_id, n_tokens, ids), a row per row, without offsets; null text is empty."""
+    """docs (doc_id, text, others ignored) -> (doc_id, n_tokens, ids, offsets_sha256, decoded_sha256), a row per row; null
+    text is empty, repeated rows stay, an empty table gives an empty one. The digests are those of round_trip: the ids are
+    decoded again."""
     path = path or default_ranks()
 
     def make():
         bpe = load(path)
 
         def fn(cols):
-            ids = [[x for piece in pieces for x in piece] for pieces in bpe.encode_many(cols[1])]
-            yield [cols[0], [len(x) for x in ids], ids]
+            got = [[x for piece in pieces for x in piece] for pieces in bpe.encode_many(cols[1])]
+            offsets = [hashlib.sha256(bpe.offsets(t or "", ids).tobytes()).hexdigest() for t, ids in zip(cols[1], got, strict=True)]
+            yield [cols[0], [len(x) for x in got], got, offsets, [hashlib.sha256(bpe.decode_bytes(x)).hexdigest() for x in got]]
 
         return fn
 
-    return map_rows(docs.select("doc_id", "text"), make, "doc_id bigint, n_tokens bigint, ids array<int>")
+    return map_rows(docs.select("doc_id", "text"), make, "doc_id bigint, n_tokens bigint, ids array<int>, offsets_sha256 string, decoded_sha256 string")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -185,27 +200,23 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """docs -> (doc_id, n_tokens, ids_sha256, decoded_sha256): ids in decimal joined by spaces, and the bytes
-    that they decode to. Null text is empty; repeated rows and ids stay as rows."""
+    """docs -> (doc_id, n_tokens, ids_sha256, decoded_sha256, offsets_sha256): ids in decimal joined by spaces, the bytes
+    that they decode to, and the offsets (starts and ends in turn, 32-bit, low byte first). Null text is empty; repeated
+    rows and ids stay as rows; an empty table gives an empty one."""
     path = path or default_ranks()
 
     def make():
         bpe = load(path)
 
         def fn(cols):
-            n, ids_sha, text_sha = [], [], []
-            for ids_of in bpe.encode_many(cols[1]):
-                ids_hash, text_hash, count = hashlib.sha256(), hashlib.sha256(), 0
-                for ids in ids_of:
-                    ids_hash.update((" " * (count > 0) + " ".join(map(str, ids))).encode())
-                    text_hash.update(bpe.decode_bytes(ids))
-                    count += len(ids)
-                n.append(count)
-                ids_sha.append(ids_hash.hexdigest())
-                text_sha.append(text_hash.hexdigest())
-            yield [cols[0], n, ids_sha, text_sha]
+            out = [[] for _ in range(4)]
+            for t, ids_of in zip(cols[1], bpe.encode_many(cols[1]), strict=True):
+                ids = [x for piece in ids_of for x in piece]
+                row = (" ".join(map(bpe.decimal.__getitem__, ids)).encode(), bpe.decode_bytes(ids), bpe.offsets(t or "", ids).tobytes())
+                for o, x in zip(out, (len(ids), *(hashlib.sha256(x).hexdigest() for x in row)), strict=True):
+                    o.append(x)
+            yield [cols[0], *out]
 
         return fn
 
-    return map_rows(docs.select("doc_id", "text"), make, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
-
+    return map_rows(docs.select("doc_id", "text"), make, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, offsets_sha256 string")
