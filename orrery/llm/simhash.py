@@ -101,7 +101,8 @@ def links(ws: Workspace, fps: DataFrame, distance: int = 2) -> DataFrame:
     """
     if not 0 <= distance <= 2:
         raise ValueError("distance must be 0, 1 or 2")
-    cells = _cells(fps)
+    # few rows become about 49 each: dealt out first, so that all tasks take part
+    cells = _cells(fps.repartition("fp"))
     shared = ws.save(cells.groupBy("cell").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "cells")
     near = hamming(F.col("a"), F.col("b")) <= distance
     two = shared.where("n = 2").where(near).select("a", "b")
@@ -145,8 +146,8 @@ def near_duplicates(docs: DataFrame, distance: int = 2) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, distance: int = 2) -> DataFrame:
-    """The documents without near copies of an earlier one: of each component its smallest doc_id stays, with all
-    columns. Rows without doc_id stay."""
+    """The documents without near copies of an earlier one: of each component its smallest doc_id stays, with all its
+    rows and columns, whatever their names. Rows without doc_id stay. Null and empty texts are copies of each other."""
     ws = Workspace(docs.sparkSession)
     found = components(ws, fingerprints(docs), distance)
     gone = ws.save(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
