@@ -23,7 +23,7 @@ PREFIXES = (4, 5, 6)
 #: Most training rows of each class, and most terms of all of them together (4 bytes each on the driver).
 SAMPLE, SAMPLE_TERMS = 4000, 16_000_000
 #: Likelihood ratio at which a term's evidence counts half; texts at which a term's place in pairs has half its reach.
-EVIDENCE, PAIR_TEXTS, PAIR_REACH = 10.0, 300.0, 0.3
+EVIDENCE, PAIR_TEXTS, PAIR_REACH = 10.0, 300.0, 0.6
 THRESHOLD = 0.3
 
 _WORD = re.compile(r"\w+")
@@ -96,7 +96,7 @@ def fit(texts: list[np.ndarray], toxic: Iterable[int], weights: tuple[float, flo
     keep = np.full(BUCKETS, -1, np.int32)
     keep[used] = np.arange(len(used))
     rng = np.random.default_rng(seed)
-    w, v = np.zeros(len(used)), rng.normal(0, 0.01, (len(used), FACTORS))
+    w, v = np.zeros(len(used)), rng.normal(0, 0.05, (len(used), FACTORS))
     share = float(np.average(y, weights=np.where(y > 0, weights[1], weights[0]))) if len(y) else 0.0
     b = float(np.log((share + 1e-3) / (1 - share + 1e-3)))
     gw, gv, gb = np.full(len(used), 1e-6), np.full((len(used), FACTORS), 1e-6), 1e-6
@@ -124,7 +124,7 @@ def fit(texts: list[np.ndarray], toxic: Iterable[int], weights: tuple[float, flo
             w[uniq] -= rate * dw / np.sqrt(gw[uniq])
             dv = np.clip(dv, -1, 1)
             gv[uniq] += dv**2
-            v[uniq] -= 0.1 * rate * dv / np.sqrt(gv[uniq])
+            v[uniq] -= rate * dv / np.sqrt(gv[uniq])
     return FactorizationMachine(keep, b, w * alone, v * paired[:, None])
 
 
