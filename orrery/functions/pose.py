@@ -250,13 +250,24 @@ def scale_matrix(factor: Column, origin: Column | None = None, direction: Column
     return vec.bind(lambda f, o, d: vec.matrix([*_outer(o, d, 1 - f), [0, 0, 0, 1]]), factor, origin, vec.unit(direction))
 
 
-def projection_matrix(point: Column, normal: Column, direction: Column | None = None) -> Column:
-    """Onto a plane, along its normal or a direction."""
+def projection_matrix(point: Column, normal: Column, direction: Column | None = None, perspective: Column | None = None, pseudo: bool = False) -> Column:
+    """Onto a plane: along its normal, along a direction, or towards a perspective point; with pseudo so that relative
+    depth is kept (the orthogonal projection of its result is the plain perspective's)."""
+    k = ["x", "y", "z"]
+    if perspective is not None:
+
+        def central(p: Column, n: Column, c: Column) -> Column:
+            height, level = vec.dot(p, n), vec.dot(vec.sub(c, p), n)
+            pull = {i: c[i] + n[i] if pseudo else c[i] for i in k}
+            rows = [[*[(level if i == j else F.lit(0.0)) - pull[i] * n[j] for j in k], height * pull[i]] for i in k]
+            return vec.matrix([*rows, [*[-n[j] for j in k], vec.dot(c, n)]])
+
+        return vec.bind(central, point, vec.unit(normal), perspective)
     if direction is None:
         return vec.bind(lambda p, n: vec.matrix([*_outer(p, n, 1.0), [0, 0, 0, 1]]), point, vec.unit(normal))
 
     def oblique(p: Column, n: Column, d: Column) -> Column:
-        k, along, shift = ["x", "y", "z"], vec.dot(d, n), vec.dot(p, n)
+        along, shift = vec.dot(d, n), vec.dot(p, n)
         rows = [[*[F.lit(1.0 if i == j else 0.0) - d[i] * n[j] / along for j in k], d[i] * shift / along] for i in k]
         return vec.matrix([*rows, [0, 0, 0, 1]])
 

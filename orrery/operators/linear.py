@@ -1,6 +1,7 @@
 """Linear algebra that has no column form: batches of matrices in numpy, through Arrow.
 
-Matrices are arrays of rows. Each function takes columns and gives a column; singular input gives null.
+Matrices are arrays of rows. Each function takes columns and gives a column. The matrices of a batch are solved as one
+stack; a row with null, singular or ill-fitting input gives null.
 """
 
 from __future__ import annotations
@@ -13,195 +14,312 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MATRIX = T.ArrayType(T.ArrayType(T.DoubleType()))
+VECTOR = T.ArrayType(T.DoubleType())
+MATRIX = T.ArrayType(VECTOR)
 
 
-def _rows(f: Callable, kind: T.DataType | str, *cols: Column) -> Column:
-    """f over each row's values; null in gives null out, and so do LinAlgError and ValueError."""
+def held(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with computed columns, for functions of this module to work on. They come out of a generator, so they reach Python
+    as plain columns: in one projection with a Python function, arguments with sums or products inside lambdas (as the
+    pose builders have) are not found again when Spark takes the function out."""
+    row = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select("*", F.explode(F.array(row)).alias("_held")).select(*[F.col(f"`{c}`") for c in df.columns], "_held.*")
 
-    def one(*values):
-        if any(v is None for v in values):
-            return None
-        try:
-            return f(*[np.array([list(r) for r in v], float) if isinstance(v, np.ndarray) and v.dtype == object else np.asarray(v, float) for v in values])
-        except (np.linalg.LinAlgError, ValueError):
-            return None
 
-    struct = isinstance(kind, T.StructType)
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(n, t) for n, t in fields.items()])
 
-    @F.pandas_udf(kind)
-    def run(*series: pd.Series) -> pd.Series:
-        return pd.Series([one(*v) for v in zip(*series, strict=True)], dtype=object)
+
+def _plain(value):
+    """A number, or nested lists as an array; None if its rows have several lengths or hold a null."""
+    try:
+        out = np.array([list(r) for r in value], float) if isinstance(value, np.ndarray) and value.dtype == object else np.asarray(value, float)
+    except (TypeError, ValueError):
+        return None
+    return out if np.isfinite(out).all() else None
+
+
+def _stacked(f: Callable, kind: T.DataType, *cols: Column) -> Column:
+    """f over stacks of rows of equal shapes: it gets an array for each column, first axis the rows, and gives the results (for
+    a struct one array, or list, a field) and a mask of the rows that have one. Rows outside the mask and rows with
+    nulls are null."""
+    names = kind.names if isinstance(kind, T.StructType) else None
+
+    def solve(series: tuple[pd.Series, ...]) -> list[list]:
+        n, width = len(series[0]), len(names) if names else 1
+        out = [[None] * n for _ in range(width)]
+        groups: dict[tuple, list[tuple[int, list[np.ndarray]]]] = {}
+        for i, values in enumerate(zip(*series, strict=True)):
+            arrays = [None if v is None else _plain(v) for v in values]
+            if all(x is not None for x in arrays):
+                groups.setdefault(tuple(x.shape for x in arrays), []).append((i, arrays))
+        for rows in groups.values():
+            with np.errstate(all="ignore"):
+                got, ok = f(*(np.stack(x) for x in zip(*[r[1] for r in rows], strict=True)))
+            got = got if names else (got,)
+            for o, values in zip(out, got, strict=True):
+                values = values.tolist() if isinstance(values, np.ndarray) else values
+                for (i, _), value, fine in zip(rows, values, ok, strict=True):
+                    o[i] = value if fine else None
+        return out
+
+    if names is None:
+
+        @F.pandas_udf(kind)
+        def run(*series: pd.Series) -> pd.Series:
+            return pd.Series(solve(series)[0], dtype=object)
+
+        return run(*cols)
 
     @F.pandas_udf(kind)
     def run_struct(*series: pd.Series) -> pd.DataFrame:
-        rows = [one(*v) for v in zip(*series, strict=True)]
-        names = kind.names
-        return pd.DataFrame({n: pd.Series([None if x is None else x[i] for x in rows], dtype=object) for i, n in enumerate(names)})
+        return pd.DataFrame({n: pd.Series(x, dtype=object) for n, x in zip(names, solve(series), strict=True)})
+
+    return run_struct(*cols)
+
+
+def _all(x: np.ndarray) -> np.ndarray:
+    """Whether all entries of each row of a stack hold."""
+    return x.reshape(len(x), -1).all(1)
+
 
-    return (run_struct if struct else run)(*cols)
+def _norm(x: np.ndarray) -> np.ndarray:
+    return np.linalg.norm(x, axis=-1, keepdims=True)
+
+
+def _signed(v: np.ndarray) -> np.ndarray:
+    """Of each vector and its negative, the one whose largest entry is positive."""
+    top = np.take_along_axis(v, np.abs(v).argmax(-1)[..., None], -1)
+    return v * np.where(top < 0, -1.0, 1.0)
+
+
+def _fixed_point(linear: np.ndarray, shift: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The point nearest to the origin that x -> linear x + shift keeps, and whether there is one."""
+    held = np.eye(3) - linear
+    point = (np.linalg.pinv(held, rcond=1e-9) @ shift[..., None])[..., 0]
+    off = (held @ point[..., None])[..., 0] - shift
+    return point, _norm(off)[:, 0] <= 1e-6 * (1 + _norm(shift)[:, 0])
 
 
 def inverse(m: Column) -> Column:
-    return _rows(lambda a: np.linalg.inv(a).tolist(), MATRIX, m)
+    """Null for a singular matrix."""
+
+    def solve(a):
+        ok = np.linalg.cond(a) < 1e15
+        return np.linalg.inv(np.where(ok[:, None, None], a, np.eye(a.shape[-1]))), ok
+
+    return _stacked(solve, MATRIX, m)
 
 
 def triangulate(p1: Column, x1: Column, p2: Column, x2: Column) -> Column:
     """Point seen at x1 and x2 (pixel pairs) by 3x4 projections: the null vector of four equations."""
 
     def solve(a, u, b, v):
-        m = np.stack([u[0] * a[2] - a[0], u[1] * a[2] - a[1], v[0] * b[2] - b[0], v[1] * b[2] - b[1]])
-        x = np.linalg.svd(m)[2][-1]
-        return (x[:3] / x[3]).tolist()
+        rows = [x[:, k, None] * m[:, 2] - m[:, k] for m, x in ((a, u), (b, v)) for k in (0, 1)]
+        x = np.linalg.svd(np.stack(rows, 1))[2][:, -1]
+        return x[:, :3] / x[:, 3:], np.abs(x[:, 3]) > 1e-12
 
-    return _rows(solve, T.ArrayType(T.DoubleType()), p1, x1, p2, x2)
+    return _stacked(solve, VECTOR, p1, x1, p2, x2)
 
 
 def decompose_essential(e: Column) -> Column:
     """struct(r1, r2, t): the two turns (right-handed) and the unit step."""
-    kind = T.StructType([T.StructField("r1", MATRIX), T.StructField("r2", MATRIX), T.StructField("t", T.ArrayType(T.DoubleType()))])
 
     def split(m):
         u, _, vt = np.linalg.svd(m)
         w = np.array([[0, -1, 0], [1, 0, 0], [0, 0, 1.0]])
-        both = [u @ x @ vt for x in (w, w.T)]
-        return [*[(r * np.sign(np.linalg.det(r))).tolist() for r in both], (u[:, 2] / np.linalg.norm(u[:, 2])).tolist()]
+        turns = [u @ x @ vt for x in (w, w.T)]
+        return [r * np.sign(np.linalg.det(r))[:, None, None] for r in turns] + [u[..., 2]], np.ones(len(m), bool)
 
-    return _rows(split, kind, e)
+    return _stacked(split, _struct(r1=MATRIX, r2=MATRIX, t=VECTOR), e)
 
 
 def epipole(f: Column) -> Column:
-    """The right null vector, last entry 1."""
+    """The right null vector, last entry 1; null for an epipole at infinity."""
 
     def null(m):
-        v = np.linalg.svd(m)[2][-1]
-        return (v / v[2]).tolist()
+        v = np.linalg.svd(m)[2][:, -1]
+        return v / v[:, 2:], np.abs(v[:, 2]) > 1e-12
 
-    return _rows(null, T.ArrayType(T.DoubleType()), f)
+    return _stacked(null, VECTOR, f)
 
 
 def factor_projection(p: Column) -> Column:
     """struct(k, r, t) of a 3x4 projection, by RQ with a positive diagonal."""
-    kind = T.StructType([T.StructField("k", MATRIX), T.StructField("r", MATRIX), T.StructField("t", T.ArrayType(T.DoubleType()))])
 
     def split(m):
+        ok = np.abs(np.linalg.det(m[:, :, :3])) > 1e-12
+        m = np.where(ok[:, None, None], m, np.eye(3, 4))
         flip = np.eye(3)[::-1]
-        q, r = np.linalg.qr((flip @ m[:, :3]).T)
-        k, rot = flip @ r.T @ flip, flip @ q.T
-        sign = np.diag(np.sign(np.diag(k)))
-        k, rot = k @ sign, sign @ rot
-        return [(k / k[2, 2]).tolist(), rot.tolist(), np.linalg.solve(k, m[:, 3]).tolist()]
+        q, r = np.linalg.qr((flip @ m[:, :, :3]).swapaxes(1, 2))
+        k, rot = flip @ r.swapaxes(1, 2) @ flip, flip @ q.swapaxes(1, 2)
+        sign = np.sign(np.diagonal(k, axis1=1, axis2=2))
+        k, rot = k * sign[:, None, :], sign[:, :, None] * rot
+        return (k / k[:, 2:, 2:], rot, np.linalg.solve(k, m[:, :, 3:])[..., 0]), ok
 
-    return _rows(split, kind, p)
-
-
-def _real_vector(m: np.ndarray, value: float) -> np.ndarray:
-    w, v = np.linalg.eig(m)
-    at = np.flatnonzero(np.abs(np.real(w) - value) < 1e-8)
-    if not len(at):
-        raise ValueError(f"no eigenvalue {value}")
-    return np.real(v[:, at[-1]])
+    return _stacked(split, _struct(k=MATRIX, r=MATRIX, t=VECTOR), p)
 
 
 def rotation_parts(m: Column) -> Column:
-    """struct(angle, direction, point) of a rotation matrix about a point."""
-    vec = T.ArrayType(T.DoubleType())
-    kind = T.StructType([T.StructField("angle", T.DoubleType()), T.StructField("direction", vec), T.StructField("point", vec)])
+    """struct(angle, direction, point) of a rotation about an axis: angle from 0 to pi, the unit axis, its point nearest to the
+    origin. No turn at all has the z axis and the origin. Null for what is no rotation, or moves along its axis as well.
 
-    def split(a):
-        d = _real_vector(a[:3, :3].T, 1.0)
-        p = _real_vector(a, 1.0)
-        r = a[:3, :3]
-        # the sine stands along the axis in the skew part of r
-        s = np.array([r[2, 1] - r[1, 2], r[0, 2] - r[2, 0], r[1, 0] - r[0, 1]]) @ d / 2
-        point = p[:3] / p[3] if abs(p[3]) > 1e-12 else p[:3]
-        return [float(np.arctan2(s, (np.trace(r) - 1) / 2)), d.tolist(), point.tolist()]
+    R - R' holds 2 sin(angle) times the axis. Near half a turn that is nothing, but R + R' - 2 cos(angle) I is then
+    2 (1 - cos(angle)) times the axis' outer product, so its longest column lies along the axis.
+    """
 
-    return _rows(split, kind, m)
+    def split(a):
+        r, rt = a[:, :3, :3], a[:, :3, :3].swapaxes(1, 2)
+        is_turn = _all(np.abs(r @ rt - np.eye(3)) < 1e-6) & (np.linalg.det(r) > 0)
+        twist = np.stack([rt[:, 1, 2] - rt[:, 2, 1], rt[:, 2, 0] - rt[:, 0, 2], rt[:, 0, 1] - rt[:, 1, 0]], 1) / 2
+        sine, cosine = _norm(twist)[:, 0], (np.trace(r, axis1=1, axis2=2) - 1) / 2
+        angle = np.arctan2(sine, cosine)
+        outer = r + rt - 2 * cosine[:, None, None] * np.eye(3)
+        longest = np.linalg.norm(outer, axis=1).argmax(1)
+        column = np.take_along_axis(outer, longest[:, None, None], 2)[..., 0]
+        column *= np.where((column * twist).sum(1, keepdims=True) < 0, -1.0, 1.0)
+        axis = np.where(sine[:, None] > 1e-6, twist / sine[:, None], np.where(cosine[:, None] > 0, [0.0, 0.0, 1.0], column / _norm(column)))
+        point, there = _fixed_point(r, a[:, :3, 3])
+        return (angle, axis, point), is_turn & there
+
+    return _stacked(split, _struct(angle=T.DoubleType(), direction=VECTOR, point=VECTOR), m)
 
 
 def reflection_parts(m: Column) -> Column:
-    """struct(point, normal) of a mirror matrix."""
-    vec = T.ArrayType(T.DoubleType())
-    kind = T.StructType([T.StructField("point", vec), T.StructField("normal", vec)])
+    """struct(point, normal) of a mirror matrix: (I - R) / 2 is the normal's outer product. The normal's largest entry is
+    positive. Null for what is no mirror."""
 
     def split(a):
-        n = _real_vector(a[:3, :3], -1.0)
-        return [(a[:3, 3] / 2).tolist(), n.tolist()]  # the mirror image of the origin is twice the plane's nearest point
+        w, v = np.linalg.eigh((np.eye(3) - a[:, :3, :3]) / 2)
+        ok = _all(np.abs(w - [0, 0, 1]) < 1e-6)
+        return (a[:, :3, 3] / 2, _signed(v[..., 2])), ok  # the mirror image of the origin is twice the plane's nearest point
 
-    return _rows(split, kind, m)
+    return _stacked(split, _struct(point=VECTOR, normal=VECTOR), m)
 
 
 def scale_parts(m: Column) -> Column:
-    """struct(factor, origin, direction) of a scaling; direction is null if it is uniform."""
-    vec = T.ArrayType(T.DoubleType())
-    kind = T.StructType([T.StructField("factor", T.DoubleType()), T.StructField("origin", vec), T.StructField("direction", vec)])
+    """struct(factor, origin, direction) of a scaling. What it adds to the identity is symmetric: (factor - 1) I if it is
+    uniform, then direction is null, and (factor - 1) times the direction's outer product otherwise. The direction's
+    largest entry is positive; origin is the fixed point nearest to the origin. Null for what is no scaling."""
+
+    def split(a):
+        more = a[:, :3, :3] - np.eye(3)
+        w, v = np.linalg.eigh((more + more.swapaxes(1, 2)) / 2)
+        order = np.abs(w).argsort(1)
+        w = np.take_along_axis(w, order, 1)
+        size = np.abs(w[:, 2])
+        uniform = np.abs(w[:, 2] - w[:, 0]) <= 1e-9 * (1 + size)
+        single = np.abs(w[:, 1]) <= 1e-9 * (1 + size)
+        along = _signed(np.take_along_axis(v, order[:, None, 2:], 2)[..., 0])
+        origin, there = _fixed_point(a[:, :3, :3], a[:, :3, 3])
+        symmetric = _all(np.abs(more - more.swapaxes(1, 2)) < 1e-9)
+        return (1 + w[:, 2], origin, [None if u else d for u, d in zip(uniform, along.tolist(), strict=True)]), symmetric & (uniform | single) & there
+
+    return _stacked(split, _struct(factor=T.DoubleType(), origin=VECTOR, direction=VECTOR), m)
+
+
+def projection_parts(m: Column, pseudo: bool = False) -> Column:
+    """struct(point, normal, direction, perspective, pseudo) of a projection to a plane: point is the plane's nearest to the
+    origin. direction is null for an orthogonal projection, perspective for a parallel one; pseudo is as given, for
+    perspective projections that keep the relative depth. Null for what is no projection.
+
+    A parallel projection takes a rank-one part, direction times normal, off the identity. A perspective one has the
+    normal in its last row, and its other rows are lambda I less an outer product with the normal: the trace gives
+    lambda, and the product's vector the centre.
+    """
+
+    def parallel(a):
+        off = np.eye(3) - a[:, :3, :3]
+        u, s, vt = np.linalg.svd(off)
+        normal = _signed(vt[:, 0])
+        direction = _signed(u[..., 0])
+        point = (a[:, :3, 3] * normal).sum(1, keepdims=True) * normal
+        straight = _all(np.abs(np.abs(normal * direction).sum(1, keepdims=True) - 1) < 1e-9) | (np.abs((normal * direction).sum(1)) > 1 - 1e-12)
+        # the plane keeps its points: the image of the origin lies in it
+        ok = (s[:, 1] < 1e-9 * (1 + s[:, 0])) & (np.abs(np.trace(off, axis1=1, axis2=2) - 1) < 1e-9)
+        return point, normal, direction, straight, ok
+
+    def central(a):
+        row = -a[:, 3, :3]
+        size = _norm(row)
+        normal, m_ = row / size, a / size[..., None]
+        level = (np.trace(m_, axis1=1, axis2=2) + (1 if pseudo else 0)) / 3
+        rest = level[:, None, None] * np.eye(3) - m_[:, :3, :3]
+        centre = (rest @ normal[..., None])[..., 0] - (normal if pseudo else 0)
+        height = (centre * normal).sum(1) - level
+        outer = (centre + (normal if pseudo else 0))[..., None] * normal[:, None]
+        ok = (_norm(row)[:, 0] > 1e-12) & _all(np.abs(rest - outer) < 1e-6 * (1 + np.abs(rest).max((1, 2), keepdims=True))) & (np.abs(level) > 1e-12)
+        return height[:, None] * normal, normal, centre, ok
 
     def split(a):
-        factor = np.trace(a[:3, :3]) - 2
-        try:
-            d = _real_vector(a[:3, :3], factor)
-            if np.allclose(a[:3, :3], np.eye(3) * a[0, 0]):
-                raise ValueError
-            d = (d / np.linalg.norm(d)).tolist()
-        except ValueError:
-            factor, d = (factor + 2) / 3, None
-        p = _real_vector(a, 1.0)
-        return [float(factor), (p[:3] / p[3]).tolist(), d]
+        flat = (np.abs(a[:, 3, :3]) < 1e-12).all(1) & (not pseudo)
+        p, n, d, straight, ok = parallel(a)
+        p2, n2, c, ok2 = central(np.where(flat[:, None, None], np.eye(4) + np.eye(4, k=-1), a))
+        none = lambda keep, x: [v if k else None for k, v in zip(keep, x.tolist(), strict=True)]
+        at = flat[:, None]
+        return (np.where(at, p, p2), np.where(at, n, n2), none(flat & ~straight, d), none(~flat, c), (~flat & pseudo)), np.where(flat, ok, ok2)
 
-    return _rows(split, kind, m)
+    return _stacked(split, _struct(point=VECTOR, normal=VECTOR, direction=VECTOR, perspective=VECTOR, pseudo=T.BooleanType()), m)
 
 
 def shear_parts(m: Column) -> Column:
-    """struct(angle, direction, normal) of a shear: the direction and normal of its rank-one part."""
-    vec = T.ArrayType(T.DoubleType())
-    kind = T.StructType([T.StructField("angle", T.DoubleType()), T.StructField("direction", vec), T.StructField("normal", vec)])
+    """struct(angle, direction, point, normal) of a shear: the direction and normal of its rank-one part, angle positive, and
+    the point of its fixed plane nearest to the origin. Null for what is no shear, or shears nothing."""
 
     def split(a):
-        u, s, vt = np.linalg.svd(a[:3, :3] - np.eye(3))
-        return [float(np.arctan(s[0])), u[:, 0].tolist(), vt[0].tolist()]
+        u, s, vt = np.linalg.svd(a[:, :3, :3] - np.eye(3))
+        d, n = u[..., 0], vt[:, 0]
+        flip = np.where(np.take_along_axis(d, np.abs(d).argmax(1)[:, None], 1) < 0, -1.0, 1.0)
+        d, n = d * flip, n * flip
+        # the shift is -tan(angle) (point . normal) along the direction
+        point = -((a[:, :3, 3] * d).sum(1) / s[:, 0])[:, None] * n
+        ok = (s[:, 0] > 1e-12) & (s[:, 1] < 1e-9 * (1 + s[:, 0])) & (np.abs((d * n).sum(1)) < 1e-6)
+        return (np.arctan(s[:, 0]), d, point, n), ok
 
-    return _rows(split, kind, m)
+    return _stacked(split, _struct(angle=T.DoubleType(), direction=VECTOR, point=VECTOR, normal=VECTOR), m)
 
 
 def decompose(m: Column) -> Column:
     """struct(scale, shear, angles, translate, perspective) of a 4x4 matrix: M = T R (upper triangle of scales and shears)
-    with angles about fixed x, y, z."""
-    vec = T.ArrayType(T.DoubleType())
-    kind = T.StructType([T.StructField(n, vec) for n in ("scale", "shear", "angles", "translate", "perspective")])
+    with angles about fixed x, y, z. Null for a singular matrix."""
 
     def split(a):
-        a = a / a[3, 3]
+        ok = (np.abs(np.linalg.det(a[:, :3, :3])) > 1e-12) & (np.abs(a[:, 3, 3]) > 1e-12)
+        a = np.where(ok[:, None, None], a, np.eye(4))
+        a = a / a[:, 3:, 3:]
         affine = a.copy()
-        affine[3] = [0, 0, 0, 1]
-        perspective = a[3] @ np.linalg.inv(affine)
-        q, r = np.linalg.qr(a[:3, :3])
-        sign = np.diag(np.where(np.diag(r) < 0, -1.0, 1.0))
-        q, r = q @ sign, sign @ r
-        if np.linalg.det(q) < 0:
-            q, r = -q, -r
-        d = np.diag(r)
-        angles = [np.arctan2(q[2, 1], q[2, 2]), np.arcsin(np.clip(-q[2, 0], -1, 1)), np.arctan2(q[1, 0], q[0, 0])]
-        return [d.tolist(), [r[0, 1] / d[0], r[0, 2] / d[0], r[1, 2] / d[1]], [float(x) for x in angles], a[:3, 3].tolist(), perspective.tolist()]
+        affine[:, 3] = [0, 0, 0, 1]
+        perspective = (a[:, 3:] @ np.linalg.inv(affine))[:, 0]
+        q, r = np.linalg.qr(a[:, :3, :3])
+        sign = np.where(np.diagonal(r, axis1=1, axis2=2) < 0, -1.0, 1.0)
+        q, r = q * sign[:, None, :], sign[:, :, None] * r
+        hand = np.sign(np.linalg.det(q))[:, None, None]
+        q, r = q * hand, r * hand
+        d = np.diagonal(r, axis1=1, axis2=2)
+        angles = np.stack([np.arctan2(q[:, 2, 1], q[:, 2, 2]), np.arcsin(np.clip(-q[:, 2, 0], -1, 1)), np.arctan2(q[:, 1, 0], q[:, 0, 0])], 1)
+        shear = np.stack([r[:, 0, 1] / d[:, 0], r[:, 0, 2] / d[:, 0], r[:, 1, 2] / d[:, 1]], 1)
+        return (d, shear, angles, a[:, :3, 3], perspective), ok
 
-    return _rows(split, kind, m)
+    return _stacked(split, _struct(scale=VECTOR, shear=VECTOR, angles=VECTOR, translate=VECTOR, perspective=VECTOR), m)
 
 
 def compose(parts: Column) -> Column:
     """The matrix of such a struct."""
 
     def build(scale, shear, angles, translate, perspective):
-        cx, cy, cz = np.cos(angles)
-        sx, sy, sz = np.sin(angles)
-        r = np.array([[cz * cy, cz * sy * sx - sz * cx, cz * sy * cx + sz * sx], [sz * cy, sz * sy * sx + cz * cx, sz * sy * cx - cz * sx], [-sy, cy * sx, cy * cx]])
-        u = np.array([[scale[0], shear[0] * scale[0], shear[1] * scale[0]], [0, scale[1], shear[2] * scale[1]], [0, 0, scale[2]]])
-        m = np.eye(4)
-        m[:3, :3], m[:3, 3] = r @ u, translate
-        p = np.eye(4)
-        p[3] = perspective
-        return (p @ m).tolist()
-
-    return _rows(build, MATRIX, *[parts[n] for n in ("scale", "shear", "angles", "translate", "perspective")])
+        n = len(scale)
+        (cx, cy, cz), (sx, sy, sz) = np.cos(angles).T, np.sin(angles).T
+        zero, one = np.zeros(n), np.ones(n)
+        rows = lambda *m: np.array(m).transpose(2, 0, 1)
+        about = rows([cz, -sz, zero], [sz, cz, zero], [zero, zero, one]) @ rows([cy, zero, sy], [zero, one, zero], [-sy, zero, cy]) @ rows([one, zero, zero], [zero, cx, -sx], [zero, sx, cx])
+        upper = rows([one, shear[:, 0], shear[:, 1]], [zero, one, shear[:, 2]], [zero, zero, one])
+        m = np.tile(np.eye(4), (n, 1, 1))
+        m[:, :3, :3], m[:, :3, 3] = about @ (scale[:, :, None] * upper), translate
+        p = np.tile(np.eye(4), (n, 1, 1))
+        p[:, 3] = perspective
+        return p @ m, np.ones(n, bool)
+
+    return _stacked(build, MATRIX, *[parts[n] for n in ("scale", "shear", "angles", "translate", "perspective")])
 
 
 # fundamental matrices
