@@ -18,13 +18,15 @@ are checked at factor boundaries.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import Workspace, map_rows
+from orrery.llm.common import Workspace, map_rows, small_batches
 
 WINDOW, PHRASE = 35, 8
 #: Words whose hashes one worker keeps between documents.
@@ -194,53 +196,85 @@ def factors(ws: Workspace, docs: DataFrame) -> DataFrame:
     return parsed
 
 
-def parse(doc: tuple, items: list[tuple[int, int, list[tuple]]]) -> list[tuple[int, int, tuple, int]]:
-    """Greedy factors of a document (a pair: doc_id and th). items: (first window, last window, places), from left to
-    right, without overlap; a place is (doc, window) of an equal stretch. A factor is (first word, words, doc, first word
-    there). Of candidates that go on equally far the first listed is taken."""
-    own = [[(d, w - a) for d, w in places if (d, w) != (doc, a)] or [(d, w - a) for d, w in places] for a, _, places in items]
-    out, i = [], 0
-    while i < len(items):
-        best, end = own[i][0], i + 1
-        for place in dict.fromkeys(own[i]):
-            j = i + 1
-            while j < len(items) and items[j][0] == items[j - 1][1] + 1 and place in own[j]:
-                j += 1
-            if j > end:
-                best, end = place, j
-        first, last = items[i][0], items[end - 1][1]
-        out.append((first, last - first + WINDOW, best[0], first + best[1]))
-        i = end
-    return out
-
-
-_FACTORS = "array<struct<start:int,length:int,ref_id:bigint,ref_th:bigint,ref_start:int>>"
+#: Stands for a null doc_id where numbers are compared.
+NO_ID = -(1 << 63)
+
+
+def parse(doc: tuple[int, int], a, b, id0, th0, id1, th1, w0, w1) -> tuple[np.ndarray, ...]:
+    """Greedy factors of a document (a pair: doc_id and th). Items from left to right, without overlap: windows a..b also
+    start at window w0 of text (id0, th0), their first place, and at w1 of (id1, th1), their last. Gives (first word,
+    words, doc_id, th and first word of the reference) of each factor. Of two candidates that go on equally far the
+    first place is taken."""
+    n = len(a)
+    # the place of the item itself is no candidate, unless its row is there twice
+    own0 = (id0 == doc[0]) & (th0 == doc[1]) & (w0 == a)
+    own1 = (id1 == doc[0]) & (th1 == doc[1]) & (w1 == a)
+    refs = [tuple(np.where(own, x, y) for x, y in pairs) for own, pairs in ((own0, ((id1, id0), (th1, th0), (w1 - a, w0 - a))), (own1, ((id0, id1), (th0, th1), (w0 - a, w1 - a))))]
+    near = a[1:] == b[:-1] + 1
+    # goes[p][q]: candidate p of an item is candidate q of the next
+    goes = [[(near & (f[0][:-1] == t[0][1:]) & (f[1][:-1] == t[1][1:]) & (f[2][:-1] == t[2][1:])).tolist() for t in refs] for f in refs]
+    run = [[1] * n, [1] * n]
+    for i in range(n - 2, -1, -1):
+        for p in (0, 1):
+            if goes[p][0][i]:
+                run[p][i] = run[0][i + 1] + 1
+            elif goes[p][1][i]:
+                run[p][i] = run[1][i + 1] + 1
+    first, kind, i = [], [], 0
+    while i < n:
+        p = int(run[1][i] > run[0][i])
+        first.append(i)
+        kind.append(p)
+        i += run[p][i]
+    at, which = np.array(first, np.int64), np.array(kind, bool)
+    last = np.append(at[1:], n)[: len(at)] - 1
+    ref = [np.where(which, y[at], x[at]) for x, y in zip(*refs, strict=True)]
+    return a[at], b[last] - a[at] + WINDOW, ref[0], ref[1], a[at] + ref[2]
+
+
+_FACTORS = "array<struct<start:bigint,length:bigint,ref_id:bigint,ref_th:bigint,ref_start:bigint>>"
 
 
 def _parsed(items: DataFrame) -> DataFrame:
-    """(doc_id, th, items) -> (doc_id, th, factors)."""
-
-    def make():
-        def fn(cols):
-            out = []
-            for i, key, listed in zip(*cols, strict=True):
-                got = parse((i, key), [(x["a"], x["b"], [((p["doc_id"], p["th"]), p["a"]) for p in (x["first"], x["last"])]) for x in listed])
-                out.append([{"start": s, "length": n, "ref_id": d[0], "ref_th": d[1], "ref_start": r} for s, n, d, r in got])
-            yield [cols[0], cols[1], out]
-
-        return fn
-
-    return map_rows(items.select("doc_id", "th", "items"), make, f"{_KEY}, factors {_FACTORS}")
-
-
-def covered(n: int, found: list | None) -> np.ndarray:
+    """(doc_id, th, items) -> (doc_id, th, factors). Lists of numbers go to the workers and back as they lie in memory."""
+    number = {"a": "a", "b": "b", "id0": "first.doc_id", "th0": "first.th", "id1": "last.doc_id", "th1": "last.th", "w0": "first.a", "w1": "last.a"}
+
+    def column(path: str):
+        def of(x):
+            for name in path.split("."):
+                x = x[name]
+            return F.coalesce(x.cast("bigint"), F.lit(NO_ID)) if path.endswith("doc_id") else x.cast("bigint")
+
+        return F.transform("items", of)
+
+    rows = items.select("doc_id", "th", *[column(path).alias(name) for name, path in number.items()])
+    factor = pa.struct([(k, pa.int64()) for k in ("start", "length", "ref_id", "ref_th", "ref_start")])
+    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("factors", pa.list_(factor))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [batch.column(k + 2) for k in range(len(number))]
+            ends = lists[0].offsets.to_numpy()
+            flat = [x.values.to_numpy() for x in lists]
+            got = []
+            for k, (i, key) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                got.append(parse((NO_ID if i is None else i, key), *(x[ends[k] : ends[k + 1]] for x in flat)))
+            whole = [np.concatenate([g[c] for g in got]) if got else np.empty(0, np.int64) for c in range(5)]
+            values = [pa.array(x, pa.int64(), mask=(x == NO_ID) if c == 2 else None) for c, x in enumerate(whole)]
+            sizes = np.concatenate(([0], np.cumsum([len(g[0]) for g in got]))).astype(np.int32)
+            listed = pa.ListArray.from_arrays(pa.array(sizes), pa.StructArray.from_arrays(values, fields=list(factor)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), listed], schema=schema)
+
+    small_batches(items.sparkSession)
+    return rows.mapInArrow(run, f"{_KEY}, factors {_FACTORS}")
+
+
+def covered(n: int, starts: list[int], lengths: list[int]) -> np.ndarray:
     """Which of n words the factors cover."""
     edge = np.zeros(n + 1, np.int64)
-    if found:
-        a = np.fromiter((s["start"] for s in found), np.int64, len(found))
-        size = np.fromiter((s["length"] for s in found), np.int64, len(found))
-        np.add.at(edge, a, 1)
-        np.add.at(edge, a + size, -1)
+    a, size = np.array(starts, np.int64), np.array(lengths, np.int64)
+    np.add.at(edge, a, 1)
+    np.add.at(edge, a + size, -1)
     return np.cumsum(edge[:n]) > 0
 
 
@@ -257,19 +291,23 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     def make():
         def fn(cols):
             kept, n, gone, sha = [], [], [], []
-            for t, found in zip(cols[1], cols[2], strict=True):
-                words = (t or "").encode().split()
-                cut = covered(len(words), found)
-                text = b" ".join([w for w, c in zip(words, cut.tolist(), strict=True) if not c] if found else words)
-                kept.append(text.decode())
+            for t, starts, lengths in zip(*cols[1:], strict=True):
+                words, removed = (t or "").encode().split(), 0
                 n.append(len(words))
-                gone.append(int(cut.sum()))
+                if starts:
+                    cut = covered(len(words), starts, lengths)
+                    removed = int(cut.sum())
+                    words = [w for w, c in zip(words, cut.tolist(), strict=True) if not c]
+                text = b" ".join(words)
+                kept.append(text.decode())
+                gone.append(removed)
                 sha.append(hashlib.sha256(text).hexdigest())
             yield [cols[0], kept, n, gone, sha]
 
         return fn
 
-    return map_rows(listed.select("doc_id", "text", "factors"), make, "doc_id bigint, kept string, n_words bigint, n_removed bigint, kept_sha256 string")
+    starts, lengths = F.transform("factors", lambda f: f["start"]).alias("starts"), F.transform("factors", lambda f: f["length"]).alias("lengths")
+    return map_rows(listed.select("doc_id", "text", starts, lengths), make, "doc_id bigint, kept string, n_words bigint, n_removed bigint, kept_sha256 string")
 
 
 def digest(docs: DataFrame) -> DataFrame:
