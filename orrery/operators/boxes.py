@@ -7,6 +7,7 @@ in the cell that holds the corner of its intersection, so no pair comes twice.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 import numpy as np
@@ -19,10 +20,11 @@ from orrery.functions import bbox
 XY = ("x1", "y1", "x2", "y2")
 
 
-def _cells(df: DataFrame, cell: float, prefix: str) -> DataFrame:
-    lo = lambda c: F.floor(F.col(f"{prefix}.{c}") / cell)
-    cells = df.withColumn("_cx", F.explode(F.sequence(lo("x1"), lo("x2"))))
-    return cells.withColumn("_cy", F.explode(F.sequence(lo("y1"), lo("y2"))))
+def _cells(df: DataFrame, cell: float, prefix: str, border: int = 0) -> DataFrame:
+    """A row for each cell that a box touches; border: pixels that count as part of it on its far sides."""
+    at = lambda c, more=0: F.floor((F.col(f"{prefix}.{c}") + more) / cell)
+    cells = df.withColumn("_cx", F.explode(F.sequence(at("x1"), at("x2", border))))
+    return cells.withColumn("_cy", F.explode(F.sequence(at("y1"), at("y2", border))))
 
 
 def pairs(truth: DataFrame, test: DataFrame, by: Sequence[str], cell: float | None = None, disjoint: bool = False, inclusive: bool = False) -> DataFrame:
@@ -31,7 +33,8 @@ def pairs(truth: DataFrame, test: DataFrame, by: Sequence[str], cell: float | No
     b = test.select(*by, F.struct(*[c for c in test.columns if c not in by]).alias("b"))
     keys = list(by)
     if cell and not disjoint:
-        a, b, keys = _cells(a, cell, "a"), _cells(b, cell, "b"), [*by, "_cx", "_cy"]
+        border = 1 if inclusive else 0
+        a, b, keys = _cells(a, cell, "a", border), _cells(b, cell, "b", border), [*by, "_cx", "_cy"]
     joined = a.join(b, keys)
     one = 1 if inclusive else 0
     if not disjoint:
@@ -76,11 +79,17 @@ def recall_curve(best: DataFrame, samples: int = 500) -> DataFrame:
     return filled.select((F.col("k") / F.lit(float(samples - 1))).alias("threshold"), F.try_divide(above, total).alias("recall"))
 
 
-def mine_negatives(proposals: DataFrame, truth: DataFrame, by: Sequence[str], box_id: str, most: int = 50, below: float = 0.1) -> DataFrame:
+def label_pair_counts(truth: DataFrame, test: DataFrame, by: Sequence[str], label: str) -> DataFrame:
+    """(by, label, n): pairs of an image with equal labels, counted from the sides' counts: no pair is made."""
+    a, b = (d.groupBy(*by, label).agg(F.count("*").alias(n)) for d, n in ((truth, "_a"), (test, "_b")))
+    return a.join(b, [*by, label]).select(*by, label, (F.col("_a") * F.col("_b")).alias("n"))
+
+
+def mine_negatives(proposals: DataFrame, truth: DataFrame, by: Sequence[str], box_id: str, most: int = 50, below: float = 0.1, cell: float | None = None) -> DataFrame:
     """Proposals whose best IoU with the image's truth is below a bound (all, if it has none): the first `most` by id."""
     from pyspark.sql import Window
 
-    hit = pairs(proposals, truth, by).where(F.col("iou") >= below).select(*by, F.col(f"a.{box_id}").alias(box_id)).distinct()
+    hit = pairs(proposals, truth, by, cell).where(F.col("iou") >= below).select(*by, F.col(f"a.{box_id}").alias(box_id)).distinct()
     free = proposals.join(hit, [*by, box_id], "left_anti")
     return free.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(box_id))).where(F.col("_r") <= most).drop("_r")
 
@@ -106,15 +115,53 @@ def greedy_nms(boxes: np.ndarray, scores: np.ndarray, ids: np.ndarray, threshold
     return np.array(kept, int)
 
 
-def nms(df: DataFrame, by: Sequence[str], box_id: str, threshold: float = 0.3, inclusive: bool = True, boundary: str = "gt") -> DataFrame:
-    """Greedy suppression in each image: rows kept, all columns. An image's boxes meet in one task, as each decision
-    depends on the earlier ones."""
+#: Boxes of an image above which its suppression is dealt over tasks.
+CROWDED = 20_000
+
+
+def nms(df: DataFrame, by: Sequence[str], box_id: str, threshold: float = 0.3, inclusive: bool = True, boundary: str = "gt", crowded: int = CROWDED, cell: float = 64.0) -> DataFrame:
+    """Greedy suppression in each image: rows kept, all columns. The boxes of an image meet in one task, as each decision
+    depends on the earlier ones; those of an image with more than `crowded` are decided in rounds over pairs (see
+    nms_in_rounds), to the same result. Ids are unique in an image."""
+    full = df.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > crowded).select(*by)
+    rounds = None
+    if full.limit(1).count():
+        rounds = nms_in_rounds(df.join(full, list(by), "left_semi"), by, box_id, threshold, inclusive, boundary, cell)
+        df = df.join(full, list(by), "left_anti")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         kept = greedy_nms(pdf[list(XY)].to_numpy(float), pdf["score"].to_numpy(float), pdf[box_id].to_numpy(), threshold, inclusive, boundary)
         return pdf.iloc[np.sort(kept)]
 
-    return df.groupBy(*by).applyInPandas(run, df.schema)
+    alone = df.groupBy(*by).applyInPandas(run, df.schema)
+    return alone.unionByName(rounds) if rounds is not None else alone
+
+
+def nms_in_rounds(df: DataFrame, by: Sequence[str], box_id: str, threshold: float = 0.3, inclusive: bool = True, boundary: str = "gt", cell: float = 64.0) -> DataFrame:
+    """The same suppression over pairs of boxes that overlap enough, found by grid cells. In each round the boxes that
+    no open box before them overlaps are kept, and the open boxes that a kept one overlaps go. There are as many
+    rounds as the longest chain of such decisions needs; each is checkpointed."""
+    context, spark = df.sparkSession.sparkContext, df.sparkSession
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="orrery-checkpoint-"))
+    keys = [*by, box_id]
+    slim = df.select(*keys, *XY, "score")
+    over = F.col("iou") > threshold if boundary == "gt" else F.col("iou") >= threshold
+    first = (F.col("a.score") > F.col("b.score")) | ((F.col("a.score") == F.col("b.score")) & (F.col(f"a.{box_id}") < F.col(f"b.{box_id}")))
+    edges = pairs(slim, slim, by, cell, inclusive=inclusive).where(over & first).select(*by, F.col(f"a.{box_id}").alias("_a"), F.col(f"b.{box_id}").alias("_b")).checkpoint()
+    ids = lambda d, c: d.select(*by, F.col(c).alias(box_id)).distinct()
+    still = lambda e, d, c: e.join(d.withColumnRenamed(box_id, c), [*by, c], "left_semi")
+    open_, kept = slim.select(*keys).checkpoint(), None
+    while open_.limit(1).count():
+        now = open_.join(ids(edges, "_b"), keys, "left_anti").checkpoint()
+        gone = ids(still(edges, now, "_a"), "_b")
+        open_ = open_.join(now, keys, "left_anti").join(gone, keys, "left_anti").checkpoint()
+        edges = still(still(edges, open_, "_a"), open_, "_b").checkpoint()
+        kept = now if kept is None else kept.union(now)
+    return df.join(kept, keys, "left_semi") if kept is not None else df.where("false")
 
 
 def points_in_boxes(points: DataFrame, boxes: DataFrame, by: Sequence[str] = (), cell: float = 32.0) -> DataFrame:
@@ -172,8 +219,8 @@ def hull_order(points: np.ndarray) -> np.ndarray:
 
 
 def convex_hull(points: DataFrame, by: Sequence[str], ccw: bool = True) -> DataFrame:
-    """(by, pos, x, y): the hull of each group. With ccw=False in reverse, as images have y down. Groups are first cut to
-    their extreme points in 64 directions' worth of x order on the executors' side: the least and greatest y of each x."""
+    """(by, pos, x, y): the hull of each group. With ccw=False in reverse, as images have y down. Of each x only the
+    least and the greatest y go to the task of the group."""
     extreme = points.groupBy(*by, "x").agg(F.min("y").alias("lo"), F.max("y").alias("hi"))
     slim = extreme.select(*by, "x", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("y"))
     fields = ", ".join(f"`{c}` {slim.schema[c].dataType.simpleString()}" for c in by)

@@ -51,41 +51,59 @@ def report(df: DataFrame, y: str, p: str, background=None) -> DataFrame:
     return per.select("label", "precision", "recall", "f1", "support").unionByName(total.select("label", "precision", "recall", "f1", "support"))
 
 
+#: Blocks of scores that a curve is cut into.
+CUTS = 256
+
+
 def _by_score(df: DataFrame, by: Sequence[str], score: str, positive: Column) -> DataFrame:
-    """Running true and false positives at each distinct score, from the top. Ties are counted together first, so the windows
-    run over distinct scores."""
+    """Positives and negatives at each distinct score (p, q), and running (tp, fp) from the top. Ties are counted together first.
+    Scores are cut into blocks at approximate quantiles; running counts are those of the block and of the blocks above it,
+    so no task holds all of a curve's scores."""
     ties = df.groupBy(*by, F.col(score).alias("score")).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("q"))
-    w = Window.partitionBy(*by).orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    key = F.col("score").cast("double")
+    shares = [(i + 1) / CUTS for i in range(CUTS - 1)]
+    marks = sorted(set(df.agg(F.percentile_approx(F.col(score).cast("double"), shares, 10_000)).first()[0] or []))
+    block = F.size(F.filter(F.array(*[F.lit(m) for m in marks]).cast("array<double>"), lambda m: m < key)) if marks else F.lit(0)
+    cut = ties.withColumn("_block", F.when(key.isNull(), -1).otherwise(block))
+    # at most CUTS + 1 rows a curve
+    sums = cut.groupBy(*by, "_block").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    above = Window.partitionBy(*by).orderBy(F.col("_block").desc()).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)
-    return ties.select(*by, "score", F.sum("p").over(w).alias("tp"), F.sum("q").over(w).alias("fp"), F.sum("p").over(whole).alias("P"), F.sum("q").over(whole).alias("N"))
+    before = [F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"_{c}") for c in "pq"]
+    sums = sums.select(*by, "_block", *before, F.sum("p").over(whole).alias("_P_all"), F.sum("q").over(whole).alias("_N_all"))
+    inner = Window.partitionBy(*by, "_block").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    run = cut.select(*by, "_block", "score", "p", "q", F.sum("p").over(inner).alias("_tp"), F.sum("q").over(inner).alias("_fp"))
+    on = F.lit(True)
+    for c in [*by, "_block"]:
+        on = on & F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}"))
+    joined = run.alias("r").join(sums.alias("s"), on)
+    return joined.select(*[F.col(f"r.{c}") for c in by], "score", "r.p", "r.q", (F.col("_tp") + F.col("_p")).alias("tp"), (F.col("_fp") + F.col("_q")).alias("fp"), F.col("_P_all").alias("pos"), F.col("_N_all").alias("neg"))
 
 
 def pr_curve(df: DataFrame, by: Sequence[str], score: str, positive: Column) -> DataFrame:
     """(score, precision, recall) at each distinct score."""
     c = _by_score(df, by, score, positive)
-    return c.select(*by, "score", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), F.coalesce(F.try_divide(F.col("tp"), F.col("P")), F.lit(0.0)).alias("recall"))
+    return c.select(*by, "score", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), F.coalesce(F.try_divide(F.col("tp"), F.col("pos")), F.lit(0.0)).alias("recall"))
 
 
 def average_precision(df: DataFrame, by: Sequence[str], score: str, positive: Column) -> DataFrame:
     """Sum of recall steps times precision."""
-    c = pr_curve(df, by, score, positive)
-    w = Window.partitionBy(*by).orderBy(F.col("score").desc())
-    step = F.col("recall") - F.coalesce(F.lag("recall").over(w), F.lit(0.0))
-    return c.withColumn("_a", step * F.col("precision")).groupBy(*by).agg(F.sum("_a").alias("ap"))
+    c = _by_score(df, by, score, positive)
+    step = F.coalesce(F.try_divide(F.col("p"), F.col("pos")), F.lit(0.0))
+    return c.groupBy(*by).agg(F.sum(step * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("ap"))
 
 
 def roc_curve(df: DataFrame, by: Sequence[str], score: str, positive: Column) -> DataFrame:
     c = _by_score(df, by, score, positive)
-    return c.select(*by, "score", F.try_divide("fp", "N").alias("fpr"), F.try_divide("tp", "P").alias("tpr"))
+    return c.select(*by, "score", F.try_divide("fp", "neg").alias("fpr"), F.try_divide("tp", "pos").alias("tpr"))
 
 
 def roc_auc(df: DataFrame, by: Sequence[str], score: str, positive: Column) -> DataFrame:
     """Trapezoids under the curve; null without both classes."""
-    c = roc_curve(df, by, score, positive)
-    w = Window.partitionBy(*by).orderBy(F.col("score").desc())
-    x0, y0 = F.coalesce(F.lag("fpr").over(w), F.lit(0.0)), F.coalesce(F.lag("tpr").over(w), F.lit(0.0))
-    area = (F.col("fpr") - x0) * (F.col("tpr") + y0) / 2
-    return c.withColumn("_a", area).groupBy(*by).agg(F.sum("_a").alias("auc"))
+    c = _by_score(df, by, score, positive)
+    # a step is as wide as its negatives' share, as high as the true positives before and with it in the mean
+    area = F.try_divide(F.col("q"), F.col("neg")) * F.try_divide(2 * F.col("tp") - F.col("p"), 2 * F.col("pos"))
+    return c.groupBy(*by).agg(F.sum(area).alias("auc"))
 
 
 def one_against_rest(df: DataFrame, y: str, scores: str, classes: Sequence) -> DataFrame:
@@ -98,7 +116,7 @@ def one_against_rest(df: DataFrame, y: str, scores: str, classes: Sequence) -> D
 def micro_macro(rows: DataFrame) -> DataFrame:
     """rows (class, score, positive) -> (class, ap) for each class with a positive, and rows 'micro' and 'macro'."""
     present = rows.groupBy("class").agg(F.count_if("positive").alias("n")).where("n > 0").select("class")
-    rows = rows.join(F.broadcast(present.limit(10_000)), "class")
+    rows = rows.join(present, "class")
     per = average_precision(rows, ["class"], "score", F.col("positive")).select(F.col("class").cast("string").alias("class"), "ap")
     micro = average_precision(rows.withColumn("_all", F.lit(0)), ["_all"], "score", F.col("positive")).select(F.lit("micro").alias("class"), "ap")
     macro = per.agg(F.avg("ap").alias("ap")).select(F.lit("macro").alias("class"), "ap")

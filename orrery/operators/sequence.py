@@ -28,13 +28,26 @@ def index_within(df: DataFrame, by: Sequence[str], order: Sequence[str], name: s
 def index_all(df: DataFrame, order: str, ties: Sequence[str] = (), name: str = "idx", cuts: int = CUTS) -> DataFrame:
     """0, 1, ... over all rows by a numeric or timestamp column (then ties; nulls first), without one task for all.
 
-    Blocks are cut at approximate quantiles of the column (literals, so a retried task cuts alike); each block is numbered
-    on its own and moved by the count of the blocks before it. At most `cuts` counts are broadcast.
+    Blocks are cut at approximate quantiles of the column, and a value that fills several blocks at those of the first tie,
+    where that is a number (literals, so a retried task cuts alike); each block is numbered on its own and moved by the
+    count of the blocks before it. At most about 2 * `cuts` counts are broadcast.
     """
+    shares = [(i + 1) / cuts for i in range(cuts - 1)]
     key = F.col(order).cast("double")
-    marks = sorted({m for m in (df.agg(F.percentile_approx(key, [(i + 1) / cuts for i in range(cuts - 1)], 10_000)).first()[0] or [])})
-    block = F.coalesce(F.size(F.filter(F.array(*[F.lit(m) for m in marks]).cast("array<double>"), lambda m: m < key)), F.lit(-1)) if marks else F.lit(0)
-    cut = df.withColumn("_block", F.when(key.isNull(), -1).otherwise(block))
+    found = df.agg(F.percentile_approx(key, shares, 10_000)).first()[0] or []
+    marks = sorted(set(found))
+    inside = lambda x, at: F.size(F.filter(F.array(*[F.lit(m) for m in at]).cast("array<double>"), lambda m: m < x)) if at else F.lit(0)
+    block = F.when(key.isNull(), -1).otherwise(F.coalesce(inside(key, marks), F.lit(-1)))
+    # blocks (k, j): the k-th range of the column; j-th range of the tie for values that were a mark more than once
+    sub = F.lit(0)
+    many = [m for m in marks if found.count(m) > 1]
+    if many and ties and dict(df.dtypes)[ties[0]] in ("tinyint", "smallint", "int", "bigint", "float", "double"):
+        tie = F.col(ties[0]).cast("double")
+        block = 3 * block + F.when(key.isin(many), 1).otherwise(0)
+        for m, at in [(r["k"], r["at"]) for r in df.where(key.isin(many)).groupBy(key.alias("k")).agg(F.percentile_approx(tie, shares, 10_000).alias("at")).collect()]:
+            few = sorted(set(at[:: max(1, cuts // (found.count(m) + 1))]))
+            sub = F.when(key == m, F.when(tie.isNull(), -1).otherwise(inside(tie, few))).otherwise(sub)
+    cut = df.withColumn("_block", F.struct(block.alias("k"), sub.alias("j")))
     counts = cut.groupBy("_block").agg(F.count("*").alias("_n"))
     offset = F.coalesce(F.sum("_n").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.select(F.col("_block").alias("_b"), offset.alias("_offset"))
@@ -135,6 +148,14 @@ def roundrobin(streams: Sequence[DataFrame], order: Sequence[str]) -> DataFrame:
     return out
 
 
+def roundrobin_by(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """Interleaves the streams of a key's values, in the values' order: src and turn give the order (turn, src). The window
+    that numbers the streams runs over distinct values only."""
+    kinds = df.select(key).distinct().withColumn("src", (F.row_number().over(Window.orderBy(key)) - 1).cast("int"))
+    turn = (F.row_number().over(_w([key], order)) - 1).cast("bigint")
+    return df.withColumn("turn", turn).join(kinds, key)
+
+
 def powerset(items: Column) -> Column:
     """All subsets of a short array (up to 20 items), by size, then by place."""
     n = F.least(F.size(items), F.lit(20))
@@ -216,8 +237,12 @@ def latest_keys(df: DataFrame, key: str, order: str, n: int) -> DataFrame:
 
 
 def first_seen_ids(df: DataFrame, label: str, order: str, name: str = "id") -> DataFrame:
-    """(label, id): dense ids in order of first sight. The window runs over distinct labels only."""
+    """(label, id): dense ids in order of first sight, by blocks of the order where it is a number or time; otherwise by one
+    window over the distinct labels."""
     first = df.groupBy(label).agg(F.min(order).alias("first"))
+    kinds = dict(first.dtypes)
+    if kinds["first"] in ("bigint", "int", "double", "timestamp"):
+        return index_all(first, "first", [label], name)
     return first.withColumn(name, (F.row_number().over(Window.orderBy("first", label)) - 1).cast("bigint"))
 
 
@@ -233,8 +258,37 @@ def random_pick(df: DataFrame, r: int, seed: int = 1, replace: bool = False) ->
         return df.orderBy(F.rand(seed)).limit(r)
     n = df.count()
     draws = df.sparkSession.range(r).select((F.rand(seed) * n).cast("bigint").alias("_draw"), F.col("id").alias("draw"))
-    place = F.row_number().over(Window.orderBy(*df.columns)) - 1
-    return draws.join(df.withColumn("_draw", place.cast("bigint")), "_draw").drop("_draw")
+    place = df.withColumn("_hash", F.xxhash64(*df.columns))
+    return draws.join(index_all(place, "_hash", df.columns, "_draw"), "_draw").drop("_draw", "_hash")
+
+
+def random_order(df: DataFrame, r: int | None = None, seed: int = 1, name: str = "idx") -> DataFrame:
+    """A random permutation of all rows, or its first r: idx is the place. Rows get a seeded number by a hash of their
+    columns, so the order doesn't depend on how they are dealt."""
+    placed = df.withColumn("_hash", F.xxhash64(F.lit(seed), *df.columns))
+    out = index_all(placed, "_hash", df.columns, name).drop("_hash")
+    return out if r is None else out.where(F.col(name) < r)
+
+
+def random_combination(df: DataFrame, r: int, order: Sequence[str], seed: int = 1) -> DataFrame:
+    """r rows of a random permutation, in the rows' own order."""
+    picked = random_order(df, r, seed, "_pick").drop("_pick")
+    return picked.withColumn("idx", (F.row_number().over(Window.orderBy(*order)) - 1).cast("bigint"))
+
+
+def random_product(pools: Sequence[DataFrame], repeat: int = 1, seed: int = 1) -> DataFrame:
+    """One random row of each pool, `repeat` times: (pool, row) with the row as JSON."""
+    out = None
+    for k in range(repeat * len(pools)):
+        pool = pools[k % len(pools)]
+        row = random_order(pool, 1, seed + k, "_p").select(F.lit(k).alias("pool"), F.to_json(F.struct(*pool.columns)).alias("row"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def repeated(df: DataFrame, times: int, name: str = "call") -> DataFrame:
+    """Each row `times` times, numbered: what a function gives that is called again and again."""
+    return df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(times - 1)).cast("array<bigint>"))) if times > 0 else df.withColumn(name, F.lit(0).cast("bigint")).where("false")
 
 
 def best_so_far(df: DataFrame, by: Sequence[str], order: Sequence[str], loss: str, every: int = 1) -> DataFrame:

@@ -35,6 +35,13 @@ def union_scenes(scenes: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [d.withColumn("scene", F.lit(k)) for k, d in scenes.items()])
 
 
+def with_all(df: DataFrame, small: DataFrame, most: int = 10_000) -> DataFrame:
+    """Each row with each row of a small dimension, as centroids are: more than `most` of these are an error."""
+    if small.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows to compare each row with")
+    return df.join(F.broadcast(small))
+
+
 def range_lookup(df: DataFrame, key: str, ranges: DataFrame, lo: str = "lo", hi: str = "hi", most: int = 10_000) -> DataFrame:
     """Left join to the row whose lo <= key <= hi. Ranges are a small dimension: more than `most` rows are an error,
     so broadcasting them is safe."""

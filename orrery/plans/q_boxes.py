@@ -24,19 +24,18 @@ pairs AS (SELECT *, i / (area_a + area_b - i) AS iou FROM inter)"""
 
 @query("bbox_iou_match", f"WITH {PAIRS} SELECT image_id, truth_id, test_id, {rs('iou')} AS iou FROM pairs WHERE iou > 0.5 AND truth_label = test_label")
 def bbox_iou_match(spark, sf):
-    got = B.matches(truth(spark, sf), test(spark, sf), ["image_id"], 0.5, "label")
+    got = B.matches(truth(spark, sf), test(spark, sf), ["image_id"], 0.5, "label", cell=_CELL)
     return got.select("image_id", F.col("a.box_id").alias("truth_id"), F.col("b.box_id").alias("test_id"), r(F.col("iou")).alias("iou"))
 
 
 @query("bbox_match_any_label", f"WITH {PAIRS} SELECT image_id, count(*) AS n, {rs('sum(iou)', 4)} AS total FROM pairs WHERE iou > 0.5 GROUP BY image_id")
 def bbox_match_any_label(spark, sf):
-    return B.matches(truth(spark, sf), test(spark, sf), ["image_id"], 0.5).groupBy("image_id").agg(F.count("*").alias("n"), r(F.sum("iou"), 4).alias("total"))
+    return B.matches(truth(spark, sf), test(spark, sf), ["image_id"], 0.5, cell=_CELL).groupBy("image_id").agg(F.count("*").alias("n"), r(F.sum("iou"), 4).alias("total"))
 
 
 @query("bbox_label_pairs", f"WITH {BOXES} SELECT a.image_id, a.label, count(*) AS n FROM truth a JOIN test b ON a.image_id = b.image_id AND a.label = b.label GROUP BY ALL")
 def bbox_label_pairs(spark, sf):
-    t, s = (d(spark, sf).groupBy("image_id", "label").agg(F.count("*").alias(n)) for d, n in ((truth, "a"), (test, "b")))
-    return t.join(s, ["image_id", "label"]).select("image_id", "label", (F.col("a") * F.col("b")).alias("n"))
+    return B.label_pair_counts(truth(spark, sf), test(spark, sf), ["image_id"], "label")
 
 
 BEST = PAIRS + ", best AS (SELECT t.image_id, t.box_id, coalesce(max(p.iou), 0.0) AS iou FROM truth t LEFT JOIN pairs p ON p.image_id = t.image_id AND p.truth_id = t.box_id GROUP BY ALL)"
@@ -44,7 +43,7 @@ BEST = PAIRS + ", best AS (SELECT t.image_id, t.box_id, coalesce(max(p.iou), 0.0
 
 @query("bbox_best_match", f"WITH {BEST} SELECT image_id, box_id, {rs('iou')} AS iou FROM best")
 def bbox_best_match(spark, sf):
-    return B.best_iou(truth(spark, sf), test(spark, sf), ["image_id"], "box_id").select("image_id", "box_id", r(F.col("iou")).alias("iou"))
+    return B.best_iou(truth(spark, sf), test(spark, sf), ["image_id"], "box_id", cell=_CELL).select("image_id", "box_id", r(F.col("iou")).alias("iou"))
 
 
 @query(
@@ -52,7 +51,7 @@ def bbox_best_match(spark, sf):
     f"WITH {BEST} SELECT {rs('k / 499.0::DOUBLE', 9)} AS threshold, {rs('avg(CASE WHEN iou >= k / 499.0::DOUBLE THEN 1.0 ELSE 0.0 END)', 9)} AS recall FROM best, range(500) g(k) GROUP BY k",
 )
 def bbox_recall_curve(spark, sf):
-    curve = B.recall_curve(B.best_iou(truth(spark, sf), test(spark, sf), ["image_id"], "box_id"))
+    curve = B.recall_curve(B.best_iou(truth(spark, sf), test(spark, sf), ["image_id"], "box_id", cell=_CELL))
     return curve.select(r(F.col("threshold"), 9).alias("threshold"), r(F.col("recall"), 9).alias("recall"))
 
 
@@ -91,7 +90,7 @@ SELECT image_id, count(*) AS n, {rs("sum(w * h / (areas - w * h))", 4)} AS total
 )
 def bbox_iou_inclusive(spark, sf):
     """Overlaps by the convention that counts border pixels."""
-    return B.pairs(truth(spark, sf), test(spark, sf), ["image_id"], inclusive=True).groupBy("image_id").agg(F.count("*").alias("n"), r(F.sum("iou"), 4).alias("total"))
+    return B.pairs(truth(spark, sf), test(spark, sf), ["image_id"], cell=_CELL, inclusive=True).groupBy("image_id").agg(F.count("*").alias("n"), r(F.sum("iou"), 4).alias("total"))
 
 
 @query(
@@ -114,18 +113,29 @@ QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY box_id) <= 50""",
 )
 def mine_negatives(spark, sf):
     """Away from the confident truth boxes; at most fifty an image."""
-    return B.mine_negatives(test(spark, sf), truth(spark, sf).where("score > 0.09"), ["image_id"], "box_id").select("image_id", "box_id", *B.XY)
+    return B.mine_negatives(test(spark, sf), truth(spark, sf).where("score > 0.09"), ["image_id"], "box_id", cell=_CELL).select("image_id", "box_id", *B.XY)
 
 
-@query("nms_inclusive")
+def _nms_sql(compare: str) -> str:
+    """The greedy walk, image by image: each step adds the next box by rank unless a kept one overlaps it."""
+    w, h = "(least(k.x2, r.x2) - greatest(k.x1, r.x1) + 1)", "(least(k.y2, r.y2) - greatest(k.y1, r.y1) + 1)"
+    common = f"(greatest({w}, 0) * greatest({h}, 0))"
+    return f"""WITH RECURSIVE {BOXES}, ranked AS (SELECT *, (x2 - x1 + 1) * (y2 - y1 + 1) AS area, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, box_id) AS rk FROM boxes),
+walk AS (SELECT image_id, CAST(0 AS BIGINT) AS rk, CAST([] AS STRUCT(box_id BIGINT, x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE, area DOUBLE)[]) AS kept FROM boxes GROUP BY image_id
+ UNION ALL SELECT r.image_id, r.rk, CASE WHEN len(list_filter(w.kept, lambda k: {common} {compare} 0.3 * (k.area + r.area - {common}))) > 0 THEN w.kept
+   ELSE list_append(w.kept, {{'box_id': r.box_id, 'x1': r.x1, 'y1': r.y1, 'x2': r.x2, 'y2': r.y2, 'area': r.area}}) END
+ FROM walk w JOIN ranked r ON r.image_id = w.image_id AND r.rk = w.rk + 1)
+SELECT image_id, unnest(list_transform(kept, lambda k: k.box_id)) AS box_id FROM (SELECT image_id, arg_max(kept, rk) AS kept FROM walk GROUP BY image_id)"""
+
+
+@query("nms_inclusive", _nms_sql(">"))
 def nms_inclusive(spark, sf):
-    """Whole images. SQL would walk a list for each box, which is too slow; tests hold it against a plain loop."""
     return B.nms(boxes(spark, sf), ["image_id"], "box_id", 0.3).select("image_id", "box_id")
 
 
-@query("nms_whole_images")
+@query("nms_whole_images", _nms_sql(">="))
 def nms_whole_images(spark, sf):
-    """All boxes of each image, suppressing at the threshold too."""
+    """Suppressing at the threshold too."""
     return B.nms(boxes(spark, sf), ["image_id"], "box_id", 0.3, boundary="ge").select("image_id", "box_id")
 
 

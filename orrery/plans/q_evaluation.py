@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions import vec
 from orrery.operators import metrics as M
+from orrery.operators import zips as Z
 from orrery.plans.fixtures import RANKED, r, ranked, rs, table
 from orrery.plans.registry import query
 
@@ -156,8 +157,8 @@ def nearest_centroid(spark, sf):
     e = _emb(spark, sf)
     parts = e.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("x"))
     c = parts.groupBy(F.col("label").alias("p")).agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("r")).select("p", F.transform("r", lambda t: t["x"]).alias("c"))
-    # one centroid a label: the labels' number bounds what is broadcast
-    d = e.join(F.broadcast(c.limit(10_000))).withColumn("d", F.round(vec.array_distance(F.col("v"), F.col("c")), 9))
+    # one centroid a label
+    d = Z.with_all(e, c).withColumn("d", F.round(vec.array_distance(F.col("v"), F.col("c")), 9))
     return d.groupBy("vec_id", F.col("label").alias("y")).agg(F.min(F.struct("d", "p")).alias("m")).select("vec_id", "y", F.col("m.p").alias("p"))
 
 

@@ -215,9 +215,9 @@ def object_bbox(spark, sf):
     return a.where(ok).select("obj", "x0", "y0", "x1", "y1", r(F.col("d"), 5).alias("depth"))
 
 
-@query("median_depth", f"WITH {_PTS} SELECT p_partkey % 20 AS obj, {rs('median(z)', 5)} AS depth FROM pts WHERE p_partkey % 10 = 0 GROUP BY 1")
+@query("median_depth", f"WITH {_PTS} SELECT p_partkey % 20 AS obj, {rs('median(z)', 5)} AS depth FROM pts GROUP BY 1")
 def median_depth(spark, sf):
-    return _points(spark, sf).where("p_partkey % 10 = 0").groupBy((F.col("p_partkey") % 20).alias("obj")).agg(r(F.median("z"), 5).alias("depth"))
+    return _points(spark, sf).groupBy((F.col("p_partkey") % 20).alias("obj")).agg(r(F.median("z"), 5).alias("depth"))
 
 
 @query("discretized_projection", f"{_PROJ} SELECT CAST(floor(u / 4) AS BIGINT) AS cx, CAST(floor(v / 4) AS BIGINT) AS cy, {rs('min(z)', 5)} AS depth FROM p WHERE u >= 0 AND u < 640 AND v >= 0 AND v < 480 GROUP BY 1, 2")
@@ -287,7 +287,7 @@ def epipolar_lines(spark, sf):
     return got.select("event_id", r(F.col("l")[0], 5).alias("a"), r(F.col("l")[1], 5).alias("b"), r(F.col("l")[2], 3).alias("c"))
 
 
-@query("two_view_triangulation", f"WITH {_PTS} SELECT p_partkey, {rs('x', 4)} AS x, {rs('y', 4)} AS y, {rs('z', 4)} AS z FROM pts WHERE z > 0.5")
+@query("two_view_triangulation", f"WITH {_PTS} SELECT p_partkey, {rs('x', 4)} AS x, {rs('y', 4)} AS y, {rs('z', 4)} AS z, true AS agrees FROM pts WHERE z > 0.5")
 def two_view_triangulation(spark, sf):
     """Points come back from their two projections; the fundamental matrix agrees with them."""
     pts = _points(spark, sf).where("z > 0.5")
@@ -297,7 +297,7 @@ def two_view_triangulation(spark, sf):
     got = mats.withColumn("f", C.fundamental(F.col("pa"), F.col("pb"))).withColumn("t", L.triangulate(F.col("pa"), F.array("a.u", "a.v"), F.col("pb"), F.array("b.u", "b.v")))
     line = C.epipolar_line(F.col("f"), F.array(F.col("a.u"), F.col("a.v"), F.lit(1.0)))
     off = F.abs(vec.array_dot(line, F.array(F.col("b.u"), F.col("b.v"), F.lit(1.0))))
-    return got.where(off < 1e-3).select("p_partkey", *[r(F.col("t")[i], 4).alias(k) for i, k in enumerate("xyz")])
+    return got.select("p_partkey", *[r(F.col("t")[i], 4).alias(k) for i, k in enumerate("xyz")], (off < 1e-3).alias("agrees"))
 
 
 @query("frustum_containment", f"WITH {_PTS} SELECT p_partkey, z >= 0.5 AND z <= 5 AND abs(x) <= 0.638 * z AND abs(y) <= 0.478 * z AS inside FROM pts WHERE abs(abs(x) - 0.638 * z) > 1e-6 AND abs(abs(y) - 0.478 * z) > 1e-6")
@@ -307,18 +307,23 @@ def frustum_containment(spark, sf):
     return got.select("p_partkey", C.inside_planes(F.col("planes"), _v("x", "y", "z")).alias("inside"))
 
 
+_TURN = ", ".join(f"{e} AS {k}" for e, k in zip(multiply_sql("n.q", "l.q", -1), "xyzw", strict=True))
+
+
 @query(
     "keyframe_sample",
     f"""WITH RECURSIVE {POSES}, few AS (SELECT * FROM poses),
 walk AS (SELECT traj_id, idx, idx AS last FROM few WHERE idx = 0
- UNION ALL SELECT n.traj_id, n.idx, CASE WHEN sqrt(power(n.tx - l.tx, 2) + power(n.ty - l.ty, 2) + power(n.tz - l.tz, 2)) < 120 AND 2 * acos(least(1.0, abs(n.qx*l.qx + n.qy*l.qy + n.qz*l.qz + n.qw*l.qw))) < 100 THEN w.last ELSE n.idx END
- FROM walk w JOIN few n ON n.traj_id = w.traj_id AND n.idx = w.idx + 1 JOIN few l ON l.traj_id = w.traj_id AND l.idx = w.last)
+ UNION ALL SELECT traj_id, idx, CASE WHEN d < 120 AND abs(atan2(2 * (x * w - y * z), 1 - 2 * (x * x + y * y))) < 0.6123 AND abs(asin(greatest(-1.0, least(1.0, 2 * (x * z + y * w))))) < 0.6123
+   AND abs(atan2(2 * (z * w - x * y), 1 - 2 * (y * y + z * z))) < 0.6123 THEN last ELSE idx END
+ FROM (SELECT n.traj_id, n.idx, k.last, sqrt(power(n.tx - l.tx, 2) + power(n.ty - l.ty, 2) + power(n.tz - l.tz, 2)) AS d, {_TURN}
+   FROM walk k JOIN few n ON n.traj_id = k.traj_id AND n.idx = k.idx + 1 JOIN few l ON l.traj_id = k.traj_id AND l.idx = k.last) s)
 SELECT traj_id, idx FROM walk WHERE idx = last""",
 )
 def keyframe_sample(spark, sf):
-    """Gate by distance from the last accepted pose; the turn is left open."""
+    """Gates by distance and turn from the last accepted pose."""
     few = PO.flat(poses(spark, sf)).drop("event_id")
-    return PO.sample_poses(few, ["traj_id"], "idx", displacement=120.0, theta=100.0, history=1).select("traj_id", "idx")
+    return PO.sample_poses(few, ["traj_id"], "idx", displacement=120.0, theta=0.6123, history=1).select("traj_id", "idx")
 
 
 @query("keyframe_sample_history")

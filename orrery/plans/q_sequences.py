@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from orrery.operators import poses as PO
 from orrery.operators import sequence as S
 from orrery.operators import zips as Z
-from orrery.plans.fixtures import FRAMES, frames, poses, r, rs, table
+from orrery.plans.fixtures import FRAMES, POSES, frames, poses, r, rotate_sql, rs, table
 from orrery.plans.registry import query
 
 
@@ -121,9 +121,7 @@ def seq_grouper(spark, sf):
     "SELECT event_id, CAST(dense_rank() OVER (ORDER BY event_type) - 1 AS INTEGER) AS src, CAST(row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS BIGINT) AS turn FROM events",
 )
 def seq_roundrobin(spark, sf):
-    e = events(spark, sf)
-    kinds = [x[0] for x in e.select("event_type").distinct().orderBy("event_type").limit(1000).collect()]
-    return S.roundrobin([e.where(F.col("event_type") == k).select("event_id") for k in kinds], ["event_id"])
+    return S.roundrobin_by(events(spark, sf).select("event_type", "event_id"), "event_type", ["event_id"]).select("event_id", "src", "turn")
 
 
 @query(
@@ -244,15 +242,40 @@ def union_scenes(spark, sf):
 )
 def asof_join(spark, sf):
     e = events(spark, sf).select("user_id", "event_id", "event_type")
-    kinds = sorted(x[0] for x in e.select("event_type").distinct().collect())
-    left, right = e.where(F.col("event_type") == kinds[0]), e.where(F.col("event_type") == kinds[-1])
+    lo, hi = e.agg(F.min("event_type"), F.max("event_type")).first()
+    left, right = e.where(F.col("event_type") == lo), e.where(F.col("event_type") == hi)
     return Z.asof(left, right, ["user_id"], "event_id", []).select("event_id", F.coalesce("match.ts", F.lit(-1).cast("bigint")).alias("before"))
 
 
-@query("pose_accumulator", f"WITH {FRAMES} SELECT traj_id, idx FROM frames QUALIFY row_number() OVER (PARTITION BY traj_id ORDER BY idx DESC) <= 10")
+_REL = rotate_sql("a.q", ("(b.tx - a.tx)", "(b.ty - a.ty)", "(b.tz - a.tz)"), -1)
+
+
+@query(
+    "pose_accumulator",
+    f"WITH {POSES} SELECT b.traj_id, b.idx, {', '.join(f'{rs(e, 5)} AS {k}' for e, k in zip(_REL, ('tx', 'ty', 'tz'), strict=True))}, count(*) OVER (PARTITION BY b.traj_id) AS total FROM poses b JOIN poses a ON a.traj_id = b.traj_id AND a.idx = 0 QUALIFY row_number() OVER (PARTITION BY b.traj_id ORDER BY b.idx DESC) <= 10",
+)
 def pose_accumulator(spark, sf):
-    """The newest ten poses of each trajectory."""
-    return S.last_n(PO.relative_to_first(poses(spark, sf), ["traj_id"], "idx"), ["traj_id"], ["idx"], 10).select("traj_id", "idx")
+    """The newest ten poses of each trajectory, from its first one."""
+    got = S.last_n(PO.relative_to_first(poses(spark, sf), ["traj_id"], "idx"), ["traj_id"], ["idx"], 10)
+    return got.select("traj_id", "idx", *[r(F.col(f"rel.t.{k}"), 5).alias(f"t{k}") for k in "xyz"], "total")
+
+
+@query("seq_random_order", "SELECT CAST(count(*) AS BIGINT) AS n, CAST(min(event_id) AS BIGINT) AS lo, CAST(max(event_id) AS BIGINT) AS hi, CAST(count(*) - 1 AS BIGINT) AS last, true AS moved FROM events")
+def seq_random_order(spark, sf):
+    """A permutation: every row once, dense places, another order."""
+    got = S.random_order(events(spark, sf).select("event_id"))
+    return got.agg(F.countDistinct("event_id").alias("n"), F.min("event_id").alias("lo"), F.max("event_id").alias("hi"), F.max("idx").alias("last"), (F.count_if(F.col("idx") != F.col("event_id")) > F.count("*") / 2).alias("moved"))
+
+
+@query("seq_repeated", "SELECT event_id, unnest(range(3)) AS call FROM events")
+def seq_repeated(spark, sf):
+    return S.repeated(events(spark, sf).select("event_id"), 3)
+
+
+@query("seq_index_with_ties", "SELECT event_id, CAST(row_number() OVER (ORDER BY user_id % 3, event_id) - 1 AS BIGINT) AS idx FROM events")
+def seq_index_with_ties(spark, sf):
+    """A global index where three values are all there is: blocks are cut by the tie."""
+    return S.index_all(events(spark, sf).select("event_id", (F.col("user_id") % 3).alias("k")), "k", ["event_id"]).select("event_id", "idx")
 
 
 @query("window_sessions", "SELECT CAST(user_id AS BIGINT) AS user_id, count(*) AS sessions FROM (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events) WHERE p IS NULL OR ts > p + INTERVAL 1 HOUR GROUP BY user_id")

@@ -112,11 +112,13 @@ def json_dict(spark: SparkSession, path: str) -> DataFrame:
 
 
 def yaml_dict(spark: SparkSession, path: str) -> DataFrame:
-    """One row a YAML document; read as plain data (no objects are built) and handed on as JSON. For settings: at most
-    1000 files."""
+    """One row a YAML document; read as plain data (no objects are built) and handed on as JSON. For settings: more than 1000
+    files are an error."""
     import yaml
 
-    whole = [r[0] for r in spark.read.text(path, wholetext=True).limit(1000).collect()]
+    whole = [r[0] for r in spark.read.text(path, wholetext=True).limit(1001).collect()]
+    if len(whole) > 1000:
+        raise ValueError("more than 1000 YAML files: these are no settings")
     docs = [(json.dumps(d),) for t in whole for d in yaml.safe_load_all(t)]
     raw = spark.createDataFrame(docs, "value string")
     if not docs:
