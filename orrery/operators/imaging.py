@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -224,6 +224,33 @@ def pixels(df: DataFrame, keep: list[str], col: str = "image") -> DataFrame:
     return sent.mapInPandas(run, f"{fields}{', ' if keep else ''}x int, y int, value double")
 
 
+def keypoints(points: DataFrame, size: float = 1.0) -> DataFrame:
+    """Points (x, y) as keypoints: a struct of x, y and size in place of both."""
+    return points.withColumn("keypoint", F.struct(F.col("x").cast("float").alias("x"), F.col("y").cast("float").alias("y"), F.lit(size).cast("float").alias("size"))).drop("x", "y")
+
+
+def keypoint_places(df: DataFrame) -> DataFrame:
+    """Keypoints as points (x, y)."""
+    return df.select(*[c for c in df.columns if c != "keypoint"], "keypoint.x", "keypoint.y")
+
+
+def depth_mesh(depth: DataFrame, camera: Column, step: int = 1) -> DataFrame:
+    """Depth pixels (x, y, value) to points: every step-th column and row, as (x, y, point) with their places in the picture."""
+    from orrery.functions import camera as C
+
+    kept = depth.where((F.col("x") % step == 0) & (F.col("y") % step == 0))
+    return kept.withColumn("point", C.depth_point(camera, F.col("x").cast("double"), F.col("y").cast("double"), F.col("value"))).drop("value")
+
+
+def textured_points(disparity: DataFrame, texture: DataFrame, by: list[str], camera: Column, baseline: Column, step: int = 1) -> DataFrame:
+    """Disparity pixels and texture pixels (by, x, y, value) -> (by, x, y, point, texture): each place's point and its colour."""
+    from orrery.functions import camera as C
+
+    d = disparity.where((F.col("x") % step == 0) & (F.col("y") % step == 0))
+    point = C.reconstruct_disparity(camera, baseline, F.col("x").cast("double"), F.col("y").cast("double"), F.col("value"))
+    return d.withColumn("point", point).drop("value").join(texture.withColumnRenamed("value", "texture"), [*by, "x", "y"])
+
+
 def masked_pixels(pix: DataFrame, mask: DataFrame, by: list[str]) -> DataFrame:
     """(x, y, value) where the mask's value is true."""
     if dict(mask.dtypes)["value"] != "boolean":

@@ -135,6 +135,11 @@ def triplet_loss(dp: Column, dn: Column, margin: float = 100.0) -> Column:
     return F.avg(F.greatest(F.lit(0.0), dp - dn + margin))
 
 
+def identity_loss(predicted: Column) -> Column:
+    """The mean of what the model gives, whatever the truth: for models that compute their loss themselves."""
+    return F.avg(predicted)
+
+
 def bpr(up: Column, un: Column) -> Column:
     """1 - sigmoid(u.p - u.n)."""
     return 1 - 1 / (1 + F.exp(-(up - un)))

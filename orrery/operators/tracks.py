@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,3 +106,66 @@ def lag_flow(obs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Every observation with its step from the one before (0 for the first)."""
     w = _w(by)
     return obs.withColumn("dx", F.coalesce(F.col("x") - F.lag("x").over(w), F.lit(0.0))).withColumn("dy", F.coalesce(F.col("y") - F.lag("y").over(w), F.lit(0.0)))
+
+
+def delaunay(xy: np.ndarray) -> np.ndarray:
+    """Triangles (rows of three places, in rising order) whose circumcircle holds no other point: points are put in one after
+    another; the triangles whose circle a new point breaks are taken out, and their outline is joined to it."""
+    n = len(xy)
+    if n < 3:
+        return np.empty((0, 3), int)
+    centre, reach = xy.mean(0), max(float(np.ptp(xy, axis=0).max()), 1.0) * 1e4
+    p = np.concatenate([xy - centre, [[0, 3 * reach], [-3 * reach, -3 * reach], [3 * reach, -3 * reach]]])
+
+    def circle(t: tuple) -> tuple[float, float, float]:
+        (ax, ay), (bx, by), (cx, cy) = p[list(t)]
+        d = 2 * (ax * (by - cy) + bx * (cy - ay) + cx * (ay - by))
+        if d == 0:
+            return np.inf, np.inf, np.inf
+        x = ((ax * ax + ay * ay) * (by - cy) + (bx * bx + by * by) * (cy - ay) + (cx * cx + cy * cy) * (ay - by)) / d
+        y = ((ax * ax + ay * ay) * (cx - bx) + (bx * bx + by * by) * (ax - cx) + (cx * cx + cy * cy) * (bx - ax)) / d
+        return x, y, (ax - x) ** 2 + (ay - y) ** 2
+
+    whole = (n, n + 1, n + 2)
+    triangles = {whole: circle(whole)}
+    for i in np.lexsort((xy[:, 1], xy[:, 0])):
+        broken = [t for t, (x, y, r) in triangles.items() if (p[i, 0] - x) ** 2 + (p[i, 1] - y) ** 2 < r * (1 - 1e-12)]
+        sides: dict[tuple[int, int], int] = {}
+        for t in broken:
+            del triangles[t]
+            for a, b in ((t[0], t[1]), (t[0], t[2]), (t[1], t[2])):
+                sides[a, b] = sides.get((a, b), 0) + 1
+        for (a, b), seen in sides.items():
+            if seen == 1:
+                t = tuple(sorted((a, b, int(i))))
+                triangles[t] = circle(t)
+    return np.array(sorted(t for t in triangles if t[2] < n and np.isfinite(triangles[t][2])), int).reshape(-1, 3)
+
+
+def mesh(points: DataFrame, by: list[str], track_id: str = "track_id") -> DataFrame:
+    """Places (by, track_id, x, y) -> (by, a, b, c): the triangles between the tracks of each picture, by rising track. A
+    picture's tracks meet in one task; places that come twice count once, under the least track."""
+    once = points.groupBy(*by, "x", "y").agg(F.min(track_id).alias("id"))
+    fields = ", ".join(f"`{c}` {points.schema[c].dataType.simpleString()}" for c in by)
+    kind = points.schema[track_id].dataType.simpleString()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        ids = pdf["id"].to_numpy()
+        t = delaunay(pdf[["x", "y"]].to_numpy(float))
+        return pd.DataFrame({**{c: [pdf[c].iloc[0]] * len(t) for c in by}, "a": ids[t[:, 0]], "b": ids[t[:, 1]], "c": ids[t[:, 2]]})
+
+    return once.groupBy(*by).applyInPandas(run, f"{fields}{', ' if by else ''}a {kind}, b {kind}, c {kind}")
+
+
+def mesh_edges(triangles: DataFrame, by: list[str]) -> DataFrame:
+    """(by, a, b): each side of a triangle once."""
+    sides = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("a"), F.col("c").alias("b")), F.struct(F.col("b").alias("a"), F.col("c").alias("b"))))
+    return triangles.select(*by, sides.alias("s")).select(*by, "s.a", "s.b").distinct()
+
+
+def mesh_neighbours(triangles: DataFrame, by: list[str]) -> DataFrame:
+    """(by, track, near): for each track its neighbours in the mesh, sorted."""
+    e = mesh_edges(triangles, by)
+    both = e.select(*by, F.col("a").alias("track"), F.col("b").alias("n")).unionByName(e.select(*by, F.col("b").alias("track"), F.col("a").alias("n")))
+    return both.groupBy(*by, "track").agg(F.array_sort(F.collect_set("n")).alias("near"))

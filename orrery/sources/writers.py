@@ -33,6 +33,11 @@ def write_yaml(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.select(F.concat(F.lit("--- "), F.to_json(F.struct(*sorted(df.columns)))).alias("value")).write.mode(mode).text(path)
 
 
+def write_cameras(df: DataFrame, path: str, name: str, col: str = "camera", mode: str = "errorifexists") -> None:
+    """Cameras (structs of intrinsic and pose) as JSON lines under a name; readers.cameras reads them."""
+    df.select(F.col(name).cast("string").alias("name"), f"{col}.intrinsic", f"{col}.pose").write.mode(mode).json(path)
+
+
 def write_messages(df: DataFrame, path: str, kind: str, mode: str = "append") -> None:
     """Rows of a viewer message type, checked against its schema."""
     from orrery.types import MESSAGES
