@@ -9,7 +9,7 @@ import json
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,14 +73,16 @@ def lidar(spark: SparkSession, path: str) -> DataFrame:
     """(idx, pt_idx, x, y, z, reflectance) from files of little-endian float32 quadruples."""
     raw = frame_index(spark.read.format("binaryFile").load(path)).select("idx", "content")
 
+    schema = pa.schema([("idx", pa.int64()), ("pt_idx", pa.int64()), *[(n, pa.float64()) for n in ("x", "y", "z", "reflectance")]])
+
     def run(batches):
-        for pdf in batches:
-            for idx, content in zip(pdf["idx"], pdf["content"], strict=True):
-                a = np.frombuffer(content, "<f4")
-                a = a[: len(a) // 4 * 4].reshape(-1, 4).astype(float)
-                yield pd.DataFrame({"idx": idx, "pt_idx": np.arange(len(a)), "x": a[:, 0], "y": a[:, 1], "z": a[:, 2], "reflectance": a[:, 3]})
+        for batch in batches:
+            for idx, content in zip(batch.column(0), batch.column(1), strict=True):
+                a = np.frombuffer(content.as_buffer(), "<f4", len(content.as_buffer()) // 16 * 4).reshape(-1, 4).T.astype(float)
+                at = np.full(a.shape[1], idx.as_py()) if idx.is_valid else pa.nulls(a.shape[1], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(np.arange(a.shape[1])), *map(pa.array, a)], schema=schema)
 
-    return raw.mapInPandas(run, "idx bigint, pt_idx bigint, x double, y double, z double, reflectance double")
+    return raw.mapInArrow(run, "idx bigint, pt_idx bigint, x double, y double, z double, reflectance double")
 
 
 def key_values(spark: SparkSession, path: str) -> DataFrame:
