@@ -326,7 +326,20 @@ def keyframe_sample(spark, sf):
     return PO.sample_poses(few, ["traj_id"], "idx", displacement=120.0, theta=0.6123, history=1).select("traj_id", "idx")
 
 
-@query("keyframe_sample_history")
+_HX, _HY, _HZ, _HW = multiply_sql("n.q", "h.q", -1)
+_HROLL, _HPITCH, _HYAW = f"atan2(2 * ({_HX} * {_HW} - {_HY} * {_HZ}), 1 - 2 * ({_HX} * {_HX} + {_HY} * {_HY}))", f"asin(greatest(-1.0, least(1.0, 2 * ({_HX} * {_HZ} + {_HY} * {_HW}))))", f"atan2(2 * ({_HZ} * {_HW} - {_HX} * {_HY}), 1 - 2 * ({_HY} * {_HY} + {_HZ} * {_HZ}))"
+_NEAR_PAST = f"sqrt(power(n.tx - h.tx, 2) + power(n.ty - h.ty, 2) + power(n.tz - h.tz, 2)) < 60 AND abs({_HROLL}) < radians(40) AND abs({_HPITCH}) < radians(40) AND abs({_HYAW}) < radians(40)"
+_PAST = ", ".join(f"'{k}': {{0}}{k}" for k in ("tx", "ty", "tz", "qx", "qy", "qz", "qw"))
+
+
+@query(
+    "keyframe_sample_history",
+    f"""WITH RECURSIVE {POSES}, few AS (SELECT * FROM poses),
+walk AS (SELECT traj_id, idx, true AS kept, [{{{_PAST.format("")}}}] AS past FROM few WHERE idx = 0
+ UNION ALL SELECT traj_id, idx, near = 0, CASE WHEN near = 0 THEN list_append(CASE WHEN len(past) >= 10 THEN past[2:] ELSE past END, item) ELSE past END
+ FROM (SELECT n.traj_id, n.idx, k.past, {{{_PAST.format("n.")}}} AS item, len(list_filter(k.past, lambda h: {_NEAR_PAST})) AS near FROM walk k JOIN few n ON n.traj_id = k.traj_id AND n.idx = k.idx + 1) s)
+SELECT traj_id, idx FROM walk WHERE kept""",
+)
 def keyframe_sample_history(spark, sf):
     few = PO.flat(poses(spark, sf)).drop("event_id")
     return PO.sample_poses(few, ["traj_id"], "idx", displacement=60.0, theta=math.radians(40), history=10).select("traj_id", "idx")

@@ -66,24 +66,63 @@ def image_range(spark, sf):
     return I.measure(images(spark, sf), lambda a: float(a.max()) - float(a.min()), name="span").select("vec_id", r(F.col("span")).alias("span"))
 
 
-@query("image_focus")
+#: Neighbours of each pixel with their offsets; the border is mirrored without its own pixel.
+_MIRROR = "7 - abs(7 - abs({}))"
+
+
+def _around(source: str, name: str) -> str:
+    x, y = _MIRROR.format("p.x + dx"), _MIRROR.format("p.y + dy")
+    return f"{name} AS (SELECT p.vec_id, p.x, p.y, dx, dy, q.value AS v FROM {source} p, range(-1, 2) i(dx), range(-1, 2) j(dy), {source} q WHERE q.vec_id = p.vec_id AND q.x = {x} AND q.y = {y})"
+
+
+_SLOPES = "sum(dx * (2 - abs(dy)) * v) AS gx, sum(dy * (2 - abs(dx)) * v) AS gy"
+
+
+@query(
+    "image_focus",
+    f"""WITH {PIXELS}, {_around("pix", "near")}, k AS (SELECT vec_id, x, y, sum(CASE abs(dx) + abs(dy) WHEN 0 THEN -4 WHEN 1 THEN 1 ELSE 0 END * v) AS lap, {_SLOPES} FROM near GROUP BY ALL)
+SELECT vec_id, {rs("var_pop(lap)")} AS laplacian, {rs("1e6 / (sum(gx * gx + gy * gy) / (count(*) + 1e-6))")} AS blur FROM k GROUP BY vec_id""",
+)
 def image_focus(spark, sf):
-    """Sharpness measures of each image."""
+    """Sharpness measures of each image; the second a million times as large."""
     got = I.measure(I.measure(images(spark, sf), I.laplacian_variance, name="laplacian"), I.blur_measure, name="blur")
-    return got.select("vec_id", "laplacian", "blur")
+    return got.select("vec_id", r(F.col("laplacian")).alias("laplacian"), r(F.col("blur") * 1e6).alias("blur"))
 
 
-@query("image_edges")
-def image_edges(spark, sf):
-    return I.pixels(I.apply(images(spark, sf), I.sobel_threshold), ["vec_id"])
+_SIGMA = "(2 * 0.8::DOUBLE * 0.8::DOUBLE)"
 
 
-@query("image_corners")
+@query(
+    "image_edges",
+    f"""WITH {PIXELS}, {_around("pix", "near")},
+soft AS (SELECT vec_id, x, y, sum(v * exp(-(dx * dx + dy * dy) / {_SIGMA})) / sum(exp(-(dx * dx + dy * dy) / {_SIGMA})) AS value FROM near GROUP BY ALL), {_around("soft", "near2")},
+k AS (SELECT vec_id, x, y, {_SLOPES} FROM near2 GROUP BY ALL)
+SELECT vec_id, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, CASE WHEN sqrt(gx * gx + gy * gy) > 150 THEN 255.0::DOUBLE ELSE 0.0::DOUBLE END AS value FROM k""",
+)
+def image_edges(spark, sf):
+    return I.pixels(I.apply(images(spark, sf), lambda a: I.sobel_threshold(a, threshold=150)), ["vec_id"])
+
+
+@query(
+    "image_corners",
+    f"""WITH {PIXELS}, {_around("pix", "near")}, k AS (SELECT vec_id, x, y, {_SLOPES} FROM near GROUP BY ALL),
+xx AS (SELECT vec_id, x, y, gx * gx AS value FROM k), yy AS (SELECT vec_id, x, y, gy * gy AS value FROM k), xy AS (SELECT vec_id, x, y, gx * gy AS value FROM k),
+{_around("xx", "n1")}, {_around("yy", "n2")}, {_around("xy", "n3")},
+a AS (SELECT vec_id, x, y, sum(v) / 9 AS a FROM n1 GROUP BY ALL), b AS (SELECT vec_id, x, y, sum(v) / 9 AS b FROM n2 GROUP BY ALL), c AS (SELECT vec_id, x, y, sum(v) / 9 AS c FROM n3 GROUP BY ALL),
+resp AS (SELECT vec_id, x, y, (a + b) / 2 - sqrt(power((a - b) / 2, 2) + c * c) AS value FROM a JOIN b USING (vec_id, x, y) JOIN c USING (vec_id, x, y)),
+{_around("resp", "n4")}, top AS (SELECT vec_id, max(value) AS top FROM resp GROUP BY vec_id)
+SELECT resp.vec_id, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, {rs("value", 2)} AS response FROM resp JOIN top USING (vec_id)
+WHERE value > 0.01 * top AND value >= (SELECT max(v) - 1e-6 FROM n4 WHERE n4.vec_id = resp.vec_id AND n4.x = resp.x AND n4.y = resp.y)""",
+)
 def image_corners(spark, sf):
-    return I.corners(images(spark, sf), ["vec_id"])
+    """Local peaks of the corner response. Flat patches have none."""
+    return I.corners(images(spark, sf), ["vec_id"]).select("vec_id", "x", "y", r(F.col("response"), 2).alias("response"))
 
 
-@query("image_mosaics")
+@query(
+    "image_mosaics",
+    "SELECT g, part, CAST(ceil(n / ceil(sqrt(n))) * 8 AS INTEGER) AS h, CAST(ceil(sqrt(n)) * 8 AS INTEGER) AS w FROM (SELECT g, i // 100 AS part, count(*) AS n FROM (SELECT vec_id % 5 AS g, row_number() OVER (PARTITION BY vec_id % 5 ORDER BY vec_id) - 1 AS i FROM embeddings) GROUP BY ALL)",
+)
 def image_mosaics(spark, sf):
     got = I.mosaics(images(spark, sf).withColumn("g", F.col("vec_id") % 5), ["g"], "vec_id", 100, shape=(8, 8))
     return got.select("g", "part", F.col("image.h").alias("h"), F.col("image.w").alias("w"))
