@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,7 +29,8 @@ class ColumnStore:
 
     def keys(self) -> list[str]:
         fs, at = self._fs()
-        return sorted(s.getPath().getName() for s in fs.listStatus(at) if s.isDirectory()) if fs.exists(at) else []
+        names = [s.getPath().getName() for s in fs.listStatus(at) if s.isDirectory()] if fs.exists(at) else []
+        return sorted(n for n in names if not n.startswith("_"))
 
     def __getitem__(self, key: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{key}")
@@ -60,3 +62,34 @@ class ColumnStore:
 
     def chunks(self, key: str, size: int = 10) -> DataFrame:
         return sequence.chunks(self[key], [], "idx", "value", size)
+
+    def chunks_of(self, keys: Sequence[str], size: int = 10) -> DataFrame:
+        """(chunk, a list a key): chunks of several keys side by side, as far as the shortest goes."""
+        each = [self.chunks(k, size).withColumnRenamed("items", k) for k in keys]
+        return zips.zip_streams(each, ["chunk"])
+
+    def __setitem__(self, key: str, rows: DataFrame) -> None:
+        """Puts rows (idx, value) in the place of a key's."""
+        if self.mode == "r":
+            raise ValueError("opened for reading")
+        rows.select(F.col("idx").cast("bigint").alias("idx"), "value").write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/{key}")
+
+    def items(self, keys: Sequence[str] | None = None) -> Iterator[tuple[str, DataFrame]]:
+        """Each key with its rows."""
+        for k in keys or self.keys():
+            yield k, self[k]
+
+    def describe(self, **meta) -> None:
+        """Notes about the store (plain values), beside what is noted already."""
+        if self.mode == "r":
+            raise ValueError("opened for reading")
+        rows = [(json.dumps({**self.meta(), **meta}),)]
+        self.spark.createDataFrame(rows, "value string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/_meta_next")
+        fs, at = self._fs("_meta")
+        fs.delete(at, True)
+        fs.rename(self._fs("_meta_next")[1], at)
+
+    def meta(self) -> dict:
+        """The notes; without any, an empty dictionary."""
+        fs, at = self._fs("_meta")
+        return json.loads(self.spark.read.parquet(f"{self.path}/_meta").first()["value"]) if fs.exists(at) else {}

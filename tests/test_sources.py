@@ -166,3 +166,19 @@ def test_random_orders(spark):
     same = spark.range(2000).select(F.when(F.col("id") < 1900, 5).otherwise(F.col("id")).alias("k"), "id")
     got = [r["id"] for r in sequence.index_all(same, "k", ["id"], cuts=16).orderBy("idx").collect()]
     assert got == list(range(2000))
+
+
+def test_column_store_notes_and_chunks(spark, tmp_path):
+    from orrery.sources.tables import ColumnStore
+
+    s = ColumnStore(spark, f"{tmp_path}/db", "w")
+    s.extend("a", spark.range(25), ["id"], "id")
+    s["b"] = spark.range(12).select(F.col("id").alias("idx"), (F.col("id") * 2).alias("value"))
+    s.describe(rate=30)
+    s.describe(name="x")
+    assert s.meta() == {"rate": 30, "name": "x"} and s.keys() == ["a", "b"]
+    got = {r["chunk"]: (len(r["a"]), len(r["b"])) for r in s.chunks_of(["a", "b"], 10).collect()}
+    assert got == {0: (10, 10), 1: (10, 2)}
+    assert {k: d.count() for k, d in s.items()} == {"a": 25, "b": 12}
+    with pytest.raises(ValueError):
+        ColumnStore(spark, f"{tmp_path}/db").describe(a=1)
