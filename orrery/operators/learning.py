@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -13,6 +14,8 @@ from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orrery.operators import metrics
+
 #: Penalties tried for margins, as C of a support vector machine (fixed values).
 GRID = [0.01, 0.1, 1.0, 10.0, 100.0]
 
@@ -94,8 +97,29 @@ class HistogramClassifier:
         scores = [F.aggregate(F.zip_with(v, F.array(*[F.lit(c) for c in row]), lambda a, b: a * b), F.lit(0.0), lambda s, e: s + e) for row in w]
         return df.withColumn("decision", F.array(*scores))
 
+    def report(self, df: DataFrame, x: str, y: str) -> DataFrame:
+        """Precision, recall, F1 and support of the predictions for df (see metrics.report)."""
+        return metrics.report(self.predict(df, x), y, "predicted")
+
     def save(self, path: str) -> None:
-        self.model.write().overwrite().save(path)
+        """The fitted model, the incremental weights, classes and kind; overwrites."""
+        from pyspark.sql import SparkSession
+
+        if self.model is not None:
+            self.model.write().overwrite().save(f"{path}/model")
+        notes = {"classes": self.classes, "kind": self.kind, "seed": self.seed, "fitted": self.model is not None, "steps": None if self.steps is None else self.steps.tolist()}
+        SparkSession.active().createDataFrame([(json.dumps(notes),)], "value string").write.mode("overwrite").parquet(f"{path}/notes")
+
+    @classmethod
+    def load(cls, path: str) -> HistogramClassifier:
+        """What save wrote: it predicts, and goes on learning, as the saved one."""
+        from pyspark.sql import SparkSession
+
+        notes = json.loads(SparkSession.active().read.parquet(f"{path}/notes").first()["value"])
+        out = cls(notes["classes"], notes["kind"], notes["seed"])
+        out.model = PipelineModel.load(f"{path}/model") if notes["fitted"] else None
+        out.steps = None if notes["steps"] is None else np.array(notes["steps"])
+        return out
 
 
 def minimise(cost: Callable[[np.ndarray], float | None], slope: Callable[[np.ndarray], np.ndarray], start: Sequence[float], rounds: int = 200, tol: float = 1e-10, memory: int = 8) -> dict:

@@ -31,6 +31,15 @@ def test_partial_fit(blobs):
     assert got.where("y = p").count() > 0.95 * blobs.count()
 
 
+def test_save_and_load(blobs, tmp_path):
+    c = HistogramClassifier(["a", "b", "c"], "sgd").fit(blobs, "x", "y").partial_fit(blobs, "x", "y", 1.0)
+    c.save(f"{tmp_path}/c")
+    back = HistogramClassifier.load(f"{tmp_path}/c")
+    assert back.classes == c.classes and (back.steps == c.steps).all()
+    assert back.predict(blobs, "x").select("predicted").collect() == c.predict(blobs, "x").select("predicted").collect()
+    assert {r["label"]: r["support"] for r in back.report(blobs, "x", "y").collect()}[None] == 180
+
+
 def test_minimise(spark):
     got = minimise(lambda p: float((p**2).sum()), lambda p: 2 * p, list(range(1, 11)))
     assert got["success"] and np.allclose(got["x"], 0, atol=1e-6)
