@@ -101,8 +101,8 @@ def links(ws: Workspace, fps: DataFrame, distance: int = 2) -> DataFrame:
     """
     if not 0 <= distance <= 2:
         raise ValueError("distance must be 0, 1 or 2")
-    # few rows become about 49 each: dealt out first, so that all tasks take part
-    cells = _cells(fps.repartition("fp"))
+    # few bytes become about 49 rows each: dealt out first, to a number of tasks that stays as it is
+    cells = _cells(fps.repartition(int(ws.spark.conf.get("spark.sql.shuffle.partitions")), "fp"))
     shared = ws.save(cells.groupBy("cell").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "cells")
     near = hamming(F.col("a"), F.col("b")) <= distance
     two = shared.where("n = 2").where(near).select("a", "b")
