@@ -301,7 +301,6 @@ def test_pipeline(spark, docs):
     """run() row by row against a plain chain."""
     import public_tokenizers
     import tiktoken
-    import xxhash
 
     import corpus_pipeline
 
@@ -347,8 +346,6 @@ def test_pipeline(spark, docs):
                     gone.add(i)
     ref = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(bpe.default_ranks()), special_tokens={})
     want = {i: (ref.encode_ordinary(t), sha(t)) for i, t in now.items() if i not in gone}
-    assert gone and xxhash and len(want) > 0.6 * docs.count()
+    assert gone and len(want) > 0.6 * docs.count()
     got = corpus_pipeline.run(spark, SF).collect()
     assert len(got) == len(want) and {r["doc_id"]: (r["ids"], r["decoded_sha256"]) for r in got} == want
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, docs, SF).columns == docs.columns
