@@ -36,6 +36,17 @@ def _hadoop_path(spark: SparkSession, path: str):
     return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system, as tasks need it that don't go through Spark's readers."""
+    at, fs = _hadoop_path(spark, path)
+    return fs.makeQualified(at).toString()
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at, fs = _hadoop_path(spark, path)
+    fs.delete(at, True)
+
+
 def _delete_at_exit(spark: SparkSession, path: str) -> None:
     """The file system deletes the folder when the driver's JVM ends: lazy results may read its tables until then."""
     at, fs = _hadoop_path(spark, path)
@@ -82,8 +93,7 @@ class Workspace:
             if getattr(t, "_orrery_table", None):
                 self.spark.sql(f"DROP TABLE IF EXISTS {t._orrery_table}")
             if getattr(t, "_orrery_path", None):
-                at, fs = _hadoop_path(self.spark, t._orrery_path)
-                fs.delete(at, True)
+                delete(self.spark, t._orrery_path)
 
 
 def small_batches(spark: SparkSession) -> None:

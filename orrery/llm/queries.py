@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import bpe, chat, decontam, langid, lines, pii, quality, simhash, spans, toxicity
+from orrery.llm import bpe, chat, decontam, divergence, langid, lines, pii, quality, resample, simhash, spans, toxicity, warc
 from orrery.llm.common import documents
 
+
 def _quality_sql() -> str:
     policy = quality.Policy()
     grid = ", ".join(f"('{r}', {i}, {c})" for r, g in policy.grids.items() for i, c in enumerate(g))
@@ -84,47 +85,119 @@ SELECT CAST(conv_id AS BIGINT) AS conv_id, n_turns, turns_sha256, loss_chars, lo
 FROM c
 """
 
+DIVERGENCE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+t AS (SELECT id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM t GROUP BY ALL),
+k AS (SELECT lang, term, count(*) AS lang_n FROM t GROUP BY ALL HAVING count(DISTINCT id) >= 10),
+l AS (SELECT lang, count(*) AS v, sum(lang_n) AS total FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+m AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, k.lang_n, l.v, l.total, sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang, g.source) AS own
+      FROM g JOIN k ON k.lang = g.lang JOIN l ON l.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+p AS (SELECT lang, source, term, n, CAST(1 + CAST(1000000000 AS HUGEINT) * (n + 2) // (own + 2 * v) AS BIGINT) AS p, CAST(1 + CAST(1000000000 AS HUGEINT) * (lang_n + 2) // (total + 2 * v) AS BIGINT) AS q FROM m),
+sums AS (SELECT a.lang, a.source, b.source AS item, CAST(sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS BIGINT) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(s.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+r AS (SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pairs
+      UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q), row_number() OVER (PARTITION BY lang, source ORDER BY (p - q) * (p - q) // (p + q) DESC, term) FROM p WHERE n > 0 AND p > q QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY (p - q) * (p - q) // (p + q) DESC, term) <= 10)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INT) AS rank FROM r
+"""
+
+WARC_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS hex, max(page_id) OVER (PARTITION BY html) AS answer FROM p),
+b AS (SELECT *, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      CAST(((CAST('0x' || substr(hex || '00', CAST(5 * i // 4 + 1 AS INT), 2) AS BIGINT) >> (3 - 5 * i % 4)) & 31) + 1 AS INT), 1)), '') AS payload_digest FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id IS NOT DISTINCT FROM answer THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id IS DISTINCT FROM answer THEN answer END AS refers_to FROM b
+"""
+
+RESAMPLE_SQL = r"""
+WITH steps AS (SELECT i, list_reduce(list_prepend(CAST(i AS BIGINT), range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i)),
+tab AS (SELECT list(c ORDER BY i) AS tab FROM steps),
+texts AS (SELECT 'd' AS part, row_number() OVER () AS id, doc_id, text FROM documents UNION ALL SELECT 'b', row_number() OVER (), NULL, text FROM benchmark),
+w AS (SELECT part, id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM texts),
+f AS (SELECT part, id, unnest(list_concat(words, list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]))) AS feature FROM w),
+counted AS (SELECT part, id, feature, count(*) AS n FROM f GROUP BY ALL),
+crc AS (SELECT feature, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, strlen(feature)), lambda i: CAST('0x' || substr(hex(encode(feature)), CAST(2 * i + 1 AS INT), 2) AS BIGINT))), lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 10000 AS bucket FROM (SELECT DISTINCT feature FROM counted), tab),
+cells AS (SELECT part, id, bucket, sum(n) AS n FROM counted JOIN crc USING (feature) GROUP BY ALL),
+sums AS (SELECT bucket, coalesce(sum(n) FILTER (WHERE part = 'd'), 0) AS s, coalesce(sum(n) FILTER (WHERE part = 'b'), 0) AS t FROM cells GROUP BY bucket),
+gain AS (SELECT bucket, CAST(floor(1000 * ln((CAST(t AS DOUBLE) + 1) * (CAST(sum(s) OVER () AS DOUBLE) + 10000) / ((CAST(s AS DOUBLE) + 1) * (CAST(sum(t) OVER () AS DOUBLE) + 10000)))) AS BIGINT) AS gain FROM sums),
+got AS (SELECT id, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS gained FROM cells JOIN gain USING (bucket) WHERE part = 'd' GROUP BY id),
+scored AS (SELECT w.id, doc_id, len(words) AS n_words, coalesce(n_features, 0) AS n_features,
+       CASE WHEN n_features > 0 THEN (gained - ((gained % n_features) + n_features) % n_features) // n_features ELSE 0 END AS weight,
+       CAST('0x' || substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h
+       FROM w LEFT JOIN got USING (id) WHERE part = 'd'),
+s AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM scored),
+r AS (SELECT id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM s WHERE n_words >= 20)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score,
+       CAST(CASE WHEN rank <= (SELECT count(*) FROM r) * 25 // 100 THEN rank END AS BIGINT) AS rank FROM s LEFT JOIN r USING (id)
+"""
+
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base measures and risk-controlled verdicts of all documents."""
     return quality.judge(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of documents and benchmark items that they hold."""
     return decontam.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of all documents that an earlier document has, dropped."""
     return lines.digest(documents(spark, sf_dir))
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and added spans of personal data in all documents."""
     return pii.digest(documents(spark, sf_dir))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents, learned from the folds that are not held out."""
     return langid.digest(documents(spark, sf_dir))
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and the probe, formatted and read back."""
     return chat.digest(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learned from the labels that are not held out."""
     return toxicity.digest(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded and decoded again."""
     return bpe.round_trip(documents(spark, sf_dir))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and groups of near copies of all documents."""
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents without the repeated windows."""
     return spans.digest(documents(spark, sf_dir))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source of all documents against the others of its language, and its terms that stand out."""
+    return divergence.audit(documents(spark, sf_dir))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as archives, normalised and read back."""
+    return warc.digest(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of all documents towards the benchmark's texts, and the quarter drawn by them."""
+    return resample.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_decontamination": op2_decontamination,
@@ -136,5 +209,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_simhash": op9_simhash,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_warc": op12_warc,
+    "op13_importance_resampling": op13_importance_resampling,
+}
+ORACLES: dict[str, str] = {
+    "op1_quality_rules": QUALITY_SQL,
+    "op3_line_dedup": LINE_SQL,
+    "op6_chat_format": CHAT_SQL,
+    "op11_source_divergence": DIVERGENCE_SQL,
+    "op12_warc": WARC_SQL,
+    "op13_importance_resampling": RESAMPLE_SQL,
 }
-ORACLES: dict[str, str] = {"op1_quality_rules": QUALITY_SQL, "op3_line_dedup": LINE_SQL, "op6_chat_format": CHAT_SQL}
