@@ -218,20 +218,41 @@ def hull_order(points: np.ndarray) -> np.ndarray:
     return np.array(half(order) + half(order[::-1]), int)
 
 
+#: Points that a task holds before it takes the hulls of what it has.
+_HELD = 200_000
+
+
 def convex_hull(points: DataFrame, by: Sequence[str], ccw: bool = True) -> DataFrame:
-    """(by, pos, x, y): the hull of each group. With ccw=False in reverse, as images have y down. Of each x only the
-    least and the greatest y go to the task of the group."""
-    extreme = points.groupBy(*by, "x").agg(F.min("y").alias("lo"), F.max("y").alias("hi"))
-    slim = extreme.select(*by, "x", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("y"))
+    """(by, pos, x, y): the hull of each group, points on its edges left out. With ccw=False in reverse, as images have y down.
+
+    Each task first takes the hulls of the groups in its own rows, so that a group of any size sends a few points of each task;
+    the hull of these hulls is the group's. Points without a finite place are left out."""
+    slim = points.where("x IS NOT NULL AND y IS NOT NULL AND abs(x) < double('infinity') AND abs(y) < double('infinity')").select(*by, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     fields = ", ".join(f"`{c}` {slim.schema[c].dataType.simpleString()}" for c in by)
 
+    def hulls(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = [g.iloc[hull_order(g[["x", "y"]].to_numpy())] for _, g in pdf.groupby(list(by), dropna=False, sort=False)]
+        return pd.concat(parts, ignore_index=True) if parts else pdf
+
+    def partial(batches):
+        held = None
+        for pdf in batches:
+            held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            if len(held) > _HELD:
+                held = hulls(held)
+                if len(held) > _HELD // 2:  # many groups: send them on
+                    yield held
+                    held = None
+        if held is not None:
+            yield hulls(held)
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        xy = pdf[["x", "y"]].to_numpy(float)
+        xy = pdf[["x", "y"]].to_numpy()
         at = hull_order(xy)
         at = at if ccw else at[::-1]
         return pd.DataFrame({**{c: pdf[c].iloc[0] for c in by}, "pos": np.arange(len(at)), "x": xy[at, 0], "y": xy[at, 1]})
 
-    return slim.groupBy(*by).applyInPandas(run, f"{fields}, pos bigint, x double, y double")
+    return slim.mapInPandas(partial, slim.schema).groupBy(*by).applyInPandas(run, f"{fields}, pos bigint, x double, y double")
 
 
 def propagate(boxes: DataFrame, members: DataFrame, tracks: DataFrame, by: Sequence[str], box_id: str) -> DataFrame:

@@ -12,6 +12,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orrery import shared
+
 #: Rows of a block of an indexed sequence, and blocks that an unindexed one is cut into.
 BLOCK, CUTS = 1 << 17, 256
 
@@ -55,6 +57,18 @@ def index_all(df: DataFrame, order: str, ties: Sequence[str] = (), name: str = "
     return cut.join(F.broadcast(offsets), F.col("_block") == F.col("_b")).withColumn(name, (inner + F.col("_offset")).cast("bigint")).drop("_block", "_b", "_offset")
 
 
+def rank_all(df: DataFrame, keys: Sequence[str], name: str = "idx") -> DataFrame:
+    """0, 1, ... over all rows in the order of the keys, which may be of any type that sorts, arrays too: rows are dealt by range and
+    written, so that a repeated task numbers alike; each part is numbered by itself and moved by the counts of the parts
+    before it. Equal keys follow each other in any order."""
+    dealt = shared.saved(df.repartitionByRange(*[F.col(k).asc_nulls_first() for k in keys]).withColumn("_part", F.spark_partition_id()), "ranked")
+    counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))  # a row a part
+    offset = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select(F.col("_part").alias("_p"), offset.alias("_offset"))
+    inner = F.row_number().over(Window.partitionBy("_part").orderBy(*[F.col(k).asc_nulls_first() for k in keys])) - 1
+    return dealt.join(F.broadcast(offsets), F.col("_part") == F.col("_p")).withColumn(name, (inner + F.col("_offset")).cast("bigint")).drop("_part", "_p", "_offset")
+
+
 def with_neighbours(df: DataFrame, idx: str, columns: dict[str, tuple[str, int]], block: int = BLOCK) -> DataFrame:
     """Adds columns {new: (column, distance)} from rows at idx - distance, over one global dense index.
 
@@ -157,8 +171,8 @@ def roundrobin_by(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
 
 
 def powerset(items: Column) -> Column:
-    """All subsets of a short array (up to 20 items), by size, then by place."""
-    n = F.least(F.size(items), F.lit(20))
+    """All subsets of a short array, by size, then by place. More than 20 items (a million subsets) are an error."""
+    n = F.when(F.size(items) <= 20, F.size(items)).otherwise(F.raise_error(F.lit("powerset of more than 20 items")).cast("int"))
     masks = F.sequence(F.lit(0), F.shiftleft(F.lit(1), 0) * F.pow(F.lit(2), n).cast("int") - 1)
     subsets = F.transform(masks, lambda m: F.struct(F.bit_count(m).alias("size"), F.filter(F.transform(items, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda e: F.expr("1") == F.pmod(F.floor(m / F.pow(F.lit(2), e["i"])), F.lit(2))).alias("set")))
     return F.transform(F.array_sort(F.transform(subsets, lambda s: F.struct(s["size"], s["set"]))), lambda s: F.transform(s["set"], lambda e: e["x"]))
@@ -272,8 +286,7 @@ def random_order(df: DataFrame, r: int | None = None, seed: int = 1, name: str =
 
 def random_combination(df: DataFrame, r: int, order: Sequence[str], seed: int = 1) -> DataFrame:
     """r rows of a random permutation, in the rows' own order."""
-    picked = random_order(df, r, seed, "_pick").drop("_pick")
-    return picked.withColumn("idx", (F.row_number().over(Window.orderBy(*order)) - 1).cast("bigint"))
+    return rank_all(random_order(df, r, seed, "_pick").drop("_pick"), order)
 
 
 def random_product(pools: Sequence[DataFrame], repeat: int = 1, seed: int = 1) -> DataFrame:

@@ -149,7 +149,16 @@ def detection_mask(spark, sf):
     return B.away_from(as_point(test(spark, sf)), as_point(truth(spark, sf)), ["image_id"], 9.0)
 
 
-@query("convex_hull")
+@query(
+    "convex_hull",
+    f"""WITH {BOXES}, pts AS (SELECT image_id, x1 AS x, min(y1) AS lo, max(y1) AS hi FROM boxes GROUP BY ALL),
+slopes AS (SELECT a.image_id, a.x, a.lo, a.hi, max((a.lo - b.lo) / (a.x - b.x)) FILTER (WHERE b.x < a.x) AS lo_left, min((a.lo - b.lo) / (a.x - b.x)) FILTER (WHERE b.x > a.x) AS lo_right,
+  min((a.hi - b.hi) / (a.x - b.x)) FILTER (WHERE b.x < a.x) AS hi_left, max((a.hi - b.hi) / (a.x - b.x)) FILTER (WHERE b.x > a.x) AS hi_right FROM pts a JOIN pts b ON a.image_id = b.image_id GROUP BY ALL),
+below AS (SELECT image_id, x, lo AS y FROM slopes WHERE lo_left IS NULL OR lo_right IS NULL OR lo_left < lo_right),
+above AS (SELECT image_id, x, hi AS y FROM slopes WHERE (hi_left IS NULL OR hi_right IS NULL OR hi_left > hi_right)),
+walk AS (SELECT image_id, x, y, 0 AS side, x AS turn FROM below UNION ALL SELECT image_id, x, y, 1, -x FROM above a WHERE NOT EXISTS (SELECT 1 FROM below b WHERE b.image_id = a.image_id AND b.x = a.x AND b.y = a.y))
+SELECT image_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY side, turn) - 1 AS BIGINT) AS pos, x, y FROM walk""",
+)
 def convex_hull(spark, sf):
     pts = boxes(spark, sf).select("image_id", F.col("x1").alias("x"), F.col("y1").alias("y"))
     return B.convex_hull(pts, ["image_id"])

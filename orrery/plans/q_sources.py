@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions import pose as P
 from orrery.functions import text
+from orrery.operators import sequence as S
 from orrery.plans.fixtures import POSES, poses, r, rs, table
 from orrery.plans.registry import query
 from orrery.sources import readers, writers
@@ -13,12 +14,10 @@ from orrery.sources import readers, writers
 
 @query("natural_sort_names", "SELECT p_partkey, CAST(row_number() OVER (ORDER BY p_partkey) AS BIGINT) AS place FROM part")
 def natural_sort_names(spark, sf):
-    """File names in natural order: img2 before IMG10. A rank over all rows needs the one sorted sequence."""
-    from pyspark.sql import Window
-
+    """File names in natural order: img2 before IMG10."""
     name = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("img"), F.col("p_partkey"), F.lit(".png"))).otherwise(F.concat(F.lit("IMG"), F.col("p_partkey"), F.lit(".PNG")))
     p = table(spark, sf, "part").select("p_partkey", text.natural_key(name).alias("k"))
-    return p.select("p_partkey", F.row_number().over(Window.orderBy("k")).cast("bigint").alias("place"))
+    return S.rank_all(p, ["k"]).select("p_partkey", (F.col("idx") + 1).alias("place"))
 
 
 @query("path_tree", "SELECT split_part(url, '/', 3) AS lvl2, split_part(url, '/', 4) AS lvl3, min(page_id) AS page_id FROM pages GROUP BY ALL")

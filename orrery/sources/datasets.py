@@ -16,6 +16,7 @@ from pyspark.sql.utils import AnalysisException
 
 from orrery.functions import camera as C
 from orrery.functions import text
+from orrery.operators import sequence
 from orrery.operators import poses as PO
 from orrery.operators import zips
 from orrery.sources import readers
@@ -80,9 +81,8 @@ class Drive:
             raise
         if self.layout.numbered:
             return self._kept(readers.frame_index(found).select("idx", "path"))
-        # a folder's names are few beside its contents; their order is one sorted list
-        names = found.agg(F.array_sort(F.collect_list(F.struct(text.natural_key(F.col("path")).alias("k"), "path"))).alias("n"))
-        return self._kept(names.select(F.posexplode("n").alias("idx", "f")).select(F.col("idx").cast("bigint").alias("idx"), "f.path"))
+        named = found.withColumn("k", text.natural_key(F.col("path")))
+        return self._kept(sequence.rank_all(named, ["k", "path"]).select("idx", "path"))
 
     def _kept(self, frames: DataFrame) -> DataFrame:
         out = frames.where(F.col("idx") >= self.start)
