@@ -19,18 +19,16 @@ def on_ball(x: Column, y: Column, cx, cy, radius) -> Column:
 
 
 def constrained(point: Column, axis: Column) -> Column:
-    """The point's direction within the plane across an axis, on the near side; where the point lies on the axis, any
-    direction across it."""
+    """The point's direction within the plane across an axis of unit length, on the near side; where the point lies on the
+    axis, a direction across it: the axis crossed with the coordinate axis that is least along it."""
 
-    def of(p: Column, a: Column) -> Column:
-        def near(v: Column) -> Column:
-            side = F.when(v["z"] < 0, -1.0).otherwise(1.0)
-            across = F.when(a["z"] == 1, vec.vec3(1, 0, 0)).otherwise(vec.unit(vec.vec3(-a["y"], a["x"], 0.0)))
-            return F.when(vec.norm(v) > 1e-12, vec.scale(vec.unit(v), side)).otherwise(across)
+    def facing(flat: Column, a: Column) -> Column:
+        x, y, z = (F.abs(a[k]) for k in "xyz")
+        least = F.when((x <= y) & (x <= z), vec.vec3(1, 0, 0)).when(y <= z, vec.vec3(0, 1, 0)).otherwise(vec.vec3(0, 0, 1))
+        chosen = F.when(vec.norm(flat) > 1e-12, flat).otherwise(vec.cross(a, least))
+        return vec.bind(lambda v: F.when(v["z"] < 0, vec.scale(v, -1.0)).otherwise(v), vec.unit(chosen))
 
-        return vec.bind(near, vec.sub(p, vec.scale(a, vec.dot(a, p))))
-
-    return vec.bind(of, point, axis)
+    return vec.bind(lambda p, a: vec.bind(facing, vec.sub(p, vec.scale(a, vec.dot(a, p))), a), point, axis)
 
 
 def drag(start: Column, now: Column, before: Column) -> Column:
@@ -46,6 +44,5 @@ def drag(start: Column, now: Column, before: Column) -> Column:
 
 def nearest_axis(point: Column, axes: list[Column]) -> Column:
     """The place in the list of the axis whose arc is nearest to the point (the first in a tie)."""
-    close = [vec.dot(constrained(point, a), point) for a in axes]
-    best = F.greatest(*close) if len(close) > 1 else close[0]
-    return F.coalesce(*[F.when(c == best, F.lit(i)) for i, c in enumerate(close)])
+    cosines = F.transform(F.array(*axes), lambda a: vec.dot(constrained(point, a), point))
+    return vec.bind(lambda c: (F.array_position(c, F.array_max(c)) - 1).cast("int"), cosines)

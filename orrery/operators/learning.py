@@ -37,6 +37,9 @@ class HistogramClassifier:
         return df.withColumn("features", array_to_vector(F.transform(x, lambda e: e.cast("double"))))
 
     def fit(self, df: DataFrame, x: str, y: str, test_size: float = 0.3) -> HistogramClassifier:
+        """svm: the penalty is chosen on a split of the training rows, and the logistic calibration is fitted on test_size of all
+        rows, which the margins have not seen (on all rows if that part lacks a class). sgd and mlp give probabilities by
+        themselves and use all rows."""
         data = self._features(self._ids(df, y), x).select("features", "label")
         if self.kind == "mlp":
             width = len(df.select(x).first()[0])
@@ -49,8 +52,12 @@ class HistogramClassifier:
         rest = OneVsRest(classifier=base)
         grid = ParamGridBuilder().addGrid(rest.classifier, [base.copy({base.regParam: 1 / (c * 1000)}) for c in GRID]).build()
         search = TrainValidationSplit(estimator=rest, estimatorParamMaps=grid, evaluator=MulticlassClassificationEvaluator(metricName="accuracy"), trainRatio=1 - test_size, seed=self.seed)
-        best = search.fit(data).bestModel
-        margins = best.transform(data).select("rawPrediction", "label")
+        train, held = data.randomSplit([1 - test_size, test_size], self.seed)
+        kinds = lambda d: {r[0] for r in d.select("label").distinct().collect()}  # noqa: E731  as many as classes
+        if not kinds(data) == kinds(train) == kinds(held):
+            train = held = data
+        best = search.fit(train).bestModel
+        margins = best.transform(held).select("rawPrediction", "label")
         self.model = PipelineModel(stages=[best, LogisticRegression(featuresCol="rawPrediction", predictionCol="calibrated", rawPredictionCol="logits").fit(margins)])
         return self
 

@@ -267,9 +267,10 @@ def every_kth(df: DataFrame, by: Sequence[str], order: Sequence[str], k: int, co
 
 
 def random_pick(df: DataFrame, r: int, seed: int = 1, replace: bool = False) -> DataFrame:
-    """r rows at random by a seeded order; with replacement, r draws of an indexed row."""
+    """r rows at random: those with the least hashes of seed and columns, so the same rows however they are dealt; with
+    replacement, r draws of an indexed row."""
     if not replace:
-        return df.orderBy(F.rand(seed)).limit(r)
+        return df.orderBy(F.sha2(F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]), 256), *df.columns).limit(r)
     n = df.count()
     draws = df.sparkSession.range(r).select((F.rand(seed) * n).cast("bigint").alias("_draw"), F.col("id").alias("draw"))
     place = df.withColumn("_hash", F.xxhash64(*df.columns))

@@ -235,10 +235,11 @@ def stereo_depth(spark, sf):
     return got.select("s_suppkey", r(F.col("depth"), 5).alias("depth"), r(F.col("p.y"), 5).alias("y"))
 
 
-@query("plane_disparity", f"SELECT CAST(i AS BIGINT) AS row, {rs('718.856 * 0.54 / (1.65 * 718.856 / (i - 185.2157 + 1e-9))', 5)} AS disparity FROM range(376) t(i)")
+@query("plane_disparity", f"SELECT event_id, {rs('718.856 * 0.54 / (1.65 * 718.856 / (event_id % 376 - 185.2157 + 1e-9))', 5)} AS disparity FROM events")
 def plane_disparity(spark, sf):
+    """The ground plane's disparity in the image row of each event."""
     k = C.intrinsic(718.856, 718.856, 607.1928, 185.2157, h=376, w=1241)
-    return spark.range(376).select(F.col("id").alias("row"), r(C.disparity_of_plane(k, F.lit(0.54), F.col("id"), F.lit(1.65)), 5).alias("disparity"))
+    return table(spark, sf, "events").select("event_id", r(C.disparity_of_plane(k, F.lit(0.54), F.col("event_id") % 376, F.lit(1.65)), 5).alias("disparity"))
 
 
 @query("calib_range_join", "WITH c(lo, hi, fx, cx, cy) AS (VALUES (0, 2, 718.856::DOUBLE, 607.1928::DOUBLE, 185.2157::DOUBLE), (3, 3, 721.5377, 609.5593, 172.854), (4, 12, 707.0912, 601.8873, 183.1104)) SELECT s_suppkey, fx * 0.5 AS fx, cx * 0.5 AS cx, cy * 0.5 AS cy FROM supplier LEFT JOIN c ON s_suppkey % 15 BETWEEN lo AND hi")

@@ -25,9 +25,11 @@ def seq_consume(spark, sf):
     return S.consume(events(spark, sf).select("event_id"), ["event_id"], 100)
 
 
-@query("seq_tabulate", "SELECT i AS x, i * i AS y FROM range(5, 105) t(i)")
+@query("seq_tabulate", "SELECT event_id + 5 AS x, (event_id + 5) * (event_id + 5) AS y FROM events")
 def seq_tabulate(spark, sf):
-    return spark.range(5, 105).select(F.col("id").alias("x"), (F.col("id") * F.col("id")).alias("y"))
+    """A function at the places of the events, counted from 5."""
+    at = events(spark, sf).select((F.col("event_id") + 5).alias("x"))
+    return at.withColumn("y", F.col("x") * F.col("x"))
 
 
 @query("seq_nth", "SELECT user_id, coalesce(max(CASE WHEN rn = 5 THEN value END), -1.0::DOUBLE) AS value FROM (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS rn FROM events) GROUP BY user_id")
@@ -205,7 +207,7 @@ def best_so_far(spark, sf):
     return S.best_so_far(events(spark, sf).select("user_id", "event_id", "value"), ["user_id"], ["event_id"], "value", 2)
 
 
-@query("seq_random_pick")
+@query("seq_random_pick", "SELECT event_id FROM events ORDER BY sha256('1:' || CAST(event_id AS VARCHAR)), event_id LIMIT 50")
 def seq_random_pick(spark, sf):
     return S.random_pick(events(spark, sf).select("event_id"), 50)
 

@@ -133,14 +133,17 @@ def yaml_dict(spark: SparkSession, path: str) -> DataFrame:
 def config(spark: SparkSession, path: str, section: str | None = None) -> DataFrame:
     """(section, key, value) of files of `[section]` parts with `key = value` or `key: value` lines. Keys are lower-cased, comment
     lines start with # or ;, what stands under [DEFAULT] belongs to every section that doesn't say it itself."""
-    parts = spark.read.text(path, wholetext=True).select(F.explode(F.slice(F.split("value", r"(?m)^\["), 2, 1 << 20)).alias("part"))
-    named = parts.select(F.substring_index("part", "]", 1).alias("section"), F.explode(F.split(F.substring_index("part", "]", -1), "\r?\n")).alias("line"))
+    split = F.split("value", r"(?m)^\[(?=[^\]\r\n]*\][ \t]*\r?$)")  # a section's line has nothing behind its bracket
+    parts = spark.read.text(path, wholetext=True).select(F.posexplode(split).alias("at", "part")).where("at > 0")
+    body = F.expr("substr(part, instr(part, ']') + 1)")
+    named = parts.select(F.substring_index("part", "]", 1).alias("section"), F.explode(F.split(body, "\r?\n")).alias("line"))
     lines = named.where(~F.ltrim("line").rlike("^[#;]") & F.col("line").rlike("[=:]"))
     pair = lambda k: F.trim(F.regexp_extract("line", r"^\s*([^=:]+?)\s*[=:]\s*(.*)$", k))
     rows = lines.select("section", F.lower(pair(1)).alias("key"), pair(2).alias("value"))
     own, common = rows.where("section <> 'DEFAULT'"), rows.where("section = 'DEFAULT'").select("key", "value")
     names = named.select("section").distinct().where("section <> 'DEFAULT'")
-    missing = names.crossJoin(F.broadcast(common)).join(own.select("section", "key"), ["section", "key"], "left_anti").select("section", "key", "value")
+    shared = common.agg(F.collect_list(F.struct("key", "value")).alias("d"))  # one row: what one section says
+    missing = names.join(shared).select("section", F.inline("d")).join(own.select("section", "key"), ["section", "key"], "left_anti").select("section", "key", "value")
     out = own.unionByName(missing)
     return out if section is None else out.where(F.col("section") == section)
 
