@@ -210,11 +210,21 @@ def test_paraphrases(spark, docs):
     clean = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("n_chars between 600 and 5000").orderBy("doc_id").limit(60)
     base = [r["text"].lower().split() for r in clean.collect()]
     vocab = [w for b in base for w in b]
+
+    def shuffled(w, size):
+        parts = [w[k : k + size] for k in range(0, len(w), size)]
+        rng.shuffle(parts)
+        return [x for p in parts for x in p]
+
     changes = {
         "verbatim": lambda w: w,
         "a tenth dropped": lambda w: [x for x in w if rng.random() >= 0.1],
         "a fifth replaced": lambda w: [x if rng.random() >= 0.2 else rng.choice(vocab) for x in w],
+        "three tenths replaced": lambda w: [x if rng.random() >= 0.3 else rng.choice(vocab) for x in w],
+        "three tenths dropped": lambda w: [x for x in w if rng.random() >= 0.3],
         "halves swapped": lambda w: w[len(w) // 2 :] + w[: len(w) // 2],
+        "quarters shuffled": lambda w: shuffled(w, -(-len(w) // 4)),
+        "chunks of eight shuffled": lambda w: shuffled(w, 8),
         "words put in": lambda w: [y for x in w for y in ([x, rng.choice(vocab)] if rng.random() < 0.3 else [x])],
     }
     made, of = [], {}
