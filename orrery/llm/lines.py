@@ -24,7 +24,7 @@ LAST = (1 << 63) - 1
 #: Names beside the input's own columns.
 _DOC, _LOST, _N, _DROPPED, _KEPT = (f"__orrery_{x}" for x in ("doc", "lost", "n", "dropped", "kept"))
 #: Documents of a batch at most, and batches at least.
-BATCH_DOCS, BATCHES = 1 << 28, 6
+BATCH_DOCS, BATCHES = 1 << 28, 2
 _HASH = ["h1", "h2"]
 
 
@@ -182,7 +182,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int | None = None
     _kept is the text without lines whose key (>= min_chars code points) a document with a smaller doc_id, or one of
     an earlier call with the same runs, has. Null text is one empty line and stays null in `text`; rows with one
     doc_id are one document, rows without doc_id together the last one; input columns named like the added ones
-    are replaced. An empty table gives an empty one. batches: None takes six, or more so that none has over
+    are replaced. An empty table gives an empty one. batches: None takes two, or more so that none has over
     BATCH_DOCS documents.
     """
     out = _without_repeats(docs, min_chars, batches, fan, runs)
