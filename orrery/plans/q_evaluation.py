@@ -171,3 +171,40 @@ def histogram(spark, sf):
 def timing_report(spark, sf):
     t = M.timing(table(spark, sf, "events"), "event_type", "value")
     return t.select("event_type", "calls", r(F.col("ms"), 4).alias("ms"), r(F.col("hz")).alias("hz"))
+
+
+#: Every seventh embedding is a word; images are the remainders of vec_id.
+_WORDS = f"{E_SQL}, b AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS word, v AS c FROM e WHERE vec_id % 7 = 0 AND vec_id < 700), d AS (SELECT e.vec_id, b.word, e.v, b.c, list_distance(e.v, b.c) AS d FROM e, b), a AS (SELECT vec_id, arg_min(word, (d, word)) AS word, min(d) AS far FROM d GROUP BY vec_id)"
+
+
+def _assigned(spark, sf):
+    from orrery.operators import bow
+
+    e = _emb(spark, sf)
+    words = e.where("vec_id % 7 = 0 AND vec_id < 700").orderBy("vec_id").select("v").collect()  # a hundred at most
+    book = bow.Codebook.of([list(r["v"]) for r in words])
+    return bow.assign(e, "v", book, distance="far"), book
+
+
+@query("bow_words", f"WITH {_WORDS} SELECT vec_id, CAST(word AS BIGINT) AS word, {rs('far', 6)} AS far FROM a")
+def bow_words(spark, sf):
+    """Each embedding's nearest of some given words, through the tree."""
+    return _assigned(spark, sf)[0].select("vec_id", "word", r(F.col("far"), 6).alias("far"))
+
+
+@query("bow_histograms", f"WITH {_WORDS}, h AS (SELECT vec_id % 20 AS image, CAST(word AS BIGINT) AS word, count(*) AS n FROM a GROUP BY ALL) SELECT image, word, n, {rs('n / CAST(sum(n) OVER (PARTITION BY image) AS DOUBLE)')} AS share FROM h")
+def bow_histograms(spark, sf):
+    from orrery.operators import bow
+
+    got = bow.histograms(_assigned(spark, sf)[0].withColumn("image", F.col("vec_id") % 20), ["image"])
+    return got.select("image", "word", "n", r(F.col("share")).alias("share"))
+
+
+@query("bow_residuals", f"WITH {_WORDS}, u AS (SELECT d.vec_id % 20 AS image, d.word, unnest(range(3)) AS i, unnest([d.v[1] - d.c[1], d.v[2] - d.c[2], d.v[3] - d.c[3]]) AS x FROM d JOIN a ON a.vec_id = d.vec_id AND a.word = d.word) SELECT image, CAST(word AS BIGINT) AS word, CAST(i AS BIGINT) AS i, {rs('sum(x)', 5)} AS x FROM u GROUP BY ALL")
+def bow_residuals(spark, sf):
+    """Sums of differences from the words, the first three numbers of each."""
+    from orrery.operators import bow
+
+    got, book = _assigned(spark, sf)
+    sums = bow.residuals(got.withColumn("image", F.col("vec_id") % 20), "v", book, ["image"])
+    return sums.select("image", "word", F.posexplode(F.slice("sums", 1, 3)).alias("i", "x")).select("image", "word", F.col("i").cast("bigint").alias("i"), r(F.col("x"), 5).alias("x"))
