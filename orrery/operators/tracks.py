@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -108,38 +109,116 @@ def lag_flow(obs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return obs.withColumn("dx", F.coalesce(F.col("x") - F.lag("x").over(w), F.lit(0.0))).withColumn("dy", F.coalesce(F.col("y") - F.lag("y").over(w), F.lit(0.0)))
 
 
+#: Rounding bounds of the two determinants below, relative to the sums of their terms' sizes.
+_TURN_BOUND, _CIRCLE_BOUND = 4e-16, 12e-16
+
+
+def _turn(p: list, a: int, b: int, c: int) -> int:
+    """The sign of the turn a, b, c: 1 to the left. Exact: where rounding could matter, in fractions."""
+    (ax, ay), (bx, by), (cx, cy) = p[a], p[b], p[c]
+    left, right = (ax - cx) * (by - cy), (ay - cy) * (bx - cx)
+    d = left - right
+    if abs(d) > _TURN_BOUND * (abs(left) + abs(right)):
+        return 1 if d > 0 else -1
+    ax, ay, bx, by, cx, cy = map(Fraction, (ax, ay, bx, by, cx, cy))
+    d = (ax - cx) * (by - cy) - (ay - cy) * (bx - cx)
+    return (d > 0) - (d < 0)
+
+
+def _in_circle(p: list, a: int, b: int, c: int, d: int) -> bool:
+    """Whether d is inside the circle of the left turn a, b, c. Of four points on one circle the least (by x, then y) counts as
+    a little nearer than it is, so that the triangles between them fan out from it, whatever the order of insertion."""
+    (ax, ay), (bx, by), (cx, cy), (dx, dy) = p[a], p[b], p[c], p[d]
+
+    def terms(ax, ay, bx, by, cx, cy):
+        aa, bb, cc = ax * ax + ay * ay, bx * bx + by * by, cx * cx + cy * cy
+        return (aa, bx * cy, cx * by), (bb, cx * ay, ax * cy), (cc, ax * by, bx * ay)
+
+    near = terms(ax - dx, ay - dy, bx - dx, by - dy, cx - dx, cy - dy)
+    det = sum(s * (u - v) for s, u, v in near)
+    if abs(det) > _CIRCLE_BOUND * sum(s * (abs(u) + abs(v)) for s, u, v in near):
+        return det > 0
+    ax, ay, bx, by, cx, cy, dx, dy = map(Fraction, (ax, ay, bx, by, cx, cy, dx, dy))
+    det = sum(s * (u - v) for s, u, v in terms(ax - dx, ay - dy, bx - dx, by - dy, cx - dx, cy - dy))
+    if det:
+        return det > 0
+    least = min((a, b, c, d), key=lambda i: p[i])
+    if least == d:
+        return True
+    # a little nearer, it takes d out of the circle if its part of the determinant has the sign of a left turn
+    others = {a: (b, c, d), b: (c, a, d), c: (a, b, d)}[least]
+    return _turn(p, *others) < 0
+
+
 def delaunay(xy: np.ndarray) -> np.ndarray:
-    """Triangles (rows of three places, in rising order) whose circumcircle holds no other point: points are put in one after
-    another; the triangles whose circle a new point breaks are taken out, and their outline is joined to it."""
+    """Triangles (rows of three places, in rising order, sorted) whose circumcircles hold no other point; of points on one circle see
+    _in_circle. Points must differ; points on one line have no triangles.
+
+    Points are put in along a path that goes to and fro over strips, so that each is near the one before; its triangle is found by
+    walking from there. Triangles whose circle holds the point are dug out, neighbour by neighbour, and their outline
+    is joined to it. The outside is made of triangles with a point -1 at infinity. Decisions are exact.
+    """
     n = len(xy)
     if n < 3:
         return np.empty((0, 3), int)
-    centre, reach = xy.mean(0), max(float(np.ptp(xy, axis=0).max()), 1.0) * 1e4
-    p = np.concatenate([xy - centre, [[0, 3 * reach], [-3 * reach, -3 * reach], [3 * reach, -3 * reach]]])
-
-    def circle(t: tuple) -> tuple[float, float, float]:
-        (ax, ay), (bx, by), (cx, cy) = p[list(t)]
-        d = 2 * (ax * (by - cy) + bx * (cy - ay) + cx * (ay - by))
-        if d == 0:
-            return np.inf, np.inf, np.inf
-        x = ((ax * ax + ay * ay) * (by - cy) + (bx * bx + by * by) * (cy - ay) + (cx * cx + cy * cy) * (ay - by)) / d
-        y = ((ax * ax + ay * ay) * (cx - bx) + (bx * bx + by * by) * (ax - cx) + (cx * cx + cy * cy) * (bx - ax)) / d
-        return x, y, (ax - x) ** 2 + (ay - y) ** 2
-
-    whole = (n, n + 1, n + 2)
-    triangles = {whole: circle(whole)}
-    for i in np.lexsort((xy[:, 1], xy[:, 0])):
-        broken = [t for t, (x, y, r) in triangles.items() if (p[i, 0] - x) ** 2 + (p[i, 1] - y) ** 2 < r * (1 - 1e-12)]
-        sides: dict[tuple[int, int], int] = {}
-        for t in broken:
-            del triangles[t]
-            for a, b in ((t[0], t[1]), (t[0], t[2]), (t[1], t[2])):
-                sides[a, b] = sides.get((a, b), 0) + 1
-        for (a, b), seen in sides.items():
-            if seen == 1:
-                t = tuple(sorted((a, b, int(i))))
-                triangles[t] = circle(t)
-    return np.array(sorted(t for t in triangles if t[2] < n and np.isfinite(triangles[t][2])), int).reshape(-1, 3)
+    strips = max(1, int((n / 2) ** 0.5))
+    width = max(float(np.ptp(xy[:, 0])), 1e-300) / strips
+    strip = np.minimum(((xy[:, 0] - xy[:, 0].min()) / width).astype(int), strips - 1)
+    order = np.lexsort((np.where(strip % 2, -xy[:, 1], xy[:, 1]), strip)).tolist()
+    p = list(map(tuple, xy.tolist()))
+    third = next((k for k in range(2, n) if _turn(p, order[0], order[1], order[k])), None)
+    if third is None:
+        return np.empty((0, 3), int)
+    order.insert(2, order.pop(third))
+    a, b, c = order[:3]
+    if _turn(p, a, b, c) < 0:
+        a, b = b, a
+    apex: dict[tuple[int, int], int] = {}  # the third point of the triangle to the left of each side
+
+    def put(a: int, b: int, c: int) -> None:
+        apex[a, b], apex[b, c], apex[c, a] = c, a, b
+
+    for t in ((a, b, c), (b, a, -1), (c, b, -1), (a, c, -1)):
+        put(*t)
+
+    def broken(u: int, v: int, w: int, i: int) -> bool:
+        if u >= 0 and v >= 0 and w >= 0:
+            return _in_circle(p, u, v, w, i)
+        x, y = (u, v) if w < 0 else (v, w) if u < 0 else (w, u)
+        side = _turn(p, x, y, i)
+        return side > 0 or side == 0 and min(p[x], p[y]) < p[i] < max(p[x], p[y])
+
+    at = (a, b, c)
+    for i in order[3:]:
+        u, v, w = at
+        while True:  # walk: over a side that the point is beyond
+            for x, y in ((u, v), (v, w), (w, u)):
+                if _turn(p, x, y, i) < 0:
+                    u, v, w = y, x, apex[y, x]
+                    break
+            else:
+                break
+            if w < 0:
+                break
+        sides = [(u, v), (v, w), (w, u)]
+        for side in sides:
+            del apex[side]
+        rim = []
+        while sides:
+            x, y = sides.pop()
+            z = apex.get((y, x))
+            if z is not None and broken(y, x, z, i):
+                for side in ((y, x), (x, z), (z, y)):
+                    del apex[side]
+                sides += [(x, z), (z, y)]
+            elif (y, x) in apex:
+                rim.append((x, y))
+        for x, y in rim:
+            put(x, y, i)
+            if x >= 0 and y >= 0:
+                at = (x, y, i)
+    got = sorted(tuple(sorted((u, v, w))) for (u, v), w in apex.items() if 0 <= u < v and u < w)
+    return np.array(got, int).reshape(-1, 3)
 
 
 def mesh(points: DataFrame, by: list[str], track_id: str = "track_id") -> DataFrame:
