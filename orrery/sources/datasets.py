@@ -7,6 +7,7 @@ listing a drive reads no contents.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -37,6 +38,10 @@ class Layout:
     stamped_poses: str | None = None
     records: str | None = None
     intrinsics: str | None = None
+    disparity: str | None = None
+    depth: str | None = None
+    masks: str | None = None
+    rig: str | None = None
     numbered: bool = True
 
 
@@ -46,7 +51,8 @@ LAYOUTS = {
     "raw": Layout(left="image_00/data/*.png", right="image_01/data/*.png", lidar="velodyne_points/data/*.bin", packets="oxts/data/*.txt", packet_fields="oxts/dataformat.txt"),
     "omni": Layout(left="image_02/data/*.png", right="image_03/data/*.png", lidar="velodyne_points/data/*.bin", packets="oxts/data/*.txt", packet_fields="oxts/dataformat.txt"),
     "pairs": Layout(left="*-left.pnm", right="*-right.pnm", numbered=False),
-    "urban": Layout(left="data/img/*_0.png", stamped_poses="info/groundtruth.txt", intrinsics="info/intrinsics.txt", numbered=False),
+    "stereo_truth": Layout(left="image_0/*_10.png", right="image_1/*_10.png", disparity="disp_noc/*_10.png", rig="calib/*.txt", numbered=False),
+    "urban": Layout(left="data/img/*_0.png", depth="data/depth/*.png", masks="data/masks/*.png", stamped_poses="info/groundtruth.txt", intrinsics="info/intrinsics.txt", numbered=False),
     "synthetic": Layout(left="*.png", records="*.txt"),
 }
 
@@ -67,7 +73,8 @@ class Drive:
         return cls(spark, f"{root}/sequences/{sequence}", layout, **how)
 
     def _at(self, pattern: str) -> str:
-        return pattern if "://" in pattern or pattern.startswith("/") else f"{self.folder}/{pattern}"
+        # Hadoop writes one slash or three after the scheme
+        return pattern if re.match("[A-Za-z][A-Za-z0-9+.-]*:/|/", pattern) else f"{self.folder}/{pattern}"
 
     def _listed(self, pattern: str | None) -> DataFrame | None:
         """(idx, path), or None if nothing is there."""
@@ -148,6 +155,40 @@ class Drive:
         found = readers.key_values(self.spark, self._at(self.layout.records))
         return self._kept(readers.frame_index(found).select("idx", F.col("values").alias("record")))
 
+    def _measured(self, pattern: str, unit: float) -> DataFrame:
+        """(idx, h, w, values) of grey images of 16 bits, with the frames' own numbers."""
+        found = readers.depth_images(self.spark, self._at(pattern), unit).drop("idx")
+        same = F.regexp_replace("path", "^([a-z0-9]+):/+", "$1:/")
+        listed = self._listed(pattern).select("idx", same.alias("path"))
+        return listed.join(found.withColumn("path", same), "path").select("idx", "h", "w", "values")
+
+    def disparity(self) -> DataFrame:
+        """(idx, h, w, values): true disparities in pixels, null where they aren't known."""
+        return self._measured(self.layout.disparity, 1 / 256)
+
+    def depth(self, unit: float = 0.001) -> DataFrame:
+        """(idx, h, w, values): depths in metres, null where they aren't known."""
+        return self._measured(self.layout.depth, unit)
+
+    def rigs(self) -> DataFrame:
+        """(idx, fx, cx, cy, baseline_px): each frame's own stereo calibration."""
+        found = readers.stereo_calibration(self.spark, self._at(self.layout.rig))
+        same = F.regexp_replace("path", "^([a-z0-9]+):/+", "$1:/")
+        listed = self._listed(self.layout.rig).select("idx", same.alias("path"))
+        return listed.join(found.withColumn("path", same), "path").drop("path")
+
+    def truth_stereo(self) -> DataFrame:
+        """(idx, left, right, h, w, values, fx, cx, cy, baseline_px): image pairs with true disparities and their calibration."""
+        return zips.zip_streams([self.stereo(), self.disparity(), self.rigs()], ["idx"])
+
+    def measured_frames(self) -> DataFrame:
+        """(idx, left, pose, depth, mask): images with their poses and the paths of depth and mask images; nulls where a stream
+        is absent."""
+        streams = {"left": self._named(self.layout.left, "left"), "pose": self.poses(), "depth": self._named(self.layout.depth, "depth"), "mask": self._named(self.layout.masks, "mask")}
+        out = zips.zip_streams([d for d in streams.values() if d is not None], ["idx"])
+        kinds = {"pose": "struct<q:struct<x:double,y:double,z:double,w:double>,t:struct<x:double,y:double,z:double>>"}
+        return reduce(lambda d, n: zips.absent(d, n, kinds.get(n, "string")), [n for n, d in streams.items() if d is None], out).select("idx", *streams)
+
     def images(self, side: str = "left") -> DataFrame:
         """(idx, image) of a side, decoded."""
         found = readers.images(self.spark, self._at(getattr(self.layout, side)))

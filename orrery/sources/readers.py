@@ -6,6 +6,8 @@ All go through Spark's own sources, so any store that Spark reads will do.
 from __future__ import annotations
 
 import json
+import struct
+import zlib
 from collections.abc import Sequence
 
 import numpy as np
@@ -104,13 +106,88 @@ def images(spark: SparkSession, path: str) -> DataFrame:
     return got.select(F.col("origin").alias("path"), F.struct(F.col("height").alias("h"), F.col("width").alias("w"), F.col("nChannels").alias("c"), "data").alias("image"))
 
 
+def png_samples(data: bytes) -> np.ndarray:
+    """The samples of a PNG of 8 or 16 bits without a palette or interlacing: (h, w), or (h, w, channels) in the file's order."""
+    if data[:8] != b"\x89PNG\r\n\x1a\n":
+        raise ValueError("no PNG")
+    at, body, head = 8, b"", None
+    while at < len(data):
+        size, kind = struct.unpack_from(">I4s", data, at)
+        part = data[at + 8 : at + 8 + size]
+        head = struct.unpack(">IIBBBBB", part) if kind == b"IHDR" else head
+        body += part if kind == b"IDAT" else b""
+        at += size + 12
+    w, h, bits, colour, _, _, laced = head
+    if bits not in (8, 16) or colour not in (0, 2, 4, 6) or laced:
+        raise ValueError(f"a PNG of {bits} bits, colour type {colour}, interlace {laced} is not read")
+    channels, step = {0: 1, 2: 3, 4: 2, 6: 4}[colour], bits // 8
+    pixel = channels * step
+    raw = np.frombuffer(zlib.decompress(body), np.uint8).reshape(h, 1 + w * pixel)
+    out = np.zeros((h + 1, w + 1, pixel), np.int64)  # a blank row above and a blank pixel before
+    for y in range(h):
+        kind, line = raw[y, 0], raw[y, 1:].reshape(w, pixel).astype(np.int64)
+        if kind == 0:
+            out[y + 1, 1:] = line
+        elif kind == 1:
+            out[y + 1, 1:] = np.cumsum(line, 0) & 255
+        elif kind == 2:
+            out[y + 1, 1:] = (line + out[y, 1:]) & 255
+        else:
+            for x in range(w):
+                left, up, corner = out[y + 1, x], out[y, x + 1], out[y, x]
+                if kind == 3:
+                    guess = (left + up) // 2
+                else:
+                    a, b, c = abs(up - corner), abs(left - corner), abs(left + up - 2 * corner)
+                    guess = np.where((a <= b) & (a <= c), left, np.where(b <= c, up, corner))
+                out[y + 1, x + 1] = (line[x] + guess) & 255
+    samples = out[1:, 1:].astype(np.uint8).reshape(h, w, channels, step)
+    values = samples.view(">u2")[..., 0] if step == 2 else samples[..., 0]
+    return values[..., 0] if channels == 1 else values
+
+
+def depth_images(spark: SparkSession, path: str, unit: float = 1 / 256) -> DataFrame:
+    """(idx, path, h, w, values: array of float, rows first) of grey PNGs of 16 bits, in units; 0 is unknown and null. Disparity
+    truth has 1/256 pixel, depth in millimetres 1/1000 metre."""
+    raw = frame_index(spark.read.format("binaryFile").load(path)).select("idx", "path", "content")
+    schema = "idx bigint, path string, h int, w int, `values` array<float>"
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                a = png_samples(row["content"])
+                flat = pa.array((a * unit).astype(np.float32).ravel(), mask=(a == 0).ravel())
+                lists = pa.ListArray.from_arrays(pa.array([0, a.size], pa.int32()), flat)
+                yield pa.RecordBatch.from_arrays([pa.array([row["idx"]], pa.int64()), pa.array([row["path"]]), pa.array([a.shape[0]], pa.int32()), pa.array([a.shape[1]], pa.int32()), lists], ["idx", "path", "h", "w", "values"])
+
+    return raw.mapInArrow(run, schema)
+
+
+def annotations(spark: SparkSession, path: str, difficult: bool = False) -> DataFrame:
+    """(image, place, name, difficult, x1, y1, x2, y2) of XML annotation files, an `annotation` each with `object`s of a `bndbox`;
+    place counts the objects of a file. Objects marked difficult are left out unless asked for."""
+    box = "struct<xmin: double, ymin: double, xmax: double, ymax: double>"
+    schema = f"filename string, object array<struct<name: string, difficult: int, bndbox: {box}>>"
+    rows = spark.read.schema(schema).option("rowTag", "annotation").xml(path).select("filename", F.posexplode("object").alias("place", "o"))
+    out = rows.select(F.col("filename").alias("image"), F.col("place").cast("bigint").alias("place"), "o.name", (F.coalesce(F.col("o.difficult"), F.lit(0)) != 0).alias("difficult"), *[F.col(f"o.bndbox.{a}").alias(b) for a, b in (("xmin", "x1"), ("ymin", "y1"), ("xmax", "x2"), ("ymax", "y2"))])
+    return out if difficult else out.where("NOT difficult")
+
+
 def disparity(pixels: DataFrame, column: str = "value") -> DataFrame:
     """Ground truth in 1/256 pixel as float."""
     return pixels.withColumn(column, (F.col(column) / 256).cast("float"))
 
 
-def json_dict(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("multiLine", True).json(path)
+def json_dict(spark: SparkSession, path: str, lines: bool | None = None) -> DataFrame:
+    """One row a JSON object: an object a line, or (lines=False) one a file over any number of lines. None: by whether the first
+    line is a whole object."""
+    if lines is None:
+        first = spark.read.text(path).where("length(trim(value)) > 0").first()
+        try:
+            lines = first is not None and isinstance(json.loads(first[0]), dict)
+        except ValueError:
+            lines = False
+    return spark.read.option("multiLine", not lines).json(path)
 
 
 def yaml_dict(spark: SparkSession, path: str) -> DataFrame:

@@ -56,6 +56,14 @@ def png(a: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(body)) + chunk(b"IEND", b"")
 
 
+def png16(a: np.ndarray) -> bytes:
+    """A grey PNG of 16 bits of an (h, w) array."""
+    h, w = a.shape
+    body = b"".join(b"\0" + row.astype(">u2").tobytes() for row in a)
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 16, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(body)) + chunk(b"IEND", b"")
+
+
 def encode_frames(df: DataFrame, order: str, template: str = "imgs-%06i.png") -> DataFrame:
     """(name, content): a PNG for each image, named by its place in the order column."""
 

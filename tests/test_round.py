@@ -4,6 +4,8 @@ one-to-one assignments, collections with late messages."""
 from __future__ import annotations
 
 import itertools
+import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -12,7 +14,7 @@ from pyspark.sql import types as T
 
 from orrery.functions import arcball, text, vec
 from orrery.operators import boxes, boxtracks, sequence
-from orrery.sources import readers
+from orrery.sources import readers, writers
 from orrery.sources.collections import Collections, attached
 
 
@@ -25,6 +27,49 @@ def test_settings_with_brackets(spark, tmp_path):
     }
 
 
+def test_json_objects(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{\n "x": 1,\n "y": [1, 2]}\n')
+    (tmp_path / "b.json").write_text('{"x": 1}\n{"x": 2}\n{"x": 3}\n')
+    assert readers.json_dict(spark, str(tmp_path / "a.json")).first()["y"] == [1, 2]
+    assert readers.json_dict(spark, str(tmp_path / "b.json")).count() == 3
+
+
+def test_samples_of_pngs(spark, tmp_path):
+    """Each of the five line filters, 8 and 16 bits, several channels."""
+    rng = np.random.default_rng(0)
+    for bits, channels, colour in ((8, 1, 0), (8, 3, 2), (16, 1, 0), (16, 4, 6)):
+        a = rng.integers(0, 1 << bits, (10, 7, channels)).astype(f">u{bits // 8}")
+        lines = a.view(np.uint8).reshape(10, -1).astype(int)
+        pixel, body = channels * bits // 8, b""
+        for y in range(10):
+            left = np.concatenate([np.zeros(pixel, int), lines[y, :-pixel]])
+            up = lines[y - 1] if y else np.zeros_like(left)
+            corner = np.concatenate([np.zeros(pixel, int), up[:-pixel]])
+            near = left + up - corner
+            d = np.stack([abs(near - left), abs(near - up), abs(near - corner)])
+            guess = [0, left, up, (left + up) // 2, np.choose(d.argmin(0), [left, up, corner])][y % 5]
+            body += bytes([y % 5]) + ((lines[y] - guess) % 256).astype(np.uint8).tobytes()
+        chunk = lambda k, b: struct.pack(">I", len(b)) + k + b + struct.pack(">I", zlib.crc32(k + b))
+        head = struct.pack(">IIBBBBB", 7, 10, bits, colour, 0, 0, 0)
+        packed = zlib.compress(body)
+        png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", packed[:9]) + chunk(b"IDAT", packed[9:]) + chunk(b"IEND", b"")
+        assert (readers.png_samples(png) == (a[..., 0] if channels == 1 else a)).all()
+    for bad in (b"GIF", png[:8] + chunk(b"IHDR", struct.pack(">IIBBBBB", 7, 10, 8, 3, 0, 0, 0)) + chunk(b"IEND", b"")):
+        with pytest.raises(ValueError):
+            readers.png_samples(bad)
+    depth = np.array([[0, 256], [512, 65535]])
+    (tmp_path / "000004.png").write_bytes(writers.png16(depth))
+    r = readers.depth_images(spark, str(tmp_path)).first()
+    assert (r["idx"], r["h"], r["w"]) == (4, 2, 2) and r["values"][:3] == [None, 1.0, 2.0] and abs(r["values"][3] - 65535 / 256) < 1e-3
+
+
+def test_annotations(spark, tmp_path):
+    (tmp_path / "a.xml").write_text("<annotation><filename>a.jpg</filename><object><name>cat</name><difficult>1</difficult><bndbox><xmin>1</xmin><ymin>2</ymin><xmax>3</xmax><ymax>4</ymax></bndbox></object><object><name>dog</name><bndbox><xmin>5</xmin><ymin>6</ymin><xmax>7</xmax><ymax>8</ymax></bndbox></object></annotation>")
+    (tmp_path / "b.xml").write_text("<annotation><filename>b.jpg</filename></annotation>")
+    assert [(r["name"], r["place"], r["x1"], r["y2"]) for r in readers.annotations(spark, str(tmp_path)).collect()] == [("dog", 1, 5.0, 8.0)]
+    assert sorted((r["name"], r["difficult"]) for r in readers.annotations(spark, str(tmp_path), difficult=True).collect()) == [("cat", True), ("dog", False)]
+
+
 @pytest.mark.parametrize("axis", [(0, 0, 1), (0, 0, -1), (0, 1, 0), (-1, 0, 0), (0.6, 0, 0.8)])
 def test_directions_across_an_axis(spark, axis):
     at = lambda p: vec.vec3(*[F.lit(float(x)) for x in p])
