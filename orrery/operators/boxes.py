@@ -51,9 +51,47 @@ def matches(truth: DataFrame, test: DataFrame, by: Sequence[str], threshold: flo
     return pairs(truth, test, keys, cell).where(F.col("iou") > threshold)
 
 
+def _best_by_image(truth: DataFrame, test: DataFrame, by: Sequence[str], box_id: str) -> DataFrame:
+    """best_iou of images whose boxes fit into a task: some rows of truth against all test boxes of their image at a time,
+    so no pair becomes a row. Larger sets of truth boxes of an image are dealt to several tasks."""
+    import pyarrow as pa
+
+    a = truth.select(*by, box_id, *XY)
+    b = test.where(" AND ".join(f"`{c}` IS NOT NULL" for c in by)).select(*[F.col(c).alias(f"_{c}") for c in (*by, *XY)])  # own names: both may come of one table
+    fields = ", ".join(f"`{c}` {a.schema[c].dataType.simpleString()}" for c in [*by, box_id])
+
+    def run(one: pa.Table, other: pa.Table) -> pa.Table:
+        numbers = lambda t, names: np.stack([t.column(c).cast(pa.float64()).to_numpy() for c in names], 1) if t.num_rows else np.empty((0, 4))
+        p, q = numbers(one, XY), numbers(other, [f"_{c}" for c in XY])
+        area = lambda x: (x[:, 2] - x[:, 0]) * (x[:, 3] - x[:, 1])
+        best, step, areas = np.zeros(len(p)), max(1, 1_000_000 // max(1, len(q))), area(q)
+        for k in range(0, len(p), step):
+            rows = p[k : k + step]
+            w = np.minimum(rows[:, None, 2], q[None, :, 2]) - np.maximum(rows[:, None, 0], q[None, :, 0])
+            h = np.minimum(rows[:, None, 3], q[None, :, 3]) - np.maximum(rows[:, None, 1], q[None, :, 1])
+            both = np.where((w > 0) & (h > 0), w * h, 0.0)
+            union = area(rows)[:, None] + areas[None, :] - both
+            best[k : k + step] = np.divide(both, union, out=np.zeros_like(both), where=both > 0).max(1, initial=0.0)
+        return one.select([*by, box_id]).append_column("iou", pa.array(best))
+
+    return a.groupBy(*by).cogroup(b.groupBy(*[f"_{c}" for c in by])).applyInArrow(run, f"{fields}, iou double")
+
+
 def best_iou(truth: DataFrame, test: DataFrame, by: Sequence[str], box_id: str, cell: float | None = None, match: bool = False) -> DataFrame:
     """(by, id, iou): the best overlap of each truth box, 0 where nothing overlaps. match=True adds the test box that has
-    it (ties go to the smallest id; null where nothing overlaps), at the price of a sorting aggregate."""
+    it (ties go to the smallest id; null where nothing overlaps), at the price of a sorting aggregate. With a cell size, images of
+    up to CROWDED boxes on either side are compared as a whole, others by cells."""
+    if cell and not match and by:
+        sides = [d.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > CROWDED).select(*by) for d in (truth, test)]
+        full = sides[0].union(sides[1]).distinct()
+        if full.isEmpty():
+            return _best_by_image(truth, test, by, box_id)
+        few, many = ([d.join(full, list(by), how) for d in (truth, test)] for how in ("left_anti", "left_semi"))
+        return _best_by_image(*few, by, box_id).unionByName(_best_by_cells(*many, by, box_id, cell, False))
+    return _best_by_cells(truth, test, by, box_id, cell, match)
+
+
+def _best_by_cells(truth: DataFrame, test: DataFrame, by: Sequence[str], box_id: str, cell: float | None, match: bool) -> DataFrame:
     found = pairs(truth, test, by, cell).select(*by, F.col(f"a.{box_id}").alias(box_id), F.col(f"b.{box_id}").alias("_m"), "iou").groupBy(*by, box_id)
     if match:
         best = found.agg(F.max(F.struct("iou", (-F.col("_m")).alias("neg"))).alias("m")).select(*by, box_id, F.col("m.iou").alias("iou"), (-F.col("m.neg")).alias("match"))

@@ -157,3 +157,21 @@ def test_attached(spark):
     clouds = spark.createDataFrame([(1, "poses", 1), (2, "poses", 2), (3, "poses", 9), (4, None, 1)], "k int, frame string, element_id bigint")
     got = {r["k"]: r["world"] and r["world"]["t"]["x"] for r in attached(clouds, poses, frames).collect()}
     assert got == {1: 11.0, 2: 2.0, 3: None, 4: None}
+
+
+def test_best_overlaps_by_image_and_by_cells(spark, monkeypatch):
+    """Whole images, cells, and both at once give the same; boxes without partners and images on one side only count too."""
+    rng = np.random.default_rng(0)
+    rows = []
+    for k in range(900):
+        x, y, w, h = rng.integers(0, 80, 4)
+        rows.append((int(min(k % 7, 4)) if k % 31 else None, k, float(x), float(y), float(x + w), float(y + h)))
+    every = spark.createDataFrame(rows, "i int, id int, x1 double, y1 double, x2 double, y2 double")
+    truth, test = every.where("id % 2 = 0"), every.where("id % 2 = 1 AND (i IS NULL OR i <> 3)")
+    get = lambda: {(r["i"], r["id"]): round(r["iou"], 12) for r in boxes.best_iou(truth, test, ["i"], "id", cell=16.0).collect()}
+    whole = get()
+    monkeypatch.setattr(boxes, "CROWDED", 100)
+    both = get()
+    monkeypatch.setattr(boxes, "CROWDED", 0)
+    cells = get()
+    assert whole == both == cells and len(whole) == 450 and any(v > 0.5 for v in whole.values()) and all(v == 0 for (i, _), v in whole.items() if i in (3, None))
