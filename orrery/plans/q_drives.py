@@ -111,12 +111,11 @@ def drive_packets(spark, sf):
     return got.select("idx", r(F.col("vn"), 4).alias("vn"), *[r(F.col(f"{p}.t.{k}"), 3).alias(f"{n}{k}") for p, n in (("pose", "t"), ("rel", "r")) for k in "xy"])
 
 
-@query("drive_raw_frames", f"WITH {_PACKETS} SELECT idx, printf('data/%010d.png', idx) AS left_image, {rs('tx - (SELECT tx FROM m WHERE idx = 0)', 3)} AS tx FROM m WHERE idx BETWEEN 2 AND 41")
+@query("drive_raw_frames", f"WITH {_PACKETS} SELECT idx, printf('data/%010d.png', idx) AS left_image, {rs('tx - (SELECT tx FROM m WHERE idx = 0)', 3)} AS tx FROM m")
 def drive_raw_frames(spark, sf):
-    """Forty frames from the second on: images with poses from packets; other streams are absent."""
-    d = _raw(spark, sf)
-    whole = d.frames().where("right IS NULL AND lidar IS NULL")
-    return whole.where("idx BETWEEN 2 AND 41").select("idx", _name("left").alias("left_image"), r(F.col("pose.t.x"), 3).alias("tx"))
+    """Images with poses from packets; other streams are absent."""
+    whole = _raw(spark, sf).frames().where("right IS NULL AND lidar IS NULL")
+    return whole.select("idx", _name("left").alias("left_image"), r(F.col("pose.t.x"), 3).alias("tx"))
 
 
 @query("drive_pairs", "SELECT CAST(row_number() OVER (ORDER BY s_suppkey) - 1 AS BIGINT) AS idx, 'shot' || s_suppkey || '-left.pnm' AS left_image, 'shot' || s_suppkey || '-right.pnm' AS right_image FROM supplier")
