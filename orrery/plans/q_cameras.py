@@ -49,25 +49,27 @@ def camera_factors(spark, sf):
     return got.select("event_id", r(F.col("f.k")[0][0]).alias("fx"), r(F.col("f.k")[1][1]).alias("fy"), r(F.col("f.k")[0][2]).alias("cx"), *turn, *[r(F.col("f.t")[i], 4).alias(f"t{k}") for i, k in enumerate("xyz")])
 
 
-_FAR = "WHERE abs(tx) + abs(ty) + abs(tz) > 1"
+_FAR = "abs(tx) + abs(ty) + abs(tz) > 1"
 
 
-@query("essential_parts", f"{_IN} SELECT event_id, true AS turn, {', '.join(f'{rs(f'abs({k}) / sqrt(tx * tx + ty * ty + tz * tz)', 5)} AS {k}' for k in ('tx', 'ty', 'tz'))} FROM poses {_FAR}")
+@query("essential_parts", f"{_IN} SELECT event_id, CASE WHEN {_FAR} THEN true END AS turn, {', '.join(f'{rs(f'CASE WHEN {_FAR} THEN abs({k}) / sqrt(tx * tx + ty * ty + tz * tz) END', 5)} AS {k}' for k in ('tx', 'ty', 'tz'))} FROM poses")
 def essential_parts(spark, sf):
-    """Of the two turns of an essential matrix one is the pose's; the step is known up to its length and sign."""
-    far = _cameras(spark, sf).where("abs(pose.t.x) + abs(pose.t.y) + abs(pose.t.z) > 1")
-    got = L.held(far, e=C.essential(F.col("cam")), rot=quat.to_matrix(F.col("pose.q"))).withColumn("d", L.decompose_essential(F.col("e")))
+    """Of the two turns of an essential matrix one is the pose's; the step is known up to its length and sign, and unknown where
+    there is hardly one."""
+    far = F.expr("abs(pose.t.x) + abs(pose.t.y) + abs(pose.t.z) > 1")
+    got = L.held(_cameras(spark, sf).withColumn("far", far), e=C.essential(F.col("cam")), rot=quat.to_matrix(F.col("pose.q"))).withColumn("d", L.decompose_essential(F.col("e")))
     is_turn = lambda c: F.forall(F.zip_with(F.flatten(F.col(c)), F.flatten("rot"), lambda a, b: F.abs(a - b) < 1e-6), lambda x: x)
-    return got.select("event_id", (is_turn("d.r1") | is_turn("d.r2")).alias("turn"), *[r(F.abs(F.col("d.t")[i]), 5).alias(f"t{k}") for i, k in enumerate("xyz")])
+    return got.select("event_id", F.when(F.col("far"), is_turn("d.r1") | is_turn("d.r2")).alias("turn"), *[r(F.when(F.col("far"), F.abs(F.col("d.t")[i])), 5).alias(f"t{k}") for i, k in enumerate("xyz")])
 
 
-@query("epipoles", f"{_IN}, c AS (SELECT event_id, {', '.join(f'{e} AS {k}' for e, k in zip(_CENTRE, 'xyz', strict=True))} FROM poses) SELECT event_id, {rs('500 * x / z + 320', 2)} AS u, {rs('510 * y / z + 240', 2)} AS v FROM c WHERE abs(z) > 20")
+@query("epipoles", f"{_IN}, c AS (SELECT event_id, {', '.join(f'{e} AS {k}' for e, k in zip(_CENTRE, 'xyz', strict=True))} FROM poses) SELECT event_id, {rs('CASE WHEN abs(z) > 20 THEN 500 * x / z + 320 END', 2)} AS u, {rs('CASE WHEN abs(z) > 20 THEN 510 * y / z + 240 END', 2)} AS v FROM c")
 def epipoles(spark, sf):
-    """Where the first camera sees the centre of the second: the null vector of their fundamental matrix."""
-    got = _cameras(spark, sf).withColumn("c", C.center(F.col("cam"))).where(F.abs("c.z") > 20)
+    """Where the first camera sees the centre of the second: the null vector of their fundamental matrix. Null for centres near
+    the first camera's own plane, which it sees far outside or nowhere."""
+    got = _cameras(spark, sf).withColumn("c", C.center(F.col("cam")))
     both = got.withColumn("p", C.projection_matrix(C.camera(_k()))).withColumn("q", C.projection_matrix(F.col("cam")))
-    e = L.held(both, f=C.fundamental(F.col("p"), F.col("q"))).select("event_id", L.epipole(F.col("f")).alias("e"))
-    return e.select("event_id", r(F.col("e")[0], 2).alias("u"), r(F.col("e")[1], 2).alias("v"))
+    e = L.held(both, f=C.fundamental(F.col("p"), F.col("q"))).select("event_id", F.col("c.z").alias("z"), L.epipole(F.col("f")).alias("e"))
+    return e.select("event_id", *[r(F.when(F.abs("z") > 20, F.col("e")[i]), 2).alias(n) for i, n in enumerate("uv")])
 
 
 @query("frames_from_vectors", f"WITH {FRAMES} SELECT event_id, {rs('tx / sqrt(tx * tx + ty * ty + 1)', 5)} AS xx, {rs('ty / sqrt(tx * tx + ty * ty + 1)', 5)} AS xy, {rs('1 / sqrt(1 + ty * ty)', 5)} AS zy, {rs('-ty / sqrt(1 + ty * ty)', 5)} AS zz, {rs('0')} AS across FROM frames")

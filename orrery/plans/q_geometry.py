@@ -288,24 +288,27 @@ def epipolar_lines(spark, sf):
     return got.select("event_id", r(F.col("l")[0], 5).alias("a"), r(F.col("l")[1], 5).alias("b"), r(F.col("l")[2], 3).alias("c"))
 
 
-@query("two_view_triangulation", f"WITH {_PTS} SELECT p_partkey, {rs('x', 4)} AS x, {rs('y', 4)} AS y, {rs('z', 4)} AS z, true AS agrees FROM pts WHERE z > 0.5")
+@query("two_view_triangulation", f"WITH {_PTS} SELECT p_partkey, {', '.join(f'{rs(f'CASE WHEN z > 0.5 THEN {k} END', 4)} AS {k}' for k in 'xyz')}, CASE WHEN z > 0.5 THEN true END AS agrees FROM pts")
 def two_view_triangulation(spark, sf):
-    """Points come back from their two projections; the fundamental matrix agrees with them."""
-    pts = _points(spark, sf).where("z > 0.5")
+    """Points come back from their two projections, and the fundamental matrix agrees with them; null for points too near or
+    behind the cameras."""
+    pts = _points(spark, sf)
     right = C.camera(_camera()["intrinsic"], P.pose(euler.to_quat(F.lit(0.0), F.lit(0.05), F.lit(0.0)), vec.vec3(-0.5, 0, 0)))
     both = pts.withColumn("a", C.project(_camera(), _v("x", "y", "z"))).withColumn("b", C.project(right, _v("x", "y", "z")))
     mats = both.withColumn("pa", C.projection_matrix(_camera())).withColumn("pb", C.projection_matrix(right))
     got = mats.withColumn("f", C.fundamental(F.col("pa"), F.col("pb"))).withColumn("t", L.triangulate(F.col("pa"), F.array("a.u", "a.v"), F.col("pb"), F.array("b.u", "b.v")))
     line = C.epipolar_line(F.col("f"), F.array(F.col("a.u"), F.col("a.v"), F.lit(1.0)))
     off = F.abs(vec.array_dot(line, F.array(F.col("b.u"), F.col("b.v"), F.lit(1.0))))
-    return got.select("p_partkey", *[r(F.col("t")[i], 4).alias(k) for i, k in enumerate("xyz")], (off < 1e-3).alias("agrees"))
+    seen = F.col("z") > 0.5
+    return got.select("p_partkey", *[r(F.when(seen, F.col("t")[i]), 4).alias(k) for i, k in enumerate("xyz")], F.when(seen, off < 1e-3).alias("agrees"))
 
 
-@query("frustum_containment", f"WITH {_PTS} SELECT p_partkey, z >= 0.5 AND z <= 5 AND abs(x) <= 0.638 * z AND abs(y) <= 0.478 * z AS inside FROM pts WHERE abs(abs(x) - 0.638 * z) > 1e-6 AND abs(abs(y) - 0.478 * z) > 1e-6")
+@query("frustum_containment", f"WITH {_PTS} SELECT p_partkey, CASE WHEN abs(abs(x) - 0.638 * z) > 1e-6 AND abs(abs(y) - 0.478 * z) > 1e-6 THEN z >= 0.5 AND z <= 5 AND abs(x) <= 0.638 * z AND abs(y) <= 0.478 * z END AS inside FROM pts")
 def frustum_containment(spark, sf):
     edge = (F.abs(F.abs("x") - 0.638 * F.col("z")) > 1e-6) & (F.abs(F.abs("y") - 0.478 * F.col("z")) > 1e-6)
-    got = _points(spark, sf).where(edge).withColumn("planes", C.frustum_planes(C.frustum(P.identity(), 0.5, 5.0)))
-    return got.select("p_partkey", C.inside_planes(F.col("planes"), _v("x", "y", "z")).alias("inside"))
+    got = _points(spark, sf).withColumn("planes", C.frustum_planes(C.frustum(P.identity(), 0.5, 5.0)))
+    # on an edge rounding decides
+    return got.select("p_partkey", F.when(edge, C.inside_planes(F.col("planes"), _v("x", "y", "z"))).alias("inside"))
 
 
 _TURN = ", ".join(f"{e} AS {k}" for e, k in zip(multiply_sql("n.q", "l.q", -1), "xyzw", strict=True))

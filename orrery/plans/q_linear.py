@@ -79,9 +79,10 @@ def matrix_projection_parts(spark, sf):
     return p.select("event_id", *_three(F.col("a.point"), "p", 4), F.col("a.direction").isNull().alias("straight"), *_three(F.col("b.direction"), "d"), *_three(F.col("e.perspective"), "c", 3), *_three(F.col("f.perspective"), "s", 3), *_three(F.col("f.point"), "f", 3))
 
 
-@query("matrix_shear_parts", f"{_IN} SELECT event_id, {rs('pitch', 5)} AS angle, {_named('d', ('1', '0', '0'))}, {_named('n', ('0', '1', '0'))}, {rs('ty', 4)} AS py FROM frames WHERE pitch > 0")
+@query("matrix_shear_parts", f"{_IN} SELECT event_id, {', '.join(f'{rs(f'CASE WHEN pitch > 0 THEN {e} END', d)} AS {n}' for e, d, n in (('pitch', 5, 'angle'), *((v, 5, f'd{k}') for k, v in zip('xyz', '100', strict=True)), *((v, 5, f'n{k}') for k, v in zip('xyz', '010', strict=True)), ('ty', 4, 'py')))} FROM frames")
 def matrix_shear_parts(spark, sf):
-    f = frames(spark, sf).where("pitch > 0")
+    """The parts of a shear; of one by no angle there are none."""
+    f = frames(spark, sf)
     m = L.held(f, m=P.shear_matrix(F.col("pitch"), vec.vec3(1, 0, 0), _at(), vec.vec3(0, 1, 0))).select("event_id", L.shear_parts(F.col("m")).alias("p"))
     return m.select("event_id", r(F.col("p.angle"), 5).alias("angle"), *_three(F.col("p.direction"), "d"), *_three(F.col("p.normal"), "n"), r(F.col("p.point")[1], 4).alias("py"))
 

@@ -52,9 +52,9 @@ def track_history(spark, sf):
     return T.bounded_history(tracks(spark, sf), 4)
 
 
-@query("track_assign_ids", f"WITH {TRACKS} SELECT p_partkey, CAST((SELECT max(track_id) FROM tracks) + row_number() OVER (ORDER BY p_size DESC, p_partkey) AS BIGINT) AS track_id FROM part WHERE p_size > 45")
+@query("track_assign_ids", f"WITH {TRACKS} SELECT p_partkey, CAST((SELECT max(track_id) FROM tracks) + row_number() OVER (ORDER BY p_size DESC, p_partkey) AS BIGINT) AS track_id FROM part")
 def track_assign_ids(spark, sf):
-    det = table(spark, sf, "part").where("p_size > 45").select("p_partkey", "p_size")
+    det = table(spark, sf, "part").select("p_partkey", "p_size")
     return T.assign_ids(det, tracks(spark, sf), [F.col("p_size").desc(), "p_partkey"]).select("p_partkey", "track_id")
 
 
