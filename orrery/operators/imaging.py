@@ -224,6 +224,35 @@ def pixels(df: DataFrame, keep: list[str], col: str = "image") -> DataFrame:
     return sent.mapInPandas(run, f"{fields}{', ' if keep else ''}x int, y int, value double")
 
 
+def side_by_side(df: DataFrame, keep: list[str], images: list[str], step: int = 1, where: str | None = None) -> DataFrame:
+    """(keep, x, y, a column for each named image: its first channel) for every step-th pixel of images that lie over each other,
+    both in one row: pixels meet in the row's own task. where: an image whose pixels other than 0 are kept only. Rows
+    that lack an image give none; images of different sizes are an error."""
+    names = list(dict.fromkeys([*images, *([where] if where else [])]))
+    sent = df.where(" AND ".join(f"`{n}` IS NOT NULL" for n in names)).select(*keep, *names)
+    fields = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in keep)
+
+    def run(batches):
+        for pdf in batches:
+            parts = []
+            for i, row in enumerate(pdf[names].itertuples(index=False)):
+                planes = {n: decode(r) for n, r in zip(names, row, strict=True)}
+                planes = {n: a if a.ndim == 2 else a[:, :, 0] for n, a in planes.items()}
+                if len({a.shape for a in planes.values()}) != 1:
+                    raise ValueError(f"images of different sizes: {[a.shape for a in planes.values()]}")
+                y, x = np.mgrid[0 : planes[names[0]].shape[0] : step, 0 : planes[names[0]].shape[1] : step]
+                y, x = y.ravel(), x.ravel()
+                if where:
+                    inside = planes[where][y, x] != 0
+                    y, x = y[inside], x[inside]
+                parts.append((np.full(len(x), i), x, y, *(planes[n][y, x].astype(float) for n in images)))
+            if parts:
+                at, *columns = (np.concatenate(c) for c in zip(*parts, strict=True))
+                yield pd.DataFrame({**{c: pdf[c].to_numpy()[at] for c in keep}, **dict(zip(["x", "y", *images], columns, strict=True))})
+
+    return sent.mapInPandas(run, f"{fields}x int, y int, " + ", ".join(f"`{n}` double" for n in images))
+
+
 def keypoints(points: DataFrame, size: float = 1.0) -> DataFrame:
     """Points (x, y) as keypoints: a struct of x, y and size in place of both."""
     return points.withColumn("keypoint", F.struct(F.col("x").cast("float").alias("x"), F.col("y").cast("float").alias("y"), F.lit(size).cast("float").alias("size"))).drop("x", "y")
@@ -242,6 +271,16 @@ def depth_mesh(depth: DataFrame, camera: Column, step: int = 1) -> DataFrame:
     return kept.withColumn("point", C.depth_point(camera, F.col("x").cast("double"), F.col("y").cast("double"), F.col("value"))).drop("value")
 
 
+def textured_images(df: DataFrame, keep: list[str], camera: Column, baseline: Column, disparity: str = "disparity", texture: str = "texture", step: int = 1, offset: float = 0.0) -> DataFrame:
+    """(keep, x, y, point, texture) of rows that hold a disparity image and a texture: each place's point and its colour. offset is
+    added to the disparities."""
+    from orrery.functions import camera as C
+
+    both = side_by_side(df, keep, [disparity, texture], step)
+    point = C.reconstruct_disparity(camera, baseline, F.col("x").cast("double"), F.col("y").cast("double"), F.col(disparity) + offset)
+    return both.select(*keep, "x", "y", point.alias("point"), F.col(texture).alias("texture"))
+
+
 def textured_points(disparity: DataFrame, texture: DataFrame, by: list[str], camera: Column, baseline: Column, step: int = 1) -> DataFrame:
     """Disparity pixels and texture pixels (by, x, y, value) -> (by, x, y, point, texture): each place's point and its colour."""
     from orrery.functions import camera as C

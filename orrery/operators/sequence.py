@@ -197,10 +197,7 @@ def accumulate(df: DataFrame, by: Sequence[str], order: Sequence[str], column: s
     short partitions)."""
     w = _w(by, order).rowsBetween(Window.unboundedPreceding, 0)
     if fold == "product":
-        v = F.col(column)
-        size = F.exp(F.sum(F.log(F.abs(F.when(v != 0, v)))).over(w))
-        sign = F.when(F.sum((v < 0).cast("int")).over(w) % 2 == 1, -1.0).otherwise(1.0)
-        value = F.when(F.max((v == 0).cast("int")).over(w) == 1, 0.0).otherwise(size * sign)
+        value = F.product(F.col(column)).over(w)
     elif callable(fold):
         seen = F.collect_list(column).over(w)
         value = F.aggregate(F.slice(seen, F.lit(2), F.greatest(F.size(seen) - 1, F.lit(0))), seen[0], fold)

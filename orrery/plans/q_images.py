@@ -32,9 +32,9 @@ def image_pixels(spark, sf):
 
 @query("image_masked_pixels", f"WITH {PIXELS} SELECT vec_id, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, value FROM pix WHERE value > 140")
 def image_masked_pixels(spark, sf):
-    pix = I.pixels(images(spark, sf), ["vec_id"])
-    mask = pix.select("vec_id", "x", "y", (F.col("value") > 140).alias("value"))
-    return I.masked_pixels(pix, mask, ["vec_id"])
+    """Pixels under a mask that lies over the image in the same row."""
+    both = I.apply(images(spark, sf), lambda a: (a > 140).astype("uint8"), name="mask").withColumnRenamed("image", "value")
+    return I.side_by_side(both, ["vec_id"], ["value"], where="mask")
 
 
 @query("image_sample", f"WITH {PIXELS} SELECT vec_id, CAST(x // 2 AS INTEGER) AS x, CAST(y // 2 AS INTEGER) AS y, value FROM pix WHERE x % 2 = 0 AND y % 2 = 0")

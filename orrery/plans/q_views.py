@@ -68,8 +68,8 @@ def depth_mesh(spark, sf):
 )
 def textured_points(spark, sf):
     """The picture as disparities (one more) and as texture."""
-    pix = I.pixels(images(spark, sf), ["vec_id"])
-    got = I.textured_points(pix.withColumn("value", F.col("value") + 1), pix, ["vec_id"], C.intrinsic(5, 5, 3.5, 3.5), F.lit(0.5), 2)
+    both = images(spark, sf).select("vec_id", F.col("image").alias("disparity"), F.col("image").alias("texture"))
+    got = I.textured_images(both, ["vec_id"], C.intrinsic(5, 5, 3.5, 3.5), F.lit(0.5), step=2, offset=1.0)
     return got.select("vec_id", "x", "y", *[r(F.col(f"point.{k}")).alias(f"p{k}") for k in "xyz"], "texture")
 
 

@@ -175,3 +175,27 @@ def test_best_overlaps_by_image_and_by_cells(spark, monkeypatch):
     monkeypatch.setattr(boxes, "CROWDED", 0)
     cells = get()
     assert whole == both == cells and len(whole) == 450 and any(v > 0.5 for v in whole.values()) and all(v == 0 for (i, _), v in whole.items() if i in (3, None))
+
+
+def test_images_side_by_side(spark):
+    """Pixels of two images of a row, under a mask, at every second place; odd rows are left out or told."""
+    from orrery.operators import imaging
+
+    image = "struct<h: int, w: int, c: int, data: binary>"
+    enc = lambda a: tuple(imaging.encode(np.asarray(a, np.uint8)).values())
+    rng = np.random.default_rng(0)
+    a, b, m = rng.integers(0, 255, (5, 7)), rng.integers(0, 255, (5, 7, 3)), rng.integers(0, 2, (5, 7))
+    df = spark.createDataFrame([(1, enc(a), enc(b), enc(m)), (2, enc(b), enc(a), enc(m * 0)), (3, enc(a), None, enc(m)), (None, enc(m), enc(m), enc(m))], f"k int, a {image}, b {image}, m {image}")
+    got = [tuple(r) for r in imaging.side_by_side(df, ["k"], ["a", "b"], where="m").collect()]
+    want = [(1, x, y, float(a[y, x]), float(b[y, x, 0])) for y in range(5) for x in range(7) if m[y, x]] + [(None, x, y, 1.0, 1.0) for y in range(5) for x in range(7) if m[y, x]]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    few = imaging.side_by_side(df, ["k"], ["a"], step=2).where("k = 1").collect()
+    assert {(r["x"], r["y"]): r["a"] for r in few} == {(x, y): float(a[y, x]) for y in range(0, 5, 2) for x in range(0, 7, 2)}
+    assert imaging.side_by_side(df.limit(0), ["k"], ["a"]).count() == 0
+    with pytest.raises(Exception, match="different sizes"):
+        imaging.side_by_side(spark.createDataFrame([(enc(a), enc(a[:2]))], f"a {image}, b {image}"), [], ["a", "b"]).collect()
+
+
+def test_running_products(spark):
+    df = spark.createDataFrame([(1, 3.0), (2, -2.0), (3, None), (4, 0.5), (5, 0.0), (6, 7.0)], "i int, v double")
+    assert [r["acc"] for r in sequence.accumulate(df, [], ["i"], "v", "product").orderBy("i").collect()] == [3.0, -6.0, -6.0, -3.0, 0.0, 0.0]
