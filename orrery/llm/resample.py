@@ -16,15 +16,18 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.llm.common import Workspace, map_rows
+from orrery.llm.common import Workspace, map_rows, small_batches
 
 #: Buckets of features. The vectors of counts and gains have so many entries: the bound of what is broadcast.
 BUCKETS = 10_000
 #: Documents with fewer words are never drawn; share that is drawn, in hundredths; the draw's seed.
 LEAST_WORDS, PERCENT, SEED = 20, 25, 7
 #: Entries after which a block ends; a document is never cut.
-BLOCK = 1 << 17
+BLOCK = 1 << 14
 MATRIX = "docs array<bigint>, n_words array<bigint>, starts array<bigint>, buckets array<int>, counts array<bigint>"
+#: Readers and writers hold whole row groups, so these are small: their memory doesn't grow with the corpus. Groups are
+#: measured after this many rows.
+ROW_GROUP = {"parquet.block.size": str(8 << 20), "parquet.page.size.row.check.min": "10", "parquet.page.size.row.check.max": "50", "parquet.block.row.count.limit": "100"}
 
 #: A-Z to a-z; ASCII other than letters and digits to blanks. Bytes over 127 belong to words.
 _WORDS = bytes(ord(chr(b).lower()) if b < 128 and chr(b).isalnum() else b if b >= 128 else 32 for b in range(256))
@@ -104,18 +107,20 @@ def gains(corpus: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> np.nd
 
 def weights(blocks: DataFrame, gain: np.ndarray) -> DataFrame:
     """(doc, n_words, n_features, weight): the matrix times the gains, divided by the features; none weigh 0."""
+    small_batches(blocks.sparkSession)
 
-    def make():
-        def fn(cols):
-            for docs, sizes, starts, at, n in zip(*cols, strict=True):
-                n, starts = np.array(n, np.int64), np.array(starts)
-                total = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[starts])  # noqa: E731, B023
-                size, gained = total(n), total(n * gain[np.array(at, np.int64)])
-                yield [docs, sizes, size, gained // np.maximum(size, 1)]
+    def run(batches) -> Iterator:
+        import pyarrow as pa
 
-        return fn
+        for b in batches:
+            # a block's entries stay numbers in Arrow's own memory
+            ids, *numbers = b.columns
+            for docs, sizes, starts, at, n in zip((x.values for x in ids), *([x.values.to_numpy() for x in c] for c in numbers), strict=True):
+                total = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[starts])  # noqa: E731, B023
+                size, gained = total(n), total(n * gain[at])
+                yield pa.RecordBatch.from_arrays([docs, pa.array(sizes), pa.array(size), pa.array(gained // np.maximum(size, 1))], ["doc", "n_words", "n_features", "weight"])
 
-    return map_rows(blocks, make, "doc bigint, n_words bigint, n_features bigint, weight bigint")
+    return blocks.select("docs", "n_words", "starts", "buckets", "counts").mapInArrow(run, "doc bigint, n_words bigint, n_features bigint, weight bigint")
 
 
 def noise(doc_id: Column, seed: int = SEED) -> Column:
@@ -148,7 +153,7 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = PERCENT, seed: i
     the gains to the corpus alone. All rows count in the sums, also those too short to be drawn.
     """
     ws = Workspace(docs.sparkSession)
-    corpus, aim = ws.save(matrix(docs, F.col("doc_id")), "matrix"), ws.save(matrix(target, F.lit(None)), "target")
+    corpus, aim = ws.save(matrix(docs, F.col("doc_id")), "matrix", options=ROW_GROUP), ws.save(matrix(target, F.lit(None)), "target", options=ROW_GROUP)
     gain = gains(column_sums(corpus), column_sums(aim))
     scored = ws.save(weights(corpus, gain).withColumn("score", F.col("weight") + noise(F.col("doc"), seed)), "scores")
     ws.drop(corpus, aim)

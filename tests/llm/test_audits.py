@@ -197,3 +197,15 @@ def test_damaged_payloads_are_told():
     with pytest.raises(ValueError, match="digest"):
         warc.unpack(gzip.compress(head + block.replace(b"abc", b"abd")))
     assert warc.unpack(gzip.compress(b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Length: 2\r\n\r\nhi\r\n\r\n"))[2:5:2] == ("warcinfo", 2)
+
+
+def test_matrix_blocks_are_small(spark, docs, tmp_path):  # noqa: F811
+    """Readers and writers of the matrix hold row groups of a bounded size: a task's memory doesn't grow with its rows."""
+    import pyarrow.parquet as pq
+
+    from orrery.llm.common import Workspace
+
+    many = docs.crossJoin(spark.range(40)).coalesce(1)
+    saved = Workspace(spark).save(resample.matrix(many, F.col("doc_id")), "matrix", options=resample.ROW_GROUP)
+    groups = [f.metadata.row_group(k) for p in saved.inputFiles() for f in [pq.ParquetFile(p.removeprefix("file://"))] for k in range(f.metadata.num_row_groups)]
+    assert sum(g.num_rows for g in groups) > 100 and all(g.num_rows <= 100 and g.total_byte_size < 32 << 20 for g in groups)
