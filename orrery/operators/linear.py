@@ -336,7 +336,9 @@ def eight_point(x1: np.ndarray, x2: np.ndarray) -> np.ndarray:
 
     a, ta = scaled(x1)
     b, tb = scaled(x2)
-    f = np.linalg.svd((b[:, :, None] * a[:, None, :]).reshape(len(a), 9))[2][-1].reshape(3, 3)
+    # the triangle of a QR has the same right vectors; the left ones would be matches by matches
+    rows = np.linalg.qr((b[:, :, None] * a[:, None, :]).reshape(len(a), 9), "r")
+    f = np.linalg.svd(rows)[2][-1].reshape(3, 3)
     u, s, vt = np.linalg.svd(f)
     f = tb.T @ (u @ np.diag([s[0], s[1], 0]) @ vt) @ ta
     return f / (f[2, 2] if abs(f[2, 2]) > 1e-12 else np.linalg.norm(f))
