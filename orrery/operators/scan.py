@@ -19,8 +19,9 @@ from orrery import shared
 from orrery.functions import pose as P
 from orrery.operators.poses import _mul, _rotate
 
-#: Rows of a block, about.
+#: Rows of a block, about; most partitions that blocks are cut from, beyond which each holds several blocks.
 BLOCK = 1 << 16
+PARTS = 200
 _POSE = "struct<q: struct<x: double, y: double, z: double, w: double>, t: struct<x: double, y: double, z: double>>"
 
 
@@ -36,9 +37,11 @@ def products(q: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def blocks(df: DataFrame, by: Sequence[str], order: str, size: int = BLOCK, name: str = "_block") -> DataFrame:
     """df with the number of its block in (by, order), written once: blocks rise with the order, and rows that come
-    again after a loss keep theirs. Equal places of the order stay together."""
-    n = max(1, -(-df.count() // size))
-    return shared.saved(df.repartitionByRange(n, *by, order).withColumn(name, F.spark_partition_id()), "blocks")
+    again after a loss keep theirs. The order is total in a trajectory, so a block may end anywhere."""
+    n = min(PARTS, max(1, -(-df.count() // size)))
+    # the rows' ids go up from 2^33 times the partition's number, so no block has rows of two partitions
+    ordered = df.repartitionByRange(n, *by, order).sortWithinPartitions(*by, order)
+    return shared.saved(ordered.withColumn(name, F.floor(F.monotonically_increasing_id() / size)), "blocks")
 
 
 def _same(a: str, b: str, keys: Sequence[str]) -> Column:
@@ -89,7 +92,8 @@ def _scan(df: DataFrame, by: Sequence[str], order: str, col: str, name: str, bef
     local = shared.saved(_local(cut, by, order, col), "local")
     key = [*by, "_block"]
     whole = local.groupBy(*key).agg(F.max_by("_upto", order).alias("_whole"))
-    n = whole.count()
+    # the most blocks of a trajectory: many trajectories of one block each need no chain, and no further round
+    n = whole.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
     if n <= 1:
         out = local.withColumn(name, F.col("_upto")).withColumn("_ahead", F.col("_before"))
     else:
