@@ -53,8 +53,15 @@ def to_color(a: np.ndarray) -> np.ndarray:
 
 
 def to_gray(a: np.ndarray) -> np.ndarray:
-    """Weights of blue, green and red in that order."""
-    return a if a.ndim == 2 else a[:, :, :3].astype(float) @ np.array([0.114, 0.587, 0.299])
+    """Weights of blue, green and red in that order, added from left to right: a product of matrices may round otherwise."""
+    return a if a.ndim == 2 else 0.114 * a[:, :, 0].astype(float) + 0.587 * a[:, :, 1] + 0.299 * a[:, :, 2]
+
+
+def gray_levels(a: np.ndarray) -> np.ndarray:
+    """Grey as whole levels, halves up."""
+    g = to_gray(a)
+    low = np.floor(g)
+    return (low + (g - low >= 0.5)).astype(np.uint8)
 
 
 def pad(a: np.ndarray, size: int = 3, value: int = 0) -> np.ndarray:

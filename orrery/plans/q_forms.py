@@ -148,7 +148,7 @@ _pixel = lambda c, n: F.conv(F.hex(F.substring(f"{c}.data", n, 1)), 16, 10).cast
 def grey_images(spark, sf):
     """Images in grey, and with their channels the other way round."""
     s = table(spark, sf, "supplier").select("s_suppkey", _plain((F.col("s_suppkey") % 200).cast("int"), (F.col("s_nationkey") * 9).cast("int"), F.lit(77)).alias("image"))
-    got = imaging.apply(imaging.apply(s, imaging.to_gray, name="grey"), imaging.flip_channels, name="back")
+    got = imaging.apply(imaging.apply(s, imaging.gray_levels, name="grey"), imaging.flip_channels, name="back")
     return got.select("s_suppkey", F.col("grey.c").alias("channels"), _pixel("grey", 12).alias("grey"), _pixel("back", 1).alias("flipped"))
 
 
