@@ -81,7 +81,7 @@ class Drive:
         if pattern is None:
             return None
         try:
-            found = self.spark.read.format("binaryFile").load(self._at(pattern)).select("path")
+            found = readers.load(self.spark.read.format("binaryFile"), self._at(pattern)).select("path")
         except AnalysisException as e:
             if e.getCondition() and "PATH_NOT_FOUND" in e.getCondition():
                 return None

@@ -37,6 +37,8 @@ SCHEMAS = {
 }
 #: Bytes of frames in a partition, about; bytes of a video's header line at most.
 BYTES, HEADER = 16 << 20, 4096
+#: Bytes that opening a file counts for; most partitions of the videos of a folder; bytes of a batch of video frames.
+OPEN, MOST_RUNS, BATCH = 64 << 10, 1000, 1 << 20
 #: Planes of a video's pixel by the name of its colours, and bytes a pixel of all planes.
 PLANES = {"mono": 1.0, "420": 1.5, "420jpeg": 1.5, "420mpeg2": 1.5, "444": 3.0}
 
@@ -151,6 +153,7 @@ class _Frames:
     def packed(self, frames: Sequence[tuple[int, str, int]]) -> list[Run]:
         out, held = [Run([])], 0
         for idx, path, size in frames:
+            size += OPEN
             if held + size > self.bytes and out[-1].frames:
                 out.append(Run([]))
                 held = 0
@@ -163,13 +166,22 @@ class _Frames:
         if run.video:
             yield from self._video(where, run)
             return
+        held, size = [], 0
         for idx, path in run.frames:
             with where.open_input_file(path) as f:
                 data = f.read()
-            yield self._raw(idx, path, data) if self.kind == "raw" else self._lidar(idx, path, data)
-
-    def _raw(self, idx: int, path: str, data: bytes) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(([idx], [path], [data]), self.arrow.types, strict=True)], schema=self.arrow)
+            if self.kind == "lidar":
+                yield self._lidar(idx, path, data)
+                continue
+            held.append((idx, path, data))
+            if (size := size + len(data)) >= BATCH:
+                yield self._batch(held)
+                held, size = [], 0
+        if held:
+            yield self._batch(held)
+
+    def _batch(self, rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), self.arrow.types, strict=True)], schema=self.arrow)
 
     def _lidar(self, idx: int, path: str, data: bytes) -> pa.RecordBatch:
         if len(data) % 16:
@@ -181,13 +193,18 @@ class _Frames:
     def _video(self, where, run: Run) -> Iterator[pa.RecordBatch]:
         path, head = run.video["path"], run.video
         with where.open_input_file(path) as f:
+            held, size = [], 0
             for idx in run.frames:
                 f.seek(head["at"] + idx * head["step"])
                 data = f.read(head["step"])
                 if not data.startswith(b"FRAME\n"):
                     raise ValueError(f"{path}: frame {idx} doesn't begin where frames of one size would")
-                image = decode_planes(data[6:], head)
-                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([idx]), pa.array([image], self.arrow.types[2])], schema=self.arrow)
+                held.append((path, idx, decode_planes(data[6:], head)))
+                if (size := size + len(data)) >= BATCH:
+                    yield self._batch(held)
+                    held, size = [], 0
+            if held:
+                yield self._batch(held)
 
 
 class FrameReader(_Frames, DataSourceReader):
@@ -206,13 +223,13 @@ class FrameReader(_Frames, DataSourceReader):
 
         where, path = file_system(self.folder)
         files = [f for f in where.get_file_info(fs.FileSelector(path)) if f.is_file and f.path.endswith(".y4m")]
-        out = []
+        out, least = [], sum(f.size for f in files) // MOST_RUNS
         for f in sorted(files, key=lambda f: f.path):
             with where.open_input_file(f.path) as data:
                 head = video_header(data.read(HEADER))
             n = (f.size - head["at"]) // head["step"]
             wanted = [i for i in range(n) if i in self.chosen]
-            each = max(1, self.bytes // head["step"])
+            each = max(1, max(self.bytes, least) // head["step"])
             out += [Run(wanted[k : k + each], {**head, "path": f.path}) for k in range(0, len(wanted), each)]
         return out
 
@@ -290,21 +307,47 @@ def follow(spark: SparkSession, folder: str, kind: str = "raw", template: str =
 
 def write(df: DataFrame, folder: str, idx: str, content: Callable[[pa.Table], bytes], template: str = "%06d.bin") -> DataFrame:
     """A file for each value of idx, from its rows by content(); gives (idx, path, bytes) when it is run. A file gets its name
-    when it is whole, so readers and repeated tasks never see a part. The rows of a frame meet in one task."""
+    when it is whole, so readers and repeated tasks never see a part. The rows of a frame meet in one task; frames are dealt over tasks
+    however small they are."""
+
+    schema = pa.schema([("idx", pa.int64()), ("path", pa.string()), ("bytes", pa.int64())])
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, path = file_system(folder)
         where.create_dir(path, recursive=True)
-        at, data = table.column(idx)[0].as_py(), content(table)
-        name = f"{path}/{template % at}"
-        # a name of its own for each attempt
-        part = f"{path}/.{template % at}.{np.random.default_rng().integers(1 << 62):x}"
-        with where.open_output_stream(part, compression=None) as f:
-            f.write(data)
-        where.move(part, name)
-        return pa.table({"idx": pa.array([at], pa.int64()), "path": [name], "bytes": pa.array([len(data)], pa.int64())})
-
-    return df.where(f"`{idx}` IS NOT NULL").groupBy(idx).applyInArrow(run, "idx bigint, path string, bytes bigint")
+        rng = np.random.default_rng()
+
+        def put(at: int, rows: list[pa.RecordBatch]) -> tuple:
+            data = content(pa.Table.from_batches(rows))
+            name = f"{path}/{template % at}"
+            # a name of its own for each attempt
+            part = f"{path}/.{template % at}.{rng.integers(1 << 62):x}"
+            with where.open_output_stream(part, compression=None) as f:
+                f.write(data)
+            where.move(part, name)
+            return at, name, len(data)
+
+        packed = lambda done: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), schema.types, strict=True)], schema=schema)
+        held, last = [], None
+        for batch in batches:
+            ids, done = batch.column(idx).to_numpy(zero_copy_only=False), []
+            edges = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)]
+            for k, end in zip(edges, edges[1:]):
+                if k == end:
+                    continue
+                if held and int(ids[k]) != last:
+                    done.append(put(last, held))
+                    held = []
+                held.append(batch.slice(k, end - k))
+                last = int(ids[k])
+            if done:
+                yield packed(done)
+        if held:
+            yield packed([put(last, held)])
+
+    # a number of partitions that isn't lowered where the rows are few bytes: opening files is what takes the time
+    parts = max(df.sparkSession.sparkContext.defaultParallelism * 4, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return df.where(f"`{idx}` IS NOT NULL").repartition(parts, idx).sortWithinPartitions(idx).mapInArrow(run, "idx bigint, path string, bytes bigint")
 
 
 def lidar_content(order: str, columns: Sequence[str]) -> Callable[[pa.Table], bytes]:

@@ -6,19 +6,36 @@ All go through Spark's own sources, so any store that Spark reads will do.
 from __future__ import annotations
 
 import json
+import re
 import struct
 import zlib
 from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
+from orrery import shared
 from orrery.functions import pose as P
 from orrery.functions import text
 
 
+def load(reader: DataFrameReader, path: str) -> DataFrame:
+    """reader.load(path). Names of one flat folder are matched by a filter: Spark lists each match of a glob in a task of its own."""
+    head, _, last = path.rpartition("/")
+    if head and re.search(r"[*?\[{]", last) and not re.search(r"[*?\[{\\]", head):
+        spark = reader._spark
+        at, fs = shared._hadoop(spark, head)
+        if fs.exists(at) and fs.getContentSummary(at).getDirectoryCount() == 1 and len(fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(path)) or ()):
+            return reader.option("pathGlobFilter", last).load(head)
+    return reader.load(path)
+
+
+def _whole(spark: SparkSession, path: str) -> DataFrame:
+    return load(spark.read.format("text").option("wholetext", True), path)
+
+
 def files(spark: SparkSession, directory: str, pattern: str = "*.png", recursive: bool = True) -> DataFrame:
     """(path, length) of files that match a pattern; contents aren't read."""
     src = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive)
@@ -52,7 +69,7 @@ def key_tree(paths: DataFrame, column: str, value: str, depth: int) -> DataFrame
 
 def poses(spark: SparkSession, path: str) -> DataFrame:
     """(idx, pose) from lines of twelve numbers; idx counts the lines of a file. Other lines are errors at run time."""
-    raw = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.split("value", "\r?\n"), lambda x: F.trim(x) != "")).alias("idx", "line"))
+    raw = _whole(spark, path).select(F.posexplode(F.filter(F.split("value", "\r?\n"), lambda x: F.trim(x) != "")).alias("idx", "line"))
     row = raw.withColumn("row", text.floats(F.col("line")))
     ok = F.when(F.size("row") == 12, F.col("row")).otherwise(F.raise_error(F.lit("a pose needs twelve numbers")).cast("array<double>"))
     return row.withColumn("row", ok).select(F.col("idx").cast("bigint").alias("idx"), P.from_row(F.col("row")).alias("pose"))
@@ -67,13 +84,13 @@ def stamped_poses(spark: SparkSession, path: str) -> DataFrame:
 def packets(spark: SparkSession, path: str, field_file: str) -> DataFrame:
     """One whitespace row a file; field names are what stands before the colon in field_file. -> (idx, fields...)."""
     names = [r[0] for r in spark.read.text(field_file).select(F.trim(F.substring_index("value", ":", 1))).where("value LIKE '%:%'").collect()]
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), text.floats(F.col("value")).alias("v"))
+    raw = _whole(spark, path).select(F.col("_metadata.file_path").alias("path"), text.floats(F.col("value")).alias("v"))
     return frame_index(raw).select("idx", *[F.col("v")[i].alias(n) for i, n in enumerate(names)])
 
 
 def lidar(spark: SparkSession, path: str) -> DataFrame:
     """(idx, pt_idx, x, y, z, reflectance) from files of little-endian float32 quadruples."""
-    raw = frame_index(spark.read.format("binaryFile").load(path)).select("idx", "content")
+    raw = frame_index(load(spark.read.format("binaryFile"), path)).select("idx", "content")
 
     schema = pa.schema([("idx", pa.int64()), ("pt_idx", pa.int64()), *[(n, pa.float64()) for n in ("x", "y", "z", "reflectance")]])
 
@@ -89,12 +106,12 @@ def lidar(spark: SparkSession, path: str) -> DataFrame:
 
 def key_values(spark: SparkSession, path: str) -> DataFrame:
     """(path, values: map) of files of `name = value;` lines."""
-    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), text.key_values(F.col("value")).alias("values"))
+    return _whole(spark, path).select(F.col("_metadata.file_path").alias("path"), text.key_values(F.col("value")).alias("values"))
 
 
 def stereo_calibration(spark: SparkSession, path: str, left: str = "P0", right: str = "P1") -> DataFrame:
     """(path, fx, cx, cy, baseline_px) from lines `P0: twelve numbers`."""
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    raw = _whole(spark, path).select(F.col("_metadata.file_path").alias("path"), "value")
     row = lambda n: text.floats(F.regexp_extract("value", rf"(?m)^{n}:\s*(.*)$", 1))
     got = raw.withColumn("l", row(left)).withColumn("r", row(right))
     return got.select("path", F.col("l")[0].alias("fx"), F.col("l")[2].alias("cx"), F.col("l")[6].alias("cy"), F.abs(F.col("r")[3]).alias("baseline_px"))
@@ -102,7 +119,7 @@ def stereo_calibration(spark: SparkSession, path: str, left: str = "P0", right:
 
 def images(spark: SparkSession, path: str) -> DataFrame:
     """(path, image: h, w, c, data) decoded by Spark's image source: channels are blue, green, red."""
-    got = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
+    got = load(spark.read.format("image").option("dropInvalid", True), path).select("image.*")
     return got.select(F.col("origin").alias("path"), F.struct(F.col("height").alias("h"), F.col("width").alias("w"), F.col("nChannels").alias("c"), "data").alias("image"))
 
 
@@ -149,7 +166,7 @@ def png_samples(data: bytes) -> np.ndarray:
 def depth_images(spark: SparkSession, path: str, unit: float = 1 / 256) -> DataFrame:
     """(idx, path, h, w, values: array of float, rows first) of grey PNGs of 16 bits, in units; 0 is unknown and null. Disparity
     truth has 1/256 pixel, depth in millimetres 1/1000 metre."""
-    raw = frame_index(spark.read.format("binaryFile").load(path)).select("idx", "path", "content")
+    raw = frame_index(load(spark.read.format("binaryFile"), path)).select("idx", "path", "content")
     schema = "idx bigint, path string, h int, w int, `values` array<float>"
 
     def run(batches):
@@ -195,7 +212,7 @@ def yaml_dict(spark: SparkSession, path: str) -> DataFrame:
     files are an error."""
     import yaml
 
-    whole = [r[0] for r in spark.read.text(path, wholetext=True).limit(1001).collect()]
+    whole = [r[0] for r in _whole(spark, path).limit(1001).collect()]
     if len(whole) > 1000:
         raise ValueError("more than 1000 YAML files: these are no settings")
     docs = [(json.dumps(d),) for t in whole for d in yaml.safe_load_all(t)]
@@ -211,7 +228,7 @@ def config(spark: SparkSession, path: str, section: str | None = None) -> DataFr
     """(section, key, value) of files of `[section]` parts with `key = value` or `key: value` lines. Keys are lower-cased, comment
     lines start with # or ;, what stands under [DEFAULT] belongs to every section that doesn't say it itself."""
     split = F.split("value", r"(?m)^\[(?=[^\]\r\n]*\][ \t]*\r?$)")  # a section's line has nothing behind its bracket
-    parts = spark.read.text(path, wholetext=True).select(F.posexplode(split).alias("at", "part")).where("at > 0")
+    parts = _whole(spark, path).select(F.posexplode(split).alias("at", "part")).where("at > 0")
     body = F.expr("substr(part, instr(part, ']') + 1)")
     named = parts.select(F.substring_index("part", "]", 1).alias("section"), F.explode(F.split(body, "\r?\n")).alias("line"))
     lines = named.where(~F.ltrim("line").rlike("^[#;]") & F.col("line").rlike("[=:]"))

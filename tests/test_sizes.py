@@ -39,3 +39,18 @@ def test_more_trajectories_than_a_block_has_rows(spark):
     df = rows.withColumn("pose", P.pose(quat.identity(), vec.vec3((F.col("k") + 1).cast("double"), F.lit(0.0), F.lit(0.0))))
     got = {(r["k"], r["i"]): r["chain"]["t"]["x"] for r in scan.prefix_products(df, ["k"], "i", size=6).collect()}
     assert got == {(k, i): (i + 1.0) * (k + 1) for k in range(40) for i in range(2)}
+
+
+def test_globs_of_a_flat_folder_are_one_listing(spark, tmp_path):
+    """A filter on names in place of a path for each file, which Spark lists by a task each; nested folders as before."""
+    from orrery.sources import readers
+
+    for k in range(40):
+        (tmp_path / f"a{k}.txt").write_text(f"{k}")
+    (tmp_path / "other.bin").write_text("x")
+    got = readers.load(spark.read.format("binaryFile"), f"{tmp_path}/a*.txt")
+    assert got._jdf.queryExecution().optimizedPlan().collectLeaves().head().relation().location().rootPaths().size() == 1
+    assert got.count() == 40 and {r["value"] for r in readers._whole(spark, f"{tmp_path}/a*.txt").collect()} == {str(k) for k in range(40)}
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "deep" / "a99.txt").write_text("99")
+    assert readers.load(spark.read.format("binaryFile"), f"{tmp_path}/a*.txt").count() == 40
