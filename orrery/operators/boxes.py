@@ -51,9 +51,69 @@ def matches(truth: DataFrame, test: DataFrame, by: Sequence[str], threshold: flo
     return pairs(truth, test, keys, cell).where(F.col("iou") > threshold)
 
 
+#: Boxes of a chunk; chunks that are compared at a time.
+_CHUNK, _AT_ONCE = 64, 8
+
+
+def _area(x: np.ndarray) -> np.ndarray:
+    return (x[:, 2] - x[:, 0]) * (x[:, 3] - x[:, 1])
+
+
+def _ordered(x: np.ndarray) -> np.ndarray:
+    """Boxes in an order that keeps like ones together: by the bits of their four numbers in turn."""
+    x = np.nan_to_num(x, nan=0.0, posinf=0.0, neginf=0.0)
+    low, span = x.min(0), np.maximum(x.max(0) - x.min(0), 1e-300)
+    q = np.clip((x - low) / span * 255, 0, 255).astype(np.int64)
+    key = sum(((q[:, c] >> bit) & 1) << (4 * bit + c) for bit in range(8) for c in range(4))
+    return np.argsort(key, kind="stable")
+
+
+def _chunked(x: np.ndarray) -> tuple[list[slice], np.ndarray, np.ndarray, np.ndarray]:
+    """Slices of ordered boxes, with their least and greatest numbers and least area."""
+    cuts = [slice(k, k + _CHUNK) for k in range(0, len(x), _CHUNK)]
+    starts = np.arange(0, len(x), _CHUNK)
+    return cuts, np.minimum.reduceat(x, starts, 0), np.maximum.reduceat(x, starts, 0), np.maximum(np.minimum.reduceat(_area(x), starts), 0)
+
+
+def best_overlaps(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The best overlap of each box of p with those of q. Equal boxes are compared once; like ones lie in chunks, and chunks
+    whose corners say that they can't overlap better than what is found are left out."""
+    out = np.zeros(len(p))
+    p_at, q = np.flatnonzero(np.isfinite(p).all(1)), q[np.isfinite(q).all(1)]
+    if not len(p_at) or not len(q):
+        return out
+    p, back = np.unique(p[p_at], axis=0, return_inverse=True)
+    q = np.unique(q, axis=0)
+    order = _ordered(p)
+    p, q = p[order], q[_ordered(q)]
+    best, area_p, area_q = np.zeros(len(p)), _area(p), _area(q)
+    cuts, low_p, high_p, least_p = _chunked(p)
+    others, low_q, high_q, least_q = _chunked(q)
+    for k, cut in enumerate(cuts):
+        inner = np.clip(np.minimum(high_p[k, 2:], high_q[:, 2:]) - np.maximum(low_p[k, :2], low_q[:, :2]), 0, None).prod(1)
+        union = np.maximum(least_p[k] + least_q - inner, np.maximum(least_p[k], least_q))
+        bound = np.where(inner > 0, np.minimum(1, np.divide(inner, union, out=np.ones_like(inner), where=union > 0)) * (1 + 1e-9), 0.0)
+        a = p[cut]
+        visit = np.argsort(-bound, kind="stable")
+        for g in range(0, len(visit), _AT_ONCE):
+            if bound[visit[g]] <= best[cut].min():
+                break
+            at = np.concatenate([np.arange(others[j].start, min(others[j].stop, len(q))) for j in visit[g : g + _AT_ONCE]])
+            b = q[at]
+            w = np.minimum(a[:, None, 2], b[None, :, 2]) - np.maximum(a[:, None, 0], b[None, :, 0])
+            h = np.minimum(a[:, None, 3], b[None, :, 3]) - np.maximum(a[:, None, 1], b[None, :, 1])
+            both = np.where((w > 0) & (h > 0), w * h, 0.0)
+            union = area_p[cut][:, None] + area_q[at][None, :] - both
+            best[cut] = np.maximum(best[cut], np.divide(both, union, out=np.zeros_like(both), where=both > 0).max(1, initial=0.0))
+    plain = np.empty(len(p))
+    plain[order] = best
+    out[p_at] = plain[back.ravel()]
+    return out
+
+
 def _best_by_image(truth: DataFrame, test: DataFrame, by: Sequence[str], box_id: str) -> DataFrame:
-    """best_iou of images whose boxes fit into a task: some rows of truth against all test boxes of their image at a time,
-    so no pair becomes a row. Larger sets of truth boxes of an image are dealt to several tasks."""
+    """best_iou of images whose boxes fit into a task: chunks of truth boxes against chunks of their image's test boxes, so
+    no pair becomes a row (see best_overlaps)."""
     import pyarrow as pa
 
     a = truth.select(*by, box_id, *XY)
@@ -62,16 +122,7 @@ def _best_by_image(truth: DataFrame, test: DataFrame, by: Sequence[str], box_id:
 
     def run(one: pa.Table, other: pa.Table) -> pa.Table:
         numbers = lambda t, names: np.stack([t.column(c).cast(pa.float64()).to_numpy() for c in names], 1) if t.num_rows else np.empty((0, 4))
-        p, q = numbers(one, XY), numbers(other, [f"_{c}" for c in XY])
-        area = lambda x: (x[:, 2] - x[:, 0]) * (x[:, 3] - x[:, 1])
-        best, step, areas = np.zeros(len(p)), max(1, 1_000_000 // max(1, len(q))), area(q)
-        for k in range(0, len(p), step):
-            rows = p[k : k + step]
-            w = np.minimum(rows[:, None, 2], q[None, :, 2]) - np.maximum(rows[:, None, 0], q[None, :, 0])
-            h = np.minimum(rows[:, None, 3], q[None, :, 3]) - np.maximum(rows[:, None, 1], q[None, :, 1])
-            both = np.where((w > 0) & (h > 0), w * h, 0.0)
-            union = area(rows)[:, None] + areas[None, :] - both
-            best[k : k + step] = np.divide(both, union, out=np.zeros_like(both), where=both > 0).max(1, initial=0.0)
+        best = best_overlaps(numbers(one, XY), numbers(other, [f"_{c}" for c in XY]))
         return one.select([*by, box_id]).append_column("iou", pa.array(best))
 
     return a.groupBy(*by).cogroup(b.groupBy(*[f"_{c}" for c in by])).applyInArrow(run, f"{fields}, iou double")
@@ -127,7 +178,8 @@ def mine_negatives(proposals: DataFrame, truth: DataFrame, by: Sequence[str], bo
     """Proposals whose best IoU with the image's truth is below a bound (all, if it has none): the first `most` by id."""
     from pyspark.sql import Window
 
-    hit = pairs(proposals, truth, by, cell).where(F.col("iou") >= below).select(*by, F.col(f"a.{box_id}").alias(box_id)).distinct()
+    best = best_iou(proposals, truth, by, box_id, cell)
+    hit = best.where((F.col("iou") >= below) & (F.col("iou") > 0)).select(*by, box_id)
     free = proposals.join(hit, [*by, box_id], "left_anti")
     return free.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(box_id))).where(F.col("_r") <= most).drop("_r")
 
@@ -140,11 +192,16 @@ def greedy_nms(boxes: np.ndarray, scores: np.ndarray, ids: np.ndarray, threshold
     x1, y1, x2, y2 = boxes[order].T
     area = (x2 - x1 + one) * (y2 - y1 + one)
     alive, kept = np.ones(len(order), bool), []
+    # boxes that reach a box begin no further before it than the widest is wide
+    by_x = np.argsort(x1, kind="stable")
+    starts, widest = x1[by_x], np.max(x2 - x1, initial=0.0)
+    local = threshold > 0 and np.isfinite(boxes).all()
     for i in range(len(order)):
         if not alive[i]:
             continue
         kept.append(order[i])
-        rest = np.flatnonzero(alive[i + 1 :]) + i + 1
+        near = by_x[np.searchsorted(starts, x1[i] - widest - 1 - one) : np.searchsorted(starts, x2[i] + 1 + one, "right")] if local else by_x
+        rest = near[alive[near] & (near > i)]
         w = np.maximum(0.0, np.minimum(x2[i], x2[rest]) - np.maximum(x1[i], x1[rest]) + one)
         h = np.maximum(0.0, np.minimum(y2[i], y2[rest]) - np.maximum(y1[i], y1[rest]) + one)
         common = w * h
@@ -153,8 +210,9 @@ def greedy_nms(boxes: np.ndarray, scores: np.ndarray, ids: np.ndarray, threshold
     return np.array(kept, int)
 
 
-#: Boxes of an image above which its suppression is dealt over tasks.
-CROWDED = 20_000
+#: Boxes of an image above which its best overlaps and its suppression are dealt over tasks. Below it a task holds the image's
+#: places only (some 100 MB), and its work is bounded by the boxes kept, or by chunks of like boxes.
+CROWDED = 1_000_000
 
 
 def nms(df: DataFrame, by: Sequence[str], box_id: str, threshold: float = 0.3, inclusive: bool = True, boundary: str = "gt", crowded: int = CROWDED, cell: float = 64.0) -> DataFrame:

@@ -54,3 +54,38 @@ def test_globs_of_a_flat_folder_are_one_listing(spark, tmp_path):
     (tmp_path / "deep").mkdir()
     (tmp_path / "deep" / "a99.txt").write_text("99")
     assert readers.load(spark.read.format("binaryFile"), f"{tmp_path}/a*.txt").count() == 40
+
+
+def test_best_overlaps_are_those_of_all_pairs():
+    """Chunks that are left out hold nothing better: against all pairs, with copies, empty boxes and lost numbers."""
+    from orrery.operators import boxes as B
+
+    rng = np.random.default_rng(3)
+    made = lambda n: np.concatenate([xy := rng.integers(0, 120, (n, 2)), xy + rng.integers(-2, 40, (n, 2))], 1).astype(float)
+    p, q = made(900), made(1500)
+    p, q = np.concatenate([p, p[:50], [[np.nan, 0, 1, 1]]]), np.concatenate([q, q[:70]])
+    w = np.minimum(p[:, None, 2], q[None, :, 2]) - np.maximum(p[:, None, 0], q[None, :, 0])
+    h = np.minimum(p[:, None, 3], q[None, :, 3]) - np.maximum(p[:, None, 1], q[None, :, 1])
+    both = np.where((w > 0) & (h > 0), w * h, 0.0)
+    area = lambda x: (x[:, 2] - x[:, 0]) * (x[:, 3] - x[:, 1])
+    want = np.divide(both, area(p)[:, None] + area(q)[None, :] - both, out=np.zeros_like(both), where=both > 0).max(1)
+    assert np.array_equal(B.best_overlaps(p, q), want)
+    assert not B.best_overlaps(p, q[:0]).any() and not len(B.best_overlaps(p[:0], q))
+
+
+def test_suppression_of_crowded_images():
+    """Far boxes are never looked at, and near ones decide as they do among all."""
+    from orrery.operators import boxes as B
+
+    rng = np.random.default_rng(5)
+    xy = rng.integers(0, 300, (1500, 2))
+    boxes, scores = np.concatenate([xy, xy + rng.integers(1, 40, (1500, 2))], 1).astype(float), rng.integers(0, 9, 1500) / 10
+    order, kept = np.lexsort((np.arange(1500), -scores)), []
+    for i in order:
+        k = np.array(kept, int)
+        w = np.clip(np.minimum(boxes[k, 2], boxes[i, 2]) - np.maximum(boxes[k, 0], boxes[i, 0]) + 1, 0, None)
+        h = np.clip(np.minimum(boxes[k, 3], boxes[i, 3]) - np.maximum(boxes[k, 1], boxes[i, 1]) + 1, 0, None)
+        size = lambda x: (x[:, 2] - x[:, 0] + 1) * (x[:, 3] - x[:, 1] + 1)
+        if not (w * h / (size(boxes[k]) + size(boxes[[i]]) - w * h) > 0.3).any():
+            kept.append(i)
+    assert B.greedy_nms(boxes, scores, np.arange(1500), 0.3).tolist() == kept
