@@ -89,3 +89,14 @@ def test_suppression_of_crowded_images():
         if not (w * h / (size(boxes[k]) + size(boxes[[i]]) - w * h) > 0.3).any():
             kept.append(i)
     assert B.greedy_nms(boxes, scores, np.arange(1500), 0.3).tolist() == kept
+
+
+def test_work_on_few_bytes_is_dealt_over_tasks(spark):
+    """Images made of a small file's rows: as many partitions as tasks can run at least, whatever their bytes."""
+    from orrery.operators import denseflow, proposals
+
+    image = F.struct(F.lit(16).alias("h"), F.lit(16).alias("w"), F.lit(1).alias("c"), F.unhex(F.repeat(F.lit("50"), 256)).alias("data"))
+    rows = spark.range(40).coalesce(1).select((F.col("id") % 20).alias("k"), F.floor(F.col("id") / 20).alias("t"), image.alias("image"))
+    used = lambda df: df.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert used(proposals.proposals(rows, ["k"])) >= 4
+    assert used(denseflow.between_frames(rows, ["k"], "t", levels=1)) >= 4
