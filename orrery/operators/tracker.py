@@ -11,12 +11,13 @@ then y), as many as were missing. They get the next ids.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import itertools
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 
 from orrery.operators import imaging
 
@@ -133,14 +134,43 @@ def folded(live: Live, rows: pd.DataFrame, tick: str, settings: Settings, motion
     return live, pd.concat([x for x in out if len(x)] or out[:1], ignore_index=True)
 
 
+def sorted_groups(df: DataFrame, by: Sequence[str], tick: str) -> GroupedData:
+    """Groups whose rows come in order of their ticks, in batches: for functions that needn't hold a group."""
+    dealt = df.repartition(*by) if by else df.coalesce(1)
+    return dealt.sortWithinPartitions(*by, tick).groupBy(*by)
+
+
+def in_turn(batches: Iterator[pd.DataFrame], by: Sequence[str], tick: str) -> tuple[dict, Iterator[tuple[object, pd.DataFrame]]]:
+    """The keys of a sorted group, and its frames (tick, rows) one after the other."""
+    first = next(batches)
+
+    def frames() -> Iterator[tuple[object, pd.DataFrame]]:
+        at, held = None, []
+        for pdf in itertools.chain([first], batches):
+            for now, part in pdf.groupby(tick):
+                if held and now != at:
+                    if now < at:
+                        raise ValueError("frames of a group are not in order")
+                    yield at, pd.concat(held, ignore_index=True)
+                    held = []
+                at = now
+                held.append(part)
+        if held:
+            yield at, pd.concat(held, ignore_index=True)
+
+    return {c: first[c].iloc[0] for c in by}, frames()
+
+
 def track(frames: DataFrame, by: Sequence[str], tick: str, settings: Settings, motion) -> DataFrame:
     """frames (by, tick, the motion's columns) -> (by, tick, OUT). Each frame's tracks come of those before, so a camera's
-    frames are one task's work in turn; cameras spread over tasks. Frames without a tick are left out."""
+    frames are one task's work in turn, read in their order, so that it holds a frame at a time; cameras spread over tasks. Frames without a tick are left out."""
     slim = frames.where(f"`{tick}` IS NOT NULL").select(*by, tick, *motion.columns)
     kinds = ", ".join(f"`{c}` {slim.schema[c].dataType.simpleString()}" for c in [*by, tick])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, got = folded(Live(), pdf, tick, settings, motion)
-        return got.assign(**{c: pdf[c].iloc[0] for c in by})[[*by, tick, "track_id", "x", "y", "length", "event"]]
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        live, (keys, turns) = Live(), in_turn(batches, by, tick)
+        for at, frame in turns:
+            live, got = step(live, frame, settings, motion)
+            yield got.assign(**{**keys, tick: at})[[*by, tick, "track_id", "x", "y", "length", "event"]]
 
-    return slim.groupBy(*by).applyInPandas(run, f"{kinds}, {OUT}")
+    return sorted_groups(slim, by, tick).applyInPandas(run, f"{kinds}, {OUT}")
