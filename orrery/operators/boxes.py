@@ -8,7 +8,7 @@ in the cell that holds the corner of its intersection, so no pair comes twice.
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.functions import bbox
+from orrery.operators import overlaps
 
 XY = ("x1", "y1", "x2", "y2")
 
@@ -51,6 +52,70 @@ def matches(truth: DataFrame, test: DataFrame, by: Sequence[str], threshold: flo
     return pairs(truth, test, keys, cell).where(F.col("iou") > threshold)
 
 
+#: Rows that leave a task at a time.
+_SENT = 200_000
+
+Sides = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _sides(truth: DataFrame, test: DataFrame, keys: Sequence[str], box_id: str, run: Callable[[Sides], Iterator[dict]], out: str) -> DataFrame:
+    """(keys, out) of run over the sides of each group (ids and boxes of truth and test) that has both; it yields columns. A task holds a
+    group's places, not its pairs. Groups with a null among their keys have none."""
+    some = " AND ".join(f"`{c}` IS NOT NULL" for c in keys)
+    both = truth.select(*keys, F.col(box_id).alias("_id"), *[F.col(c).cast("double").alias(c) for c in XY], F.lit(True).alias("_truth"))
+    both = both.unionByName(test.select(*keys, F.col(box_id).alias("_id"), *[F.col(c).cast("double").alias(c) for c in XY], F.lit(False).alias("_truth"))).where(some)
+    fields = ", ".join(f"`{c}` {both.schema[c].dataType.simpleString()}" for c in keys)
+
+    def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(batches), ignore_index=True)
+        group = {c: pdf[c].iloc[0] for c in keys}
+        side, ids, places = pdf["_truth"].to_numpy(bool), pdf["_id"].to_numpy(), pdf[list(XY)].to_numpy(float)
+        if side.any() and not side.all():
+            for columns in run((ids[side], places[side], ids[~side], places[~side])):
+                yield pd.DataFrame(columns).assign(**group)[[*keys, *columns]]
+
+    return both.groupBy(*keys).applyInPandas(one, f"{fields}, {out}")
+
+
+def match_ids(truth: DataFrame, test: DataFrame, by: Sequence[str], box_id: str, threshold: float = 0.5, label: str | None = None) -> DataFrame:
+    """(by, label if named, truth_id, test_id, iou): the pairs of `matches`, for a threshold of 0 or more, found by blocks. There may be
+    as many rows as pairs; they leave the task in pieces."""
+    keys = [*by, label] if label else list(by)
+    slim = truth.select(box_id)
+    kind = slim.schema[box_id].dataType.simpleString()
+
+    def run(sides: Sides) -> Iterator[dict]:
+        ids, a, others, b = sides
+        held, n = [], 0
+        for rows, columns, iou in overlaps.blocks(a, b, threshold):
+            i, j = np.nonzero(iou > threshold)
+            held.append((ids[rows[i]], others[columns[j]], iou[i, j]))
+            n += len(i)
+            if n >= _SENT:
+                yield dict(zip(("truth_id", "test_id", "iou"), map(np.concatenate, zip(*held, strict=True)), strict=True))
+                held, n = [], 0
+        if n:
+            yield dict(zip(("truth_id", "test_id", "iou"), map(np.concatenate, zip(*held, strict=True)), strict=True))
+
+    return _sides(truth, test, keys, box_id, run, f"truth_id {kind}, test_id {kind}, iou double")
+
+
+def match_totals(truth: DataFrame, test: DataFrame, by: Sequence[str], box_id: str, threshold: float = 0.5, inclusive: bool = False) -> DataFrame:
+    """(by, n, total): count and sum of the overlaps above the threshold (0 or more) in each image that has any. The work still grows with
+    the pairs, but in blocks of numbers: no pair is a row."""
+
+    def run(sides: Sides) -> Iterator[dict]:
+        n, total = 0, 0.0
+        for _, _, iou in overlaps.blocks(sides[1], sides[3], threshold, 1.0 if inclusive else 0.0):
+            over = iou > threshold
+            iou *= over
+            n, total = n + int(np.count_nonzero(over)), total + float(iou.sum())
+        if n:
+            yield {"n": [n], "total": [total]}
+
+    return _sides(truth, test, by, box_id, run, "n bigint, total double")
+
+
 #: Boxes of a chunk; chunks that are compared at a time.
 _CHUNK, _AT_ONCE = 64, 8
 
@@ -268,6 +333,32 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, by: Sequence[str] = (),
     return p.join(b, [*by, "_cx", "_cy"]).where(inside).drop("_cx", "_cy")
 
 
+def boxes_at_points(points: DataFrame, boxes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """points (x, y) with n, the number of boxes that hold each, edges included; points that none holds go. No pair is made: a box
+    counts up at its first corner, down behind its sides and up behind both, and equal corners are counted first. How many
+    corners lie before a place in both directions is a sum over blocks of ranks of x (a block at each power of two), in each of
+    which it is a running sum by y. Only the different x of corners and places are ranked in one task for each group."""
+    from pyspark.sql import Window
+
+    xy = lambda c: F.col(c).cast("double")
+    corner = lambda x, sx, y, sy, n: F.struct(xy(x).alias("_x"), F.lit(sx).alias("_sx"), xy(y).alias("_y"), F.lit(sy).alias("_sy"), F.lit(n).cast("bigint").alias("_n"))
+    # side 0 counts from its place on, 1 is a point, 2 counts behind its place
+    four = F.array(corner("x1", 0, "y1", 0, 1), corner("x2", 2, "y1", 0, -1), corner("x1", 0, "y2", 2, -1), corner("x2", 2, "y2", 2, 1))
+    corners = boxes.where("x1 <= x2 AND y1 <= y2").select(*by, F.explode(four).alias("_c")).select(*by, "_c.*").groupBy(*by, "_x", "_sx", "_y", "_sy").agg(F.sum("_n").alias("_n")).where("_n <> 0")
+    places = points.select(*by, xy("x").alias("_x"), F.lit(1).alias("_sx"), xy("y").alias("_y"), F.lit(1).alias("_sy")).where("_x IS NOT NULL AND _y IS NOT NULL").distinct()
+    whole = Window.partitionBy(*by)
+    ranks = corners.select(*by, "_x", "_sx").union(places.select(*by, "_x", "_sx")).distinct()
+    ranks = ranks.withColumn("_r", F.row_number().over(whole.orderBy("_x", "_sx")).cast("bigint")).withColumn("_top", F.max("_r").over(whole))
+    at = lambda d: d.join(ranks, [*by, "_x", "_sx"]).withColumn("_l", F.explode(F.sequence(F.lit(0), F.ceil(F.log2(F.col("_top") + 1)).cast("int")))).withColumn("_b", F.expr("shiftright(_r, _l)"))
+    node = [*by, "_l", "_b"]
+    counted = at(corners).where("_b % 2 = 0").groupBy(*node, "_y", "_sy").agg(F.sum("_n").alias("_n")).withColumn("_x", F.lit(None).cast("double"))
+    asked = at(places).where("_b % 2 = 1").withColumn("_b", F.col("_b") - 1).select(*node, "_y", "_sy", F.lit(0).cast("bigint").alias("_n"), "_x")
+    before = F.sum("_n").over(Window.partitionBy(*node).orderBy("_y", "_sy"))
+    held = counted.select(*asked.columns).union(asked).withColumn("_m", before).where("_sy = 1").groupBy(*by, "_x", "_y").agg(F.sum("_m").alias("n")).where("n > 0")
+    here = points.withColumn("_x", xy("x")).withColumn("_y", xy("y"))
+    return here.join(held, [*by, "_x", "_y"]).select(*points.columns, "n")
+
+
 def away_from(points: DataFrame, taken: DataFrame, by: Sequence[str], radius: float) -> DataFrame:
     """Points with no taken point within the radius (city-block mask off: Euclidean), by an anti-join on grid cells."""
     cell = float(radius)

@@ -65,3 +65,38 @@ def test_tracks_hold_a_frame_at_a_time(spark):
         pd.testing.assert_frame_equal(order(out[out["camera"] == 1]), order(frames), check_dtype=False)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("inclusive", [False, True])
+def test_totals_of_pairs_are_those_of_rows(spark, inclusive):
+    """Counts, sums and ids by blocks against a row a pair; only the larger side's places reach Python, not its pairs."""
+    from orrery.operators import boxes as B
+
+    rng = np.random.default_rng(5)
+    rows = [(int(k % 3), k, *x.tolist()) for k, x in enumerate(lattice(rng, 240))]
+    df = spark.createDataFrame(rows, "img long, id long, x1 double, y1 double, x2 double, y2 double")
+    one, two = df.where("id % 2 = 0"), df.where("id % 2 = 1 AND img < 2")
+    for threshold in (0.0, 0.5):
+        want = B.pairs(one, two, ["img"], inclusive=inclusive).where(F.col("iou") > threshold)
+        got = B.match_totals(one, two, ["img"], "id", threshold, inclusive)
+        assert "Join" not in got._jdf.queryExecution().toString()
+        total = {r["img"]: (r["n"], round(r["t"], 6)) for r in want.groupBy("img").agg(F.count("*").alias("n"), F.sum("iou").alias("t")).collect()}
+        assert {r["img"]: (r["n"], round(r["total"], 6)) for r in got.collect()} == total
+        if not inclusive:
+            ids = {(r["img"], r["truth_id"], r["test_id"], r["iou"]) for r in B.match_ids(one, two, ["img"], "id", threshold).collect()}
+            assert ids == {(r["img"], r["a"]["id"], r["b"]["id"], r["iou"]) for r in want.collect()}
+
+
+def test_boxes_at_points_without_pairs(spark):
+    """Edges, copies, empty and turned boxes, points in none; the plan joins no point with a box."""
+    from orrery.operators import boxes as B
+
+    rng = np.random.default_rng(6)
+    boxes = lattice(rng, 300).tolist() + [[5.0, 5.0, 5.0, 5.0], [9.0, 9.0, 3.0, 3.0]] + [[1.5, 2.5, 3.5, 4.5]] * 3
+    points = [(k, float(rng.integers(0, 170)), float(rng.integers(0, 150))) for k in range(200)] + [(200, 5.0, 5.0), (201, 1.5, 4.5), (202, -9.0, 3.0)]
+    p = spark.createDataFrame(points, "id long, x double, y double").withColumn("img", F.col("id") % 2)
+    b = spark.createDataFrame(boxes, "x1 double, y1 double, x2 double, y2 double").withColumn("img", (F.col("x1") % 2).cast("long"))
+    for by in ([], ["img"]):
+        xy = [(i, x, y, i % 2) for i, x, y in points]
+        want = {(i, n) for i, x, y, g in xy if (n := sum(x1 <= x <= x2 and y1 <= y <= y2 and (not by or int(x1 % 2) == g) for x1, y1, x2, y2 in boxes))}
+        assert {(r["id"], r["n"]) for r in B.boxes_at_points(p, b, by).collect()} == want
