@@ -79,13 +79,19 @@ def _angles(q: np.ndarray) -> np.ndarray:
 def sample_step(history: np.ndarray, new: np.ndarray, displacement: float, theta: float) -> bool:
     """Whether a pose (7 numbers: t, q) is taken: no pose of the history is both nearer than the displacement and turned by
     less than theta on all three axes."""
-    if not len(history):
-        return True
-    back = new[3:] * np.array([-1, -1, -1, 1])
-    t = _rotate(np.broadcast_to(back, (len(history), 4)), history[:, :3] - new[:3])
-    turn = np.abs(_angles(_mul(np.broadcast_to(back, (len(history), 4)), history[:, 3:])))
-    near = (np.sqrt((t**2).sum(1)) < displacement) & (turn < theta).all(1)
-    return not near.any()
+    tx, ty, tz, x, y, z, w = (float(v) for v in new)
+    for hx, hy, hz, a, b, c, d in history.tolist() if isinstance(history, np.ndarray) else history:
+        ex, ey, ez = hx - tx, hy - ty, hz - tz
+        # the turn back to the pose: (-x, -y, -z, w) (a, b, c, d)
+        qx, qy, qz, qw = w * a - d * x - (y * c - z * b), w * b - d * y - (z * a - x * c), w * c - d * z - (x * b - y * a), w * d + (x * a + y * b + z * c)
+        if (
+            math.sqrt(ex * ex + ey * ey + ez * ez) < displacement
+            and abs(math.atan2(2 * (qx * qw - qy * qz), 1 - 2 * (qx * qx + qy * qy))) < theta
+            and abs(math.asin(max(-1.0, min(1.0, 2 * (qx * qz + qy * qw))))) < theta
+            and abs(math.atan2(2 * (qz * qw - qx * qy), 1 - 2 * (qy * qy + qz * qz))) < theta
+        ):
+            return False
+    return True
 
 
 def _seven(pdf: pd.DataFrame) -> np.ndarray:
@@ -103,11 +109,11 @@ def sample_poses(df: DataFrame, by: Sequence[str], order: str, displacement: flo
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
-        rows, kept, past = _seven(pdf), [], []
-        for i in range(len(rows)):
-            if sample_step(np.array(past), rows[i], displacement, theta):
+        kept, past = [], []
+        for i, row in enumerate(_seven(pdf).tolist()):
+            if sample_step(past, row, displacement, theta):
                 kept.append(i)
-                past = [*past, rows[i]][-history:]
+                past = [*past, row][-history:]
         return pdf.iloc[kept]
 
     return df.groupBy(*by).applyInPandas(run, df.schema)
@@ -122,21 +128,26 @@ def inject_noise(df: DataFrame, by: Sequence[str], order: str, noise: Sequence[f
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order).copy()
         rows, rng = _seven(pdf), np.random.RandomState(seed)
-        out = rows.copy()
-        for i in range(1, len(rows)):
-            back = rows[i - 1, 3:] * np.array([-1, -1, -1, 1])
-            step_t, step_q = _rotate(back, rows[i, :3] - rows[i - 1, :3]), _mul(back, rows[i, 3:])
-            e = rng.normal(size=6) * spread
-            h = e[:3] / 2
-            n = np.array([0.0, 0.0, 0.0, 1.0])
-            for axis in range(3):
-                q = np.zeros(4)
-                q[axis], q[3] = np.sin(h[axis]), np.cos(h[axis])
-                n = _mul(n, q)
-            step_t, step_q = _rotate(n, step_t) + e[3:], _mul(n, step_q)
-            out[i, :3] = _rotate(out[i - 1, 3:], step_t) + out[i - 1, :3]
-            q = _mul(out[i - 1, 3:], step_q)
-            out[i, 3:] = q / np.linalg.norm(q)
+        # all steps at once, with their noise; only the chain itself goes row by row
+        back = rows[:-1, 3:] * np.array([-1, -1, -1, 1])
+        step_t, step_q = _rotate(back, rows[1:, :3] - rows[:-1, :3]), _mul(back, rows[1:, 3:])
+        e = rng.normal(size=(len(back), 6)) * spread
+        h = e[:, :3] / 2
+        n = np.tile([0.0, 0.0, 0.0, 1.0], (len(back), 1))
+        for axis in range(3):
+            q = np.zeros((len(back), 4))
+            q[:, axis], q[:, 3] = np.sin(h[:, axis]), np.cos(h[:, axis])
+            n = _mul(n, q)
+        step_t, step_q = _rotate(n, step_t) + e[:, 3:], _mul(n, step_q)
+        out = [rows[0].tolist()] if len(rows) else []
+        for (vx, vy, vz), (a, b, c, d) in zip(step_t.tolist(), step_q.tolist(), strict=True):
+            tx, ty, tz, x, y, z, w = out[-1]
+            cx, cy, cz = y * vz - z * vy, z * vx - x * vz, x * vy - y * vx
+            tx, ty, tz = tx + vx + 2 * (w * cx + y * cz - z * cy), ty + vy + 2 * (w * cy + z * cx - x * cz), tz + vz + 2 * (w * cz + x * cy - y * cx)
+            x, y, z, w = w * a + d * x + (y * c - z * b), w * b + d * y + (z * a - x * c), w * c + d * z + (x * b - y * a), w * d - (x * a + y * b + z * c)
+            size = math.sqrt(x * x + y * y + z * z + w * w)
+            out.append([tx, ty, tz, *((k / size for k in (x, y, z, w)) if size else (math.nan,) * 4)])
+        out = np.array(out, float).reshape(-1, 7)
         pdf[["tx", "ty", "tz", "qx", "qy", "qz", "qw"]] = out
         return pdf
 

@@ -100,3 +100,31 @@ def test_boxes_at_points_without_pairs(spark):
         xy = [(i, x, y, i % 2) for i, x, y in points]
         want = {(i, n) for i, x, y, g in xy if (n := sum(x1 <= x <= x2 and y1 <= y <= y2 and (not by or int(x1 % 2) == g) for x1, y1, x2, y2 in boxes))}
         assert {(r["id"], r["n"]) for r in B.boxes_at_points(p, b, by).collect()} == want
+
+
+def test_noise_and_keyframes_of_a_long_trajectory():
+    """20,000 poses took over 15 s in numpy calls a row; the chain and the gates go row by row in plain numbers."""
+    import time
+
+    from orrery.operators import poses as PO
+
+    class Group:
+        schema = None
+
+        def groupBy(self, *_):
+            return self
+
+        def applyInPandas(self, run, _):
+            return run
+
+    rng = np.random.default_rng(7)
+    q = rng.normal(size=(20_000, 4))
+    names = ["tx", "ty", "tz", "qx", "qy", "qz", "qw"]
+    pdf = pd.DataFrame(np.concatenate([rng.normal(size=(20_000, 3)) * 100, q / np.linalg.norm(q, axis=1)[:, None]], 1), columns=names).assign(i=range(20_000))
+    start = time.perf_counter()
+    same = PO.inject_noise(Group(), ["k"], "i", [0.0, 0.0])(pdf)
+    kept = PO.sample_poses(Group(), ["k"], "i", 120.0, 0.6, 1)(pdf)
+    assert time.perf_counter() - start < 4
+    assert np.abs(same[names].to_numpy() - pdf[names].to_numpy()).max() < 1e-6
+    assert kept["i"].iloc[0] == 0 and kept["i"].is_monotonic_increasing
+    assert PO.sample_step(np.empty((0, 7)), pdf[names].to_numpy()[0], 1.0, 1.0) and not PO.sample_step(pdf[names].to_numpy()[:3], pdf[names].to_numpy()[1], 1.0, 1.0)
