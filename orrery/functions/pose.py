@@ -23,8 +23,7 @@ def from_rpyxyz(roll, pitch, yaw, x, y, z, axes: str = "rxyz") -> Column:
 
 
 def to_rpyxyz(p: Column, axes: str = "rxyz") -> Column:
-    a = euler.from_quat(p["q"], axes)
-    return F.array(a["roll"], a["pitch"], a["yaw"], p["t"]["x"], p["t"]["y"], p["t"]["z"])
+    return vec.bind(lambda a, t: F.array(a["roll"], a["pitch"], a["yaw"], t["x"], t["y"], t["z"]), euler.from_quat(p["q"], axes), p["t"])
 
 
 def apply(p: Column, v: Column) -> Column:

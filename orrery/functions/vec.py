@@ -153,7 +153,7 @@ def close(a: Column, b: Column, rtol: float = 1e-5, atol: float = 1e-8) -> Colum
 def same_transform(a: Column, b: Column) -> Column:
     """Equal 4x4 matrices up to their last entry."""
     norm_ = lambda m: F.transform(F.flatten(m), lambda x: x / m[3][3])
-    return close(norm_(a), norm_(b))
+    return bind(lambda a, b: close(norm_(a), norm_(b)), a, b)  # else each entry would make its matrix again
 
 
 def total(parts: list[Column]) -> Column:
