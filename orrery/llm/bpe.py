@@ -20,8 +20,8 @@ from orrery.llm.common import map_rows
 
 #: Characters of text that the library is given at once.
 PIECE = 50_000
-#: Characters of pieces in one call for many texts.
-CALL = 1_000_000
+#: Characters of pieces in one call for many texts. What the library makes of them, and lists of ids, take some 200 bytes a token.
+CALL = 200_000
 
 
 def default_ranks() -> str:
@@ -99,30 +99,37 @@ class ByteBpe:
             out += self.tokenizer.encode(piece, add_special_tokens=False).ids
         return out
 
-    def encode_many(self, texts: list[str | None]) -> Iterator[list[list[int]]]:
-        """For each text its ids by piece; the library gets about CALL characters of pieces at once."""
-        waiting: list[list[str]] = []
-        size = 0
-        for t in [*texts, ...]:
-            if t is not ...:
-                waiting.append(list(self.pieces(t or "")))
-                size += len(t or "")
-            if waiting and (t is ... or size >= CALL):
-                flat = [p for ps in waiting for p in ps]
-                got = iter([])
-                for at in range(0, len(flat), CALL // PIECE * 10):
-                    part = self.tokenizer.encode_batch_fast(flat[at : at + CALL // PIECE * 10], add_special_tokens=False)
-                    got = iter([*got, *(e.ids for e in part)])
-                for ps in waiting:
-                    yield [next(got) for _ in ps]
-                waiting, size = [], 0
-
-    def offsets(self, text: str, ids: list[int]) -> np.ndarray:
+    def encode_many(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """For each text its ids (int32); the library gets about CALL characters of pieces at once, those of a long text in
+        several calls."""
+        waiting: list[tuple[str, bool]] = []  # pieces, and whether a piece ends its text
+        size, whole = 0, []
+
+        def flush() -> Iterator[np.ndarray]:
+            nonlocal waiting, size
+            part, waiting, size = waiting, [], 0
+            for e, (_, last) in zip(self.tokenizer.encode_batch_fast([p for p, _ in part], add_special_tokens=False), part, strict=True):
+                whole.append(np.array(e.ids, np.int32))
+                if last:
+                    yield whole[0] if len(whole) == 1 else np.concatenate(whole)
+                    whole.clear()
+
+        for t in texts:
+            pieces = list(self.pieces(t or "")) or [""]
+            for k, piece in enumerate(pieces, 1):
+                waiting.append((piece, k == len(pieces)))
+                size += len(piece)
+                if size >= CALL:
+                    yield from flush()
+        if waiting:
+            yield from flush()
+
+    def offsets(self, text: str, ids: list[int] | np.ndarray) -> np.ndarray:
         """(start, end) of each token in code points of text, a row a token: tokens' bytes lie end to end, and bytes map
         to characters. Parts of a split character all have its place."""
         raw = np.frombuffer(text.encode(), np.uint8)
         char_of = np.cumsum((raw & 0xC0) != 0x80, dtype=np.int32) - 1
-        ends = np.cumsum(self.size_of[np.fromiter(ids, np.int64, len(ids))])
+        ends = np.cumsum(self.size_of[np.asarray(ids, np.int64)])
         starts = np.concatenate(([0], ends[:-1])) if len(ends) else ends
         return np.stack([char_of[starts], char_of[ends - 1] + 1], 1).astype("<i4") if len(ends) else np.empty((0, 2), "<i4")
 
@@ -149,6 +156,19 @@ def load(path: str) -> ByteBpe:
     return _loaded[path]
 
 
+def slices(bpe: ByteBpe, texts: list[str | None]) -> Iterator[tuple[slice, list[np.ndarray]]]:
+    """Places of texts and their ids, some CALL tokens at a time: ids of a whole batch are never held."""
+    start, held, size = 0, [], 0
+    for k, ids in enumerate(bpe.encode_many(texts), 1):
+        held.append(ids)
+        size += len(ids)
+        if size >= CALL:
+            yield slice(start, k), held
+            start, held, size = k, [], 0
+    if held:
+        yield slice(start, len(texts)), held
+
+
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """docs (doc_id, text, others ignored) -> (doc_id, ids, starts, ends), a row per row; null text is empty."""
     path = path or default_ranks()
@@ -175,9 +195,9 @@ def encode_ids(docs: DataFrame, path: str | None = None) -> DataFrame:
         bpe = load(path)
 
         def fn(cols):
-            got = [[x for piece in pieces for x in piece] for pieces in bpe.encode_many(cols[1])]
-            offsets = [hashlib.sha256(bpe.offsets(t or "", ids).tobytes()).hexdigest() for t, ids in zip(cols[1], got, strict=True)]
-            yield [cols[0], [len(x) for x in got], got, offsets, [hashlib.sha256(bpe.decode_bytes(x)).hexdigest() for x in got]]
+            for at, got in slices(bpe, cols[1]):
+                offsets = [hashlib.sha256(bpe.offsets(t or "", ids).tobytes()).hexdigest() for t, ids in zip(cols[1][at], got, strict=True)]
+                yield [cols[0][at], [len(x) for x in got], got, offsets, [hashlib.sha256(bpe.decode_bytes(x.tolist())).hexdigest() for x in got]]
 
         return fn
 
@@ -210,8 +230,7 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
 
         def fn(cols):
             out = [[] for _ in range(4)]
-            for t, ids_of in zip(cols[1], bpe.encode_many(cols[1]), strict=True):
-                ids = [x for piece in ids_of for x in piece]
+            for t, ids in zip(cols[1], map(np.ndarray.tolist, bpe.encode_many(cols[1])), strict=True):
                 row = (" ".join(map(bpe.decimal.__getitem__, ids)).encode(), bpe.decode_bytes(ids), bpe.offsets(t or "", ids).tobytes())
                 for o, x in zip(out, (len(ids), *(hashlib.sha256(x).hexdigest() for x in row)), strict=True):
                     o.append(x)

@@ -370,3 +370,17 @@ def test_rows_without_id_and_repeated_rows(spark):
     assert len(found) == 6 and sum(r["n_email"] for r in found) == 4
     coded = bpe.round_trip(df).collect()
     assert len(coded) == 6 and len({r["ids_sha256"] for r in coded}) == 3
+
+
+def test_tokenizer_is_given_bounded_pieces():
+    """What the library gets at once, and the ids that are held at once, don't grow with a batch or a text."""
+    from types import SimpleNamespace
+
+    b, sent = bpe.ByteBpe(bpe.default_ranks()), []
+    plain = b.tokenizer
+    b.tokenizer = SimpleNamespace(encode_batch_fast=lambda x, **k: sent.append(sum(map(len, x))) or plain.encode_batch_fast(x, **k))
+    texts = [None, "", "one text " * 300_000, *["short words here"] * 20_000, " é"]
+    held = [(at, [len(x) for x in got]) for at, got in bpe.slices(b, texts)]
+    assert max(sent) <= bpe.CALL + 2 * bpe.PIECE
+    assert [n for _, some in held for n in some] == [0, 0, 600_001, *[3] * 20_000, 1]
+    assert all(sum(some) <= bpe.CALL + max(some) for _, some in held) and [i for at, _ in held for i in range(at.start, at.stop)] == list(range(len(texts)))
