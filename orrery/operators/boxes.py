@@ -102,14 +102,10 @@ def match_ids(truth: DataFrame, test: DataFrame, by: Sequence[str], box_id: str,
 
 def match_totals(truth: DataFrame, test: DataFrame, by: Sequence[str], box_id: str, threshold: float = 0.5, inclusive: bool = False) -> DataFrame:
     """(by, n, total): count and sum of the overlaps above the threshold (0 or more) in each image that has any. The work still grows with
-    the pairs, but in blocks of numbers: no pair is a row."""
+    the pairs of different boxes, but in blocks of numbers: no pair is a row."""
 
     def run(sides: Sides) -> Iterator[dict]:
-        n, total = 0, 0.0
-        for _, _, iou in overlaps.blocks(sides[1], sides[3], threshold, 1.0 if inclusive else 0.0):
-            over = iou > threshold
-            iou *= over
-            n, total = n + int(np.count_nonzero(over)), total + float(iou.sum())
+        n, total = overlaps.totals(sides[1], sides[3], threshold, 1.0 if inclusive else 0.0)
         if n:
             yield {"n": [n], "total": [total]}
 

@@ -100,3 +100,38 @@ def test_work_on_few_bytes_is_dealt_over_tasks(spark):
     used = lambda df: df.select(F.spark_partition_id().alias("p")).distinct().count()
     assert used(proposals.proposals(rows, ["k"])) >= 4
     assert used(denseflow.between_frames(rows, ["k"], "t", levels=1)) >= 4
+
+
+def test_overlaps_of_equal_boxes_and_intervals_are_found_once(monkeypatch):
+    """Sums over all pairs: copies by their number, whole numbers by intervals of an axis; other numbers by blocks, to the same result."""
+    from orrery.operators import overlaps
+
+    rng = np.random.default_rng(7)
+    made = lambda n, tall: np.concatenate([xy := rng.integers(0, 50, (n, 2)), xy + np.stack([rng.integers(-3, 40, n), rng.integers(-1, tall, n)], 1)], 1).astype(float)
+    a, b = made(3000, 3), made(2000, 30)
+    a[:, 1], a[:, 3] = a[:, 1] // 10, a[:, 1] // 10 + a[:, 3] % 3
+    a, b = np.concatenate([a, a[:900], [[np.nan, 0, 1, 1]]]), np.concatenate([b, b[:500], b[:500]])
+
+    def plain(p, q, one, least):
+        w, h = (np.clip(np.minimum(p[:, None, k + 2], q[None, :, k + 2]) - np.maximum(p[:, None, k], q[None, :, k]) + one, 0, None) for k in (0, 1))
+        size = lambda x: (x[:, 2] - x[:, 0] + one) * (x[:, 3] - x[:, 1] + one)
+        both = np.nan_to_num(w * h)
+        iou = np.divide(both, size(p)[:, None] + size(q)[None, :] - both, out=np.zeros_like(both), where=both > 0)
+        return int((iou > least).sum()), iou[iou > least].sum()
+
+    seen = []
+    by_blocks = overlaps.blocks
+    monkeypatch.setattr(overlaps, "blocks", lambda p, q, *x: seen.append((len(p), len(q))) or by_blocks(p, q, *x))
+    turned = [1, 0, 3, 2]
+    for p, q, one, least in ((a, b, 1.0, 0.0), (a, b, 0.0, 0.0), (a[:, turned], b[:, turned], 1.0, 0.0), (a[:0], b, 1.0, 0.0)):
+        n, total = overlaps.totals(p, q, least, one)
+        want = plain(p, q, one, least)
+        assert n == want[0] and abs(total - want[1]) < 1e-6
+    monkeypatch.setattr(overlaps, "_TABLED", 64)
+    assert overlaps.totals(a, b, 0.0, 1.0)[0] == plain(a, b, 1.0, 0.0)[0] and abs(overlaps.totals(a, b, 0.0, 1.0)[1] - plain(a, b, 1.0, 0.0)[1]) < 1e-6
+    assert all(not x[0] for x in seen)  # none but the empty side
+    for p, q, one, least in ((a + 0.25, b, 1.0, 0.0), (a, b, 0.0, 0.5)):
+        n, total = overlaps.totals(p, q, least, one)
+        want = plain(p, q, one, least)
+        assert n == want[0] and abs(total - want[1]) < 1e-6
+    assert seen[-1][0] <= 3000 and seen[-1][1] <= 2000  # copies once
