@@ -10,72 +10,124 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 VECTOR = T.ArrayType(T.DoubleType())
 MATRIX = T.ArrayType(VECTOR)
 
 
-def held(df: DataFrame, **columns: Column) -> DataFrame:
-    """df with computed columns, for functions of this module to work on. They come out of a generator, so they reach Python
+def dealt(df: DataFrame) -> DataFrame:
+    """df dealt over tasks whatever its bytes: rows that are few bytes in a file are much work for functions of this module."""
+    session = df.sparkSession
+    return df.repartition(max(session.sparkContext.defaultParallelism * 4, int(session.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def held(df: DataFrame, deal: bool = True, **columns: Column) -> DataFrame:
+    """df, dealt over tasks, with computed columns, for functions of this module to work on (deal=False: in the tasks where it is). They come out of a generator, so they reach Python
     as plain columns: in one projection with a Python function, arguments with sums or products inside lambdas (as the
     pose builders have) are not found again when Spark takes the function out."""
     row = F.struct(*[c.alias(n) for n, c in columns.items()])
-    return df.select("*", F.explode(F.array(row)).alias("_held")).select(*[F.col(f"`{c}`") for c in df.columns], "_held.*")
+    return (dealt(df) if deal else df).select("*", F.explode(F.array(row)).alias("_held")).select(*[F.col(f"`{c}`") for c in df.columns], "_held.*")
 
 
 def _struct(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(n, t) for n, t in fields.items()])
 
 
-def _plain(value):
-    """A number, or nested lists as an array; None if its rows have several lengths or hold a null."""
-    try:
-        out = np.array([list(r) for r in value], float) if isinstance(value, np.ndarray) and value.dtype == object else np.asarray(value, float)
-    except (TypeError, ValueError):
-        return None
-    return out if np.isfinite(out).all() else None
+def _ends(x: pa.Array) -> np.ndarray:
+    """Where lists begin and end; none at all may come without a buffer for it."""
+    return x.offsets.to_numpy().astype(np.int64) if len(x) else np.zeros(1, np.int64)
+
+
+def _shapes(x: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of an array of numbers, vectors or matrices: each row's lengths (-1, -1 for a row that is no finite number, vector or matrix), the
+    place of its first number, and all numbers."""
+    n, ok = len(x), ~x.is_null().to_numpy(zero_copy_only=False)
+    shape, bounds, inner = np.ones((n, 2), np.int64), np.arange(n + 1), x
+    if pa.types.is_list(x.type) or pa.types.is_large_list(x.type):
+        bounds, inner = _ends(x), x.values
+        shape[:, 0] = np.diff(bounds)
+        if pa.types.is_list(inner.type) or pa.types.is_large_list(inner.type):
+            ends, lost = _ends(inner), inner.is_null().to_numpy(zero_copy_only=False)
+            sizes = np.diff(ends)
+            least, most = np.full(n, -1), np.full(n, -1)
+            some = np.flatnonzero(ok & (shape[:, 0] > 0))
+            if len(some):
+                row = np.repeat(np.arange(len(some)), shape[some, 0])
+                own = np.arange(len(row)) - np.repeat(np.cumsum(shape[some, 0]) - shape[some, 0], shape[some, 0]) + bounds[some][row]
+                first = np.flatnonzero(np.diff(row, prepend=-1))
+                least[some], most[some] = (f.reduceat(np.where(lost[own], -1, sizes[own]), first) for f in (np.minimum, np.maximum))
+            ok &= (least == most) & (least > 0)
+            shape[:, 1] = np.where(ok, most, -1)
+            bounds, inner = ends[bounds], inner.values
+        else:
+            ok &= shape[:, 0] > 0
+    numbers = inner.cast(pa.float64()).to_numpy(zero_copy_only=False)
+    total = np.concatenate([[0], np.cumsum(~np.isfinite(numbers))])
+    ok &= total[bounds[1:]] == total[bounds[:-1]]
+    return np.where(ok[:, None], shape, -1), bounds[:-1], numbers
+
+
+def _arrow(values, fine: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """Rows as an Arrow array of a kind; null where they aren't fine."""
+    if not isinstance(values, np.ndarray):
+        return pa.array([v if k else None for v, k in zip(values, fine, strict=True)], kind)
+    if values.ndim == 1:
+        return pa.array(values, kind, mask=~fine)
+    values = values[fine]
+    out = pa.array(np.ascontiguousarray(values, float).ravel())
+    for k in range(values.ndim - 1, 1, -1):
+        out = pa.ListArray.from_arrays(pa.array(np.arange(0, len(out) + 1, values.shape[k], dtype=np.int32)), out)
+    places = pa.array(np.concatenate([[0], np.cumsum(fine)]).astype(np.int32) * values.shape[1], mask=np.append(~fine, False))
+    return pa.ListArray.from_arrays(places, out).cast(kind)
 
 
 def _stacked(f: Callable, kind: T.DataType, *cols: Column) -> Column:
     """f over stacks of rows of equal shapes: it gets an array for each column, first axis the rows, and gives the results (for
     a struct one array, or list, a field) and a mask of the rows that have one. Rows outside the mask and rows with
-    nulls are null."""
+    nulls are null. Rows go to numpy and back as Arrow's flat numbers, none by itself."""
     names = kind.names if isinstance(kind, T.StructType) else None
-
-    def solve(series: tuple[pd.Series, ...]) -> list[list]:
-        n, width = len(series[0]), len(names) if names else 1
-        out = [[None] * n for _ in range(width)]
-        groups: dict[tuple, list[tuple[int, list[np.ndarray]]]] = {}
-        for i, values in enumerate(zip(*series, strict=True)):
-            arrays = [None if v is None else _plain(v) for v in values]
-            if all(x is not None for x in arrays):
-                groups.setdefault(tuple(x.shape for x in arrays), []).append((i, arrays))
-        for rows in groups.values():
+    kinds = [to_arrow_type(x.dataType) for x in kind.fields] if names else [to_arrow_type(kind)]
+
+    def solve(columns: tuple[pa.Array, ...]) -> list[pa.Array]:
+        n, ranks = len(columns[0]), [_rank(c.type) for c in columns]
+        found = [_shapes(c) for c in columns]
+        shapes = np.concatenate([x[0] for x in found], 1)
+        usable = np.flatnonzero((shapes >= 0).all(1))
+        parts, at = [[] for _ in kinds], []
+        every, which = np.unique(shapes[usable], axis=0, return_inverse=True)
+        for k, shape in enumerate(every):
+            rows = usable[which.ravel() == k]
+            stacks = []
+            for c, (rank, (_, start, numbers)) in enumerate(zip(ranks, found, strict=True)):
+                lengths = tuple(shape[2 * c : 2 * c + rank])
+                stacks.append(numbers[start[rows][:, None] + np.arange(int(np.prod(lengths, dtype=int)))].reshape(len(rows), *lengths))
             with np.errstate(all="ignore"):
-                got, ok = f(*(np.stack(x) for x in zip(*[r[1] for r in rows], strict=True)))
-            got = got if names else (got,)
-            for o, values in zip(out, got, strict=True):
-                values = values.tolist() if isinstance(values, np.ndarray) else values
-                for (i, _), value, fine in zip(rows, values, ok, strict=True):
-                    o[i] = value if fine else None
-        return out
-
-    if names is None:
-
-        @F.pandas_udf(kind)
-        def run(*series: pd.Series) -> pd.Series:
-            return pd.Series(solve(series)[0], dtype=object)
-
-        return run(*cols)
-
-    @F.pandas_udf(kind)
-    def run_struct(*series: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame({n: pd.Series(x, dtype=object) for n, x in zip(names, solve(series), strict=True)})
-
-    return run_struct(*cols)
+                got, ok = f(*stacks)
+            at.append(rows)
+            for part, values, t in zip(parts, got if names else (got,), kinds, strict=True):
+                part.append(_arrow(values, np.asarray(ok, bool), t))
+        if not at:
+            return [pa.nulls(n, t) for t in kinds]
+        place = np.full(n, -1)
+        place[np.concatenate(at)] = np.arange(sum(map(len, at)))
+        place = pa.array(place, mask=place < 0)
+        return [pa.concat_arrays(part).take(place) for part in parts]
+
+    @F.arrow_udf(kind)
+    def run(*columns: pa.Array) -> pa.Array:
+        out = solve(columns)
+        return pa.StructArray.from_arrays(out, names) if names else out[0]
+
+    return run(*cols)
+
+
+def _rank(t: pa.DataType) -> int:
+    return 1 + _rank(t.value_type) if pa.types.is_list(t) or pa.types.is_large_list(t) else 0
 
 
 def _all(x: np.ndarray) -> np.ndarray:

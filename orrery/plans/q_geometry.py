@@ -294,9 +294,9 @@ def two_view_triangulation(spark, sf):
     behind the cameras."""
     pts = _points(spark, sf)
     right = C.camera(_camera()["intrinsic"], P.pose(euler.to_quat(F.lit(0.0), F.lit(0.05), F.lit(0.0)), vec.vec3(-0.5, 0, 0)))
-    both = pts.withColumn("a", C.project(_camera(), _v("x", "y", "z"))).withColumn("b", C.project(right, _v("x", "y", "z")))
-    mats = both.withColumn("pa", C.projection_matrix(_camera())).withColumn("pb", C.projection_matrix(right))
-    got = mats.withColumn("f", C.fundamental(F.col("pa"), F.col("pb"))).withColumn("t", L.triangulate(F.col("pa"), F.array("a.u", "a.v"), F.col("pb"), F.array("b.u", "b.v")))
+    # plain columns: each use would make projections and matrices again otherwise
+    mats = L.held(pts, a=C.project(_camera(), _v("x", "y", "z")), b=C.project(right, _v("x", "y", "z")), pa=C.projection_matrix(_camera()), pb=C.projection_matrix(right))
+    got = L.held(mats, deal=False, f=C.fundamental(F.col("pa"), F.col("pb"))).withColumn("t", L.triangulate(F.col("pa"), F.array("a.u", "a.v"), F.col("pb"), F.array("b.u", "b.v")))
     line = C.epipolar_line(F.col("f"), F.array(F.col("a.u"), F.col("a.v"), F.lit(1.0)))
     off = F.abs(vec.array_dot(line, F.array(F.col("b.u"), F.col("b.v"), F.lit(1.0))))
     seen = F.col("z") > 0.5

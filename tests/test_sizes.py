@@ -135,3 +135,14 @@ def test_overlaps_of_equal_boxes_and_intervals_are_found_once(monkeypatch):
         want = plain(p, q, one, least)
         assert n == want[0] and abs(total - want[1]) < 1e-6
     assert seen[-1][0] <= 3000 and seen[-1][1] <= 2000  # copies once
+
+
+def test_stacks_of_matrices_are_dealt_and_odd_rows_are_null(spark):
+    """Rows of one small partition go to as many tasks as can run; rows of several shapes, with nulls or no finite numbers."""
+    rows = [(0, [[2.0, 0.0], [0.0, 4.0]]), (1, None), (2, [[1.0, None], [0.0, 1.0]]), (3, [[1.0, 2.0], [3.0]]), (4, [[float("nan"), 0.0], [0.0, 1.0]]), (5, [[1.0, 1.0], [1.0, 1.0]]), (6, [[4.0]]), (7, [None, [1.0, 2.0]]), (8, [])]
+    df = spark.createDataFrame(rows, "k int, m array<array<double>>").coalesce(1)
+    got = L.held(df, n=F.transform("m", lambda r: r)).select("k", L.inverse(F.col("n")).alias("i"))
+    assert {r["k"]: r["i"] for r in got.collect()} == {0: [[0.5, 0.0], [0.0, 0.25]], 6: [[0.25]], **dict.fromkeys((1, 2, 3, 4, 5, 7, 8))}
+    assert {r["k"]: r["i"] for r in df.where("k IN (1, 2)").select("k", L.inverse(F.col("m")).alias("i")).collect()} == {1: None, 2: None}
+    wide = L.held(spark.range(400).coalesce(1), m=F.array(F.array(F.col("id").cast("double"))))
+    assert wide.select(F.spark_partition_id().alias("p")).distinct().count() >= 4
