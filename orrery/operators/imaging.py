@@ -15,6 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Pixels that leave a task at a time, and images that are turned into rows at a time.
+_SENT, _AT_ONCE = 100_000, 500
+
 IMAGE = T.StructType([T.StructField("h", T.IntegerType()), T.StructField("w", T.IntegerType()), T.StructField("c", T.IntegerType()), T.StructField("data", T.BinaryType())])
 
 
@@ -239,9 +242,13 @@ def side_by_side(df: DataFrame, keep: list[str], images: list[str], step: int =
     sent = df.where(" AND ".join(f"`{n}` IS NOT NULL" for n in names)).select(*keep, *names)
     fields = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in keep)
 
+    def columns(pdf, parts):
+        at, *rest = (np.concatenate(c) for c in zip(*parts, strict=True))
+        return pd.DataFrame({**{c: pdf[c].to_numpy()[at] for c in keep}, **dict(zip(["x", "y", *images], rest, strict=True))})
+
     def run(batches):
         for pdf in batches:
-            parts = []
+            parts, n = [], 0
             for i, row in enumerate(pdf[names].itertuples(index=False)):
                 planes = {n: decode(r) for n, r in zip(names, row, strict=True)}
                 planes = {n: a if a.ndim == 2 else a[:, :, 0] for n, a in planes.items()}
@@ -252,10 +259,13 @@ def side_by_side(df: DataFrame, keep: list[str], images: list[str], step: int =
                 if where:
                     inside = planes[where][y, x] != 0
                     y, x = y[inside], x[inside]
-                parts.append((np.full(len(x), i), x, y, *(planes[n][y, x].astype(float) for n in images)))
+                parts.append((np.full(len(x), i, np.int32), x.astype(np.int32), y.astype(np.int32), *(planes[n][y, x].astype(float) for n in images)))
+                n += len(x)
+                if n >= _SENT:
+                    yield columns(pdf, parts)
+                    parts, n = [], 0
             if parts:
-                at, *columns = (np.concatenate(c) for c in zip(*parts, strict=True))
-                yield pd.DataFrame({**{c: pdf[c].to_numpy()[at] for c in keep}, **dict(zip(["x", "y", *images], columns, strict=True))})
+                yield columns(pdf, parts)
 
     return sent.mapInPandas(run, f"{fields}x int, y int, " + ", ".join(f"`{n}` double" for n in images))
 

@@ -18,9 +18,11 @@ def images(spark, sf):
     levels = F.transform("embedding", lambda v: F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.floor((v.cast("double") + 1) * 127.5))))
 
     def run(batches):
-        for pdf in batches:
-            rows = [{"h": 8, "w": 8, "c": 1, "data": bytes(int(x) for x in v)} for v in pdf["v"]]
-            yield pd.DataFrame({"vec_id": pdf["vec_id"], "image": rows})
+        for whole in batches:
+            for k in range(0, len(whole), I._AT_ONCE):
+                pdf = whole.iloc[k : k + I._AT_ONCE]
+                rows = [{"h": 8, "w": 8, "c": 1, "data": bytes(int(x) for x in v)} for v in pdf["v"]]
+                yield pd.DataFrame({"vec_id": pdf["vec_id"].to_numpy(), "image": rows})
 
     return e.select("vec_id", levels.alias("v")).mapInPandas(run, f"vec_id bigint, image {I.IMAGE.simpleString()}")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -146,3 +148,18 @@ def test_stacks_of_matrices_are_dealt_and_odd_rows_are_null(spark):
     assert {r["k"]: r["i"] for r in df.where("k IN (1, 2)").select("k", L.inverse(F.col("m")).alias("i")).collect()} == {1: None, 2: None}
     wide = L.held(spark.range(400).coalesce(1), m=F.array(F.array(F.col("id").cast("double"))))
     assert wide.select(F.spark_partition_id().alias("p")).distinct().count() >= 4
+
+
+def test_pixels_of_many_images_leave_in_pieces():
+    """A task that makes pixels of a batch of images sends them on by some hundred thousand, not all at once."""
+    import pandas as pd
+
+    made = []
+    frame = SimpleNamespace(schema={"k": SimpleNamespace(dataType=SimpleNamespace(simpleString=lambda: "bigint"))})
+    frame.where = frame.select = lambda *a: frame
+    frame.mapInPandas = lambda run, schema: made.append(run)
+    imaging.side_by_side(frame, ["k"], ["image"])
+    image = imaging.encode(np.full((100, 100), 7, np.uint8))
+    got = list(made[0](iter([pd.DataFrame({"k": range(40), "image": [image] * 40})])))
+    assert max(map(len, got)) <= 110_000 and sum(map(len, got)) == 400_000
+    assert pd.concat(got)["k"].value_counts().to_dict() == dict.fromkeys(range(40), 10_000)
