@@ -329,13 +329,18 @@ def corner_response(a: np.ndarray) -> np.ndarray:
     return (xx + yy) / 2 - np.sqrt(((xx - yy) / 2) ** 2 + xy**2)
 
 
+#: Responses that differ by no more are equal: sums of the same moments in another order round apart.
+_EQUAL = 1e-6
+
+
 def corners(df: DataFrame, keep: list[str], threshold: float = 0.01, subpixel: bool = False, levels: int = 1) -> DataFrame:
-    """(keep, x, y, response, level): local peaks of the corner response above a share of the greatest, on a pyramid."""
+    """(keep, x, y, response, level): local peaks of the corner response above a share of the greatest, on a pyramid. Neighbours
+    of equal response are peaks both."""
     fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
 
     def peaks(a: np.ndarray):
         r = corner_response(a)
-        y, x = np.nonzero((r >= dilate(r)) & (r > threshold * max(r.max(), 1e-12)))
+        y, x = np.nonzero((r >= dilate(r) - _EQUAL) & (r > threshold * max(r.max(), 1e-12)))
         xs, ys = x.astype(float), y.astype(float)
         if subpixel:
             p = np.pad(r, 1, mode="edge")
