@@ -136,15 +136,45 @@ def _chunked(x: np.ndarray) -> tuple[list[slice], np.ndarray, np.ndarray, np.nda
     return cuts, np.minimum.reduceat(x, starts, 0), np.maximum.reduceat(x, starts, 0), np.maximum(np.minimum.reduceat(_area(x), starts), 0)
 
 
+#: Overlap that is looked for first, pairs that a level may have for each open box, and comparisons below which levels don't pay.
+_FIRST, _PAIRS, _PLAIN = 0.95, 64, 1 << 26
+
+
 def best_overlaps(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """The best overlap of each box of p with those of q. Equal boxes are compared once; like ones lie in chunks, and chunks
-    whose corners say that they can't overlap better than what is found are left out."""
+    """The best overlap of each box of p with those of q. Equal boxes are compared once. The best ones are found by trees, level by level:
+    all pairs that overlap by 0.95 or more, then, for boxes that have none, by 0.9, 0.8 and so on. Few boxes, and those of a level
+    with very many pairs, go by chunks."""
     out = np.zeros(len(p))
     p_at, q = np.flatnonzero(np.isfinite(p).all(1)), q[np.isfinite(q).all(1)]
     if not len(p_at) or not len(q):
         return out
     p, back = np.unique(p[p_at], axis=0, return_inverse=True)
     q = np.unique(q, axis=0)
+    best, rest, gap, found = np.zeros(len(p)), np.arange(len(p)), 1 - _FIRST, False
+    while len(rest) * len(q) > _PLAIN and 1e-4 < gap < 1:
+        got, n = np.zeros(len(rest)), 0
+        for i, _, iou in overlaps.near_pairs(p[rest], q, 1 - gap):
+            np.maximum.at(got, i, iou)
+            n += len(i)
+            if n > _PAIRS * len(p):
+                break
+        if n > _PAIRS * len(p):
+            if found:
+                break
+            gap /= 2
+            continue
+        best[rest], found = got, True
+        rest = rest[got == 0]
+        gap *= 2
+    if len(rest):
+        best[rest] = _best_by_chunks(p[rest], q)
+    out[p_at] = best[back.ravel()]
+    return out
+
+
+def _best_by_chunks(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """best_overlaps of different finite boxes: like ones lie in chunks, and chunks whose corners say that they can't overlap better
+    than what is found are left out."""
     order = _ordered(p)
     p, q = p[order], q[_ordered(q)]
     best, area_p, area_q = np.zeros(len(p)), _area(p), _area(q)
@@ -166,9 +196,8 @@ def best_overlaps(p: np.ndarray, q: np.ndarray) -> np.ndarray:
             both = np.where((w > 0) & (h > 0), w * h, 0.0)
             union = area_p[cut][:, None] + area_q[at][None, :] - both
             best[cut] = np.maximum(best[cut], np.divide(both, union, out=np.zeros_like(both), where=both > 0).max(1, initial=0.0))
-    plain = np.empty(len(p))
-    plain[order] = best
-    out[p_at] = plain[back.ravel()]
+    out = np.empty(len(p))
+    out[order] = best
     return out
 
 

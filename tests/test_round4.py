@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from orrery.operators import imaging
+from orrery.operators import boxes, imaging
 
 
 def test_corners_of_equal_response(spark):
@@ -14,3 +14,42 @@ def test_corners_of_equal_response(spark):
     got = {(r["x"], r["y"]): r["response"] for r in imaging.corners(images, ["i"]).collect()}
     response = imaging.corner_response(a.astype(float))
     assert {(7.0, 6.0)} <= got.keys() and response[6, 7] < imaging.dilate(response)[6, 7]
+
+
+def _boxes(n: int, seed: int) -> np.ndarray:
+    rng = np.random.default_rng(seed)
+    x, y = rng.integers(0, 100, n).astype(float), rng.integers(0, 60, n).astype(float)
+    return np.stack([x, y, x + 20 + rng.integers(1, 51, n), y + 20 + 10 * rng.integers(1, 8, n)], 1)
+
+
+def test_best_overlaps_leave_few_boxes_to_chunks(monkeypatch):
+    """A crowded image's best overlaps come from the trees' levels; the old form looked at almost every chunk."""
+    left, plain = [], boxes._best_by_chunks
+    monkeypatch.setattr(boxes, "_best_by_chunks", lambda p, q: left.append(len(p)) or plain(p, q))
+    p, q = _boxes(20_000, 1), _boxes(20_000, 2)
+    got = boxes.best_overlaps(p, q)
+    assert sum(left) < 4000
+    u, back = np.unique(p, axis=0, return_inverse=True)
+    assert (got == plain(u, np.unique(q, axis=0))[back.ravel()]).all()
+
+
+def test_best_overlaps_of_odd_boxes(monkeypatch):
+    """Copies, crowds of all but equal boxes, boxes of no or negative size and lost numbers, with and without levels."""
+    rng = np.random.default_rng(3)
+    some = _boxes(300, 4)
+    crowd = np.array([5.0, 5, 60, 70]) + rng.random((300, 4)) * 1e-3
+    odd = np.array([[3.0, 3, 3, 9], [9, 9, 2, 2], [np.nan, 0, 9, 9], [0, 0, np.inf, 9], [500, 500, 600, 600]])
+    p, q = np.concatenate([some, crowd, odd, some[:9]]), np.concatenate([_boxes(300, 5), crowd[:150] + 1e-4, odd[:4], some[:5]])
+    want = np.zeros(len(p))
+    with np.errstate(all="ignore"):
+        for i in np.flatnonzero(np.isfinite(p).all(1)):
+            for b in q[np.isfinite(q).all(1)]:
+                w, h = min(p[i, 2], b[2]) - max(p[i, 0], b[0]), min(p[i, 3], b[3]) - max(p[i, 1], b[1])
+                if w > 0 and h > 0:
+                    areas = (p[i, 2] - p[i, 0]) * (p[i, 3] - p[i, 1]) + (b[2] - b[0]) * (b[3] - b[1])
+                    want[i] = max(want[i], w * h / (areas - w * h))
+    assert np.allclose(boxes.best_overlaps(p, q), want, rtol=1e-12, atol=0)
+    for most in (64, 1):
+        monkeypatch.setattr(boxes, "_PLAIN", 0)
+        monkeypatch.setattr(boxes, "_PAIRS", most)
+        assert np.allclose(boxes.best_overlaps(p, q), want, rtol=1e-12, atol=0)
