@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,31 +56,35 @@ def matches(truth: DataFrame, test: DataFrame, by: Sequence[str], threshold: flo
 #: Rows that leave a task at a time.
 _SENT = 200_000
 
-Sides = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+Sides = tuple[pa.Array, np.ndarray, pa.Array, np.ndarray]
 
 
-def _sides(truth: DataFrame, test: DataFrame, keys: Sequence[str], box_id: str, run: Callable[[Sides], Iterator[dict]], out: str) -> DataFrame:
-    """(keys, out) of run over the sides of each group (ids and boxes of truth and test) that has both; it yields columns. A task holds a
-    group's places, not its pairs. Groups with a null among their keys have none."""
+def _sides(truth: DataFrame, test: DataFrame, keys: Sequence[str], box_id: str, run: Callable[[Sides], Iterator[dict]], out: str, sent: Sequence[str] | None = None) -> DataFrame:
+    """(sent: keys by default, out) of run over the sides of each group (ids and boxes of truth and test) that has both; it yields columns. A task
+    holds a group's places, not its pairs. Groups with a null among their keys have none. Rows leave as Arrow numbers."""
     some = " AND ".join(f"`{c}` IS NOT NULL" for c in keys)
     both = truth.select(*keys, F.col(box_id).alias("_id"), *[F.col(c).cast("double").alias(c) for c in XY], F.lit(True).alias("_truth"))
     both = both.unionByName(test.select(*keys, F.col(box_id).alias("_id"), *[F.col(c).cast("double").alias(c) for c in XY], F.lit(False).alias("_truth"))).where(some)
-    fields = ", ".join(f"`{c}` {both.schema[c].dataType.simpleString()}" for c in keys)
-
-    def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(batches), ignore_index=True)
-        group = {c: pdf[c].iloc[0] for c in keys}
-        side, ids, places = pdf["_truth"].to_numpy(bool), pdf["_id"].to_numpy(), pdf[list(XY)].to_numpy(float)
+    sent = list(keys if sent is None else sent)
+    fields = ", ".join(f"`{c}` {both.schema[c].dataType.simpleString()}" for c in sent)
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches))
+        group = [t.column(c)[0] for c in sent]
+        side, ids = t.column("_truth").to_numpy().astype(bool), t.column("_id").combine_chunks()
+        places = np.stack([t.column(c).to_numpy() for c in XY], 1)
         if side.any() and not side.all():
-            for columns in run((ids[side], places[side], ids[~side], places[~side])):
-                yield pd.DataFrame(columns).assign(**group)[[*keys, *columns]]
+            part = lambda s: (ids.filter(pa.array(s)), places[s])
+            for columns in run((*part(side), *part(~side))):
+                values = [pa.array(v) for v in columns.values()]
+                yield pa.RecordBatch.from_arrays([*(pa.repeat(g, len(values[0])) for g in group), *values], names=[*sent, *columns])
 
-    return both.groupBy(*keys).applyInPandas(one, f"{fields}, {out}")
+    return both.groupBy(*keys).applyInArrow(one, f"{fields}, {out}")
 
 
-def match_ids(truth: DataFrame, test: DataFrame, by: Sequence[str], box_id: str, threshold: float = 0.5, label: str | None = None) -> DataFrame:
-    """(by, label if named, truth_id, test_id, iou): the pairs of `matches`, for a threshold of 0 or more, found by blocks. There may be
-    as many rows as pairs; they leave the task in pieces."""
+def match_ids(truth: DataFrame, test: DataFrame, by: Sequence[str], box_id: str, threshold: float = 0.5, label: str | None = None, labelled: bool = True) -> DataFrame:
+    """(by, label if named and labelled, truth_id, test_id, iou): the pairs of `matches`, for a threshold of 0 or more, found by blocks. There
+    may be as many rows as pairs; they leave the task in pieces."""
     keys = [*by, label] if label else list(by)
     slim = truth.select(box_id)
     kind = slim.schema[box_id].dataType.simpleString()
@@ -87,17 +92,22 @@ def match_ids(truth: DataFrame, test: DataFrame, by: Sequence[str], box_id: str,
     def run(sides: Sides) -> Iterator[dict]:
         ids, a, others, b = sides
         held, n = [], 0
-        for rows, columns, iou in overlaps.blocks(a, b, threshold):
-            i, j = np.nonzero(iou > threshold)
-            held.append((ids[rows[i]], others[columns[j]], iou[i, j]))
-            n += len(i)
+
+        def columns() -> dict:
+            i, j, iou = map(np.concatenate, zip(*held, strict=True))
+            return {"truth_id": ids.take(pa.array(i)), "test_id": others.take(pa.array(j)), "iou": iou}
+
+        for rows, cols, iou in overlaps.blocks(a, b, threshold):
+            at = np.flatnonzero(iou > threshold)
+            held.append((rows[at // len(cols)], cols[at % len(cols)], iou.ravel()[at]))
+            n += len(at)
             if n >= _SENT:
-                yield dict(zip(("truth_id", "test_id", "iou"), map(np.concatenate, zip(*held, strict=True)), strict=True))
+                yield columns()
                 held, n = [], 0
         if n:
-            yield dict(zip(("truth_id", "test_id", "iou"), map(np.concatenate, zip(*held, strict=True)), strict=True))
+            yield columns()
 
-    return _sides(truth, test, keys, box_id, run, f"truth_id {kind}, test_id {kind}, iou double")
+    return _sides(truth, test, keys, box_id, run, f"truth_id {kind}, test_id {kind}, iou double", keys if labelled else by)
 
 
 def match_totals(truth: DataFrame, test: DataFrame, by: Sequence[str], box_id: str, threshold: float = 0.5, inclusive: bool = False) -> DataFrame:
@@ -204,8 +214,6 @@ def _best_by_chunks(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 def _best_by_image(truth: DataFrame, test: DataFrame, by: Sequence[str], box_id: str) -> DataFrame:
     """best_iou of images whose boxes fit into a task: chunks of truth boxes against chunks of their image's test boxes, so
     no pair becomes a row (see best_overlaps)."""
-    import pyarrow as pa
-
     a = truth.select(*by, box_id, *XY)
     b = test.where(" AND ".join(f"`{c}` IS NOT NULL" for c in by)).select(*[F.col(c).alias(f"_{c}") for c in (*by, *XY)])  # own names: both may come of one table
     fields = ", ".join(f"`{c}` {a.schema[c].dataType.simpleString()}" for c in [*by, box_id])

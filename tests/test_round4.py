@@ -53,3 +53,17 @@ def test_best_overlaps_of_odd_boxes(monkeypatch):
         monkeypatch.setattr(boxes, "_PLAIN", 0)
         monkeypatch.setattr(boxes, "_PAIRS", most)
         assert np.allclose(boxes.best_overlaps(p, q), want, rtol=1e-12, atol=0)
+
+
+def test_match_ids_leave_as_numbers(spark):
+    """Ids of any type, lost numbers, groups with one side or a null key; a label that is matched needs not be sent with each pair."""
+    fields = "img bigint, id string, label string, x1 double, y1 double, x2 double, y2 double"
+    box = (0.0, 0.0, 10.0, 10.0)
+    one = [(1, "a", "p", *box), (1, "b", "q", *box), (1, "c", None, *box), (2, "d", "p", *box), (3, "e", "p", None, 0.0, 10.0, 10.0), (None, "f", "p", *box), (3, "g", "p", 0.0, 0.0, 10.0, 5.5)]
+    two = [(1, "A", "p", *box), (1, "B", "q", 0.0, 0.0, 10.0, 5.0), (1, "C", None, *box), (3, "E", "p", *box), (None, "F", "p", *box), (1, "D", "p", 0.0, 0.0, 10.0, 8.0)]
+    one, two = spark.createDataFrame(one, fields), spark.createDataFrame(two, fields)
+    bare = boxes.match_ids(one, two, ["img"], "id", 0.5, "label", labelled=False)
+    want = {(1, "a", "A", 1.0), (1, "a", "D", 0.8), (3, "g", "E", 0.55)}
+    assert bare.columns == ["img", "truth_id", "test_id", "iou"] and {tuple(r) for r in bare.collect()} == want
+    assert {tuple(r) for r in boxes.match_ids(one, two, ["img"], "id", 0.5, "label").drop("label").collect()} == want
+    assert "Decimal" not in bare._jdf.queryExecution().toString() and "FlatMapGroupsInArrow" in bare._jdf.queryExecution().toString()
