@@ -1,10 +1,10 @@
-"""Cases of the fourth round: equal corner responses that round apart."""
+"""Cases of the fourth round: equal corner responses that round apart, crowded images, frames of a stream that wait."""
 
 from __future__ import annotations
 
 import numpy as np
 
-from orrery.operators import boxes, imaging
+from orrery.operators import boxes, boxtracks, imaging
 
 
 def test_corners_of_equal_response(spark):
@@ -67,3 +67,25 @@ def test_match_ids_leave_as_numbers(spark):
     assert bare.columns == ["img", "truth_id", "test_id", "iou"] and {tuple(r) for r in bare.collect()} == want
     assert {tuple(r) for r in boxes.match_ids(one, two, ["img"], "id", 0.5, "label").drop("label").collect()} == want
     assert "Decimal" not in bare._jdf.queryExecution().toString() and "FlatMapGroupsInArrow" in bare._jdf.queryExecution().toString()
+
+
+def test_streamed_frames_wait_in_a_file(spark, tmp_path, monkeypatch):
+    """A camera's task holds one frame of a batch, and the stream gives what the batch form does: cameras without a name, frames
+    without boxes, boxes that lack a number, frames of more rows than a packed row holds."""
+    rng = np.random.default_rng(8)
+    frames = [(t, rng.random((90, 4)).tobytes()) for t in (3, 1, 2, 1)]
+    monkeypatch.setattr(boxtracks, "_KEPT", 1000)
+    got = list(boxtracks._spooled(iter(frames)))
+    assert [(t, len(b)) for t, b in got] == [(1, 180), (2, 90), (3, 90)] and (got[0][1] == np.frombuffer(frames[1][1] + frames[3][1]).reshape(-1, 4)).all()
+    rows = []
+    for camera in ("a", None):
+        for t in range(6):
+            rows += [(camera, t, *map(float, b)) for b in _boxes(150, 10 + t % 3)]
+        rows += [(camera, 6, None, None, None, None), (camera, 4, 1.0, None, 5.0, 5.0), (camera, None, 1.0, 1.0, 5.0, 5.0), (camera, 7, 1.0, 1.0, 5.0, 5.0)]
+    df = spark.createDataFrame(rows, "camera string, tick bigint, x1 double, y1 double, x2 double, y2 double")
+    for k, some in enumerate(("tick < 3", "tick >= 3 OR tick IS NULL")):
+        df.where(some).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    stream = boxtracks.track_stream(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*"), "camera", "tick", 0.5, 1)
+    stream.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination()
+    want = sorted(map(str, boxtracks.track(df, ["camera"], "tick", 0.5, 1).collect()))
+    assert sorted(map(str, spark.read.schema(stream.schema).parquet(f"{tmp_path}/out").collect())) == want and len(want) > 1800
