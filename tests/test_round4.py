@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from orrery.operators import boxes, boxtracks, imaging
+from orrery.operators import boxes, boxtracks, imaging, overlaps
 
 
 def test_corners_of_equal_response(spark):
@@ -89,3 +89,31 @@ def test_streamed_frames_wait_in_a_file(spark, tmp_path, monkeypatch):
     stream.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination()
     want = sorted(map(str, boxtracks.track(df, ["camera"], "tick", 0.5, 1).collect()))
     assert sorted(map(str, spark.read.schema(stream.schema).parquet(f"{tmp_path}/out").collect())) == want and len(want) > 1800
+
+
+def test_totals_of_crowded_images_by_shapes(monkeypatch):
+    """Many boxes of few shapes on whole numbers are never compared one by one, and counts and sums are those of all pairs."""
+    rng = np.random.default_rng(9)
+
+    def made(n):
+        x, y = rng.integers(-5, 9, n).astype(float), rng.integers(3, 13, n).astype(float)
+        return np.concatenate([np.stack([x, y, x + rng.integers(-1, 7, n), y + 2 * rng.integers(0, 4, n)], 1), [[0.0, 0, np.nan, 1]]])
+
+    a, b = made(3000), made(2000)
+    plain = {(least, one): (0, 0.0) for least in (0.0, 0.3, 0.5) for one in (0.0, 1.0)}
+    for x in a[:-1]:
+        w, h = (np.minimum(x[k + 2], b[:-1, k + 2]) - np.maximum(x[k], b[:-1, k]) for k in (0, 1))
+        for (least, one), (n, total) in plain.items():
+            inner = np.maximum(w + one, 0) * np.maximum(h + one, 0)
+            size = lambda t: (t[..., 2] - t[..., 0] + one) * (t[..., 3] - t[..., 1] + one)
+            iou = np.divide(inner, size(x) + size(b[:-1]) - inner, out=np.zeros(len(inner)), where=inner > 0)
+            plain[least, one] = n + int((iou > least).sum()), total + iou[iou > least].sum()
+
+    def never(*_):
+        raise AssertionError("compared one by one")
+
+    monkeypatch.setattr(overlaps, "blocks", never)
+    monkeypatch.setattr(overlaps, "_by_intervals", never)
+    for (least, one), (n, total) in plain.items():
+        got = overlaps.totals(a, b, least, one)
+        assert got[0] == n and abs(got[1] - total) < 1e-9 * total
