@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from orrery.operators import boxes, boxtracks, imaging, overlaps
+from orrery.operators import boxes, boxtracks, imaging, overlaps, proposals
 
 
 def test_corners_of_equal_response(spark):
@@ -117,3 +117,34 @@ def test_totals_of_crowded_images_by_shapes(monkeypatch):
     for (least, one), (n, total) in plain.items():
         got = overlaps.totals(a, b, least, one)
         assert got[0] == n and abs(got[1] - total) < 1e-9 * total
+
+
+def test_segments_join_plain_areas_as_such(monkeypatch):
+    """Edges without a difference are not walked one by one; segments are those of the walk over all edges."""
+
+    def walked(a, scale=300.0, least=20):
+        h, w = a.shape[:2]
+        c = imaging.to_color(a).astype(float)
+        at = {(y, x): y * w + x for y in range(h) for x in range(w)}
+        edges = sorted((float(np.sqrt(((c[y, x] - c[v, u]) ** 2).sum())), i, at[v, u]) for (y, x), i in at.items() for v, u in ((y, x + 1), (y + 1, x)) if (v, u) in at)
+        group, inner = [{i} for i in range(h * w)], {i: 0.0 for i in range(h * w)}
+        for first in (True, False):
+            for d, i, j in edges:
+                g, k = group[i], group[j]
+                fits = d <= min(inner[min(g)] + scale / len(g), inner[min(k)] + scale / len(k)) if first else min(len(g), len(k)) < least
+                if g is not k and fits:
+                    g |= k
+                    inner[min(g)] = d
+                    for m in k:
+                        group[m] = g
+        return np.unique([min(g) for g in group], return_inverse=True)[1].reshape(h, w)
+
+    rng = np.random.default_rng(2)
+    blocks = np.kron(rng.integers(0, 5, (3, 4, 3)) * 50, np.ones((5, 4, 1), int)).astype(np.uint8)
+    for a in (blocks, blocks[:, :, 0], blocks + rng.integers(0, 2, (15, 16, 1)).astype(np.uint8), rng.integers(0, 256, (9, 14)).astype(np.uint8), np.zeros((1, 7), np.uint8), np.zeros((6, 1, 3), np.uint8)):
+        assert (proposals.segments(a) == walked(a)).all() and (proposals.segments(a, 40.0, 3) == walked(a, 40.0, 3)).all()
+    found, find = [], proposals._find
+    monkeypatch.setattr(proposals, "_find", lambda parent, i: found.append(i) or find(parent, i))
+    poster = np.full((40, 56), 60, np.uint8)
+    poster[5:20, 8:30] = 150
+    assert proposals.segments(poster).max() == 1 and len(found) < 1500
