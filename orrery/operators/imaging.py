@@ -376,7 +376,9 @@ def _at(a: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     fx, fy = x - x0, y - y0
     if a.ndim == 3:
         fx, fy = fx[..., None], fy[..., None]
-    return (a[y0, x0] * (1 - fx) + a[y0, x1] * fx) * (1 - fy) + (a[y1, x0] * (1 - fx) + a[y1, x1] * fx) * fy
+    flat = np.ascontiguousarray(a).reshape(h * w, *a.shape[2:])
+    pixel = lambda y, x: flat.take(y * w + x, 0)
+    return (pixel(y0, x0) * (1 - fx) + pixel(y0, x1) * fx) * (1 - fy) + (pixel(y1, x0) * (1 - fx) + pixel(y1, x1) * fx) * fy
 
 
 def warp(a: np.ndarray, flow: np.ndarray) -> np.ndarray:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from orrery.operators import boxes, boxtracks, imaging, overlaps, proposals
+from orrery.operators import boxes, boxtracks, denseflow, imaging, overlaps, proposals
 
 
 def test_corners_of_equal_response(spark):
@@ -148,3 +148,28 @@ def test_segments_join_plain_areas_as_such(monkeypatch):
     poster = np.full((40, 56), 60, np.uint8)
     poster[5:20, 8:30] = 150
     assert proposals.segments(poster).max() == 1 and len(found) < 1500
+
+
+def test_motion_both_ways_expands_images_once(monkeypatch):
+    """The check there and back uses each image's quadratics twice; lines filtered by a matrix are those of the sum, and values that are
+    lost stay lost in their windows only."""
+    rng = np.random.default_rng(4)
+    a = np.cumsum(np.cumsum(rng.normal(0, 3, (40, 56)), 0), 1)
+    a = (255 * (a - a.min()) / (a.max() - a.min())).astype(np.uint8)
+    b = np.roll(a, (1, 2), (0, 1))
+    seen, plain = [], denseflow.expansion
+    monkeypatch.setattr(denseflow, "expansion", lambda *x: seen.append(1) or plain(*x))
+    got = denseflow.checked(a, b, 1.0, levels=2)
+    assert len(seen) == 4
+    there, back = (denseflow.median(denseflow.flow(x, y, levels=2)) for x, y in ((a, b), (b, a)))
+    monkeypatch.setattr(denseflow, "_BAND", 0)
+    slow = denseflow.flow(a, b, levels=2)
+    assert np.allclose(denseflow.median(slow), there, atol=1e-9)
+    known = ~np.isnan(got)
+    assert known.any() and (got[known] == there[known]).all() and back.shape == there.shape
+    monkeypatch.undo()
+    holed = a.astype(float)
+    holed[20, 30] = np.nan
+    assert np.isnan(denseflow.expansion(holed)[:, 17:24, 27:34]).all() and np.isnan(denseflow.expansion(holed)).sum() == 5 * 49
+    f = np.dstack([a, b]).astype(float)
+    assert (denseflow.median(f) == np.median(np.lib.stride_tricks.sliding_window_view(np.pad(f, [(2, 2), (2, 2), (0, 0)], mode="edge"), (5, 5), (0, 1)), (-2, -1))).all()
