@@ -14,6 +14,12 @@ from orrery.plans.registry import query
 H, W = 40, 56
 
 
+def _dealt(keys, by):
+    """Keys of a small file over many tasks, before images are made of them."""
+    session = keys.sparkSession
+    return keys.repartition(max(session.sparkContext.defaultParallelism * 4, int(session.conf.get("spark.sql.shuffle.partitions"))), by)
+
+
 @F.pandas_udf(imaging.IMAGE)
 def _scene(key: pd.Series, dx: pd.Series, dy: pd.Series) -> pd.DataFrame:
     """A smooth pattern of each key, moved."""
@@ -35,7 +41,7 @@ def _median(f: pd.DataFrame) -> pd.DataFrame:
 @query("dense_flow_steps", "SELECT s_suppkey, CAST(t AS BIGINT) AS t, CAST(s_suppkey % 7 - 3 AS BIGINT) AS dx, CAST(s_suppkey % 5 - 2 AS BIGINT) AS dy FROM supplier, range(2) r(t)")
 def dense_flow_steps(spark, sf):
     """Each supplier's pattern moves by its own step from frame to frame; the median of the dense motion is the step."""
-    s = table(spark, sf, "supplier").select("s_suppkey", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(2).cast("bigint"))).alias("t"))
+    s = _dealt(table(spark, sf, "supplier").select("s_suppkey"), "s_suppkey").select("s_suppkey", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(2).cast("bigint"))).alias("t"))
     step = lambda n: F.col("t") * (F.col("s_suppkey") % n - n // 2)
     frames = s.withColumn("image", _scene("s_suppkey", step(7).cast("double"), step(5).cast("double")))
     got = denseflow.between_frames(frames, ["s_suppkey"], "t", levels=2).where("flow IS NOT NULL")
@@ -82,7 +88,7 @@ UNION ALL SELECT p_partkey, CASE WHEN x = 0 AND y = 0 THEN 1 ELSE 0 END, 0, 0, {
 )
 def region_proposals(spark, sf):
     """A box in a field: its region, and the field's, which the merged image repeats."""
-    p = table(spark, sf, "part")
+    p = _dealt(table(spark, sf, "part").select("p_partkey", "p_size"), "p_partkey")
     x, y, w, h = F.col("p_partkey") % 30, F.col("p_partkey") % 17, 8 + F.col("p_size") % 15, 7 + F.col("p_partkey") % 13
     images = p.select("p_partkey", _poster(x, y, w, h, 120 + F.col("p_partkey") % 100).alias("image"))
     return proposals.proposals(images, ["p_partkey"])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 from orrery.operators import boxes, boxtracks, denseflow, imaging, overlaps, proposals
+from orrery.plans import q_motion
 
 
 def test_corners_of_equal_response(spark):
@@ -173,3 +174,11 @@ def test_motion_both_ways_expands_images_once(monkeypatch):
     assert np.isnan(denseflow.expansion(holed)[:, 17:24, 27:34]).all() and np.isnan(denseflow.expansion(holed)).sum() == 5 * 49
     f = np.dstack([a, b]).astype(float)
     assert (denseflow.median(f) == np.median(np.lib.stride_tricks.sliding_window_view(np.pad(f, [(2, 2), (2, 2), (0, 0)], mode="edge"), (5, 5), (0, 1)), (-2, -1))).all()
+
+
+def test_images_are_made_by_many_tasks(spark):
+    """The keys of a small file are dealt before images are made of them, and a filter on the motion doesn't find it twice."""
+    for query, maker in ((q_motion.dense_flow_steps, "_scene("), (q_motion.region_proposals, "_poster(")):
+        plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.index(maker) < plan.rindex("REPARTITION_BY_NUM")  # what lies lower comes first
+        assert plan.count("ArrowEvalPython [run(") <= 1
