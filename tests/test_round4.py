@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 
 from orrery.operators import boxes, boxtracks, denseflow, imaging, overlaps, proposals
 from orrery.plans import q_motion
@@ -118,6 +119,9 @@ def test_totals_of_crowded_images_by_shapes(monkeypatch):
     for (least, one), (n, total) in plain.items():
         got = overlaps.totals(a, b, least, one)
         assert got[0] == n and abs(got[1] - total) < 1e-9 * total
+    monkeypatch.setattr(overlaps, "_ROOM", 1000)
+    with pytest.raises(AssertionError):  # tables of more than their room are not made
+        overlaps.totals(a, b, 0.5, 0.0)
 
 
 def test_segments_join_plain_areas_as_such(monkeypatch):
